@@ -45,17 +45,24 @@ FIELD_ALIASES = {
 SOCIAL_PLATFORMS = ["linkedin", "facebook", "instagram", "twitter", "youtube", "tiktok"]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Expression over a value that is computed once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def map_from_entries_last(entries: Column) -> Column:
     """Map from (key, value) entries where a later entry replaces an earlier one.
 
     Keys keep the place of their last entry. Meant for short per-record lists.
     """
-    size = F.size(entries)
-    keep_last = F.filter(
-        entries,
-        lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(size, F.lit(1))), lambda later: later["key"] == e["key"]),
-    )
-    return F.map_from_entries(keep_last)
+    def build(es: Column) -> Column:
+        keys = F.transform(es, lambda e: e["key"])
+        later = lambda i: F.slice(keys, i + 2, F.greatest(F.size(es), F.lit(1)))
+        return F.when(
+            F.size(F.array_distinct(keys)) == F.size(es), F.map_from_entries(es)
+        ).otherwise(F.map_from_entries(F.filter(es, lambda e, i: ~F.array_contains(later(i), e["key"]))))
+
+    return let(entries, build)
 
 
 def map_to_text(m: Column) -> Column:
@@ -74,17 +81,24 @@ def _is_json(value: Column, kind: str) -> Column:
 
 def object_entries(json_text: Column) -> Column:
     """array<struct<key, value, nested>> of one JSON object; `nested` marks object values."""
-    typed = F.from_json(json_text, "map<string,variant>")
-    return F.transform(
-        F.map_entries(F.from_json(json_text, MAP_SS)),
-        lambda e: F.struct(
-            e["key"].alias("key"),
-            e["value"].alias("value"),
-            F.when(
-                F.startswith(e["value"], F.lit("{")), _is_json(F.element_at(typed, e["key"]), "OBJECT")
-            ).otherwise(F.lit(False)).alias("nested"),
-        ),
-    )
+    def typed(entries: Column) -> Column:
+        # the types are parsed only where a value looks like an object
+        kinds = F.when(
+            F.exists(entries, lambda e: F.startswith(e["value"], F.lit("{"))),
+            F.from_json(json_text, "map<string,variant>"),
+        )
+        return let(kinds, lambda k: F.transform(
+            entries,
+            lambda e: F.struct(
+                e["key"].alias("key"),
+                e["value"].alias("value"),
+                F.when(
+                    F.startswith(e["value"], F.lit("{")), _is_json(F.element_at(k, e["key"]), "OBJECT")
+                ).otherwise(F.lit(False)).alias("nested"),
+            ),
+        ))
+
+    return let(F.map_entries(F.from_json(json_text, MAP_SS)), typed)
 
 
 def flat_entries(json_text: Column, max_depth: int) -> Column:
@@ -126,8 +140,9 @@ def array_objects(json_array: Column, only_objects: bool = True) -> Column:
     texts = F.from_json(json_array, "array<string>")
     if not only_objects:
         return texts
-    typed = F.from_json(json_array, "array<variant>")
-    return F.filter(texts, lambda x, i: F.startswith(x, F.lit("{")) & _is_json(F.get(typed, i), "OBJECT"))
+    return let(F.from_json(json_array, "array<variant>"), lambda typed: F.filter(
+        texts, lambda x, i: F.startswith(x, F.lit("{")) & _is_json(F.get(typed, i), "OBJECT")
+    ))
 
 
 def json_path_items(c: Column | str, path: str | None) -> Column:
@@ -229,22 +244,30 @@ def compact_api(m: Column | str, max_text: int = 1500, max_list: int = 20) -> Co
 
 def promote_aliases(m: Column | str, aliases: Mapping[str, Sequence[str]] = FIELD_ALIASES) -> Column:
     """Fill blank canonical fields from the first non-blank alias (case-insensitive keys)."""
-    src = _c(m)
-    lowered = map_from_entries_last(
-        F.transform(F.map_entries(src), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
-    )
-    promoted = []
-    for field, names in aliases.items():
-        donor = F.coalesce(*[nullif_blank(F.element_at(lowered, F.lit(a.lower()))) for a in names])
-        promoted.append(
+    def lower_keys(src: Column) -> Column:
+        return map_from_entries_last(F.transform(
+            F.map_entries(src), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))
+        ))
+
+    def promoted(src: Column, low: Column) -> Column:
+        cells = [
             F.struct(
                 F.lit(field).alias("key"),
-                F.when(is_blank(F.element_at(src, F.lit(field))), donor).alias("value"),
+                F.when(
+                    is_blank(F.element_at(src, F.lit(field))),
+                    F.coalesce(*[nullif_blank(F.element_at(low, F.lit(a.lower()))) for a in names]),
+                ).alias("value"),
             )
-        )
-    added = F.map_from_entries(F.filter(F.array(*promoted), lambda e: e["value"].isNotNull()))
-    rest = F.map_filter(src, lambda k, v: ~F.map_contains_key(added, k))
-    return F.map_concat(rest, added)
+            for field, names in aliases.items()
+        ]
+        return F.map_from_entries(F.filter(F.array(*cells), lambda e: e["value"].isNotNull()))
+
+    def merged(src: Column, added: Column) -> Column:
+        return F.map_concat(F.map_filter(src, lambda k, v: ~F.map_contains_key(added, k)), added)
+
+    return let(_c(m), lambda src: let(lower_keys(src), lambda low: let(
+        promoted(src, low), lambda added: merged(src, added)
+    )))
 
 
 def extract_prefixed(m: Column | str, prefix: str) -> Column:
@@ -264,14 +287,21 @@ def _label(c: Column) -> Column:
 
 def find_by_labels(m: Column | str, labels: Sequence[str]) -> Column:
     """Value of the first label that equals a key, else that is contained in a key, else ''."""
-    entries = F.transform(
-        F.map_entries(_c(m)), lambda e: F.struct(_label(e["key"]).alias("k"), e["value"].alias("v"))
-    )
     plain = [" ".join(x.lower().split()).rstrip(":-").strip() for x in labels]
-    first = lambda cond: F.nullif(F.get(F.filter(entries, cond), F.lit(0))["v"], F.lit(""))
-    equal = [first(lambda e, p=p: e["k"] == p) for p in plain]
-    inside = [first(lambda e, p=p: F.contains(e["k"], F.lit(p))) for p in plain]
-    return F.coalesce(*equal, *inside, F.lit(""))
+
+    def first(entries: Column, test: Callable[[Column], Column]) -> Column:
+        return F.nullif(F.get(F.filter(entries, lambda e: test(e["k"])), F.lit(0))["v"], F.lit(""))
+
+    def equals(entries: Column, label: str) -> Column:
+        return first(entries, lambda k: k == F.lit(label))
+
+    def inside(entries: Column, label: str) -> Column:
+        return first(entries, lambda k: F.contains(k, F.lit(label)))
+
+    named = F.transform(F.map_entries(_c(m)), lambda e: F.struct(_label(e["key"]).alias("k"), e["value"].alias("v")))
+    return let(named, lambda es: F.coalesce(
+        *[equals(es, p) for p in plain], *[inside(es, p) for p in plain], F.lit("")
+    ))
 
 
 def coerce_collections(df: DataFrame) -> DataFrame:

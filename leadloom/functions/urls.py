@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leadloom.functions.nested import map_from_entries_last
+from leadloom.functions.nested import let, map_from_entries_last
 from leadloom.functions.text import _c, trim_ws
 
 # Generic URI split: scheme, authority, path, query.
@@ -158,15 +158,16 @@ def fill_template(template: Column | str, value: Column | str) -> Column:
 
 def _query_pairs(url: Column) -> Column:
     """array<struct<k, v>> of the query, first value per key, in order."""
-    query = _part(url, 4)
     pairs = F.transform(
-        F.filter(F.split(query, "&"), lambda p: p != ""),
+        F.filter(F.split(_part(url, 4), "&"), lambda p: p != ""),
         lambda p: F.struct(
             F.substring_index(p, "=", 1).alias("k"),
             F.when(F.contains(p, F.lit("=")), F.regexp_extract(p, r"^[^=]*=(.*)$", 1)).otherwise(F.lit("")).alias("v"),
         ),
     )
-    return F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda q: q["k"] == p["k"]))
+    return let(pairs, lambda ps: F.filter(
+        ps, lambda p, i: ~F.exists(F.slice(ps, F.lit(1), i), lambda q: q["k"] == p["k"])
+    ))
 
 
 def _int_of(v: Column) -> Column:
@@ -190,28 +191,39 @@ def _with_param(url: Column, pairs: Column, key: Column, value: Column) -> Colum
 
 def expand_pages(urls: Column | str, total_hint: Column | str, max_pages: int = 500) -> Column:
     """Listing URLs extended by the rising integer parameter up to the hinted item total."""
-    u, hint = _c(urls), _c(total_hint).cast("bigint")
-    n = F.size(u)
-    first, second, last = F.get(u, F.lit(0)), F.get(u, F.lit(1)), F.get(u, n - 1)
-    p_first, p_second, p_last = _query_pairs(first), _query_pairs(second), _query_pairs(last)
-    rising = F.get(
-        F.filter(p_first, lambda p: F.coalesce(_int_of(_value_of(p_last, p["k"])) > _int_of(p["v"]), F.lit(False))),
-        F.lit(0),
+    def rising(p: Column) -> Column:
+        """struct(k, v, last): first parameter that is a smaller integer in the first than in the last URL."""
+        pairs = F.transform(p["first"], lambda x: F.struct(
+            x["k"].alias("k"), _int_of(x["v"]).alias("lo"), _int_of(_value_of(p["last"], x["k"])).alias("hi")
+        ))
+        return F.get(F.filter(pairs, lambda x: F.coalesce(x["hi"] > x["lo"], F.lit(False))), F.lit(0))
+
+    def paging(p: Column, r: Column) -> Column:
+        step = F.greatest(F.coalesce(_int_of(_value_of(p["second"], r["k"])) - r["lo"], F.lit(1)), F.lit(1))
+        per_page = F.when(step > 1, step).otherwise(F.greatest(F.floor(p["hint"] / p["n"]), F.lit(20)))
+        pages = F.floor(p["hint"] / per_page) + 1
+        return F.struct(
+            r["k"].alias("k"), step.alias("step"), (r["hi"] + step).alias("start"), (r["lo"] + pages * step).alias("stop"),
+            F.coalesce((p["n"] >= 2) & (p["hint"] > 0) & (pages > p["n"]), F.lit(False)).alias("grow"),
+        )
+
+    def extend(p: Column, g: Column) -> Column:
+        # more pages than the cap are cut below, so the sequence needs no more than that
+        stop = F.least(g["stop"], g["start"] + g["step"] * max_pages)
+        more = F.transform(
+            F.sequence(g["start"], stop, g["step"]), lambda v: _with_param(p["url"], p["last"], g["k"], v)
+        )
+        grow = F.coalesce(g["grow"] & (g["start"] <= g["stop"]), F.lit(False))
+        return F.concat(p["urls"], F.when(grow, more).otherwise(F.array().cast("array<string>")))
+
+    u = _c(urls)
+    facts = F.struct(
+        u.alias("urls"), F.size(u).alias("n"), _c(total_hint).cast("bigint").alias("hint"),
+        F.get(u, F.size(u) - 1).alias("url"), _query_pairs(F.get(u, F.lit(0))).alias("first"),
+        _query_pairs(F.get(u, F.lit(1))).alias("second"), _query_pairs(F.get(u, F.size(u) - 1)).alias("last"),
     )
-    key = rising["k"]
-    lo, hi = _int_of(rising["v"]), _int_of(_value_of(p_last, key))
-    step = F.greatest(F.coalesce(_int_of(_value_of(p_second, key)) - lo, F.lit(1)), F.lit(1))
-    per_page = F.when(step > 1, step).otherwise(F.greatest(F.floor(hint / n), F.lit(20)))
-    pages = F.floor(hint / per_page) + 1
-    start, stop = hi + step, lo + pages * step
-    grow = (n >= 2) & (hint > 0) & key.isNotNull() & (pages > n) & (start <= stop)
-    # a page parameter that is already past the hint adds nothing; sequence stays within the cap
-    stop_capped = F.least(stop, start + step * max_pages)
-    extra = F.when(
-        F.coalesce(grow, F.lit(False)),
-        F.transform(F.sequence(start, stop_capped, step), lambda v: _with_param(last, p_last, key, v)),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.slice(F.concat(u, extra), 1, max_pages)
+    all_urls = let(facts, lambda p: let(rising(p), lambda r: let(paging(p, r), lambda g: extend(p, g))))
+    return F.slice(all_urls, 1, max_pages)
 
 
 def extrapolate_pages(links: Column | str, max_page: Column | str) -> Column:
@@ -220,33 +232,33 @@ def extrapolate_pages(links: Column | str, max_page: Column | str) -> Column:
     Needs the same path in the first two links and one integer parameter that grows with
     the page number.
     """
+    def changed(p: Column) -> Column:
+        pairs = F.transform(p["p1"], lambda x: F.struct(
+            x["k"].alias("k"), x["v"].alias("v"), _value_of(p["p2"], x["k"]).alias("w")
+        ))
+        return F.get(F.filter(pairs, lambda x: F.coalesce(
+            (x["v"] != x["w"]) & _int_of(x["v"]).isNotNull() & _int_of(x["w"]).isNotNull(), F.lit(False)
+        )), F.lit(0))
+
+    def pages(p: Column, c: Column) -> Column:
+        gap = p["l2"]["num"] - p["l1"]["num"]
+        step = F.when(gap != 0, F.floor((_int_of(c["w"]) - _int_of(c["v"])) / gap))
+        start = _int_of(c["v"]) - (p["l1"]["num"] - 1) * step
+        made = F.transform(
+            F.sequence(F.lit(1).cast("bigint"), p["top"]),
+            lambda i: _with_param(p["l1"]["href"], p["p1"], c["k"], start + (i - 1) * step),
+        )
+        given = F.array_distinct(F.transform(p["links"], lambda x: x["href"]))
+        return F.when(F.coalesce(p["same_path"] & (step > 0), F.lit(False)), made).otherwise(given)
+
     a = _c(links)
     l1, l2 = F.get(a, F.lit(0)), F.get(a, F.lit(1))
-    p1, p2 = _query_pairs(l1["href"]), _query_pairs(l2["href"])
-    same_path = _part(l1["href"], 3) == _part(l2["href"], 3)
-    changed = F.get(
-        F.filter(
-            p1,
-            lambda p: F.coalesce(
-                (_value_of(p2, p["k"]) != p["v"])
-                & _int_of(p["v"]).isNotNull()
-                & _int_of(_value_of(p2, p["k"])).isNotNull(),
-                F.lit(False),
-            ),
-        ),
-        F.lit(0),
-    )
-    v1, v2 = _int_of(changed["v"]), _int_of(_value_of(p2, changed["k"]))
-    gap = l2["num"] - l1["num"]
-    step = F.when(gap != 0, F.floor((v2 - v1) / gap))
-    ok = same_path & (step > 0)
-    start = v1 - (l1["num"] - 1) * step
-    pages = F.transform(
-        F.sequence(F.lit(1).cast("bigint"), _c(max_page).cast("bigint")),
-        lambda i: _with_param(l1["href"], p1, changed["k"], start + (i - 1) * step),
+    facts = F.struct(
+        a.alias("links"), l1.alias("l1"), l2.alias("l2"), _query_pairs(l1["href"]).alias("p1"),
+        _query_pairs(l2["href"]).alias("p2"), (_part(l1["href"], 3) == _part(l2["href"], 3)).alias("same_path"),
+        _c(max_page).cast("bigint").alias("top"),
     )
-    as_given = F.array_distinct(F.transform(a, lambda x: x["href"]))
-    return F.when(F.coalesce(ok, F.lit(False)), pages).otherwise(as_given)
+    return let(facts, lambda p: let(changed(p), lambda c: pages(p, c)))
 
 
 # --- HTTP headers ------------------------------------------------------------------------

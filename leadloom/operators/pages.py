@@ -678,7 +678,11 @@ def selector_metrics(dom: DataFrame, target: Target, key: str = "page_id", sampl
     usable = {f: s for f, s in target.fields.items() if s and s.strip()}
     found = with_matches(dom, usable, "_f").withColumn("_box", select(target.container))
     boxes = F.slice("_box", 1, max(1, sample))
-    hits = [F.size(F.filter(boxes, lambda b, i=i: F.exists(F.col(f"_f{i}"), lambda n: within(n, b)))) for i in range(len(usable))]
+
+    def hit_boxes(found_nodes: Column) -> Column:
+        return F.size(F.filter(boxes, lambda b: F.exists(found_nodes, lambda n: within(n, b))))
+
+    hits = [hit_boxes(F.col(f"_f{i}")) for i in range(len(usable))]
     sampled = F.least(F.size("_box"), F.lit(max(1, sample)))
     checks = sampled * len(usable)
     total = sum(hits, F.lit(0))
@@ -694,18 +698,18 @@ def content_score(dom: DataFrame, target: Target, key: str = "page_id", sample:
     usable = {f: s for f, s in target.fields.items() if s and s.strip()}
     found = with_matches(dom, usable, "_f").withColumn("_box", select(target.container))
     boxes = F.slice("_box", 1, sample)
-    filled = []
-    for i, name in enumerate(usable):
-        attribute = target.attributes.get(name)
 
-        def ok(box: Column, i: int = i, attribute: str | None = attribute) -> Column:
-            node = first_inside(F.col(f"_f{i}"), box)
+    def filled_boxes(found_nodes: Column, attribute: str | None) -> Column:
+        def ok(box: Column) -> Column:
+            node = first_inside(found_nodes, box)
             good = F.length(node_text(node, "")) >= 2
             if attribute:
                 good = good | (trim_ws(attr(node, attribute)) != "")
             return F.coalesce(node.isNotNull() & good, F.lit(False))
 
-        filled.append(F.size(F.filter(boxes, ok)))
+        return F.size(F.filter(boxes, ok))
+
+    filled = [filled_boxes(F.col(f"_f{i}"), target.attributes.get(n)) for i, n in enumerate(usable)]
     checks = F.size(boxes) * len(usable)
     return found.select(
         key, F.when(checks > 0, sum(filled, F.lit(0)) / checks).otherwise(F.lit(1.0)).alias("content_score")
