@@ -55,16 +55,17 @@ def marketplace_key(name: Column) -> Column:
 
 
 def merge_companies(
-    mentions: DataFrame, order_by: Sequence[str], seen_at: str, attributes: Sequence[str] = COMPANY_ATTRIBUTES
+    mentions: DataFrame, order_by: Sequence[str], seen_at: str, attributes: Sequence[str] = COMPANY_ATTRIBUTES,
+    scope: Sequence[str] = (),
 ) -> DataFrame:
-    """One company per normalised name: first spelling, first non-null value per attribute."""
+    """One company per normalised name (within `scope`): first spelling, first non-null value per attribute."""
     order = order_key(order_by)
     present = [a for a in attributes if a in mentions.columns]
     any_value = F.lit(False)
     for a in present:
         any_value = any_value | F.col(a).isNotNull()
     named = mentions.withColumn("name_normalized", normalize_name("name")).filter(F.col("name_normalized") != "")
-    merged = named.groupBy("name_normalized").agg(
+    merged = named.groupBy(*scope, "name_normalized").agg(
         first_value_by(F.col("name"), order).alias("name"),
         *[first_non_null(a, order) for a in present],
         first_value_by(F.col(seen_at), order).alias("created_at"),

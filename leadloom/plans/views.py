@@ -39,7 +39,7 @@ VIEWS: dict[str, str] = {
         FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey""",
     # exhibitor and seller facts
     "facts": """
-        SELECT l_orderkey * 10 + l_linenumber AS ord, s_name AS company, p_brand AS event, year(l_shipdate) AS year,
+        SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS ord, s_name AS company, p_brand AS event, CAST(year(l_shipdate) AS INT) AS year,
           CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE l_linestatus || CAST(l_linenumber AS STRING) END AS stand,
           CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE 'H' || CAST(p_size % 10 AS STRING) END AS hall,
           CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE p_type END AS product_categories,
@@ -58,14 +58,14 @@ VIEWS: dict[str, str] = {
     "event_mentions": """
         SELECT o_orderkey AS ord, CASE o_orderkey % 2 WHEN 0 THEN 'Fair ' || c_mktsegment ELSE ' FAIR  ' || c_mktsegment || ' ' END
             || CAST(c_custkey % 40 AS STRING) AS name,
-          CASE WHEN o_orderkey % 17 = 16 THEN NULL ELSE year(o_orderdate) END AS year,
+          CASE WHEN o_orderkey % 17 = 16 THEN NULL ELSE CAST(year(o_orderdate) AS INT) END AS year,
           CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE n_name END AS city, o_orderpriority AS country,
           CASE WHEN o_orderkey % 4 = 0 THEN 'https://fair.example.com/' || o_orderstatus END AS website
         FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey""",
     # financial mentions
     "financials": """
         SELECT o_orderkey AS ord, c_name AS company,
-          CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE year(o_orderdate) END AS year,
+          CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE CAST(year(o_orderdate) AS INT) END AS year,
           CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE o_orderpriority END AS source,
           CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS total_gmv_eur,
           CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice / 2 END AS growth_yoy,
@@ -212,7 +212,7 @@ VIEWS: dict[str, str] = {
         FROM {orders}""",
     # search results per company
     "search_hits": """
-        SELECT l_suppkey AS company, l_orderkey * 10 + l_linenumber AS pos,
+        SELECT l_suppkey AS company, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS pos,
           CASE WHEN l_partkey % 11 = 0 THEN 'https://www.linkedin.com/company/s' || CAST(l_suppkey AS STRING) || '-' || CAST(l_partkey AS STRING) ELSE 'https://news.example.com/' || CAST(l_partkey AS STRING) END AS url,
           p_name || CASE p_size % 7 WHEN 0 THEN ' is Owned By ' || p_brand WHEN 1 THEN ' competes with others' WHEN 2 THEN ' has ' || CAST(l_partkey AS STRING) || ' employees'
             WHEN 3 THEN ' network and solar gear' WHEN 4 THEN ', 5,200+ staff' ELSE ' ' || lower(p_type) END AS snippet
