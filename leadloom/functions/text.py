@@ -335,3 +335,22 @@ def split_city_country(c: Column | str) -> Column:
 def drop_social_website(c: Column | str, domains: Sequence[str] = SOCIAL_DOMAINS) -> Column:
     """A website on a social network is not a company website: becomes ''."""
     return F.when(contains_any(F.lower(_c(c)), domains), F.lit("")).otherwise(_c(c))
+
+
+def fixed_text(c: Column | str, digits: int) -> Column:
+    """Fixed-point text of a non-negative double with up to three digits.
+
+    Rounds the exact binary value, halves to even (built-in formatting rounds the shortest
+    decimal form instead, which differs for values such as 0.245).
+    """
+    x = _c(c).cast("double")
+    whole = F.floor(x).cast("bigint")
+    bits = ((x - F.floor(x)) * F.lit(float(2**53))).cast("bigint")
+    scaled = bits * F.lit(10**digits)
+    down = F.shiftright(scaled, 53)
+    rest = scaled - F.shiftleft(down, 53)
+    half = F.lit(2**52)
+    up = (rest > half) | ((rest == half) & (down % 2 == 1))
+    n = whole * F.lit(10**digits) + down + up.cast("bigint")
+    text = F.lpad((n % F.lit(10**digits)).cast("string"), digits, "0")
+    return F.concat(F.floor(n / F.lit(10**digits)).cast("string"), F.lit("."), text)

@@ -56,7 +56,11 @@ def url_path(c: Column | str) -> Column:
 
 def query_param(c: Column | str, name: str) -> Column:
     """First non-empty value of a query parameter, decoded; NULL when absent."""
-    raw = F.regexp_extract(_part(_c(c), 4), rf"(?:^|&){name}=([^&]+)", 1)
+    return _param(_part(_c(c), 4), name)
+
+
+def _param(query: Column, name: str) -> Column:
+    raw = F.regexp_extract(query, rf"(?:^|&){name}=([^&]+)", 1)
     return F.when(raw != "", F.coalesce(F.try_url_decode(raw), raw))
 
 
@@ -120,18 +124,20 @@ def url_key(c: Column | str) -> Column:
 
 def id_from_href(c: Column | str) -> Column:
     """Entity id in a link: event + item pair, a usual id parameter, or an id-like path segment."""
+    def pick(p: Column) -> Column:
+        event = F.coalesce(_param(p["query"], "_event"), _param(p["query"], "event"))
+        item = F.coalesce(_param(p["query"], "actionItem"), _param(p["query"], "action_item"))
+        id_like = F.filter(
+            F.reverse(F.split(p["path"], "/")),
+            lambda s: (s != "") & F.rlike(s, F.lit(r"^[\w.-]+\d+[\w.-]*$")) & (F.length(s) <= 40),
+        )
+        by_param = [_param(p["query"], k) for k in ID_PARAMS]
+        # without a query only the path can hold the id
+        found = F.when(p["query"] != "", F.coalesce(F.concat(event, F.lit("."), item), *by_param))
+        return F.coalesce(found, F.get(id_like, F.lit(0)))
+
     u = _c(c)
-    event = F.coalesce(query_param(u, "_event"), query_param(u, "event"))
-    item = F.coalesce(query_param(u, "actionItem"), query_param(u, "action_item"))
-    segments = F.filter(F.split(_part(u, 3), "/"), lambda s: s != "")
-    id_like = F.filter(
-        F.reverse(segments), lambda s: F.rlike(s, F.lit(r"^[\w.-]+\d+[\w.-]*$")) & (F.length(s) <= 40)
-    )
-    return F.coalesce(
-        F.concat(event, F.lit("."), item),
-        *[query_param(u, p) for p in ID_PARAMS],
-        F.get(id_like, F.lit(0)),
-    )
+    return let(F.struct(_part(u, 4).alias("query"), _part(u, 3).alias("path")), pick)
 
 
 def clean_api_id(c: Column | str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.functions.text import contains_any
+from leadloom.functions.text import contains_any, fixed_text
 
 # Show areas with a known vertical and sub-vertical.
 SHOW_AREAS = {
@@ -126,8 +126,8 @@ def selector_verdict(
     return (
         F.when((n_fields > 0) & (field_checks == 0), F.lit("all field selectors are empty"))
         .when(container_count < MIN_CONTAINERS, F.concat(F.lit("container selector matched only "), container_count.cast("string")))
-        .when((hit_ratio < MIN_HIT_RATIO) & (field_checks > 0), F.format_string("low hit ratio %.3f", hit_ratio))
-        .when((n_fields > 0) & (content_score < MIN_CONTENT), F.format_string("content test failed %.2f", content_score))
+        .when((hit_ratio < MIN_HIT_RATIO) & (field_checks > 0), F.concat(F.lit("low hit ratio "), fixed_text(hit_ratio, 3)))
+        .when((n_fields > 0) & (content_score < MIN_CONTENT), F.concat(F.lit("content test failed "), fixed_text(content_score, 2)))
     )
 
 

@@ -296,7 +296,8 @@ def backfill_links(items: DataFrame, containers: DataFrame) -> DataFrame:
     """
     schema = items.select("page_id", "idx", "name", "detail_link").schema
     rows = items.select(*schema.names)
-    boxes = containers.select("page_id", "idx", "text", "link")
-    return rows.groupBy("page_id").cogroup(boxes.groupBy("page_id")).applyInPandas(
+    # fresh column ids: both sides may come from the same pages
+    boxes = containers.select(F.col("page_id").alias("_page"), F.col("idx").alias("idx"), F.col("text").alias("text"), F.col("link").alias("link"))
+    return rows.groupBy("page_id").cogroup(boxes.groupBy("_page")).applyInPandas(
         lambda a, b: _greedy_links(a, b) if len(a) else a, schema
     )

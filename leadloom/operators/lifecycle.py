@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.functions.text import age_hours, slugify
+from leadloom.functions.text import age_hours, fixed_text, slugify
 
 # Job statuses.
 PLANNING_STATUSES = ["pending", "planning", "plan_review", "preview"]
@@ -55,7 +55,7 @@ def final_status(score: Column, n_pending: Column, min_score: float = 0.0, enfor
     s = F.coalesce(score, F.lit(0.0))
     below = (F.lit(bar) > 0) & (s < F.lit(bar))
     status = F.when(below & F.lit(enforce), F.lit("partial")).when(n_pending > 0, F.lit("partial")).otherwise(F.lit("completed"))
-    message = F.when(below, F.format_string(f"Quality score %.3f below configured threshold {bar:.3f}", s))
+    message = F.when(below, F.concat(F.lit("Quality score "), fixed_text(s, 3), F.lit(f" below configured threshold {bar:.3f}")))
     return F.struct(status.alias("status"), below.alias("quality_failure"), message.alias("message"))
 
 

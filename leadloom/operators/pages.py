@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadloom.functions.nested import array_objects, find_items_list, flat_entries, map_from_entries_last, object_entries
+from leadloom.functions.nested import array_objects, find_items_list, flat_entries, let, map_from_entries_last, object_entries
 from leadloom.functions.text import _c, clean_text, contains_any, strip_tags_keep_lines, trim_ws
 from leadloom.functions.urls import id_from_href, resolve_url, url_host
 from leadloom.operators.classify import is_junk_field
@@ -141,19 +141,24 @@ class Target:
 
 def detail_id(node: Column, id_attribute: str | None, id_regex: str | None) -> Column:
     """API id in a node: attribute, link or text, narrowed by a regex; page links go through their parameters."""
-    raw = (
-        F.coalesce(attr(node, id_attribute), F.lit(""))
-        if id_attribute
-        else F.when(node["tag"] == "a", F.coalesce(attr(node, "href"), F.lit(""))).otherwise(node_text(node, ""))
-    )
-    if id_regex:
-        groups = re.compile(id_regex).groups
-        parts = [F.nullif(F.regexp_extract(raw, id_regex, i), F.lit("")) for i in range(1, groups + 1)]
-        hit = F.concat_ws(".", *parts) if parts else F.regexp_extract(raw, id_regex, 0)
-        raw = F.when(F.rlike(raw, F.lit(id_regex)), F.when(hit != "", hit).otherwise(F.regexp_extract(raw, id_regex, 0))).otherwise(raw)
-    value = trim_ws(raw)
-    href_like = F.contains(value, F.lit("?")) | F.contains(value, F.lit("&")) | F.startswith(value, F.lit("/"))
-    return F.nullif(F.when(href_like, id_from_href(value)).otherwise(value), F.lit(""))
+    def narrow(raw: Column) -> Column:
+        if not id_regex:
+            return raw
+        parts = [F.nullif(F.regexp_extract(raw, id_regex, i), F.lit("")) for i in range(1, re.compile(id_regex).groups + 1)]
+        whole = F.regexp_extract(raw, id_regex, 0)
+        joined = F.nullif(F.concat_ws(".", *parts), F.lit("")) if parts else whole
+        return F.when(F.rlike(raw, F.lit(id_regex)), F.coalesce(joined, whole)).otherwise(raw)
+
+    def resolve(value: Column) -> Column:
+        href_like = F.contains(value, F.lit("?")) | F.contains(value, F.lit("&")) | F.startswith(value, F.lit("/"))
+        return F.nullif(F.when(href_like, id_from_href(value)).otherwise(value), F.lit(""))
+
+    def raw_of(n: Column) -> Column:
+        if id_attribute:
+            return F.coalesce(attr(n, id_attribute), F.lit(""))
+        return F.when(n["tag"] == "a", F.coalesce(attr(n, "href"), F.lit(""))).otherwise(node_text(n, ""))
+
+    return let(let(node, lambda n: trim_ws(narrow(raw_of(n)))), resolve)
 
 
 def extract_items(dom: DataFrame, target: Target, key: str = "page_id") -> DataFrame:
@@ -396,11 +401,12 @@ def embedded_source(dom: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def detail_api_score(url: Column, body: Column) -> Column:
-    """How likely a JSON response is the detail API; negative means noise."""
+    """How likely a JSON response is the detail API; negative means noise, as is anything but an object."""
     low = F.lower(url)
     size = F.size(F.map_keys(F.from_json(body, "map<string,string>")))
     words = sum([F.when(F.contains(low, F.lit(w)), 15).otherwise(0) for w in DETAIL_URL_WORDS], F.lit(0))
-    return F.when(contains_any(low, NOISE_URLS), F.lit(-1000)).otherwise(_key_hits(body, DETAIL_KEYS) * 10 + words + size)
+    score = F.when(contains_any(low, NOISE_URLS), F.lit(-1000)).otherwise(_key_hits(body, DETAIL_KEYS) * 10 + words + size)
+    return F.coalesce(score, F.lit(-1000))
 
 
 def _site_root(host: Column) -> Column:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadloom.functions.text import trim_ws
+from leadloom.functions.text import fixed_text, trim_ws
 from leadloom.operators.ordered import order_key
 
 
@@ -42,7 +42,7 @@ def evaluate_pass(
         .when((st == "partial") & ~F.coalesce(allow_partial, F.lit(True)), F.lit("partial not allowed by profile"))
         .when(~st.isin(*ACTIVE_PASS_STATUSES), F.concat(F.lit("unexpected final status="), st))
         .when(n < need, F.format_string("record_count %d < expected minimum %d", n, need))
-        .when((bar > 0) & (q < bar), F.format_string("quality_score %.3f < expected minimum %.3f", q, bar))
+        .when((bar > 0) & (q < bar), F.concat(F.lit("quality_score "), fixed_text(q, 3), F.lit(" < expected minimum "), fixed_text(bar, 3)))
         .otherwise(F.lit("ok"))
     )
     return F.struct((reason == "ok").alias("passed"), reason.alias("reason"), n.alias("count"))
@@ -111,7 +111,7 @@ def regression_issues(gates: Thresholds = Thresholds()) -> Column:
         ("avg_parser_structured_drop", drop("avg_parser_structured_ratio"), gates.structured_drop),
     ]
     texts = [
-        F.when(v > F.lit(limit), F.format_string(f"{n}=%.3f exceeds threshold {limit:.3f}", v)) for n, v, limit in checks
+        F.when(v > F.lit(limit), F.concat(F.lit(f"{n}="), fixed_text(v, 3), F.lit(f" exceeds threshold {limit:.3f}"))) for n, v, limit in checks
     ]
     texts.append(F.when(
         F.size("new_failed") > gates.new_failures,

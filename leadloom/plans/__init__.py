@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.plans import companies, functions, jobs  # noqa: F401
+from leadloom.plans import companies, functions, io, jobs, pages  # noqa: F401
 from leadloom.plans.registry import BUILDS, SQL, as_query
 
 

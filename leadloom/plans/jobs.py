@@ -8,6 +8,7 @@ from leadloom.functions import text as X
 from leadloom.functions import urls as U
 from leadloom.functions.nested import map_to_text
 from leadloom.operators import joins as J
+from leadloom.operators.dom import attr, first_inside, node_text, page_dom, select
 from leadloom.operators import lifecycle as L
 from leadloom.operators import ordered as O
 from leadloom.operators import quality as Q
@@ -15,7 +16,6 @@ from leadloom.operators import reports as R
 from leadloom.plans import duck as D
 from leadloom.plans.companies import lead_records
 from leadloom.plans.registry import query
-from leadloom.streaming import jobs as _streaming  # noqa: F401  (imported so that a broken module shows early)
 
 NOW = "TIMESTAMP '1999-06-01 00:00:00'"
 NOW_NTZ = NOW.replace("TIMESTAMP", "TIMESTAMP_NTZ")
@@ -160,14 +160,23 @@ def _(t):
     return J.normalize_country(t.leads.select("ord", "country"), lookup)
 
 
-@query("jn8_backfill_links")
+@query(
+    "jn8_backfill_links",
+    """SELECT page_id, 0 AS idx, s_name AS name, '/e/' || CAST(page_id AS VARCHAR) AS detail_link FROM {listing_pages} JOIN supplier ON page_id = s_suppkey UNION ALL SELECT page_id, 1, 'Second ' || n_name, 'e/second' FROM {listing_pages} JOIN supplier ON page_id = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+      UNION ALL SELECT page_id, 2, 'more', NULL FROM {listing_pages} UNION ALL SELECT page_id, 3, 'kept', '/own' FROM {listing_pages}""",
+)
 def _(t):
-    items = t.facts.select(
-        F.col("suppkey").alias("page_id"), F.col("ord").alias("idx"), F.col("brands").alias("name"), F.when(F.col("stand").isNull(), F.col("detail_url")).alias("detail_link")
-    )
-    boxes = t.facts.select(
-        F.col("suppkey").alias("page_id"), F.col("ord").alias("idx"), F.concat_ws(" ", "event", "brands", "product_categories").alias("text"), F.col("detail_url").alias("link")
-    )
+    dom = page_dom(t.listing_pages)
+    names = select("h3.company-name")
+    item = lambda i, n, link: F.struct(F.lit(i).alias("idx"), n.alias("name"), link.alias("detail_link"))
+    none = F.lit(None).cast("string")
+    items = dom.select("page_id", F.inline(F.array(
+        item(0, node_text(F.get(names, F.lit(0))), none), item(1, node_text(F.get(names, F.lit(1))), none),
+        item(2, F.lit("more"), none), item(3, F.lit("kept"), F.lit("/own")),
+    )))
+    boxes = dom.withColumns({"_b": select(".exhibitor-card"), "_a": select("a.detail-link")}).select(
+        "page_id", F.posexplode(F.transform("_b", lambda b: F.struct(node_text(b).alias("text"), attr(first_inside(F.col("_a"), b), "href").alias("link")))).alias("idx", "_x")
+    ).select("page_id", "idx", "_x.*")
     return J.backfill_links(items, boxes)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,12 +21,14 @@ def read_csv_glob(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return read_leads_csv(spark, f"{folder}/{pattern}").select("*", F.col("_metadata.file_name").alias("source_file"))
 
 
-def read_results_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON array of leads; missing keys are NULL."""
-    return spark.read.schema(LEAD_SCHEMA).option("multiLine", True).json(path)
+def read_results_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """JSON array of leads (or JSON lines with `multi_line=False`); missing keys are NULL."""
+    return spark.read.schema(LEAD_SCHEMA).option("multiLine", multi_line).json(path)
 
 
-def read_run_reports(spark: SparkSession, folder: str) -> DataFrame:
+def read_run_reports(
+    spark: SparkSession, folder: str, files: str = "smoke-*.json", name: Column | None = None
+) -> DataFrame:
     """One row per result of every `smoke-*.json` report, with the stored totals of its report.
 
     Names sort by time. Result entries that are not objects are skipped; the total falls
@@ -35,12 +37,12 @@ def read_run_reports(spark: SparkSession, folder: str) -> DataFrame:
     schema = "summary struct<total:bigint,passed:bigint,failed:bigint>, results array<string>"
     row = "profile_name string, status string, reason string, passed boolean, " \
           "diagnostics struct<counters:map<string,bigint>,parser_metrics:map<string,double>>"
-    raw = spark.read.schema(schema).option("multiLine", True).json(f"{folder}/smoke-*.json")
+    raw = spark.read.schema(schema).option("multiLine", True).json(f"{folder}/{files}")
     n = F.coalesce(F.size("results"), F.lit(0)).cast("bigint")
     total = F.coalesce("summary.total", F.greatest(n, F.lit(0)))
     passed = F.coalesce("summary.passed", F.lit(0).cast("bigint"))
     flat = raw.select(
-        F.col("_metadata.file_name").alias("report"), total.alias("summary_total"), passed.alias("summary_passed"),
+        (F.col("_metadata.file_name") if name is None else name).alias("report"), total.alias("summary_total"), passed.alias("summary_passed"),
         F.coalesce("summary.failed", F.greatest(total - passed, F.lit(0))).alias("summary_failed"),
         F.posexplode_outer("results").alias("pos", "_raw"),
     ).filter(F.col("_raw").isNull() | F.startswith(trim_ws("_raw"), F.lit("{")))
@@ -56,11 +58,11 @@ def read_run_reports(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def read_jobs(spark: SparkSession, folder: str) -> DataFrame:
-    """One JSON snapshot per job; corrupt snapshots are left out."""
+def read_jobs(spark: SparkSession, folder: str, multi_line: bool = True) -> DataFrame:
+    """One JSON snapshot per job and file (or per line); corrupt snapshots are left out."""
     schema = T.StructType([*JOB_SCHEMA.fields, T.StructField("_corrupt", T.StringType())])
     raw = (
-        spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
+        spark.read.schema(schema).option("multiLine", multi_line).option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt").json(folder)
     )
     return raw.filter(F.col("_corrupt").isNull() & F.col("id").isNotNull()).drop("_corrupt")

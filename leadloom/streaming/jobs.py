@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -163,5 +163,12 @@ def run_checkpointed(stream: DataFrame, path: str, checkpoint: str) -> Streaming
     )
 
 
-def run_batches(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_snapshots(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the latest full result of an aggregating stream as a table."""
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return (
+        stream.writeStream.foreachBatch(store).outputMode("complete").option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
