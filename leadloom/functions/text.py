@@ -345,12 +345,15 @@ def fixed_text(c: Column | str, digits: int) -> Column:
     """
     x = _c(c).cast("double")
     whole = F.floor(x).cast("bigint")
-    bits = ((x - F.floor(x)) * F.lit(float(2**53))).cast("bigint")
-    scaled = bits * F.lit(10**digits)
+    fine = (x - F.floor(x)) * F.lit(float(2**53))
+    bits = F.floor(fine).cast("bigint")
+    # small values have binary digits below 2^-53
+    below = (fine - F.floor(fine)) * F.lit(float(10**digits))
+    scaled = bits * F.lit(10**digits) + F.floor(below).cast("bigint")
     down = F.shiftright(scaled, 53)
     rest = scaled - F.shiftleft(down, 53)
     half = F.lit(2**52)
-    up = (rest > half) | ((rest == half) & (down % 2 == 1))
+    up = (rest > half) | ((rest == half) & ((below > F.floor(below)) | (down % 2 == 1)))
     n = whole * F.lit(10**digits) + down + up.cast("bigint")
     text = F.lpad((n % F.lit(10**digits)).cast("string"), digits, "0")
     return F.concat(F.floor(n / F.lit(10**digits)).cast("string"), F.lit("."), text)

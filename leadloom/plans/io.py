@@ -115,7 +115,8 @@ def _(t):
     return R.read_sitemaps(t.spark, f"{path}/*").agg(F.count("*").alias("n"), F.countDistinct("loc").alias("urls"))
 
 
-REQ_SQL = "SELECT request_num, status, priority, source_type, event_name, url FROM {requests}"
+# a request without a number (or with zero) is an empty sheet row
+REQ_SQL = "SELECT request_num, status, priority, source_type, event_name, url FROM {requests} WHERE request_num <> 0"
 
 
 def _request_sheet(t: Tables):

@@ -49,7 +49,11 @@ def csv_ready(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    csv_ready(df).write.mode(mode).option("header", True).option("escape", '"').option("quote", '"').option("emptyValue", "").csv(path)
+    options = {
+        "header": True, "escape": '"', "quote": '"', "emptyValue": "",
+        "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+    }
+    csv_ready(df).write.mode(mode).options(**options).csv(path)
 
 
 def write_results_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:

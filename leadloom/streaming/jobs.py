@@ -125,7 +125,8 @@ def stream_breaker(
 ) -> DataFrame:
     """A row each time a provider is paused; only a success resets the error count.
 
-    An idle provider's state is dropped after the pause.
+    The pause is data (`disabled_until`), so the state is one number per provider and needs
+    no timer.
     """
     out = T.StructType([
         calls.schema[key], T.StructField(ts, T.TimestampType()), T.StructField("consecutive_errors", T.LongType()),
@@ -133,10 +134,6 @@ def stream_breaker(
     ])
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            # the pause is over; the error count stays until a success
-            state.update(state.get)
-            return
         errors = state.get[0] if state.exists else 0
         rows = []
         data = _ordered(frames, order)
@@ -145,13 +142,11 @@ def stream_breaker(
             if errors >= max_errors:
                 rows.append([*k, when, errors, when + pd.Timedelta(seconds=cooldown_s)])
         state.update((errors,))
-        if errors >= max_errors:
-            state.setTimeoutDuration(cooldown_s * 1000)
         if rows:
             yield pd.DataFrame(rows, columns=out.names)
 
     return calls.groupBy(key).applyInPandasWithState(
-        step, out, "errors bigint", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, out, "errors bigint", "append", GroupStateTimeout.NoTimeout
     )
 
 
