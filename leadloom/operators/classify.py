@@ -56,21 +56,36 @@ GENERIC_DETAIL_FIELDS = [
 MIN_CONTAINERS, MIN_HIT_RATIO, MIN_CONTENT = 3, 0.2, 0.3
 
 
-def classify_vertical(
-    text: Column, show_area: Column | None = None, rules: Mapping[str, Sequence[str]] = VERTICAL_KEYWORDS,
+def _pick(index: Column, values: Sequence[str]) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in values]), index)
+
+
+def keyword_rank(low: Column, rules: Mapping[str, Sequence[str]] = VERTICAL_KEYWORDS) -> Column:
+    """Position of the first keyword (in rule order) contained in a lower-case text, NULL without any."""
+    words = [k for ks in rules.values() for k in ks]
+    return F.coalesce(*[F.when(F.contains(low, F.lit(k)), F.lit(i)) for i, k in enumerate(words)])
+
+
+def vertical_of(
+    rank: Column, show_area: Column | None = None, rules: Mapping[str, Sequence[str]] = VERTICAL_KEYWORDS,
     areas: Mapping[str, tuple[str, str]] = SHOW_AREAS,
 ) -> Column:
-    """struct(vertical, sub_vertical): by show area, else by the first vertical with a keyword in the text."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    """struct(vertical, sub_vertical) of a keyword rank; a known show area goes first."""
+    by_word = [(v, k.strip().title()) for v, ks in rules.items() for k in ks]
     area = F.lit(None).cast("string") if show_area is None else show_area
-    vertical = F.coalesce(*[F.when(area == a, F.lit(v[0])) for a, v in areas.items()],
-                          *[F.when(contains_any(low, ks), F.lit(v)) for v, ks in rules.items()], F.lit(""))
-    sub = F.coalesce(
-        *[F.when(area == a, F.lit(v[1])) for a, v in areas.items()],
-        *[F.when(F.contains(low, F.lit(k)), F.lit(k.strip().title())) for ks in rules.values() for k in ks],
-        F.lit(""),
+    named = lambda i: F.coalesce(*[F.when(area == a, F.lit(v[i])) for a, v in areas.items()])
+    return F.struct(
+        F.coalesce(named(0), _pick(rank, [w[0] for w in by_word]), F.lit("")).alias("vertical"),
+        F.coalesce(named(1), _pick(rank, [w[1] for w in by_word]), F.lit("")).alias("sub_vertical"),
     )
-    return F.struct(vertical.alias("vertical"), sub.alias("sub_vertical"))
+
+
+def classify_table(df: DataFrame, text: str, show_area: str | None = None) -> DataFrame:
+    """Add vertical and sub_vertical: by show area, else by the first vertical with a keyword in the text."""
+    low = df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    ranked = low.withColumn("_rank", keyword_rank(F.col("_low")))
+    verdict = vertical_of(F.col("_rank"), F.col(show_area) if show_area else None)
+    return ranked.withColumn("_v", verdict).select(*df.columns, "_v.vertical", "_v.sub_vertical")
 
 
 def _starts_with_any(c: Column, prefixes: Sequence[str]) -> Column:
@@ -129,8 +144,3 @@ def selector_verdict(
         .when((hit_ratio < MIN_HIT_RATIO) & (field_checks > 0), F.concat(F.lit("low hit ratio "), fixed_text(hit_ratio, 3)))
         .when((n_fields > 0) & (content_score < MIN_CONTENT), F.concat(F.lit("content test failed "), fixed_text(content_score, 2)))
     )
-
-
-def classify_table(df: DataFrame, text: str, show_area: str | None = None) -> DataFrame:
-    c = classify_vertical(F.col(text), F.col(show_area) if show_area else None)
-    return df.withColumn("_v", c).select("*", "_v.vertical", "_v.sub_vertical").drop("_v")

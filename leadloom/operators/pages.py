@@ -595,12 +595,27 @@ def template_clusters(pages: DataFrame, url: str = "url", html: str = "html") ->
     return slim.groupBy("host", "hash").agg(F.count("*").alias("pages"), F.min("_url").alias("sample_url"))
 
 
-def _first_rule(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
-    return F.coalesce(*[F.when(F.rlike(text, F.lit("(?i)" + p)), F.lit(n)) for n, p in rules])
+def _matches_any(low: Column, pattern: str) -> Column:
+    """Test of a lower-case text: plain alternatives by substring search, the rest by regex."""
+    plain, rest = [], []
+    for part in pattern.split("|"):
+        bare = part.replace("\\.", ".")
+        (plain if not re.search(r"[\\*+?()\[\]{}^$]", bare) and "." not in part.replace("\\.", "") else rest).append((part, bare))
+    hit = contains_any(low, [b.lower() for _, b in plain])
+    for part, _ in rest:
+        hit = hit | F.rlike(low, F.lit("(?i)" + part))
+    return F.coalesce(hit, F.lit(False))
 
 
-def _any_rule(text: Column, rules: Sequence[str]) -> Column:
-    return F.coalesce(F.rlike(text, F.lit("(?i)" + "|".join(f"(?:{r})" for r in rules))), F.lit(False))
+def _first_rule(low: Column, rules: Sequence[tuple[str, str]]) -> Column:
+    return F.coalesce(*[F.when(_matches_any(low, p), F.lit(n)) for n, p in rules])
+
+
+def _any_rule(low: Column, rules: Sequence[str]) -> Column:
+    hit = F.lit(False)
+    for r in rules:
+        hit = hit | (F.rlike(low, F.lit("(?i)" + r)) if "(" in r else _matches_any(low, r))
+    return F.coalesce(hit, F.lit(False))
 
 
 def fingerprint(html: Column | str, headers: Column | None = None) -> Column:
@@ -609,9 +624,16 @@ def fingerprint(html: Column | str, headers: Column | None = None) -> Column:
     h = F.create_map().cast("map<string,string>") if headers is None else headers
     get = lambda k: F.coalesce(F.element_at(h, F.lit(k)), F.lit(""))
     has = lambda k: F.coalesce(F.map_contains_key(h, k), F.lit(False))
-    generator = F.regexp_extract(text, GENERATOR_RE, 1)
-    by_generator = F.coalesce(*[F.when(F.contains(F.lower(generator), F.lit(g)), F.lit(n)) for g, n in GENERATORS])
-    cms_hit, shop, js_hit = _first_rule(text, CMS_RULES), _first_rule(text, SHOP_RULES), _first_rule(text, JS_RULES)
+
+    def from_html(low: Column) -> Column:
+        return F.struct(
+            _first_rule(low, CMS_RULES).alias("cms"), _first_rule(low, SHOP_RULES).alias("shop"),
+            _first_rule(low, JS_RULES).alias("js"), _any_rule(low, SPA_RULES).alias("spa"),
+            _any_rule(low, API_RULES).alias("api"),
+            # the tag is searched only where the word occurs
+            F.when(F.contains(low, F.lit("generator")), F.regexp_extract(text, GENERATOR_RE, 1)).otherwise("").alias("generator"),
+        )
+
     powered, content_type = get("x-powered-by"), get("content-type")
     cdn = (
         F.when(has("cf-ray") | has("cf-cache-status"), F.lit("Cloudflare"))
@@ -621,25 +643,29 @@ def fingerprint(html: Column | str, headers: Column | None = None) -> Column:
     )
     next_js = F.when(F.contains(F.lower(powered), F.lit("next.js")), F.lit("Next.js"))
     api_type = F.contains(content_type, F.lit("application/json")) | F.contains(content_type, F.lit("graphql"))
-    spa = _any_rule(text, SPA_RULES)
-    api_html = _any_rule(text, API_RULES)
     labelled = lambda label, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(label), c))
-    signals = F.array_compact(F.array(
-        labelled("Server: ", get("server")), labelled("CDN: ", cdn), labelled("X-Powered-By: ", powered),
-        F.when(api_type, F.concat(F.lit("API evidence: Content-Type="), content_type)),
-        labelled("CMS signal: ", cms_hit), labelled("Ecommerce signal: ", shop), labelled("JS framework signal: ", js_hit),
-        F.when(spa, F.lit("SPA marker")), F.when(api_html, F.lit("API evidence in HTML")), labelled("Generator: ", generator),
-    ))
-    return F.struct(
-        F.coalesce(cms_hit, by_generator).alias("cms"),
-        shop.alias("ecommerce"),
-        F.coalesce(next_js, js_hit).alias("js_framework"),
-        cdn.alias("cdn"),
-        F.nullif(F.substring_index(get("server"), "/", 1), F.lit("")).alias("server"),
-        (api_type | api_html).alias("has_api"),
-        spa.alias("is_spa"),
-        signals.alias("signals"),
-    )
+
+    def report(f: Column) -> Column:
+        by_generator = F.coalesce(*[F.when(F.contains(F.lower(f["generator"]), F.lit(g)), F.lit(n)) for g, n in GENERATORS])
+        signals = F.array_compact(F.array(
+            labelled("Server: ", get("server")), labelled("CDN: ", cdn), labelled("X-Powered-By: ", powered),
+            F.when(api_type, F.concat(F.lit("API evidence: Content-Type="), content_type)),
+            labelled("CMS signal: ", f["cms"]), labelled("Ecommerce signal: ", f["shop"]),
+            labelled("JS framework signal: ", f["js"]), F.when(f["spa"], F.lit("SPA marker")),
+            F.when(f["api"], F.lit("API evidence in HTML")), labelled("Generator: ", f["generator"]),
+        ))
+        return F.struct(
+            F.coalesce(f["cms"], by_generator).alias("cms"),
+            f["shop"].alias("ecommerce"),
+            F.coalesce(next_js, f["js"]).alias("js_framework"),
+            cdn.alias("cdn"),
+            F.nullif(F.substring_index(get("server"), "/", 1), F.lit("")).alias("server"),
+            (api_type | f["api"]).alias("has_api"),
+            f["spa"].alias("is_spa"),
+            signals.alias("signals"),
+        )
+
+    return let(let(F.lower(text), from_html), report)
 
 
 def needs_rendering(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -25,7 +25,6 @@ SHOP_EMAILS = [
     "mediamarkt.nl", "mediamarkt.de", "mediamarkt.at", "mediamarkt.es", "mediamarkt.it", "mediamarkt.be",
     "mediamarkt.com", "privacy@", "jan.janssen",
 ]
-SELLER_JSON_RE = r'"__typename"\s*:\s*"GraphqlMarketplaceSeller"\s*,\s*"id"\s*:\s*"(\d+)"\s*,\s*"name"\s*:\s*"([^"]*)"'
 SELLER_BLOCK_RE = (
     r'(?s)("__typename"\s*:\s*"GraphqlMarketplaceSeller"\s*,\s*"id"\s*:\s*"\d+"\s*,\s*"name"\s*:\s*"[^"]*".*?)'
     r'(?="optimizelyDataFile"|"__typename"\s*:\s*"(?!Graphql))'
@@ -58,7 +57,8 @@ def _balanced_object(text: Column) -> Column:
 def seller_from_page(pages: DataFrame, seller_id: str = "seller_id", html: str = "html") -> DataFrame:
     """Seller page -> seller row: embedded JSON first, then definition lists and patterns."""
     h = F.col(html)
-    block = F.regexp_extract(h, SELLER_BLOCK_RE, 1)
+    # most pages carry no embedded seller: the look-ahead search runs only where its name occurs
+    block = F.when(F.contains(h, F.lit("GraphqlMarketplaceSeller")), F.regexp_extract(h, SELLER_BLOCK_RE, 1)).otherwise("")
     base = pages.select(seller_id, html).withColumn(
         "_json", F.when(block != "", _balanced_object(F.concat(F.lit("{"), block)))
     ).withColumn("_pairs", dt_dd_pairs(h))

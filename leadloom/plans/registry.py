@@ -15,6 +15,18 @@ TABLES = [
 ]
 
 
+# tables whose rows carry the work; the others are small dimensions
+FACTS = {"orders", "lineitem", "events", "documents", "pages", "conversations"}
+# views of such dimensions that are expensive per row
+WIDE_VIEWS = {"detail_pages", "listing_pages", "api_items", "api_bodies", "paging"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of an input with fewer files than cores on all cores; larger inputs are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 class Tables:
     """Given tables and the views derived from them, by attribute."""
 
@@ -23,11 +35,13 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return spread(df) if name in FACTS else df
         if name in VIEWS:
             text = VIEWS[name]
             used = {x: getattr(self, x) for x in [*TABLES, *VIEWS] if "{" + x + "}" in text}
-            return self.spark.sql(text, **used)
+            df = self.spark.sql(text, **used)
+            return spread(df) if name in WIDE_VIEWS else df
         raise AttributeError(name)
 
 
