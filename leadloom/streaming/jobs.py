@@ -61,14 +61,18 @@ def _first_order(mentions: DataFrame, order_by: str) -> DataFrame:
 def _fold(stored: DataFrame) -> DataFrame:
     """Batches arrive in order: the earliest batch with a value wins, the latest update counts."""
     attributes = [a for a in COMPANY_ATTRIBUTES if a in stored.columns]
+    # a batch whose mentions brought no attribute does not touch the company
+    any_value = F.lit(False)
+    for a in attributes:
+        any_value = any_value | F.col(a).isNotNull()
     by = lambda c, cond: F.min_by(c, F.when(cond, F.col("batch")))
     return stored.groupBy("company_id", "name_normalized").agg(
         by("name", F.lit(True)).alias("name"),
         *[by(a, F.col(a).isNotNull()).alias(a) for a in attributes],
         by("created_at", F.lit(True)).alias("created_at"),
-        F.max("updated_at").alias("updated_at"),
+        F.max_by("updated_at", F.when(any_value, F.col("batch"))).alias("updated_at"),
         F.min("first_seen").alias("first_seen"),
-    )
+    ).withColumn("updated_at", F.coalesce("updated_at", "created_at"))
 
 
 def read_company_master(spark: SparkSession, path: str) -> DataFrame:
