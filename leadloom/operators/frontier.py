@@ -16,7 +16,7 @@ from leadloom.operators.ordered import carry_forward_group, with_positions
 def id_range_frontier(done: DataFrame, first: int, last: int, key: str = "id") -> DataFrame:
     """Ids of a range that are not done yet."""
     ids = done.sparkSession.range(first, last + 1).withColumnRenamed("id", key)
-    return ids.join(done.select(F.col(key).cast("bigint")).distinct(), key, "left_anti")
+    return ids.join(done.select(F.col(key).cast("bigint").alias(key)), key, "left_anti")
 
 
 def page_frontier(plans: DataFrame, key: str, urls: str, total_hint: str, max_pages: int = 500) -> DataFrame:
@@ -43,7 +43,7 @@ def robots_rules(robots: DataFrame, user_agent: str = "*") -> DataFrame:
     value = trim_ws(F.regexp_extract("line", r"^[^:]*:(.*)$", 1))
     agent = F.when(F.startswith(low, F.lit("user-agent:")), F.lower(value))
     # lines of one file come from one text value, so a window group is one document
-    marked = carry_forward_group(lines.withColumn("_value", value), ["host"], ["line_no"], agent, "_agent")
+    marked = carry_forward_group(lines.withColumn("_value", value), ["host"], ["line_no"], agent, "_agent", None)
     ours = F.coalesce(F.col("_agent").isin("*", user_agent.lower()), F.lit(False))
     kind = (
         F.when(F.startswith(low, F.lit("user-agent:")), F.lit(None).cast("string"))

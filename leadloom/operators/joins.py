@@ -6,13 +6,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions.nested import compact_api
 from leadloom.functions.text import _c, age_hours, drop_social_website, normalize_name, trim_ws
 from leadloom.functions.urls import domain_key, url_key
-from leadloom.operators.ordered import first_value_by, order_key
+from leadloom.operators.ordered import first_value_by, order_key, with_positions
 
 # A rule table up to this many rows is broadcast in one piece; larger ones go in slices.
 RULES_PER_BROADCAST = 2_000
@@ -112,24 +112,22 @@ def first_rule(text: Column, rules: Sequence[tuple[str, str]], regex: bool = Tru
 def rules_join(df: DataFrame, rules: DataFrame, text: str, keys: Sequence[str], regex: bool = False) -> DataFrame:
     """First matching rule per row from a rule table (priority, name, pattern).
 
-    The rule table is counted first. Up to RULES_PER_BROADCAST rows it is broadcast; a
-    longer one is cut into slices of that size by priority rank and each slice is
-    broadcast in turn, so no broadcast grows with the table.
+    The rule table is counted first. Up to RULES_PER_BROADCAST rows it becomes part of the
+    expression: no join and no shuffle. A longer one is cut into slices of that size by
+    priority rank and each slice is broadcast in turn, so no broadcast grows with the table.
     """
-
+    hit = lambda pattern: F.rlike(F.col(text), pattern) if regex else F.contains(F.col(text), pattern)
     n = rules.count()
+    if n <= RULES_PER_BROADCAST:
+        listed = [(r["name"], r["pattern"]) for r in rules.orderBy("priority", "name").collect()]
+        return df.withColumn("rule", first_rule(F.col(text), listed, regex) if listed else F.lit(None).cast("string"))
     slim = df.select(*keys, text)
     hits = None
-    ranked = rules
-    if n > RULES_PER_BROADCAST:
-        ranked = rules.withColumn("_rank", F.row_number().over(Window.orderBy("priority", "name")))
-    for start in range(0, max(n, 1), RULES_PER_BROADCAST):
-        piece = ranked
-        if n > RULES_PER_BROADCAST:
-            piece = ranked.filter((F.col("_rank") > start) & (F.col("_rank") <= start + RULES_PER_BROADCAST))
+    ranked = with_positions(rules, [], ["priority", "name"], "_rank")
+    for start in range(0, n, RULES_PER_BROADCAST):
+        piece = ranked.filter((F.col("_rank") > start) & (F.col("_rank") <= start + RULES_PER_BROADCAST))
         piece = F.broadcast(piece.select("priority", F.col("name").alias("rule"), "pattern"))
-        match = F.rlike(F.col(text), F.col("pattern")) if regex else F.contains(F.col(text), F.col("pattern"))
-        part = slim.join(piece, match).groupBy(*keys).agg(
+        part = slim.join(piece, hit(F.col("pattern"))).groupBy(*keys).agg(
             F.min(F.struct("priority", "rule")).alias("_best")
         )
         hits = part if hits is None else hits.unionByName(part)
@@ -144,7 +142,7 @@ def rules_join(df: DataFrame, rules: DataFrame, text: str, keys: Sequence[str],
 
 def pending_only(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not in the done set."""
-    return df.join(done.select(key).distinct(), key, "left_anti")
+    return df.join(done.select(key), key, "left_anti")
 
 
 def split_done_pending(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -155,7 +153,7 @@ def split_done_pending(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 def crm_new_only(leads: DataFrame, crm: DataFrame, name: str = "name") -> DataFrame:
     """Leads whose normalised name is not in the CRM list."""
-    known = crm.select(normalize_name(name).alias("_known")).distinct()
+    known = crm.select(normalize_name(name).alias("_known"))
     return leads.withColumn("_norm", normalize_name(name)).join(
         known, F.col("_norm") == F.col("_known"), "left_anti"
     ).drop("_norm")

@@ -103,28 +103,23 @@ def with_streaks(
     """
     flag = F.lit(True) if counts is None else F.coalesce(counts, F.lit(False))
     base, chunks = with_chunks(df.withColumn("_flag", flag), order_by[0], rows_per_chunk)
-    part = [*keys, "_chunk"]
-    w = Window.partitionBy(*part).orderBy(*order_by)
+    # one struct key: NULL members compare equal, and window, summary and join share a partitioning
+    base = base.withColumn("_k", F.struct(*keys, F.lit(0)))
+    w = Window.partitionBy("_k", "_chunk").orderBy(*order_by)
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = base.withColumn("_rn", F.row_number().over(w).cast("bigint")).withColumn(
         "_reset", F.max(F.when(~F.col("_flag"), F.col("_rn"))).over(running)
     )
     if chunks > 1:
-        before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        before = Window.partitionBy("_k").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
         summary = (
-            base.groupBy(*part)
-            .agg(F.count("*").alias("_n"))
+            rows.groupBy("_k", "_chunk")
+            .agg(F.count("*").alias("_n"), F.max("_reset").alias("_last_reset"))
             .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        )
-        resets = (
-            rows.groupBy(*part).agg(F.max("_reset").alias("_last_reset"))
-        )
-        summary = (
-            _match(summary, resets, part)
             .withColumn("_carried", F.max(F.col("_offset") + F.col("_last_reset")).over(before))
-            .select(*part, "_offset", "_carried")
+            .select("_k", "_chunk", "_offset", "_carried")
         )
-        rows = _match(rows, summary, part)
+        rows = rows.join(summary, ["_k", "_chunk"])
     else:
         rows = rows.withColumns({"_offset": F.lit(0), "_carried": F.lit(None).cast("bigint")})
     pos = F.col("_offset") + F.col("_rn")
@@ -132,7 +127,7 @@ def with_streaks(
     out = rows.withColumn(position, pos.cast("bigint"))
     if streak:
         out = out.withColumn(streak, (F.col(position) - last_reset).cast("bigint"))
-    return out.drop("_flag", "_chunk", "_rn", "_reset", "_offset", "_carried")
+    return out.select(*df.columns, position, *([streak] if streak else []))
 
 
 def with_positions(
@@ -323,7 +318,27 @@ def status_timeline(events: DataFrame, ts: Column, status: str, reason: str) ->
     )
 
 
-def carry_forward_group(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], marker: Column, name: str) -> DataFrame:
-    """Each row gets the latest non-null marker at or before it."""
-    w = Window.partitionBy(*keys).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(name, F.last(marker, ignorenulls=True).over(w))
+def carry_forward_group(
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], marker: Column, name: str,
+    rows_per_chunk: int | None = ROWS_PER_CHUNK,
+) -> DataFrame:
+    """Each row gets the latest non-null marker at or before it.
+
+    `rows_per_chunk=None` is for groups that are known to be short (lines of one document).
+    """
+    base, chunks = df.withColumn("_m", marker), 1
+    if rows_per_chunk:
+        base, chunks = with_chunks(base, order_by[0], rows_per_chunk)
+    else:
+        base = base.withColumn("_chunk", F.lit(0))
+    base = base.withColumn("_k", F.struct(*keys, F.lit(0)))
+    w = Window.partitionBy("_k", "_chunk").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = base.withColumn("_own", F.last("_m", ignorenulls=True).over(w))
+    if chunks > 1:
+        before = Window.partitionBy("_k").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        tails = base.groupBy("_k", "_chunk").agg(
+            F.max_by("_m", F.when(F.col("_m").isNotNull(), F.struct(*order_by))).alias("_tail")
+        )
+        carried = tails.withColumn("_carried", F.last("_tail", ignorenulls=True).over(before)).drop("_tail")
+        rows = rows.join(carried, ["_k", "_chunk"]).withColumn("_own", F.coalesce("_own", "_carried"))
+    return rows.withColumn(name, F.col("_own")).select(*df.columns, name)

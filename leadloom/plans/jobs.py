@@ -390,6 +390,13 @@ def _(t):
     return O.carry_forward_group(rows, ["user_id"], ["ts", "event_id"], F.when(F.col("event_type") == "signup", F.col("event_id")), "signup").select("event_id", "user_id", "signup")
 
 
+@query("wn9_carry_forward_group_chunked", "SELECT event_id, user_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS signup FROM events")
+def _(t):
+    rows = t.events.select("event_id", "user_id", "ts", "event_type")
+    marker = F.when(F.col("event_type") == "signup", F.col("event_id"))
+    return O.carry_forward_group(rows, ["user_id"], ["ts", "event_id"], marker, "signup", rows_per_chunk=1500).select("event_id", "user_id", "signup")
+
+
 # --- limits ------------------------------------------------------------------------------
 
 
