@@ -82,9 +82,11 @@ def _share(cond: Column) -> Column:
     return F.coalesce(F.round(F.count_if(cond) / F.count("*"), 3), F.lit(0.0))
 
 
-def coverage_wide(leads: DataFrame, fields: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+def coverage_wide(
+    leads: DataFrame, fields: Sequence[str], keys: Sequence[str] = (), extra: Sequence[Column] = ()
+) -> DataFrame:
     return leads.groupBy(*keys).agg(
-        F.count("*").alias("total_records"), *[_share(_covered(leads, f)).alias(f) for f in fields]
+        F.count("*").alias("total_records"), *[_share(_covered(leads, f)).alias(f) for f in fields], *extra
     )
 
 
@@ -99,7 +101,9 @@ def _mean(fields: Sequence[str]) -> Column:
     return reduce(lambda a, b: a + b, [F.col(f) for f in fields]) / F.lit(float(max(len(fields), 1)))
 
 
-def quality_report(leads: DataFrame, keys: Sequence[str] = (), fields_wanted: str | None = None) -> DataFrame:
+def quality_report(
+    leads: DataFrame, keys: Sequence[str] = (), fields_wanted: str | None = None, extra: Sequence[Column] = ()
+) -> DataFrame:
     """Coverage per field and overall score per job; requested fields replace the tiers."""
     if fields_wanted:
         fields = list(dict.fromkeys(f.strip() for f in fields_wanted.split(",") if f.strip()))
@@ -111,7 +115,7 @@ def quality_report(leads: DataFrame, keys: Sequence[str] = (), fields_wanted: st
             + _mean(IMPORTANT_FIELDS) * F.lit(IMPORTANT_WEIGHT)
             + _mean(OPTIONAL_FIELDS) * F.lit(OPTIONAL_WEIGHT)
         )
-    wide = coverage_wide(leads, fields, keys)
+    wide = coverage_wide(leads, fields, keys, extra)
     return wide.withColumn("overall_score", F.when(F.col("total_records") > 0, score).otherwise(F.lit(0.0)))
 
 
@@ -123,10 +127,10 @@ def quality_messages(
     leads: DataFrame, keys: Sequence[str] = (), fields_wanted: str | None = None
 ) -> DataFrame:
     """Quality report with `warnings` and `recommendations` lists."""
-    report = quality_report(leads, keys, fields_wanted)
     name = F.when(F.coalesce(F.col("name"), F.lit("")) != "", F.lower(trim_ws("name")))
-    names = leads.groupBy(*keys).agg(F.count(name).alias("_named"), F.countDistinct(name).alias("_unique"))
-    both = report.join(names, list(keys), "left") if keys else report.crossJoin(F.broadcast(names))
+    # the distinct count rides on the same aggregation: rows are first folded per (keys, name)
+    names = [F.count(name).alias("_named"), F.countDistinct(name).alias("_unique")]
+    both = quality_report(leads, keys, fields_wanted, names)
     warnings = []
     if fields_wanted:
         for f in [x.strip() for x in fields_wanted.split(",") if x.strip()]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import text as X
 from leadloom.operators import dedup as DD
+from leadloom.operators.quality import table_stats
 from leadloom.plans.companies import COMPANIES_SQL, LEAD_KEY, LEAD_TEXT, lead_records, merged_tables
 from leadloom.plans.jobs import ERRORS, ZERO
 from leadloom.plans.registry import Tables, query
@@ -154,12 +155,11 @@ def _(t):
     return W.union_of_keys([t.supplier.select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("a")), t.customer.select(F.col("c_name").alias("name"), F.col("c_custkey").alias("b"))])
 
 
-@query("snk5_write_tables", "SELECT (SELECT count(*) FROM supplier) AS companies, (SELECT count(*) FROM (SELECT DISTINCT company, marketplace FROM {facts})) AS sellers")
+@query("snk5_write_tables", "SELECT 'companies' AS \"table\", (SELECT count(*) FROM supplier) AS rows UNION ALL SELECT 'marketplace_sellers', (SELECT count(*) FROM (SELECT DISTINCT company, marketplace FROM {facts}))")
 def _(t):
     path = scratch(t)
     W.write_tables({k: v for k, v in merged_tables(t).items() if k in ("companies", "marketplace_sellers")}, path)
-    count = lambda n: t.spark.read.parquet(f"{path}/{n}").agg(F.count("*").alias("n"))
-    return count("companies").select(F.col("n").alias("companies")).crossJoin(F.broadcast(count("marketplace_sellers").select(F.col("n").alias("sellers"))))
+    return table_stats({n: t.spark.read.parquet(f"{path}/{n}") for n in ("companies", "marketplace_sellers")})
 
 
 @query("snk7_write_by_source", "SELECT CASE source_type WHEN 'Marketplace' THEN 'Marketplace Scraped Data' WHEN 'Trade Fair' THEN 'Event Scraped Data' ELSE 'Other' END AS source_folder, replace(event_name, '/', '-') AS source_dir, count(*) AS n FROM {requests} GROUP BY 1, 2")
