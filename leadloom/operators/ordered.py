@@ -9,7 +9,7 @@ one chunk uses the plain window.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -180,20 +180,68 @@ def _first_break(edges: np.ndarray, room: int) -> int:
     return max(int(np.searchsorted(edges, room, side="right")) - 1, 0)
 
 
+def _pack_sorted(frames: Iterator[pd.DataFrame], keys: list[str], size_col: str, budget: int) -> Iterator[pd.DataFrame]:
+    """Greedy batch numbers over rows sorted by key and order; the open batch carries over frames."""
+    last, used, batch = None, 0, 0
+    for pdf in frames:
+        if pdf.empty:
+            continue
+        k = pdf[keys]
+        before = k.shift()
+        changed = ((k != before) & ~(k.isna() & before.isna())).any(axis=1).to_numpy(copy=True)
+        first = tuple(None if pd.isna(v) else v for v in k.iloc[0])
+        changed[0] = last != first
+        numbers = np.empty(len(pdf), dtype=np.int64)
+        for i, (new, size) in enumerate(zip(changed, pdf[size_col])):
+            if new:
+                used, batch = size, 0
+            elif used + size > budget:
+                used, batch = size, batch + 1
+            else:
+                used += size
+            numbers[i] = batch
+        last = tuple(None if pd.isna(v) else v for v in k.iloc[-1])
+        pdf["batch"] = numbers
+        yield pdf
+
+
 def pack_batches(
     df: DataFrame, size_col: str, budget: int, order_by: Sequence[str], keys: Sequence[str],
     rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Greedy batches per key: a row opens a new 0-based `batch` when it does not fit the budget.
 
-    Large inputs are packed in chunks: each chunk reports how it would end for every
-    distinct fill level of the batch it may receive, a fold over the chunk reports
-    yields the true fill levels, and the chunks are then numbered independently.
+    Keys that fit into one chunk are packed while reading sorted partitions. A key with more
+    rows than a chunk is packed chunk by chunk: each chunk reports how it would end for every
+    distinct fill level of the batch it may receive, a fold over the chunk reports yields the
+    true fill levels, and the chunks are then numbered independently.
     """
+    out_schema = T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])
+
+    def in_one_go(rows: DataFrame) -> DataFrame:
+        ordered = rows.repartition(*keys).sortWithinPartitions(*keys, *order_by)
+        return ordered.mapInPandas(lambda it: _pack_sorted(it, list(keys), size_col, budget), out_schema)
+
     base, chunks = with_chunks(df, order_by[0], rows_per_chunk)
+    if chunks == 1:
+        return in_one_go(df)
+    # at most (rows / rows_per_chunk) keys can be this large
+    large = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows_per_chunk)
+    if large.isEmpty():
+        return in_one_go(df)
+    split = _match(base, large.withColumn("_large", F.lit(True)).drop("_n"), keys)
+    short = split.filter(F.col("_large").isNull()).select(*df.columns)
+    long = split.filter(F.col("_large")).select(*df.columns, "_chunk")
+    return in_one_go(short).unionByName(_pack_chunks(long, df.schema, size_col, budget, order_by, keys))
+
+
+def _pack_chunks(
+    base: DataFrame, schema: T.StructType, size_col: str, budget: int, order_by: Sequence[str], keys: Sequence[str]
+) -> DataFrame:
+    """Packing of keys that span several chunks; `base` has the column `_chunk`."""
     part = [*keys, "_chunk"]
-    out_schema = T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])
-    names = df.columns
+    out_schema = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    names = schema.names
 
     def number(pdf: pd.DataFrame, room_used: int, opened: bool, first_batch: int) -> pd.DataFrame:
         pdf = pdf.sort_values(list(order_by), kind="stable")
@@ -204,10 +252,7 @@ def pack_batches(
         pdf["batch"] = np.cumsum(marks) + (first_batch if opened else first_batch - 1)
         return pdf[[*names, "batch"]]
 
-    if chunks == 1:
-        return df.groupBy(*keys).applyInPandas(lambda pdf: number(pdf, 0, False, 0), out_schema)
-
-    key_fields = [df.schema[k] for k in keys]
+    key_fields = [schema[k] for k in keys]
     report_schema = T.StructType([
         *key_fields, T.StructField("_chunk", T.IntegerType()), T.StructField("total", T.LongType()),
         *[T.StructField(n, T.ArrayType(T.LongType())) for n in ("fits", "opens", "left")],

@@ -544,7 +544,11 @@ def _(t):
     return filter_allowed(t.site_urls, robots_rules(t.robots)).select("id", "url")
 
 
-@query("url16_sitemap_frontier")
+@query(
+    "url16_sitemap_frontier",
+    """WITH d AS (SELECT host, url, id % 2 AS part, row_number() OVER (PARTITION BY host, id % 2 ORDER BY '<url><loc>' || url || '</loc></url>') - 1 AS pos FROM {site_urls}), r AS (SELECT *, dense_rank() OVER (PARTITION BY host ORDER BY part) + 1 AS doc_no FROM d),
+      n AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY doc_no, pos) AS rn FROM r) SELECT host, CAST(doc_no AS INTEGER) AS doc_no, CAST(pos AS INTEGER) AS pos, url FROM n WHERE rn <= 10000""",
+)
 def _(t):
     from leadloom.operators.frontier import robots_rules, sitemap_frontier
 

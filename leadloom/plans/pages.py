@@ -243,7 +243,14 @@ def _(t):
     return rows.select("page_id", P.fingerprint("body", headers).alias("f")).select("page_id", "f.*").drop("signals")
 
 
-@query("ht21_needs_rendering")
+PIECES = r"regexp_replace(regexp_replace(regexp_extract(html, '(?is)<body[^>]*>(.*)', 1), '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->|</?[a-z][^>]*>', chr(1), 'g'), '\s*\x01[\s\x01]*', '', 'g')"
+PLAIN = f"length(trim(replace(replace(replace(replace({PIECES}, '&amp;', '&'), '&copy;', 'c'), '&middot;', 'm'), '&nbsp;', ' ')))"
+
+
+@query(
+    "ht21_needs_rendering",
+    f"SELECT page_id, contains(url, '#/') OR contains(url, '#!/') OR length(html) < 2000 OR contains(lower(html), '<noscript>') OR {D.any_of('lower(html)', P.SPA_STRONG)} OR ({D.any_of('lower(html)', P.SPA_WEAK)} AND {PLAIN} < 500) OR {PLAIN} < 200 AS needs_js FROM pages",
+)
 def _(t):
     return P.needs_rendering(t.pages)
 
