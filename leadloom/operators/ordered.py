@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROWS_PER_CHUNK = 2_000_000
-MAX_CHUNKS = 512
+QUANTILES = 512
 # row_number() <= n is pre-filtered on the map side up to this n (engine default).
 GROUP_LIMIT = 999
 
@@ -65,20 +65,48 @@ def _search(col: Column, bounds: list, lo: int, hi: int) -> Column:
     )
 
 
+def _as_number(df: DataFrame, name: str, c: Column) -> Column:
+    """Order-preserving number of a date, time or numeric value (independent of the session time zone)."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        days = F.datediff(c, F.lit("1970-01-01").cast("date"))
+        return days * 86400.0 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+    if isinstance(kind, T.DateType):
+        return F.datediff(c, F.lit("1970-01-01").cast("date")).cast("double")
+    return c.cast("double")
+
+
 def with_chunks(df: DataFrame, order_col: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> tuple[DataFrame, int]:
     """Add `_chunk`, monotone in the order column; returns (df, number of chunks).
 
-    The cut points are at most MAX_CHUNKS approximate quantiles of one column, so the
-    result does not depend on how often or where the plan is re-evaluated.
+    The cut points are at most QUANTILES approximate quantiles of one column; where that is
+    too coarse, each range is cut into parts of equal width. They are literals, so the result
+    does not depend on how often or where the plan is re-evaluated.
     """
-    grid = [i / MAX_CHUNKS for i in range(1, MAX_CHUNKS)]
-    row = df.agg(F.count("*").alias("n"), F.percentile_approx(order_col, grid, 10_000).alias("q")).first()
-    chunks = min(MAX_CHUNKS, -(-row["n"] // rows_per_chunk))
-    if chunks <= 1:
+    c = F.col(order_col)
+    grid = [i / QUANTILES for i in range(1, QUANTILES)]
+    row = df.agg(
+        F.count("*").alias("n"), F.percentile_approx(order_col, grid, 10_000).alias("q"),
+        F.min(order_col).alias("lo"), F.max(order_col).alias("hi"),
+    ).first()
+    wanted = -(-row["n"] // rows_per_chunk)
+    if wanted <= 1 or row["lo"] is None:
         return df.withColumn("_chunk", F.lit(0)), 1
-    step = MAX_CHUNKS / chunks
-    bounds = sorted({row["q"][int(i * step) - 1] for i in range(1, chunks)})
-    return df.withColumn("_chunk", _search(F.col(order_col), bounds, 0, len(bounds))), len(bounds) + 1
+    ranges = min(QUANTILES, wanted)
+    bounds = sorted({row["q"][max(i * QUANTILES // ranges - 1, 0)] for i in range(1, ranges)})
+    # NULL sorts first
+    coarse = F.when(c.isNull(), F.lit(0)).otherwise(_search(c, bounds, 0, len(bounds)))
+    parts = -(-wanted // ranges)
+    out = df.withColumn("_chunk", coarse)
+    if parts > 1:
+        edges = F.array(*[_as_number(df, order_col, F.lit(v).cast(df.schema[order_col].dataType)) for v in [row["lo"], *bounds, row["hi"]]])
+        lo, hi = F.get(edges, F.col("_chunk")), F.get(edges, F.col("_chunk") + 1)
+        place = F.floor((_as_number(df, order_col, c) - lo) / F.nullif(hi - lo, F.lit(0.0)) * parts)
+        inside = F.least(F.greatest(F.coalesce(place, F.lit(0)), F.lit(0)), F.lit(parts - 1))
+        out = out.withColumn("_chunk", (F.col("_chunk") * parts + inside).cast("int"))
+    return out, (len(bounds) + 1) * parts
 
 
 def _match(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:

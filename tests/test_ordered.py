@@ -14,8 +14,9 @@ def skewed(n, seed):
     return rows
 
 
-@pytest.mark.parametrize("rows_per_chunk", [10_000, 60])
-def test_streaks_and_positions(spark, rows_per_chunk):
+@pytest.mark.parametrize("rows_per_chunk,quantiles", [(10_000, 512), (60, 512), (20, 4)])
+def test_streaks_and_positions(spark, monkeypatch, rows_per_chunk, quantiles):
+    monkeypatch.setattr(O, "QUANTILES", quantiles)
     rows = skewed(900, 1)
     df = spark.createDataFrame(rows, "k string, o long, items int, size long").repartition(5)
     got = {(r.k, r.o): (r.pages_processed, r.zero_streak) for r in O.zero_streak(df, ["k"], ["o"], "items", rows_per_chunk=rows_per_chunk).collect()}
@@ -75,3 +76,15 @@ def test_best_candidate_margin(spark):
     df = spark.createDataFrame([("j", "css", 3.0, 0), ("j", "ai", 3.0, 1), ("one", "css", 2.0, 0)], "j string, m string, s double, o int")
     got = {r.j: (r.best_method, r.best_score, r.margin) for r in O.best_candidate(df, "j", "m", F.col("s"), ["o"]).collect()}
     assert got == {"j": ("css", 3.0, 0.0), "one": ("css", 2.0, 2.0)}
+
+
+def test_chunks_follow_any_order_type(spark, monkeypatch):
+    monkeypatch.setattr(O, "QUANTILES", 4)
+    ids = spark.range(200).select(
+        F.when(F.col("id") > 5, F.col("id")).alias("n"), F.timestamp_seconds(F.col("id") * 977).alias("t"),
+        F.timestamp_seconds(F.col("id") * 977).cast("timestamp_ntz").alias("z"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("d"),
+    )
+    for c in ("n", "t", "z", "d"):
+        out, chunks = O.with_chunks(ids, c, 10)
+        rows = [r["_chunk"] for r in out.orderBy(c).select("_chunk").collect()]
+        assert rows == sorted(rows) and 15 <= chunks <= 20 and len(set(rows)) >= 15
