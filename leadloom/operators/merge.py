@@ -19,7 +19,7 @@ from leadloom.functions.text import (
 )
 from leadloom.operators.filters import PLACEHOLDER_RE, drop_sparse_columns
 from leadloom.operators.ordered import (
-    first_non_null, first_value_by, keep_first, last_non_null, last_value_by, order_key,
+    first_non_null, first_value_by, last_non_null, last_value_by, order_key,
 )
 from leadloom.schemas import COMPANY_ATTRIBUTES, TABLES
 

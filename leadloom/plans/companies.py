@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leadloom.functions import text as X
-from leadloom.functions.nested import MAP_SS
 from leadloom.operators import classify as C
 from leadloom.operators import dedup as DD
 from leadloom.operators import filters as FL
