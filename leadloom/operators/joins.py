@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.functions.nested import compact_api
+from leadloom.functions.nested import compact_api, distinct_join
 from leadloom.functions.text import _c, age_hours, drop_social_website, normalize_name, trim_ws
 from leadloom.functions.urls import domain_key, url_key
 from leadloom.operators.ordered import first_value_by, order_key, with_positions
@@ -66,7 +66,12 @@ def three_way_export(
     listing: DataFrame, detail: DataFrame, enrichment: DataFrame, key: str, organiser_id: str,
     social_domains: Sequence[str],
 ) -> DataFrame:
-    """Listing + detail + enrichment per slug; missing pages (404) drop out."""
+    """Listing + detail + enrichment per slug; missing pages (404) drop out.
+
+    Place lists (show_areas, halls, stands) come from the detail, else from the listing, each
+    value once; contact and event lists are joined as they are. Columns that no input has are
+    left out.
+    """
 
     d = detail.select(F.col(key).alias("_dk"), *[F.col(c).alias(f"_d_{c}") for c in detail.columns if c != key])
     e = enrichment.select(F.col(key).alias("_ek"), *[F.col(c).alias(f"_e_{c}") for c in enrichment.columns if c != key])
@@ -75,6 +80,17 @@ def three_way_export(
     own = F.coalesce(F.nullif(F.col("_d_linkedin"), F.lit("")), F.col("_e_linkedin_url"), F.lit(""))
     linkedin = F.when((own != "") & ~F.contains(own, F.lit(organiser_id)), own).otherwise(text("_e_linkedin_url"))
     alive = joined.filter(text("_d_error") != "404")
+    have = set(joined.columns)
+    lists = []
+    for c in ("show_areas", "halls", "stands"):
+        sources = [F.col(x) for x in (f"_d_{c}", c) if x in have]
+        if sources:
+            lists.append(F.coalesce(distinct_join(F.coalesce(*sources)), F.lit("")).alias(c))
+    for c, sep in (("emails", "; "), ("phones", "; "), ("events", " | ")):
+        if f"_d_{c}" in have:
+            lists.append(F.coalesce(F.array_join(f"_d_{c}", sep), F.lit("")).alias(c))
+    texts = [text(f"_d_{c}").alias(c) for c in ("instagram", "youtube", "facebook", "twitter", "logo_url") if f"_d_{c}" in have]
+    texts += [text("detail_url").alias("detail_url")] if "detail_url" in have else []
     return alive.select(
         F.col(key),
         F.coalesce(F.nullif(F.col("_d_name"), F.lit("")), F.col("name"), F.lit("")).alias("company_name"),
@@ -82,7 +98,8 @@ def three_way_export(
         drop_social_website(text("_d_website"), social_domains).alias("website"),
         linkedin.alias("linkedin"),
         text("_d_description").alias("description"),
-        *[text(f"_e_{c}").alias(c) for c in ("parent_group", "vertical", "sub_vertical", "org_size")],
+        *[text(f"_e_{c}").alias(c) for c in ("parent_group", "vertical", "sub_vertical", "org_size", "competitor_info") if f"_e_{c}" in have],
+        *lists, *texts,
     )
 
 

@@ -88,6 +88,30 @@ def _(t):
     return J.three_way_export(listing, detail, enrichment, "slug", "37122179", X.SOCIAL_DOMAINS)
 
 
+@query(
+    "jn6_three_way_export_lists",
+    """SELECT s_suppkey AS slug, CASE WHEN s_suppkey % 2 = 0 THEN 'H1; H2' ELSE 'L' || CAST(s_nationkey AS VARCHAR) END AS halls, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE s_name || '; ' || s_name END AS emails, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'Talk | Talk' END AS events,
+      CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'https://instagram.com/' || s_name END AS instagram, 'https://d/' || CAST(s_suppkey AS VARCHAR) AS detail_url, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE 'rival' END AS competitor_info FROM supplier""",
+)
+def _(t):
+    k, no_list = F.col("s_suppkey"), F.lit(None).cast("array<string>")
+    text = F.lit(None).cast("string")
+    base = t.supplier.withColumn("slug", k)
+    listing = base.select(
+        "slug", F.col("s_name").alias("name"), text.alias("country"), F.concat(F.lit("https://d/"), k).alias("detail_url"),
+        F.array(F.concat(F.lit("L"), "s_nationkey")).alias("halls"),
+    )
+    detail = base.filter(k % 3 != 0).select(
+        "slug", text.alias("name"), text.alias("country"), text.alias("website"), text.alias("linkedin"), text.alias("description"), text.alias("error"),
+        F.when(k % 2 == 0, F.array(F.lit("H1"), F.lit("H2"), F.lit("H1"))).otherwise(no_list).alias("halls"), F.array("s_name", "s_name").alias("emails"),
+        F.array(F.lit("Talk"), F.lit("Talk")).alias("events"), F.concat(F.lit("https://instagram.com/"), "s_name").alias("instagram"),
+    )
+    places = listing.withColumn("halls", F.when(F.col("slug") % 2 == 0, F.array(F.lit("H1"), F.lit("H2"))).otherwise(F.col("halls")))
+    enrichment = base.filter(k % 5 != 0).select("slug", text.alias("linkedin_url"), *[text.alias(c) for c in ("parent_group", "vertical", "sub_vertical", "org_size")], F.lit("rival").alias("competitor_info"))
+    out = J.three_way_export(places, detail, enrichment, "slug", "37122179", X.SOCIAL_DOMAINS)
+    return out.select("slug", "halls", "emails", "events", "instagram", "detail_url", "competitor_info")
+
+
 @query("jn7_left_enrich", "SELECT ord, CASE WHEN c_acctbal > 0 THEN c_mktsegment ELSE 'Fashion' END AS vertical, CASE WHEN c_acctbal > 0 THEN CAST(c_nationkey AS VARCHAR) ELSE '' END AS size FROM {leads} JOIN customer ON cust = c_custkey")
 def _(t):
     lookup = t.customer.filter("c_acctbal > 0").select(F.concat(F.lit(" "), F.lower("c_name")).alias("name"), F.col("c_mktsegment").alias("vertical"), F.col("c_nationkey").cast("string").alias("size"))
