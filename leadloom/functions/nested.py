@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions.text import (
-    _c, clean_str, is_blank, nullif_blank, truncate_text, trim_ws,
+    _c, clean_str, contains_any, is_blank, nullif_blank, truncate_text, trim_ws,
 )
 
 MAP_SS = "map<string,string>"
@@ -44,6 +44,13 @@ FIELD_ALIASES = {
 # Networks recognised in link lists.
 SOCIAL_PLATFORMS = ["linkedin", "facebook", "instagram", "twitter", "youtube", "tiktok"]
 
+# Hosts per network, and links that are no website.
+SOCIAL_HOSTS = {
+    "instagram": ["instagram.com"], "youtube": ["youtube.com"], "linkedin": ["linkedin.com"],
+    "facebook": ["facebook.com"], "twitter": ["twitter.com", "x.com"],
+}
+NO_WEBSITE_MARKS = ["mailto:", "maps.app.goo", "tel:"]
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Expression over a value that is computed once per row."""
@@ -353,19 +360,24 @@ def social_links_map(arr: Column | str) -> Column:
     return map_from_entries_last(F.filter(F.transform(_c(arr), entry), lambda e: e["key"].isNotNull()))
 
 
-def route_social_hosts(urls: Column | str, own_host: str) -> Column:
-    """array<url> -> map of network or 'website' by host; the organiser's own links are skipped."""
-    hosts = {
-        "instagram": ["instagram.com"], "youtube": ["youtube.com"], "linkedin": ["linkedin.com"],
-        "facebook": ["facebook.com"], "twitter": ["twitter.com", "x.com"],
-    }
+def route_social_hosts(urls: Column | str, own_host: str, external: Column | None = None) -> Column:
+    """array<url> -> map of network or 'website' by host; the organiser's own links are skipped.
 
+    Without a website among the links the first usable `external` link serves as one.
+    """
     def entry(u: Column) -> Column:
-        key = F.coalesce(*[F.when(F.contains(u, F.lit(h)), F.lit(k)) for k, hs in hosts.items() for h in hs],
-                         F.when(~F.contains(u, F.lit(own_host)) & ~F.contains(u, F.lit("mailto:")), F.lit("website")))
-        return F.struct(key.alias("key"), u.alias("value"))
-
-    return map_from_entries_last(F.filter(F.transform(_c(urls), entry), lambda e: e["key"].isNotNull()))
+        network = [F.when(F.contains(u, F.lit(h)), F.lit(k)) for k, hs in SOCIAL_HOSTS.items() for h in hs]
+        other = F.when(~F.contains(u, F.lit(own_host)) & ~F.contains(u, F.lit("mailto:")), F.lit("website"))
+        return F.struct(F.coalesce(*network, other).alias("key"), u.alias("value"))
+
+    found = map_from_entries_last(F.filter(F.transform(_c(urls), entry), lambda e: e["key"].isNotNull()))
+    if external is None:
+        return found
+    banned = [own_host, *[h for hs in SOCIAL_HOSTS.values() for h in hs], *NO_WEBSITE_MARKS]
+    spare = F.get(F.filter(external, lambda u: F.startswith(u, F.lit("http")) & ~contains_any(u, banned)), F.lit(0))
+    return let(found, lambda m: F.when(
+        F.map_contains_key(m, "website") | spare.isNull(), m
+    ).otherwise(F.map_concat(m, F.create_map(F.lit("website"), spare))))
 
 
 def pick_first_where(arr: Column | str, pred: Callable[[Column], Column]) -> Column:

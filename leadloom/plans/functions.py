@@ -368,6 +368,20 @@ def _(t):
     return t.customer.select(F.col("c_custkey").alias("id"), N.map_to_text(N.social_links_map(arr)).alias("links"))
 
 
+@query(
+    "js13_route_social_hosts",
+    """SELECT c_custkey AS id, 'instagram=https://instagram.com/' || CAST(c_custkey AS VARCHAR) || CASE WHEN c_custkey % 4 = 1 THEN '|twitter=https://x.com/t' ELSE '' END || CASE WHEN c_custkey % 2 = 0 THEN '|website=https://own' || CAST(c_custkey AS VARCHAR) || '.example.org' ELSE '|website=https://ext.example.org/' || CAST(c_custkey AS VARCHAR) END AS links FROM customer""",
+)
+def _(t):
+    k = F.col("c_custkey")
+    urls = F.array(
+        F.lit("https://instagram.com/old"), F.when(k % 4 == 1, F.lit("https://x.com/t")).otherwise(F.lit("mailto:a@b.de")),
+        F.concat(F.lit("https://instagram.com/"), k), F.when(k % 2 == 0, F.concat(F.lit("https://own"), k, F.lit(".example.org"))).otherwise(F.lit("https://fair.example.com/e")),
+    )
+    external = F.array(F.lit("tel:1"), F.lit("https://maps.app.goo.gl/1"), F.lit("https://www.facebook.com/z"), F.concat(F.lit("https://ext.example.org/"), k), F.lit("https://late.example.org"))
+    return t.customer.select(k.alias("id"), N.map_to_text(N.route_social_hosts(urls, "fair.example.com", external)).alias("links"))
+
+
 @query("js14_pick_first_where", "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'u' || CAST(c_custkey AS VARCHAR) END AS logo FROM customer")
 def _(t):
     img = lambda i, u: F.struct(i.alias("identifier"), u.alias("url"))

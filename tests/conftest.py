@@ -14,7 +14,7 @@ from leadloom.session import build_session, ship_package  # noqa: E402
 def spark():
     s = build_session(
         "tests", "local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+        **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
            "spark.driver.memory": "8g"},
     )
     s.sparkContext.setLogLevel("ERROR")
