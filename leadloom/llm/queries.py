@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.llm import exact_dedup, pii, secrets, urlfilter
+from leadloom.llm import exact_dedup, pii, secrets, simhash, urlfilter
 from leadloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_simhash_groups")
+def op1(spark, folder):
+    return simhash.near_groups(table(spark, folder, "documents"))
+
+
 @query(
     "op4_exact_dedup",
     """
