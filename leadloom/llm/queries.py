@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.llm import exact_dedup, pii, secrets, simhash, urlfilter
+from leadloom.llm import exact_dedup, pii, secrets, simhash, toxicity, urlfilter
 from leadloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,11 @@ def op8(spark, folder):
     return urlfilter.judge_urls(table(spark, folder, "pages"))
 
 
+@query("op9_toxicity")
+def op9(spark, folder):
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op10_personal_data")
 def op10(spark, folder):
     return pii.personal_data_report(table(spark, folder, "documents"))
