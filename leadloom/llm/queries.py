@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leadloom.llm import exact_dedup, pii, secrets, simhash, toxicity, urlfilter
+from leadloom.llm import exact_dedup, pii, secrets, simhash, topk, toxicity, urlfilter
 from leadloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +50,26 @@ def op4(spark, folder):
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
 
 
+@query(
+    "op5_top_k",
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    s AS (
+        SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+        FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+    )
+    SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+    WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+    """,
+)
+def op5(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 @query("op6_secret_scan")
 def op6(spark, folder):
     return secrets.secret_report(table(spark, folder, "documents"))

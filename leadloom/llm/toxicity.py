@@ -1,5 +1,8 @@
 """Toxicity: logistic regression by FTRL-proximal over hashed word n-grams and skip-grams.
 
+Features are the distinct words, their five-letter stems (word forms that a small sample has not seen), word
+pairs and pairs with one word between.
+
 The model is fitted on a bounded sample of labelled rows (`sample_rows` of each class at most, those with the
 smallest hash of their id; longer texts enter whole). Each pass visits the sample in a fixed order with
 per-coordinate learning rates; L1 keeps most weights at exactly zero, so that what is broadcast is the list of
@@ -21,9 +24,10 @@ from leadloom.llm.common import small_batches
 from leadloom.llm.simhash import word_blocks
 
 #: Hashed feature space; rows of each class that the fit may take; passes over them.
-BITS, SAMPLE_ROWS, PASSES = 18, 3_000, 4
-#: Learning rates and penalties.
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.5, 1.0
+BITS, SAMPLE_ROWS, PASSES = 18, 6_000, 4
+#: Learning rates and penalties; the rarer class weighs as the square root of the classes' ratio says.
+ALPHA, BETA, L1, L2, BALANCE = 1.0, 1.0, 12.0, 1.0, 0.5
+STEM = 5
 #: A row is for learning if crc32 of its id as text is not divisible by FOLDS.
 FOLDS = 5
 
@@ -32,23 +36,25 @@ _ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(
 
 
 class Words(dict):
-    """Hash of a word without marks at its ends; kept for words seen before, up to a bound."""
+    """Hashes of a word without marks at its ends and of its stem; kept for words seen before, up to a bound."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> tuple[int, int]:
         if len(self) > 200_000:
             self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word.strip(_EDGE), 11)
-        return h
+        bare = word.strip(_EDGE)
+        stem = bare.decode("utf-8", "replace")[:STEM].encode()
+        self[word] = pair = (xxhash.xxh64_intdigest(bare, 11), xxhash.xxh64_intdigest(stem, 12))
+        return pair
 
 
 def features(text: bytes, words: Words) -> np.ndarray:
-    """Distinct slots of the text's words, word pairs and pairs with one word between."""
+    """Distinct slots of the text's words, stems, word pairs and pairs with one word between."""
     found, carry = [], np.empty(0, np.uint64)
     shift = np.uint64(64 - BITS)
     for block in word_blocks(text):
-        new = np.fromiter(map(words.__getitem__, block), np.uint64, len(block))
-        h = np.concatenate([carry, new])
-        found.append(np.unique(new * _ODD[0] >> shift))
+        both = np.array([words[w] for w in block], np.uint64).reshape(-1, 2)
+        h = np.concatenate([carry, both[:, 0]])
+        found.append(np.unique(both.ravel() * _ODD[0] >> shift))
         for gap in (1, 2):
             if len(h) > gap:
                 found.append(np.unique((h[:-gap] * _ODD[gap] + h[gap:] * _ODD[0]) * _ODD[3 - gap] >> shift))
@@ -75,8 +81,7 @@ def _probability(margin: float) -> float:
 
 
 def fit_rows(rows: list[tuple[np.ndarray, int]], passes: int = PASSES) -> Model:
-    """FTRL-proximal over (slots, label) rows in the order given. A row's features share a length of one
-    on the scale of the square root of their number, so that long texts don't outweigh short ones."""
+    """FTRL-proximal over (slots, label) rows in the order given."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     bias_z = bias_n = 0.0
 
@@ -88,13 +93,12 @@ def fit_rows(rows: list[tuple[np.ndarray, int]], passes: int = PASSES) -> Model:
     zeros = len(rows) - ones
     for _ in range(passes):
         for slots, y in rows:
-            scale = 1.0 / np.sqrt(max(1, len(slots)))
             w = weights(slots)
             bias = -bias_z / ((BETA + np.sqrt(bias_n)) / ALPHA)
-            error = _probability(bias + scale * SHARP * w.sum()) - y
-            if ones and zeros:  # both classes weigh the same
-                error *= len(rows) / (2.0 * (ones if y else zeros))
-            g = error * scale * SHARP
+            error = _probability(bias + w.sum()) - y
+            if ones and zeros:
+                error *= (len(rows) / (2.0 * (ones if y else zeros))) ** BALANCE
+            g = error
             sigma = (np.sqrt(n[slots] + g * g) - np.sqrt(n[slots])) / ALPHA
             z[slots] += g - sigma * w
             n[slots] += g * g
@@ -107,10 +111,6 @@ def fit_rows(rows: list[tuple[np.ndarray, int]], passes: int = PASSES) -> Model:
     return Model(kept, w[kept], float(-bias_z / ((BETA + np.sqrt(bias_n)) / ALPHA)))
 
 
-#: Length of a row's feature vector.
-SHARP = 4.0
-
-
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
@@ -156,7 +156,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
             out = []
             for t in texts:
                 slots = features(t, words)
-                out.append(_probability(own.intercept + SHARP * w[slots].sum() / np.sqrt(max(1, len(slots)))))
+                out.append(_probability(own.intercept + w[slots].sum()))
             yield pd.Series(out, dtype="float64")
 
     return run(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
