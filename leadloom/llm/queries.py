@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import exact_dedup, packing, pii, secrets, simhash, topk, toxicity, urlfilter
+from leadloom.llm import bpe, exact_dedup, packing, pii, secrets, simhash, topk, toxicity, urlfilter
 from leadloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,13 @@ def op1(spark, folder):
     return simhash.near_groups(table(spark, folder, "documents"))
 
 
+@query("op2_bpe_round_trip")
+def op2(spark, folder):
+    import public_tokenizers as given
+
+    return bpe.encode_documents(table(spark, folder, "documents"), given.path("byte_bpe_50k.json"), given.PATTERN, with_ids=False)
+
+
 @query("op3_best_fit_packing")
 def op3(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"))
