@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import bpe, exact_dedup, packing, pii, secrets, simhash, topk, toxicity, urlfilter
+from leadloom.llm import bpe, exact_dedup, packing, pii, secrets, simhash, suffix, topk, toxicity, urlfilter
 from leadloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,11 @@ def op6(spark, folder):
     return secrets.secret_report(table(spark, folder, "documents"))
 
 
+@query("op7_suffix_dedup")
+def op7(spark, folder):
+    return suffix.remove_repeats(table(spark, folder, "documents"), with_text=False)
+
+
 @query(
     "op8_url_filter",
     """
