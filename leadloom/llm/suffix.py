@@ -9,8 +9,10 @@ stands for and a digest of the bytes they span. Anchors meet by hash, sorted, so
   in one batch are folded before the shuffle);
 * a hash with one digest is done;
 * where digests differ, one context of each is fetched, and the contexts of a hash are sorted by their
-  suffixes. Suffixes that share `least` bytes stand together in the suffix array; all but the earliest start
-  of such a class are covered.
+  suffixes. The text sorted is that of 16-byte symbols, cut at the same distance from the anchor in every
+  context, so that it is short. Strings of `least` bytes that are equal share the whole symbols inside them;
+  suffixes with that many symbols in common stand together in the suffix array, and their strings are
+  compared byte by byte. All but the earliest start are covered.
 
 The suffix array is built by linear grouping: suffixes are grouped by their Lyndon prefix; groups are processed
 in descending order, each moving the previous smaller suffixes of its members behind their old groups; then
@@ -21,7 +23,7 @@ so many contexts that one task should not sort them is resolved by grouping its
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,10 @@ from leadloom.llm.common import small_batches, stored
 
 #: Bytes of a string that counts as a repeat, of the k-gram that anchors it.
 LEAST, GRAM = 100, 32
-#: Contexts of one hash that are sorted together; more are grouped string by string. Bytes of a sorted block.
-TOGETHER, BLOCK = 256, 1 << 14
+#: Contexts of one hash that are sorted together; more are grouped string by string. Bytes of a sorted block, of a symbol.
+TOGETHER, BLOCK, SYMBOL = 256, 1 << 16, 16
+#: An anchor's record packs its distance from the first string start above the number of starts.
+PACK = 1 << 12
 #: Bytes of a document that are hashed at once.
 SEGMENT = 1 << 19
 
@@ -43,51 +47,66 @@ _ODD = 0x9E3779B97F4A7C15
 _LATE = (1 << 63) - 1
 
 
-def suffix_array(s: bytes) -> list[int]:
-    """Starts of all suffixes in lexicographic order, by linear grouping."""
+def suffix_array(s: Sequence[int], symbols: int = 256) -> list[int]:
+    """Starts of all suffixes in lexicographic order, by linear grouping; symbols are 0 .. `symbols` - 1."""
     n = len(s)
     if not n:
         return []
-    # groups in a list from low to high; first by one byte
-    members: list[dict[int, None]] = [{} for _ in range(256)]
+    # groups in a list from low to high; first by one symbol
+    members: list[dict[int, None]] = [{} for _ in range(symbols)]
     group = list(s)
     for i, c in enumerate(s):
         members[c][i] = None
-    below, above = list(range(-1, 255)), list(range(1, 257))
-    above[255] = -1
+    below, above = list(range(-1, symbols - 1)), list(range(1, symbols + 1))
+    above[-1] = -1
     before = [-1] * n  # previous smaller suffix
     done = bytearray(n)
-    g = 255
+
+    def behind(old: int, moved: list[int]) -> None:
+        """Move suffixes of a group into a new one right above it."""
+        own = members[old]
+        if len(moved) == len(own):
+            return  # all of the group: its place stays
+        new, up = len(members), above[old]
+        members.append(dict.fromkeys(moved))
+        for j in moved:
+            del own[j]
+            group[j] = new
+        below.append(old)
+        above.append(up)
+        above[old] = new
+        if up >= 0:
+            below[up] = new
+
+    g = symbols - 1
     while g >= 0:
-        # a group is done when its members point behind it; ascending, so that pointers inside it are there
-        own = sorted(members[g])
-        pointed: dict[int, int] = {}
-        for i in own:
+        own = members[g]
+        if len(own) == 1:
+            (i,) = own
             j = i - 1
             while j >= 0 and done[j]:
                 j = before[j]
             before[i] = j
             done[i] = 1
             if j >= 0:
-                pointed[j] = pointed.get(j, 0) + 1
-        if pointed:
+                behind(group[j], [j])
+        elif own:
+            # ascending, so that pointers inside the group are there
+            pointed: dict[int, int] = {}
+            for i in sorted(own):
+                j = i - 1
+                while j >= 0 and done[j]:
+                    j = before[j]
+                before[i] = j
+                done[i] = 1
+                if j >= 0:
+                    pointed[j] = pointed.get(j, 0) + 1
             by: dict[int, dict[int, list[int]]] = {}
             for j, k in pointed.items():
                 by.setdefault(k, {}).setdefault(group[j], []).append(j)
             for k in sorted(by, reverse=True):  # more repeats behind fewer
                 for old, moved in by[k].items():
-                    if len(moved) == len(members[old]):
-                        continue  # all of the group: its place stays
-                    new = len(members)
-                    members.append(dict.fromkeys(moved))
-                    for j in moved:
-                        del members[old][j]
-                        group[j] = new
-                    up = above[old]
-                    below.append(old), above.append(up)
-                    above[old] = new
-                    if up >= 0:
-                        below[up] = new
+                    behind(old, moved)
         g = below[g]
     at, free, g = 0, [0] * len(members), 0
     while g >= 0:
@@ -112,7 +131,8 @@ def suffix_array(s: bytes) -> list[int]:
 
 
 def anchors(data: bytes, least: int = LEAST, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(hash, start, n) per segment: `n` starts of strings from `start` on share the anchor with this hash."""
+    """(hash, start, packed) per segment: n starts of strings from `start` on share the anchor with this hash,
+    which is `far` bytes behind `start`; packed is far * PACK + n."""
     window = least - gram + 1
     for base in range(0, max(0, len(data) - least + 1), SEGMENT):
         part = np.frombuffer(data, np.uint8, min(len(data) - base, SEGMENT + least - 1), base)
@@ -131,39 +151,51 @@ def anchors(data: bytes, least: int = LEAST, gram: int = GRAM) -> Iterator[tuple
             low = np.minimum(low[: len(low) - (width - size)], low[width - size :])
         at = (low & np.uint64(0xFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        yield h[at[first]].view(np.int64), first + base, np.diff(np.r_[first, len(at)])
+        yield h[at[first]].view(np.int64), first + base, np.diff(np.r_[first, len(at)]) + (at[first] - first) * PACK
 
 
-def covered_starts(contexts: list[tuple[tuple, int, bytes]], least: int = LEAST) -> Iterator[tuple[int, int]]:
+def covered_starts(contexts: list[tuple[tuple, int, bytes, int]], least: int = LEAST, symbol: int = SYMBOL) -> Iterator[tuple[int, int]]:
     """(context, offset) of all strings of the contexts that also start earlier in one of them.
 
-    A context is (document, start in it, bytes); documents and starts say what is earlier."""
-    text = b"".join(c[2] for c in contexts)
-    sizes = np.array([len(c[2]) for c in contexts])
-    of = np.repeat(np.arange(len(contexts)), sizes)
-    begin = np.cumsum(np.r_[0, sizes[:-1]])
-    inside = np.arange(len(text)) - begin[of]
-    fits = (inside + least <= sizes[of]).tolist()
-    of, inside = of.tolist(), inside.tolist()
-
-    def later(same: list[int]) -> Iterator[tuple[int, int]]:
-        keys = [(contexts[of[i]][0], contexts[of[i]][1] + inside[i]) for i in same]
-        first = min(keys)
-        return ((of[i], inside[i]) for i, k in zip(same, keys) if k != first)
+    A context is (document, start in it, bytes, distance of its anchor); documents and starts say what is
+    earlier. Equal strings have their anchor at the same place."""
+    symbol = max(1, min(symbol, least // 4))
+    shared = (least - symbol + 1) // symbol  # whole symbols inside any string
+    parts, of, at, left = [], [], [], []
+    for c, (_, _, data, far) in enumerate(contexts):
+        first = far % symbol
+        k = (len(data) - first) // symbol
+        parts.append(data[first : first + k * symbol])
+        of += [c] * k
+        at += range(first, first + k * symbol, symbol)
+        left += range(k, 0, -1)
+    kinds, text = np.unique(np.frombuffer(b"".join(parts), f"S{symbol}"), return_inverse=True)
+    text = text.tolist()
+
+    def compared(same: list[int]) -> Iterator[tuple[int, int]]:
+        met: dict[bytes, list[tuple]] = {}
+        for i in same:
+            doc, start, data, _ = contexts[of[i]]
+            for a in range(max(0, at[i] - symbol + 1), min(at[i], len(data) - least) + 1):
+                met.setdefault(data[a : a + least], []).append((doc, start + a, of[i], a))
+        for places in met.values():
+            if len(places) > 1:
+                first = min(places)[:2]
+                yield from (p[2:] for p in places if p[:2] != first)
 
     same: list[int] = []
     last = None
-    for i in suffix_array(text):
-        if not fits[i]:
+    for i in suffix_array(text, len(kinds)):
+        if left[i] < shared:
             continue
-        string = text[i : i + least]
+        string = text[i : i + shared]
         if string != last:
             if len(same) > 1:
-                yield from later(same)
+                yield from compared(same)
             same, last = [], string
         same.append(i)
     if len(same) > 1:
-        yield from later(same)
+        yield from compared(same)
 
 
 def _merged(starts: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -195,7 +227,7 @@ def _records(least: int, gram: int):
             for doc, key, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 data = cell.as_py()
                 for h, start, n in anchors(data, least, gram):
-                    digest = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(start.tolist(), (start + n + (least - 1)).tolist())), np.uint64, len(start)).view(np.int64)
+                    digest = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(start.tolist(), (start + n % PACK + (least - 1)).tolist())), np.uint64, len(start)).view(np.int64)
                     parts.append((h, digest, np.full(len(h), doc), np.full(len(h), key), start, n))
             if not parts:
                 continue
@@ -209,7 +241,7 @@ def _records(least: int, gram: int):
             if copy.any():
                 order = np.lexsort((s[copy], t[copy], d[copy]))
                 d, t, s, n = (x[copy][order] for x in (d, t, s, n))
-                stop = s + n + (least - 1)
+                stop = s + n % PACK + (least - 1)
                 new = np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (s[1:] > stop[:-1])]
                 cut = np.flatnonzero(new)
                 end = np.maximum.reduceat(stop, cut)
@@ -239,7 +271,7 @@ def _resolved(least: int):
             at = np.flatnonzero(first)[np.cumsum(first) - 1]
             copy = ~first & ((d != d[at]) | (t != t[at]) | (s != s[at]))
             if copy.any():
-                yield _batch(_FOUND, h[copy], d[copy], t[copy], s[copy], -(n[copy] + (least - 1)))
+                yield _batch(_FOUND, h[copy], d[copy], t[copy], s[copy], -(n[copy] % PACK + (least - 1)))
             reps = np.flatnonzero(first)
             run_of = np.cumsum(head)[reps] - 1
             many = np.bincount(run_of)[run_of] > 1
@@ -257,7 +289,7 @@ def _resolved(least: int):
 
 def _contexts(least: int):
     """Bytes of the contexts of a document; those of large groups as digests of each string."""
-    ddl = "whole byte, k1 long, k2 long, doc long, text_key long, start long, bytes binary"
+    ddl = "whole byte, k1 long, k2 long, doc long, text_key long, start long, far long, bytes binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,12 +297,13 @@ def _contexts(least: int):
             for doc, key, cell, asks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 data = cell.as_py()
                 for a in asks:
+                    far, n = divmod(a["n"], PACK)
                     if a["large"]:
-                        for i in range(a["start"], a["start"] + a["n"]):
+                        for i in range(a["start"], a["start"] + n):
                             x = xxhash.xxh3_128_intdigest(data[i : i + least])
-                            rows.append((0, (x >> 64) - (1 << 63), (x & (2**64 - 1)) - (1 << 63), doc, key, i, b""))
+                            rows.append((0, (x >> 64) - (1 << 63), (x & (2**64 - 1)) - (1 << 63), doc, key, i, 0, b""))
                     else:
-                        rows.append((1, a["hash"], 0, doc, key, a["start"], data[a["start"] : a["start"] + a["n"] + least - 1]))
+                        rows.append((1, a["hash"], 0, doc, key, a["start"], far, data[a["start"] : a["start"] + n + least - 1]))
                 if len(rows) > 20_000:
                     yield _batch(ddl, *zip(*rows))
                     rows = []
@@ -283,7 +316,7 @@ def _contexts(least: int):
 def _sorted_out(least: int, block: int):
     """Contexts sorted by hash, in blocks of whole hashes: intervals that the suffix array finds covered."""
     def solve(group: list[tuple]) -> Iterator[pa.RecordBatch]:
-        contexts = [((doc, key), start, data) for _, doc, key, start, data in group]
+        contexts = [((doc, key), start, data, far) for _, doc, key, start, far, data in group]
         hit: dict[int, list[int]] = {}
         for c, off in covered_starts(contexts, least):
             hit.setdefault(c, []).append(contexts[c][1] + off)
@@ -300,7 +333,7 @@ def _sorted_out(least: int, block: int):
                     yield from solve(done)
                     done, size = [], 0
                 done.append(row)
-                size += len(row[4])
+                size += len(row[5])
         if done:
             yield from solve(done)
 
@@ -320,7 +353,7 @@ def repeated_intervals(rows: DataFrame, least: int = LEAST, gram: int = GRAM, to
     asks = asked.join(large, "hash").groupBy("doc", "text_key").agg(F.collect_list(F.struct("hash", "start", "n", "large")).alias("asks"))  # bounded by the document's length
     fetch, ddl = _contexts(least)
     contexts = stored(rows.join(asks.hint("shuffle_hash"), ["doc", "text_key"]).select("doc", "text_key", "data", "asks").mapInArrow(fetch, ddl.replace("byte,", "tinyint,")), "contexts")
-    small = contexts.filter("whole = 1").select("k1", "doc", "text_key", "start", "bytes").distinct()
+    small = contexts.filter("whole = 1").select("k1", "doc", "text_key", "start", "far", "bytes").distinct()
     by_suffix = small.repartition("k1").sortWithinPartitions("k1", "doc", "text_key", "start").mapInArrow(_sorted_out(least, block), _FOUND)
     strings = contexts.filter("whole = 0").select("k1", "k2", F.struct("doc", "text_key", "start").alias("at"))
     earliest = strings.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.count("*").alias("times")).filter("times > 1")

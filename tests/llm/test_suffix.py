@@ -15,6 +15,9 @@ def test_suffix_array_equals_sorting():
     cases += [bytes(rnd.choice(b"abcdefgh ") for _ in range(40)) * 7, b"ab" * 100 + b"aab" * 50]
     for s in cases:
         assert S.suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:]), s
+    for k in (3, 40):
+        s = [rnd.randrange(k) for _ in range(500)]
+        assert S.suffix_array(s, k) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
 def brute(rows, least):
@@ -71,7 +74,7 @@ def test_segments_batches_nulls_and_repeats(spark):
     try:
         rows = corpus(5)
         contexts = {i: (t or "").encode() for i, t in rows}
-        starts = {i: sorted(x for h, s, n in S.anchors(d) for a, k in zip(s.tolist(), n.tolist()) for x in range(a, a + k)) for i, d in contexts.items()}
+        starts = {i: sorted(x for h, s, n in S.anchors(d) for a, k in zip(s.tolist(), (n % S.PACK).tolist()) for x in range(a, a + k)) for i, d in contexts.items()}
         assert all(starts[i] == list(range(max(0, len(d) - 99))) for i, d in contexts.items())
     finally:
         S.SEGMENT = old
