@@ -30,7 +30,7 @@ from leadloom.llm.components import components
 
 #: The contract's fingerprint: words per shingle, seed of XXH64, largest distance of a link.
 WORDS, SEED, MAX_DISTANCE = 3, 42, 3
-#: The trees are fitted on so many fingerprints at most (the ones with the smallest hash), for leaves of about so many rows.
+#: The trees are fitted on about so many fingerprints (a share of the hash range), for leaves of about so many rows.
 SAMPLE_ROWS, LEAF_ROWS = 16_384, 2_000
 #: A leaf with more rows is split by a salt.
 LEAF_MOST = 200_000
@@ -227,8 +227,10 @@ def near_links(nodes: DataFrame, route_bytes: int, reach: int, far: int, sample_
     spark = nodes.sparkSession
     blocks = route_bytes // 4
     count = nodes.count()
-    sample = nodes.orderBy(F.xxhash64("node", F.lit(1))).select("route").limit(sample_rows).toPandas()["route"]
-    values = np.frombuffer(b"".join(map(bytes, sample)), ">u4").astype(np.uint32).reshape(-1, blocks)
+    # a share of the hash range that holds about sample_rows nodes
+    share = int(min(1.0, sample_rows / max(1, count)) * (1 << 31))
+    sample = nodes.filter(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 31)) < share).select("route").collect()
+    values = np.frombuffer(b"".join(bytes(r.route) for r in sample), ">u4").astype(np.uint32).reshape(-1, blocks)
     leaves = int(min(max(1, math.ceil(count / leaf_rows)), sample_rows // 4))
     trees = [Tree.fit(values[:, b], reach, leaves) for b in range(blocks)]
     first = np.cumsum([0, *[t.leaves for t in trees]])

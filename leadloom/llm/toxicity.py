@@ -3,8 +3,8 @@
 Features are the distinct words, their five-letter stems (word forms that a small sample has not seen), word
 pairs and pairs with one word between.
 
-The model is fitted on a bounded sample of labelled rows (`sample_rows` of each class at most, those with the
-smallest hash of their id; longer texts enter whole). Each pass visits the sample in a fixed order with
+The model is fitted on a bounded sample of labelled rows (about `sample_rows` of each class, by a share of the
+range of their ids' hashes; texts enter whole). Each pass visits the sample in a fixed order with
 per-coordinate learning rates; L1 keeps most weights at exactly zero, so that what is broadcast is the list of
 the others, bounded by 2 ** BITS. Scoring runs over whole texts in the tasks that read them, without a shuffle.
 """
@@ -120,8 +120,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     where the rows are read; the sampled ones meet in one task, which is bounded by the sample."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1)").filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     order = F.xxhash64("id", F.lit(17))
-    chosen = [known.filter(F.col("y") == y).orderBy(order, "id").limit(sample_rows) for y in (0, 1)]
-    sample = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * sample_rows rows at most
+    # a share of the hash range that holds about sample_rows rows of the class
+    sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    share = {y: int(min(1.0, sample_rows / max(1, sizes.get(y, 0))) * (1 << 31)) for y in (0, 1)}
+    sample = F.broadcast(known.filter(F.pmod(order, F.lit(1 << 31)) < F.when(F.col("y") == 1, share[1]).otherwise(share[0])))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     rows = texts.join(sample, "id").select("id", "y", "text", order.alias("at"))
 
