@@ -50,37 +50,32 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     or repeat: null ids lose to others, a group of null ids has keep_id null; of rows that repeat the kept id,
     one is kept. An empty table gives an empty one; other columns are left out.
     """
-    # the number of a row in its file split settles rows that repeat id and text; it is the same in every scan
-    rows = id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()).withColumn("content", content(F.col("text")))
-    best = F.max(F.struct("doc_id", "row")) if largest else F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    pick = lambda name: F.col(f"best.{name}")
-    groups = rows.groupBy("content").agg(F.count("*").alias("n"), best.alias("best")).select("content", "n", pick("doc_id").alias("keep_id"), pick("row").alias("keep_row"))
-    shared = stored(groups.filter("n > 1"), "groups")
-    maybe = rows.filter(_maybe(F.col("content"), _bitmap(shared, bitmap_bits)))
-    members = maybe.join(shared, "content")
-    kept_text = members.filter(F.col("row") == F.col("keep_row")).select("content", F.col("text").alias("kept_text"))
-    other = members.join(kept_text, "content").filter(F.col("text") != F.col("kept_text")).select("content", "doc_id", "row", "text")
+    text = id_and_text(docs, id_col, text_col).withColumn("content", content(F.col("text"))).withColumn("text_sha256", hex_sha256(F.col("text")))
+    # hashes of all rows, stored once; the number of a row there settles rows that repeat id and text
+    light = stored(text.drop("text"), "hashes").withColumn("row", F.monotonically_increasing_id())
+    best = F.max(F.struct("doc_id", "row", "text_sha256")) if largest else F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "text_sha256"))
+    kept = [F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), F.col("best.text_sha256").alias("keep_sha")]
+    groups = light.groupBy("content").agg(F.count("*").alias("n"), best.alias("best")).filter("n > 1")
+    shared = stored(groups.select("content", "n", *kept), "groups")
+    maybe = text.filter(_maybe(F.col("content"), _bitmap(shared, bitmap_bits)))
+    members = maybe.join(shared, "content").select("content", "text", (F.col("text_sha256") == F.col("keep_sha")).alias("named"))
+    # copies are folded where they are read: what meets is each text of a group once per task
+    texts = members.groupBy("content", "text").agg(F.max("named").alias("named"))
+    kept_text = texts.filter("named").groupBy("content").agg(F.min("text").alias("kept_text"))
     # texts that share the hash of others without being equal: none but for a collision
-    others = stored(other, "collisions")
-    fixed = others.groupBy("content", "text").agg(F.count("*").alias("n2"), best.alias("best")).select("content", "text", "n2", pick("doc_id").alias("keep2"), pick("row").alias("row2"))
-    fix = others.join(fixed, ["content", "text"]).select("row", "n2", "keep2", "row2")
-    fewer = others.groupBy("content").agg(F.count("*").alias("apart"))
-    light = rows.select("doc_id", "row", "content", hex_sha256(F.col("text")).alias("text_sha256"))
-    sized = light.join(shared.join(fewer, "content", "left"), "content", "left").join(fix, "row", "left")
-    alone = F.col("n").isNull()
-    keep_id = F.when(F.col("n2").isNotNull(), F.col("keep2")).when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
-    keep_row = F.when(F.col("n2").isNotNull(), F.col("row2")).when(alone, F.col("row")).otherwise(F.col("keep_row"))
-    size = F.coalesce("n2", F.col("n") - F.coalesce("apart", F.lit(0)), F.lit(1))
-    return sized.select("doc_id", keep_id.alias("keep_id"), size.cast("long").alias("group_size"), (keep_row == F.col("row")).alias("kept"), "text_sha256")
+    collided = stored(texts.join(kept_text, "content").filter("text <> kept_text").select("content").distinct(), "collisions")
+    apart = light.join(collided, "content", "left_semi").groupBy("content", "text_sha256").agg(F.count("*").alias("n2"), best.alias("best"))
+    apart = apart.select("content", "text_sha256", "n2", F.col("best.doc_id").alias("keep2"), F.col("best.row").alias("row2"))
+    sized = light.join(shared.drop("keep_sha"), "content", "left").join(apart, ["content", "text_sha256"], "left")
+    first = lambda own, other, alone: F.when(F.col("n2").isNotNull(), F.col(own)).when(F.col("n").isNotNull(), F.col(other)).otherwise(F.col(alone))
+    size = F.coalesce("n2", "n", F.lit(1).cast("long"))
+    return sized.select("doc_id", first("keep2", "keep_id", "doc_id").alias("keep_id"), size.alias("group_size"), (first("row2", "keep_row", "row") == F.col("row")).alias("kept"), "text_sha256")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The kept rows of `docs`, all columns.
-
-    The decision is made by `exact_groups`; rows that go are few or many, so the answer is joined by id and
-    digest of the text. Of rows that repeat both, one stays."""
-    found = exact_groups(docs, id_col, text_col, **options).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumn("_row_sha", hex_sha256(text))
-    kept = keyed.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_row_sha") == F.col("_sha")), "left_semi")
-    return kept.drop("_row_sha").dropDuplicates([id_col, text_col])
+    """The kept rows of `docs`, all columns: the decision of `exact_groups` meets its row by id and digest of
+    the text. Of rows that repeat both, one stays."""
+    late = F.lit(-(1 << 63))
+    found = exact_groups(docs, id_col, text_col, **options).filter("kept").select(F.coalesce("doc_id", late).alias("_key"), F.col("text_sha256").alias("_sha"))
+    keyed = docs.withColumns({"_key": F.coalesce(F.col(id_col).cast("long"), late), "_sha": hex_sha256(F.coalesce(F.col(text_col), F.lit("")))})
+    return keyed.join(found, ["_key", "_sha"], "left_semi").dropDuplicates(["_key", "_sha"]).select(docs.columns)
