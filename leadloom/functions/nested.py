@@ -237,16 +237,20 @@ def unwrap_api_items(c: Column | str) -> Column:
 # --- maps of one record ------------------------------------------------------------------
 
 
-def compact_api(m: Column | str, max_text: int = 1500, max_list: int = 20) -> Column:
-    """Detail API fields without metadata keys; long texts and long lists are shortened."""
+def compact_api(m: Column | str, max_text: int | None = None, max_list: int | None = None) -> Column:
+    """Detail API fields without metadata keys; longer texts and lists are shortened where a limit is given."""
     kept = F.map_filter(_c(m), lambda k, v: ~k.isin(*API_SKIP_KEYS))
     as_list = lambda v: F.from_json(v, "array<variant>")
-    return F.transform_values(
-        kept,
-        lambda k, v: F.when(k.isin(*API_TEXT_KEYS) & ~F.rlike(v, F.lit(r"^[\[{]")), truncate_text(v, max_text))
-        .when(F.startswith(v, F.lit("[")) & (F.size(as_list(v)) > max_list), F.to_json(F.slice(as_list(v), 1, max_list)))
-        .otherwise(v),
-    )
+
+
+    def shortened(k: Column, v: Column) -> Column:
+        text = v if max_text is None else F.when(k.isin(*API_TEXT_KEYS) & ~F.rlike(v, F.lit(r"^[\[{]")), truncate_text(v, max_text)).otherwise(v)
+        if max_list is None:
+            return text
+        long = F.startswith(v, F.lit("[")) & (F.size(as_list(v)) > max_list)
+        return F.when(long, F.to_json(F.slice(as_list(v), 1, max_list))).otherwise(text)
+
+    return F.transform_values(kept, shortened)
 
 
 def promote_aliases(m: Column | str, aliases: Mapping[str, Sequence[str]] = FIELD_ALIASES) -> Column:
@@ -283,7 +287,7 @@ def extract_prefixed(m: Column | str, prefix: str) -> Column:
         _c(m),
         lambda k, v: F.startswith(k, F.lit(prefix)) & v.isNotNull() & ~F.lower(trim_ws(v)).isin("nan", "none", ""),
     )
-    cut = F.transform_keys(kept, lambda k, v: F.substring(k, len(prefix) + 1, 10_000))
+    cut = F.transform_keys(kept, lambda k, v: F.substr(k, F.lit(len(prefix) + 1)))
     return F.transform_values(cut, lambda k, v: trim_ws(v))
 
 

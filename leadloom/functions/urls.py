@@ -163,12 +163,13 @@ def fill_template(template: Column | str, value: Column | str) -> Column:
 
 
 def _query_pairs(url: Column) -> Column:
-    """array<struct<k, v>> of the query, first value per key, in order."""
+    """array<struct<k, v>> of the query, decoded, first value per key, in order."""
+    plain = lambda x: F.coalesce(F.try_url_decode(x), F.replace(x, F.lit("+"), F.lit(" ")))
     pairs = F.transform(
         F.filter(F.split(_part(url, 4), "&"), lambda p: p != ""),
         lambda p: F.struct(
-            F.substring_index(p, "=", 1).alias("k"),
-            F.when(F.contains(p, F.lit("=")), F.regexp_extract(p, r"^[^=]*=(.*)$", 1)).otherwise(F.lit("")).alias("v"),
+            plain(F.substring_index(p, "=", 1)).alias("k"),
+            plain(F.when(F.contains(p, F.lit("=")), F.regexp_extract(p, r"^[^=]*=(.*)$", 1)).otherwise(F.lit(""))).alias("v"),
         ),
     )
     return let(pairs, lambda ps: F.filter(
@@ -184,10 +185,16 @@ def _value_of(pairs: Column, key: Column) -> Column:
     return F.get(F.filter(pairs, lambda p: p["k"] == key), F.lit(0))["v"]
 
 
+def _form_encoded(c: Column) -> Column:
+    """A query part as forms write it: unreserved characters stay, a space becomes a plus sign."""
+    return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def _with_param(url: Column, pairs: Column, key: Column, value: Column) -> Column:
     query = F.array_join(
         F.transform(
-            pairs, lambda p: F.concat(p["k"], F.lit("="), F.when(p["k"] == key, value.cast("string")).otherwise(p["v"]))
+            pairs,
+            lambda p: F.concat(_form_encoded(p["k"]), F.lit("="), _form_encoded(F.when(p["k"] == key, value.cast("string")).otherwise(p["v"]))),
         ),
         "&",
     )
@@ -195,8 +202,8 @@ def _with_param(url: Column, pairs: Column, key: Column, value: Column) -> Colum
     return F.concat(F.regexp_extract(url, r"^([^?#]*)", 1), F.lit("?"), query, fragment)
 
 
-def expand_pages(urls: Column | str, total_hint: Column | str, max_pages: int = 500) -> Column:
-    """Listing URLs extended by the rising integer parameter up to the hinted item total."""
+def expand_pages(urls: Column | str, total_hint: Column | str, max_pages: int | None = None) -> Column:
+    """Listing URLs extended by the rising integer parameter up to the hinted item total, at most `max_pages`."""
     def rising(p: Column) -> Column:
         """struct(k, v, last): first parameter that is a smaller integer in the first than in the last URL."""
         pairs = F.transform(p["first"], lambda x: F.struct(
@@ -214,8 +221,8 @@ def expand_pages(urls: Column | str, total_hint: Column | str, max_pages: int =
         )
 
     def extend(p: Column, g: Column) -> Column:
-        # more pages than the cap are cut below, so the sequence needs no more than that
-        stop = F.least(g["stop"], g["start"] + g["step"] * max_pages)
+        # more pages than asked for are cut below, so the sequence needs no more than that
+        stop = g["stop"] if max_pages is None else F.least(g["stop"], g["start"] + g["step"] * max_pages)
         more = F.transform(
             F.sequence(g["start"], stop, g["step"]), lambda v: _with_param(p["url"], p["last"], g["k"], v)
         )
@@ -229,7 +236,7 @@ def expand_pages(urls: Column | str, total_hint: Column | str, max_pages: int =
         _query_pairs(F.get(u, F.lit(1))).alias("second"), _query_pairs(F.get(u, F.size(u) - 1)).alias("last"),
     )
     all_urls = let(facts, lambda p: let(rising(p), lambda r: let(paging(p, r), lambda g: extend(p, g))))
-    return F.slice(all_urls, 1, max_pages)
+    return all_urls if max_pages is None else F.slice(all_urls, 1, max_pages)
 
 
 def extrapolate_pages(links: Column | str, max_page: Column | str) -> Column:

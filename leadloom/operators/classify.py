@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions.text import contains_any, fixed_text
@@ -88,6 +88,43 @@ def classify_table(df: DataFrame, text: str, show_area: str | None = None) -> Da
     return ranked.withColumn("_v", verdict).select(*df.columns, "_v.vertical", "_v.sub_vertical")
 
 
+# Verticals of fair exhibitors and their keywords, in order.
+FAIR_VERTICAL_KEYWORDS = {
+    "Consumer Electronics": ["consumer electronics", "electronics manufacturer", "gadgets", "smartphones", "mobile devices", "wearables", "tv", "audio", "headphones", "speakers"],
+    "Home Appliances": ["home appliances", "kitchen appliances", "washing machine", "refrigerator", "vacuum", "dishwasher", "cooking", "oven"],
+    "Computing & IT": ["computing", "laptop", "desktop", "pc", "server", "software", "semiconductor", "chip", "processor", "computer"],
+    "Smart Home / IoT": ["smart home", "iot", "internet of things", "connected home", "home automation", "smart device"],
+    "Telecommunications": ["telecom", "5g", "network", "mobile operator", "carrier", "broadband", "fiber"],
+    "Gaming & Entertainment": ["gaming", "game console", "esports", "video game", "entertainment system"],
+    "Health & Wellness Tech": ["health tech", "fitness", "medical device", "wellness", "digital health", "healthtech"],
+    "Energy & Sustainability": ["solar", "renewable", "energy storage", "battery", "sustainability", "green tech", "ev charging"],
+    "Automotive Tech": ["automotive", "connected car", "ev", "electric vehicle", "autonomous driving"],
+    "Retail / E-commerce": ["retail", "e-commerce", "marketplace", "online shopping"],
+    "Media & Content": ["media", "streaming", "content", "broadcast", "publishing"],
+}
+
+
+def company_verticals(
+    results: DataFrame, keys: Sequence[str], order_by: Sequence[str], text: str = "snippet", show_area: str | None = None,
+    rules: Mapping[str, Sequence[str]] = VERTICAL_KEYWORDS,
+) -> DataFrame:
+    """(keys, vertical, sub_vertical) per company, over all its search results read as one text.
+
+    The results' texts stand in order with a space between, so a keyword may reach over the ends of as many
+    results as it has words. A result is looked at with those behind it, and a company's first keyword (in
+    rule order) is the smallest rank of its results: nothing is collected per company.
+    """
+    reach = max(len(k.split(" ")) for words in rules.values() for k in words)
+    w = Window.partitionBy(*keys).orderBy(*order_by)
+    own = F.coalesce(F.col(text), F.lit(""))
+    joined = F.lower(F.concat_ws(" ", own, *[F.lead(own, i).over(w) for i in range(1, reach)]))
+    ranked = results.withColumn("_low", joined).withColumn("_rank", keyword_rank(F.col("_low"), rules))
+    areas = [F.max(show_area).alias("_area")] if show_area else []
+    best = ranked.groupBy(*keys).agg(F.min("_rank").alias("_rank"), *areas)
+    verdict = vertical_of(F.col("_rank"), F.col("_area") if show_area else None, rules)
+    return best.withColumn("_v", verdict).select(*keys, "_v.vertical", "_v.sub_vertical")
+
+
 def _starts_with_any(c: Column, prefixes: Sequence[str]) -> Column:
     hit = F.lit(False)
     for p in prefixes:

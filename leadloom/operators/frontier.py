@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions.text import trim_ws
-from leadloom.session import cut_lineage
 from leadloom.functions.urls import expand_pages, extrapolate_pages, url_path
-from leadloom.operators.ordered import carry_forward_group, with_positions
+from leadloom.operators.ordered import carry_forward_group, keep_first, limit_items
 
 
 def id_range_frontier(done: DataFrame, first: int, last: int, key: str = "id") -> DataFrame:
@@ -17,7 +16,7 @@ def id_range_frontier(done: DataFrame, first: int, last: int, key: str = "id") -
     return ids.join(done.select(F.col(key).cast("bigint").alias(key)), key, "left_anti")
 
 
-def page_frontier(plans: DataFrame, key: str, urls: str, total_hint: str, max_pages: int = 500) -> DataFrame:
+def page_frontier(plans: DataFrame, key: str, urls: str, total_hint: str, max_pages: int | None = None) -> DataFrame:
     """(key, pos, url) of all listing pages of each plan."""
     pages = expand_pages(urls, total_hint, max_pages)
     return plans.select(key, F.posexplode(pages).alias("pos", "url"))
@@ -85,49 +84,37 @@ def sitemap_locs(xml: Column) -> Column:
 
 
 def sitemap_frontier(
-    sites: DataFrame, rules: DataFrame, sitemaps: DataFrame, max_sitemaps: int = 5, max_urls: int = 10_000
+    sites: DataFrame, rules: DataFrame, sitemaps: DataFrame, index_levels: int = 2,
+    max_sitemaps: int | None = None, max_urls: int | None = None,
 ) -> DataFrame:
     """(host, doc_no, pos, url): page URLs of each site from its sitemaps, breadth first.
 
-    At most `max_sitemaps` documents are read per site, so the walk has at most that many
-    levels; each level is one join of a few document names per site with the stored
-    documents (url, xml).
+    Declared documents (or /sitemap.xml) are joined with the stored documents (url, xml), the documents they
+    list with them again, `index_levels` times. A document counts once per host, where it comes first. With
+    `max_sitemaps` and `max_urls` only the first documents and URLs of a host are kept.
     """
     docs = sitemaps.select(F.col("url").alias("_doc"), sitemap_locs(F.col("xml")).alias("locs"))
     declared = rules.filter(F.col("kind") == "sitemap").select(
         F.col("host").alias("_host"), F.col("line_no").cast("bigint").alias("_pos"), F.col("value").alias("_declared")
     )
-    frontier = sites.join(declared, F.col("host") == F.col("_host"), "left").select(
+    listed = sites.join(declared, F.col("host") == F.col("_host"), "left").select(
         "host",
         F.coalesce("_declared", F.concat("origin", F.lit("/sitemap.xml"))).alias("doc"),
         F.array(F.lit(0).cast("bigint"), F.coalesce("_pos", F.lit(0))).alias("path"),
     )
-    first = Window.partitionBy("host", "doc").orderBy("path")
-    head = Window.partitionBy("host").orderBy("path")
+    is_map = lambda c: F.endswith(c, F.lit(".xml")) | F.endswith(c, F.lit(".xml.gz"))
     read = None
-    for level in range(1, max_sitemaps + 1):
-        known = frontier.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") == 1).drop("_rn")
-        if read is not None:
-            known = known.join(read.select("host", "doc"), ["host", "doc"], "left_anti")
-        fetched = known.join(docs, F.col("doc") == F.col("_doc")).select("host", "doc", "path", "locs")
+    for level in range(index_levels + 1):
+        fetched = listed.join(docs, F.col("doc") == F.col("_doc")).select("host", "doc", "path", "locs")
         read = fetched if read is None else read.unionByName(fetched)
-        read = read.withColumn("_rn", F.row_number().over(head)).filter(F.col("_rn") <= max_sitemaps).drop("_rn")
-        # every level reads the one before several times: write it once
-        read = cut_lineage(read)
-        # children sort after every document of their parent level
-        frontier = read.filter(F.get("path", F.lit(0)) == level - 1).select(
-            "host", "path", F.posexplode("locs").alias("_i", "doc")
-        ).filter(F.endswith("doc", F.lit(".xml")) | F.endswith("doc", F.lit(".xml.gz"))).select(
+        # children sort after every document of their parent's level
+        listed = fetched.select("host", "path", F.posexplode("locs").alias("_i", "doc")).filter(is_map("doc")).select(
             "host", "doc",
-            F.concat(
-                F.array(F.lit(level).cast("bigint")), F.slice("path", F.lit(2), F.size("path")),
-                F.array(F.col("_i").cast("bigint")),
-            ).alias("path"),
+            F.concat(F.array(F.lit(level + 1).cast("bigint")), F.slice("path", F.lit(2), F.size("path")), F.array(F.col("_i").cast("bigint"))).alias("path"),
         )
-    numbered = read.withColumn("doc_no", F.row_number().over(head))
-    urls = numbered.select("host", "doc_no", F.posexplode("locs").alias("pos", "url")).filter(
-        ~(F.endswith("url", F.lit(".xml")) | F.endswith("url", F.lit(".xml.gz")))
-    )
-
-    capped = with_positions(urls, ["host"], ["doc_no", "pos"], "_n").filter(F.col("_n") <= max_urls)
-    return capped.drop("_n")
+    once = keep_first(read, ["host", "doc"], ["path"])
+    numbered = once.withColumn("doc_no", F.row_number().over(Window.partitionBy("host").orderBy("path")))
+    if max_sitemaps is not None:
+        numbered = numbered.filter(F.col("doc_no") <= max_sitemaps)
+    urls = numbered.select("host", "doc_no", F.posexplode("locs").alias("pos", "url")).filter(~is_map("url"))
+    return urls if max_urls is None else limit_items(urls, max_urls, ["doc_no", "pos"], ["host"])

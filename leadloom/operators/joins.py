@@ -12,10 +12,7 @@ from pyspark.sql import functions as F
 from leadloom.functions.nested import compact_api, distinct_join
 from leadloom.functions.text import _c, age_hours, drop_social_website, normalize_name, trim_ws
 from leadloom.functions.urls import domain_key, url_key
-from leadloom.operators.ordered import first_value_by, order_key, with_positions
-
-# A rule table up to this many rows is broadcast in one piece; larger ones go in slices.
-RULES_PER_BROADCAST = 2_000
+from leadloom.operators.ordered import first_value_by, order_key
 
 
 def attach_detail_page(items: DataFrame, details: DataFrame, link: str = "detail_link") -> DataFrame:
@@ -30,9 +27,10 @@ def attach_detail_api(items: DataFrame, api: DataFrame, item_id: str = "detail_a
     return items.join(a, F.col(item_id) == F.col("_id"), "left").drop("_id")
 
 
-def attach_structured(items: DataFrame, structured: DataFrame, job: str, max_chars: int = 3000) -> DataFrame:
-    """Structured data of the job, only where its JSON text is short."""
-    s = structured.filter(F.length("structured_json") < max_chars).select(
+def attach_structured(items: DataFrame, structured: DataFrame, job: str, max_chars: int | None = None) -> DataFrame:
+    """Structured data of the job; with `max_chars` only where its JSON text is shorter."""
+    short = structured if max_chars is None else structured.filter(F.length("structured_json") < max_chars)
+    s = short.select(
         F.col(job).alias("_job"), F.col("structured_json").alias("structured_data")
     )
     return items.join(s, F.col(job) == F.col("_job"), "left").drop("_job")
@@ -126,35 +124,14 @@ def first_rule(text: Column, rules: Sequence[tuple[str, str]], regex: bool = Tru
     return F.coalesce(*hits)
 
 
-def rules_join(df: DataFrame, rules: DataFrame, text: str, keys: Sequence[str], regex: bool = False) -> DataFrame:
-    """First matching rule per row from a rule table (priority, name, pattern).
+def rules_join(df: DataFrame, rules: DataFrame, text: str, regex: bool = False) -> DataFrame:
+    """First matching rule per row from a rule list (priority, name, pattern), NULL if none matches.
 
-    The rule table is counted first. Up to RULES_PER_BROADCAST rows it becomes part of the
-    expression: no join and no shuffle. A longer one is cut into slices of that size by
-    priority rank and each slice is broadcast in turn, so no broadcast grows with the table.
+    Rules are configuration: the list is read once and becomes one expression, without a join or a shuffle.
+    Rules of equal priority count in order of their names; a NULL text matches nothing.
     """
-    hit = lambda pattern: F.rlike(F.col(text), pattern) if regex else F.contains(F.col(text), pattern)
-    n = rules.count()
-    if n <= RULES_PER_BROADCAST:
-        listed = [(r["name"], r["pattern"]) for r in rules.orderBy("priority", "name").collect()]
-        return df.withColumn("rule", first_rule(F.col(text), listed, regex) if listed else F.lit(None).cast("string"))
-    slim = df.select(*keys, text)
-    hits = None
-    ranked = with_positions(rules, [], ["priority", "name"], "_rank")
-    for start in range(0, n, RULES_PER_BROADCAST):
-        piece = ranked.filter((F.col("_rank") > start) & (F.col("_rank") <= start + RULES_PER_BROADCAST))
-        piece = F.broadcast(piece.select("priority", F.col("name").alias("rule"), "pattern"))
-        part = slim.join(piece, hit(F.col("pattern"))).groupBy(*keys).agg(
-            F.min(F.struct("priority", "rule")).alias("_best")
-        )
-        hits = part if hits is None else hits.unionByName(part)
-    best = hits.groupBy(*keys).agg(F.min("_best").alias("_best"))
-    right = best.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col("_best.rule").alias("rule"))
-    cond = None
-    for k in keys:
-        c = F.col(k) == F.col(f"_r_{k}")
-        cond = c if cond is None else cond & c
-    return df.join(right, cond, "left").drop(*[f"_r_{k}" for k in keys])
+    listed = [(r["name"], r["pattern"]) for r in sorted(rules.collect(), key=lambda r: (r["priority"], r["name"]))]
+    return df.withColumn("rule", first_rule(F.col(text), listed, regex) if listed else F.lit(None).cast("string"))
 
 
 def pending_only(df: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -327,10 +327,12 @@ def import_metrics(
 def merge_search_hits(
     results: DataFrame, keys: Sequence[str], order_by: Sequence[str], keep: str = "first",
     parent_words: Sequence[str] = PARENT_KEYWORDS, competitor_words: Sequence[str] = COMPETITOR_KEYWORDS,
+    parent_chars: int | None = None, competitor_chars: int | None = None,
 ) -> DataFrame:
     """Search results per company -> LinkedIn page, parent, competitor and size facts.
 
-    `keep` chooses the first or the last result with a parent or competitor keyword.
+    `keep` chooses the first or the last result with a parent or competitor keyword; its text is kept whole,
+    or its first `parent_chars` or `competitor_chars` characters.
     """
     order = order_key(order_by)
     text = F.lower(F.coalesce(F.col("snippet"), F.lit("")))
@@ -339,12 +341,16 @@ def merge_search_hits(
     blank = lambda c: F.coalesce(c, F.lit(""))
     return results.groupBy(*keys).agg(
         blank(first_value_by(F.col("url"), order, F.contains(F.col("url"), F.lit("linkedin.com/company")))).alias("linkedin_url"),
-        blank(pick(F.left(F.col("snippet"), F.lit(200)), order, contains_any(text, parent_words))).alias("parent_group"),
-        blank(pick(F.left(F.col("snippet"), F.lit(300)), order, contains_any(text, competitor_words))).alias("competitor_info"),
+        blank(pick(_head(F.col("snippet"), parent_chars), order, contains_any(text, parent_words))).alias("parent_group"),
+        blank(pick(_head(F.col("snippet"), competitor_chars), order, contains_any(text, competitor_words))).alias("competitor_info"),
         blank(first_value_by(size, order, size != "")).alias("org_size"),
     )
 
 
-def keyword_hit(c: Column, words: Sequence[str], max_len: int) -> Column:
-    """Leading part of a text that contains one of the words, else ''."""
-    return F.when(contains_any(F.lower(c), words), F.left(c, F.lit(max_len))).otherwise(F.lit(""))
+def _head(c: Column, chars: int | None) -> Column:
+    return c if chars is None else F.left(c, F.lit(chars))
+
+
+def keyword_hit(c: Column, words: Sequence[str], max_len: int | None = None) -> Column:
+    """A text that contains one of the words, or its first `max_len` characters, else ''."""
+    return F.when(contains_any(F.lower(c), words), _head(c, max_len)).otherwise(F.lit(""))

@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROWS_PER_CHUNK = 2_000_000
+SIZE_UNITS = 1_000_000
 QUANTILES = 512
-# row_number() <= n is pre-filtered on the map side up to this n (engine default).
-GROUP_LIMIT = 999
+# A key's rows are first limited in so many parts, so that a hot key is not sorted in one task.
+LIMIT_PARTS = 64
 
 
 def order_key(order_by: Sequence[str]) -> Column:
@@ -85,6 +86,11 @@ def with_chunks(df: DataFrame, order_col: str, rows_per_chunk: int = ROWS_PER_CH
     too coarse, each range is cut into parts of equal width. They are literals, so the result
     does not depend on how often or where the plan is re-evaluated.
     """
+    if isinstance(df.schema[order_col].dataType, T.StringType):
+        # texts are cut by their first bytes, read as a number
+        first = F.conv(F.rpad(F.hex(F.substring(F.col(order_col).cast("binary"), 1, 6)), 12, "0"), 16, 10)
+        out, chunks = with_chunks(df.withColumn("_text_number", first.cast("double")), "_text_number", rows_per_chunk)
+        return out.drop("_text_number"), chunks
     c = F.col(order_col)
     grid = [i / QUANTILES for i in range(1, QUANTILES)]
     row = df.agg(
@@ -173,10 +179,11 @@ def limit_items(df: DataFrame, n: int, order_by: Sequence[str], keys: Sequence[s
     """First n rows in order, overall or per key."""
     if not keys:
         return df.orderBy(*order_by).limit(n)
-    if n <= GROUP_LIMIT:
-        w = Window.partitionBy(*keys).orderBy(*order_by)
-        return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
-    return with_positions(df, keys, order_by, "_pos").filter(F.col("_pos") <= n).drop("_pos")
+    part = F.pmod(F.xxhash64(*order_by), F.lit(LIMIT_PARTS))
+    for cut in ([*keys, part], list(keys)):
+        w = Window.partitionBy(*cut).orderBy(*order_by)
+        df = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    return df
 
 
 def fixed_batches(df: DataFrame, n: int, order_by: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -239,11 +246,16 @@ def pack_batches(
 ) -> DataFrame:
     """Greedy batches per key: a row opens a new 0-based `batch` when it does not fit the budget.
 
+    Sizes are summed as whole millionths, so that fractions add up the same in any grouping; NULL
+    counts as zero.
+
     Keys that fit into one chunk are packed while reading sorted partitions. A key with more
     rows than a chunk is packed chunk by chunk: each chunk reports how it would end for every
     distinct fill level of the batch it may receive, a fold over the chunk reports yields the
     true fill levels, and the chunks are then numbered independently.
     """
+    names, df = df.columns, df.withColumn("_size", F.round(F.coalesce(F.col(size_col), F.lit(0)) * SIZE_UNITS).cast("bigint"))
+    size_col, budget = "_size", round(budget * SIZE_UNITS)
     out_schema = T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])
 
     def in_one_go(rows: DataFrame) -> DataFrame:
@@ -252,15 +264,13 @@ def pack_batches(
 
     base, chunks = with_chunks(df, order_by[0], rows_per_chunk)
     if chunks == 1:
-        return in_one_go(df)
+        return in_one_go(df).select(*names, "batch")
     # at most (rows / rows_per_chunk) keys can be this large
     large = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows_per_chunk)
-    if large.isEmpty():
-        return in_one_go(df)
     split = _match(base, large.withColumn("_large", F.lit(True)).drop("_n"), keys)
     short = split.filter(F.col("_large").isNull()).select(*df.columns)
     long = split.filter(F.col("_large")).select(*df.columns, "_chunk")
-    return in_one_go(short).unionByName(_pack_chunks(long, df.schema, size_col, budget, order_by, keys))
+    return in_one_go(short).unionByName(_pack_chunks(long, df.schema, size_col, budget, order_by, keys)).select(*names, "batch")
 
 
 def _pack_chunks(

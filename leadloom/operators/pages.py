@@ -101,7 +101,6 @@ SPA_RULES = [
 API_RULES = [r"/api/v\d|/api/graphql|/graphql", r"__NEXT_DATA__|window\.__INITIAL_STATE__", r"application/ld\+json"]
 GENERATOR_RE = r"""(?i)<meta\s+name=["']generator["']\s+content=["']([^"']+)["']"""
 GENERATORS = [("wordpress", "WordPress"), ("drupal", "Drupal"), ("joomla", "Joomla")]
-FINGERPRINT_CHARS = 50_000
 SPA_STRONG = [
     'id="__next"', 'id="__nuxt"', "ng-app", "data-ng-app", "<app-root", "data-reactroot", "__vue_app__",
     'id="__svelte"', 'id="svelte"', "ember-application", "data-turbo",
@@ -197,9 +196,9 @@ def detail_fields(dom: DataFrame, fields: Mapping[str, str], attributes: Mapping
 
 
 def sub_link_targets(
-    dom: DataFrame, links: Sequence[tuple[str, str, str]], base_url: str, max_links: int = 3, key: str = "url"
+    dom: DataFrame, links: Sequence[tuple[str, str, str]], base_url: str, max_links: int | None = None, key: str = "url"
 ) -> DataFrame:
-    """(key, label, sub_url): up to three same-host sub-pages per detail page, each once.
+    """(key, label, sub_url): same-host sub-pages per detail page, one row per label.
 
     `links` are (label, selector, attribute) of the plan.
     """
@@ -213,7 +212,7 @@ def sub_link_targets(
     )
     rooted = F.when(F.startswith("href", F.lit("/")), resolve_url(F.lit(base_url), "href")).otherwise(resolve_url(key, "href"))
     absolute = usable.withColumn("sub_url", rooted).filter(url_host("sub_url") == url_host(F.lit(base_url)))
-    return absolute.select(key, "label", "sub_url").dropDuplicates([key, "sub_url"])
+    return absolute.select(key, "label", "sub_url").dropDuplicates([key, "label", "sub_url"])
 
 
 # --- structured data ---------------------------------------------------------------------
@@ -582,11 +581,11 @@ def by_test_id(c: Column | str, test_id: str) -> Column:
 # --- template and platform ---------------------------------------------------------------
 
 
-def structural_hash(c: Column | str) -> Column:
-    """Hash of the tag skeleton: pages of one template share it."""
+def structural_hash(c: Column | str, max_chars: int | None = None) -> Column:
+    """Hash of the tag skeleton, of its first `max_chars` characters if given: pages of one template share it."""
     t = F.regexp_replace(_c(c), ">([^<]+)<", "><")
     t = F.regexp_replace(t, r"\s[^>]*(?=>)", "")
-    return F.left(F.sha2(F.left(t, F.lit(20_000)), 256), F.lit(16))
+    return F.left(F.sha2(t if max_chars is None else F.left(t, F.lit(max_chars)), 256), F.lit(16))
 
 
 def template_clusters(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -618,9 +617,9 @@ def _any_rule(low: Column, rules: Sequence[str]) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def fingerprint(html: Column | str, headers: Column | None = None) -> Column:
+def fingerprint(html: Column | str, headers: Column | None = None, max_chars: int | None = None) -> Column:
     """struct(cms, ecommerce, js_framework, cdn, server, has_api, is_spa, signals) of a page."""
-    text = F.left(_c(html), F.lit(FINGERPRINT_CHARS))
+    text = _c(html) if max_chars is None else F.left(_c(html), F.lit(max_chars))
     h = F.create_map().cast("map<string,string>") if headers is None else headers
     get = lambda k: F.coalesce(F.element_at(h, F.lit(k)), F.lit(""))
     has = lambda k: F.coalesce(F.map_contains_key(h, k), F.lit(False))
@@ -705,17 +704,17 @@ def _source_length(html: Column, node: Column) -> Column:
 # --- selector quality --------------------------------------------------------------------
 
 
-def selector_metrics(dom: DataFrame, target: Target, key: str = "page_id", sample: int = 10) -> DataFrame:
+def selector_metrics(dom: DataFrame, target: Target, key: str = "page_id", sample: int | None = None) -> DataFrame:
     """(key, container_count, sampled_containers, field_checks, field_hits, field_hit_ratio)."""
     usable = {f: s for f, s in target.fields.items() if s and s.strip()}
     found = with_matches(dom, usable, "_f").withColumn("_box", select(target.container))
-    boxes = F.slice("_box", 1, max(1, sample))
+    boxes = F.col("_box") if sample is None else F.slice("_box", 1, max(1, sample))
 
     def hit_boxes(found_nodes: Column) -> Column:
         return F.size(F.filter(boxes, lambda b: F.exists(found_nodes, lambda n: within(n, b))))
 
     hits = [hit_boxes(F.col(f"_f{i}")) for i in range(len(usable))]
-    sampled = F.least(F.size("_box"), F.lit(max(1, sample)))
+    sampled = F.size(boxes)
     checks = sampled * len(usable)
     total = sum(hits, F.lit(0))
     return found.select(
@@ -725,11 +724,11 @@ def selector_metrics(dom: DataFrame, target: Target, key: str = "page_id", sampl
     )
 
 
-def content_score(dom: DataFrame, target: Target, key: str = "page_id", sample: int = 5) -> DataFrame:
+def content_score(dom: DataFrame, target: Target, key: str = "page_id", sample: int | None = None) -> DataFrame:
     """(key, content_score): share of (container, field) pairs with real content; nothing to test -> 1."""
     usable = {f: s for f, s in target.fields.items() if s and s.strip()}
     found = with_matches(dom, usable, "_f").withColumn("_box", select(target.container))
-    boxes = F.slice("_box", 1, sample)
+    boxes = F.col("_box") if sample is None else F.slice("_box", 1, sample)
 
     def filled_boxes(found_nodes: Column, attribute: str | None) -> Column:
         def ok(box: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions.text import fixed_text, trim_ws
-from leadloom.operators.ordered import order_key
+from leadloom.operators.ordered import limit_items, order_key
 
 
 @dataclass(frozen=True)
@@ -145,19 +145,27 @@ def trend_table(results: DataFrame, report: str) -> DataFrame:
     return out.withColumns({f"delta_{m}": F.col(m) - F.col(f"prev_{m}") for m in METRICS})
 
 
-def issue_summary(results: DataFrame, report: str, order_by: Sequence[str], limit: int = 20) -> DataFrame:
-    """Totals and the first failed profile names per report."""
+def issue_summary(results: DataFrame, report: str, order_by: Sequence[str], limit: int, stored: DataFrame | None = None) -> DataFrame:
+    """Totals per report and its first `limit` failed profile names.
+
+    `stored` (report, total, passed, failed) has the totals that reports carry: they stand as written, a
+    missing total or passed is 0, a missing failed what is left. Without it the rows are counted.
+    """
     failed = results.filter(~F.coalesce(F.col("passed"), F.lit(False)))
-    w = Window.partitionBy(report).orderBy(*order_by)
-    first = failed.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit)
+    first = limit_items(failed, limit, order_by, [report]).withColumn("_rn", F.struct(*order_by))
     name = F.coalesce(F.nullif(F.col("profile_name"), F.lit("")), F.lit("unknown-profile"))
     names = first.groupBy(F.col(report).alias("_r")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_rn", name.alias("n")))), lambda x: x["n"]).alias("failed_profiles")
     )
-    totals = results.groupBy(report).agg(
-        F.count("*").alias("total"),
-        F.count_if(~F.coalesce(F.col("passed"), F.lit(False))).alias("failed"),
-    )
+    if stored is None:
+        totals = results.groupBy(report).agg(
+            F.count("*").alias("total"),
+            F.count_if(~F.coalesce(F.col("passed"), F.lit(False))).alias("failed"),
+        )
+    else:
+        total, passed = (F.coalesce(F.col(c).cast("bigint"), F.lit(0)) for c in ("total", "passed"))
+        left = F.coalesce(F.col("failed").cast("bigint"), F.greatest(total - passed, F.lit(0)))
+        totals = stored.select(report, total.alias("total"), left.alias("failed"))
     return totals.join(names, F.col(report) == F.col("_r"), "left").drop("_r").withColumn(
         "failed_profiles", F.coalesce("failed_profiles", F.array().cast("array<string>"))
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from leadloom.functions.text import (
 from leadloom.operators.filters import not_found_page
 from leadloom.operators.pages import dt_dd_pairs
 
-# Address parts of a seller response, label texts per field, and e-mail fragments of the shop itself.
+# Address parts of a seller response, label texts per field.
 ADDRESS_PARTS = ["street1", "street2", "city", "state", "postCode", "country"]
 EMAIL_LABELS = ["E-mailadres", "Email address", "E-Mail-Adresse", "Email", "E-mail"]
 COMPANY_LABELS = ["Officiële bedrijfsnaam", "Official company name", "Offizieller Firmenname", "Firmenname"]
@@ -21,10 +23,6 @@ ZIP_LABELS = ["Postcode", "ZIP code", "Postleitzahl", "PLZ"]
 CITY_LABELS = ["Plaats", "City", "Stadt", "Ort"]
 KVK_LABELS = ["Kamer van Koophandel nummer", "Chamber of Commerce number", "Handelskammernummer"]
 VAT_LABELS = ["BTW-nummer", "VAT number", "USt-IdNr", "Umsatzsteuer-Identifikationsnummer"]
-SHOP_EMAILS = [
-    "mediamarkt.nl", "mediamarkt.de", "mediamarkt.at", "mediamarkt.es", "mediamarkt.it", "mediamarkt.be",
-    "mediamarkt.com", "privacy@", "jan.janssen",
-]
 SELLER_BLOCK_RE = (
     r'(?s)("__typename"\s*:\s*"GraphqlMarketplaceSeller"\s*,\s*"id"\s*:\s*"\d+"\s*,\s*"name"\s*:\s*"[^"]*".*?)'
     r'(?="optimizelyDataFile"|"__typename"\s*:\s*"(?!Graphql))'
@@ -45,17 +43,30 @@ def seller_from_api(raw: DataFrame, seller_id: str = "seller_id", body: str = "b
 
 
 def _balanced_object(text: Column) -> Column:
-    """Leading JSON object of a text that may have more behind it: shortest valid prefix ending in '}'."""
-    ends = F.filter(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(text, i, F.lit(1)) == "}")
-    # braces are counted: the object ends where as many are closed as were opened
-    prefix = lambda i: F.left(text, i)
-    count = lambda s, ch: F.length(s) - F.length(F.replace(s, F.lit(ch), F.lit("")))
-    end = F.get(F.filter(ends, lambda i: count(prefix(i), "{") == count(prefix(i), "}")), F.lit(0))
+    """Leading JSON object of a text that may have more behind it, in one pass over its characters: braces
+    inside JSON strings do not count."""
+    zero = F.struct(
+        F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(None).cast("int").alias("end")
+    )
+
+    def step(s: Column, ch: Column) -> Column:
+        plain = ~s["quoted"]
+        depth = s["depth"] + F.when(plain & (ch == "{"), 1).when(plain & (ch == "}"), -1).otherwise(0)
+        closed = F.when(plain & (ch == "}") & (depth == 0), s["i"] + 1)
+        return F.struct(
+            (s["i"] + 1).alias("i"), depth.alias("depth"),
+            F.when((ch == '"') & ~s["escaped"], plain).otherwise(s["quoted"]).alias("quoted"),
+            (s["quoted"] & ~s["escaped"] & (ch == "\\")).alias("escaped"), F.coalesce(s["end"], closed).alias("end"),
+        )
+
+    end = F.aggregate(F.split(text, ""), zero, step, lambda s: s["end"])
     return F.when(end.isNotNull(), F.left(text, end))
 
 
-def seller_from_page(pages: DataFrame, seller_id: str = "seller_id", html: str = "html") -> DataFrame:
-    """Seller page -> seller row: embedded JSON first, then definition lists and patterns."""
+def seller_from_page(pages: DataFrame, seller_id: str = "seller_id", html: str = "html", shop_emails: Sequence[str] = ()) -> DataFrame:
+    """Seller page -> seller row: embedded JSON first, then definition lists and patterns.
+
+    E-mail addresses that contain one of `shop_emails` belong to the shop and are passed over."""
     h = F.col(html)
     # most pages carry no embedded seller: the look-ahead search runs only where its name occurs
     block = F.when(F.contains(h, F.lit("GraphqlMarketplaceSeller")), F.regexp_extract(h, SELLER_BLOCK_RE, 1)).otherwise("")
@@ -70,7 +81,7 @@ def seller_from_page(pages: DataFrame, seller_id: str = "seller_id", html: str =
         F.when(F.contains(F.element_at(pairs, F.lit(x)), F.lit("@")), F.element_at(pairs, F.lit(x))) for x in EMAIL_LABELS
     ])
     email = F.coalesce(
-        F.nullif(j("contactInfoForCustomers.email"), F.lit("")), by_label, F.get(extract_emails(h, SHOP_EMAILS), F.lit(0))
+        F.nullif(j("contactInfoForCustomers.email"), F.lit("")), by_label, F.get(extract_emails(h, list(shop_emails)), F.lit(0))
     )
     tel = first_match(h, r"""href=["']tel:([^"']+)["']""")
     phone = F.coalesce(

@@ -320,8 +320,8 @@ def _(t):
 
 HITS = f"""h AS (SELECT *, lower(snippet) AS low, TRY_CAST(replace(replace(regexp_extract(lower(snippet), '(\\d[\\d,\\.]*)\\s*(?:\\+\\s*)?(?:employees|staff|people|workforce)', 1), ',', ''), '.', '') AS HUGEINT) AS n FROM {{search_hits}}),
   z AS (SELECT *, CASE WHEN n >= 5000 THEN 'Enterprise' WHEN n >= 200 THEN 'Mid-Market' ELSE '' END AS sz FROM h)"""
-HIT_COLS = """coalesce(arg_min(url, pos) FILTER (WHERE contains(url, 'linkedin.com/company')), '') AS linkedin_url, coalesce({pick}(left(snippet, 200), pos) FILTER (WHERE {parent}), '') AS parent_group,
-  coalesce({pick}(left(snippet, 300), pos) FILTER (WHERE {comp}), '') AS competitor_info, coalesce(arg_min(sz, pos) FILTER (WHERE sz <> ''), '') AS org_size"""
+HIT_COLS = """coalesce(arg_min(url, pos) FILTER (WHERE contains(url, 'linkedin.com/company')), '') AS linkedin_url, coalesce({pick}(snippet, pos) FILTER (WHERE {parent}), '') AS parent_group,
+  coalesce({pick}(snippet, pos) FILTER (WHERE {comp}), '') AS competitor_info, coalesce(arg_min(sz, pos) FILTER (WHERE sz <> ''), '') AS org_size"""
 
 
 def _hits_sql(pick: str) -> str:
@@ -350,9 +350,28 @@ def _(t):
     return C.classify_table(rows, "snippet", "area").select("pos", "vertical", "sub_vertical")
 
 
-@query("cl2_keyword_hit", f"SELECT doc_id, CASE WHEN {D.any_of('lower(text)', M.COMPETITOR_KEYWORDS + ['the', ' und '])} THEN left(text, 300) ELSE '' END AS hit FROM documents")
+def _company_vertical(rules, area) -> str:
+    cases = " ".join(f"WHEN {D.any_of('low', ks)} THEN '{v}'" for v, ks in rules.items())
+    subs = " ".join(f"WHEN contains(low, '{k}') THEN '{k.strip().title()}'" for ks in rules.values() for k in ks)
+    first = lambda i: " ".join(f"WHEN area = '{a}' THEN '{v[i]}'" for a, v in C.SHOW_AREAS.items()) if area else ""
+    return f"""SELECT company, CASE {first(0)} {cases} ELSE '' END AS vertical, CASE {first(1)} {subs} ELSE '' END AS sub_vertical FROM (
+      SELECT company, string_agg(lower(coalesce(snippet, '')), ' ' ORDER BY pos) AS low, max(CASE WHEN pos % 200 = 0 THEN 'Audio' WHEN pos % 200 = 7 THEN 'Smart Home' END) AS area FROM {{search_hits}} GROUP BY company)"""
+
+
+@query("cl1_company_vertical", _company_vertical(C.VERTICAL_KEYWORDS, True))
+def _(t):
+    rows = t.search_hits.withColumn("area", F.when(F.col("pos") % 200 == 0, "Audio").when(F.col("pos") % 200 == 7, "Smart Home"))
+    return C.company_verticals(rows, ["company"], ["pos"], "snippet", "area")
+
+
+@query("cl1_fair_company_vertical", _company_vertical(C.FAIR_VERTICAL_KEYWORDS, False))
+def _(t):
+    return C.company_verticals(t.search_hits, ["company"], ["pos"], rules=C.FAIR_VERTICAL_KEYWORDS)
+
+
+@query("cl2_keyword_hit", f"SELECT doc_id, CASE WHEN {D.any_of('lower(text)', M.COMPETITOR_KEYWORDS + ['the', ' und '])} THEN text ELSE '' END AS hit FROM documents")
 def _(t):
-    return t.documents.select("doc_id", M.keyword_hit(F.col("text"), M.COMPETITOR_KEYWORDS + ["the", " und "], 300).alias("hit"))
+    return t.documents.select("doc_id", M.keyword_hit(F.col("text"), M.COMPETITOR_KEYWORDS + ["the", " und "]).alias("hit"))
 
 
 # --- sinks -------------------------------------------------------------------------------
@@ -366,7 +385,7 @@ FLAT = [c for c in W.CSV_COLUMNS if c not in ("product_categories", "brands")]
     + ", replace(cats_text, ' ; ', '; ') AS product_categories, coalesce(brands_text, '') AS brands, coalesce(social_linkedin, '') AS social_linkedin, coalesce(social_facebook, '') AS social_facebook, coalesce(extra_status, '') AS extra_status FROM {leads}",
 )
 def _(t):
-    return W.flatten_for_csv(lead_records(t))
+    return W.flatten_for_csv(lead_records(t), ["linkedin", "facebook"], ["status"])
 
 
 @query("snk6_log_import", f"SELECT 'marketplace' AS source_type, 'Shop' AS source_name, 'sheet.csv' AS file_path, count(*) AS row_count, count(*) FILTER (WHERE {D.clean('businessName')} IS NOT NULL) AS rows_imported, '2026-01-01' AS imported_at FROM {{seller_sheet}}")

@@ -275,7 +275,7 @@ def _(t):
 
 @query(
     "js5_compact_api",
-    """SELECT doc_id, left(text, 1500) AS text, CASE WHEN n > 20 THEN 20 ELSE n END AS n_words FROM (SELECT doc_id, text, len(string_split(text, ' ')) AS n FROM documents)""",
+    """SELECT doc_id, text, n AS n_words FROM (SELECT doc_id, text, len(string_split(text, ' ')) AS n FROM documents)""",
 )
 def _(t):
     words = F.to_json(F.transform(F.split("text", " "), lambda w: F.md5(w)))
@@ -486,7 +486,7 @@ def _(t):
     q AS (SELECT *, CASE WHEN kind = 0 THEN hint // 20 + 1 ELSE hint // pp + 1 END AS np FROM p),
     n AS (SELECT id, base, kind, CASE WHEN kind = 2 THEN 2 WHEN np > 2 THEN 2 + np - 1 ELSE 2 END AS total, step FROM q),
     s AS (SELECT id, base, kind, step, total, CAST(unnest(range(0, total)) AS BIGINT) AS pos FROM n)
-    SELECT id, CAST(pos AS INTEGER) AS pos, base || CASE WHEN kind = 2 THEN CASE pos WHEN 0 THEN 'a' ELSE 'b' END ELSE CAST(pos * step + CASE WHEN kind = 1 THEN 1 ELSE 0 END AS VARCHAR) END || '&v=z' AS url FROM s WHERE pos < 500""",
+    SELECT id, CAST(pos AS INTEGER) AS pos, base || CASE WHEN kind = 2 THEN CASE pos WHEN 0 THEN 'a' ELSE 'b' END ELSE CAST(pos * step + CASE WHEN kind = 1 THEN 1 ELSE 0 END AS VARCHAR) END || '&v=z' AS url FROM s""",
 )
 def _(t):
     from leadloom.operators.frontier import page_frontier
@@ -561,7 +561,7 @@ def _(t):
 @query(
     "url16_sitemap_frontier",
     """WITH d AS (SELECT host, url, id % 2 AS part, row_number() OVER (PARTITION BY host, id % 2 ORDER BY '<url><loc>' || url || '</loc></url>') - 1 AS pos FROM {site_urls}), r AS (SELECT *, dense_rank() OVER (PARTITION BY host ORDER BY part) + 1 AS doc_no FROM d),
-      n AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY doc_no, pos) AS rn FROM r) SELECT host, CAST(doc_no AS INTEGER) AS doc_no, CAST(pos AS INTEGER) AS pos, url FROM n WHERE rn <= 10000""",
+      n AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY doc_no, pos) AS rn FROM r) SELECT host, CAST(doc_no AS INTEGER) AS doc_no, CAST(pos AS INTEGER) AS pos, url FROM n""",
 )
 def _(t):
     from leadloom.operators.frontier import robots_rules, sitemap_frontier
@@ -579,7 +579,7 @@ def _(t):
     return sitemap_frontier(sites, robots_rules(t.robots), index.unionByName(maps))
 
 
-@query("url18_sub_link_targets", "SELECT url, 'more' AS label, 'https://fair.example.com/e/' || CAST(page_id AS VARCHAR) AS sub_url FROM {listing_pages} UNION ALL SELECT url, 'map', 'https://fair.example.com/hallplan?actionItem=' || CAST(100 + page_id AS VARCHAR) || '&_event=fair24' FROM {listing_pages}")
+@query("url18_sub_link_targets", "SELECT url, 'more' AS label, 'https://fair.example.com/e/' || CAST(page_id AS VARCHAR) AS sub_url FROM {listing_pages} UNION ALL SELECT url, 'map', 'https://fair.example.com/hallplan?actionItem=' || CAST(100 + page_id AS VARCHAR) || '&_event=fair24' FROM {listing_pages} UNION ALL SELECT url, 'again', 'https://fair.example.com/e/' || CAST(page_id AS VARCHAR) FROM {listing_pages} UNION ALL SELECT url, 'late', 'https://fair.example.com/l.png' FROM {listing_pages}")
 def _(t):
     from leadloom.operators.dom import page_dom
     from leadloom.operators.pages import sub_link_targets

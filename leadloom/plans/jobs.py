@@ -46,7 +46,7 @@ def _(t):
 
 @query(
     "jn3_attach_structured",
-    """WITH s AS (SELECT conv_id AS job, sum(length(text)) AS n, min(text) AS body FROM conversations GROUP BY conv_id) SELECT c.conv_id, c.turn, CASE WHEN length(s.body) < 3000 THEN s.body END AS structured_data FROM conversations c JOIN s ON c.conv_id = s.job""",
+    """WITH s AS (SELECT conv_id AS job, sum(length(text)) AS n, min(text) AS body FROM conversations GROUP BY conv_id) SELECT c.conv_id, c.turn, s.body AS structured_data FROM conversations c JOIN s ON c.conv_id = s.job""",
 )
 def _(t):
     structured = t.conversations.groupBy("conv_id").agg(F.min("text").alias("structured_json"))
@@ -122,7 +122,7 @@ def _(t):
 @query("jn9_rules_join", "SELECT request_num, CASE WHEN contains(url, 'diy') THEN 'diy' WHEN contains(url, 'electro') THEN 'electronics' WHEN contains(url, 'seller') THEN 'generic' END AS rule FROM {requests}")
 def _(t):
     rules = t.spark.createDataFrame([(0, "diy", "diy"), (1, "electronics", "electro"), (2, "generic", "seller"), (3, "never", "zzz")], "priority int, name string, pattern string")
-    return J.rules_join(t.requests.select("request_num", "url"), rules, "url", ["request_num"]).select("request_num", "rule")
+    return J.rules_join(t.requests.select("request_num", "url"), rules, "url").select("request_num", "rule")
 
 
 @query("jn10_pending_only", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
@@ -520,7 +520,22 @@ def _(t):
     """WITH r AS (SELECT *, row_number() OVER (PARTITION BY report, passed ORDER BY ord) AS rn FROM {run_results}) SELECT report, count(*) AS total, count(*) FILTER (WHERE NOT passed) AS failed, coalesce(string_agg(CASE WHEN profile_name = '' THEN 'unknown-profile' ELSE profile_name END, ', ' ORDER BY ord) FILTER (WHERE NOT passed AND rn <= 20), '') AS failed_profiles FROM r GROUP BY report""",
 )
 def _(t):
-    return R.issue_summary(t.run_results, "report", ["ord"]).withColumn("failed_profiles", F.array_join("failed_profiles", ", "))
+    return R.issue_summary(t.run_results, "report", ["ord"], 20).withColumn("failed_profiles", F.array_join("failed_profiles", ", "))
+
+
+@query(
+    "cl5_issue_summary_stored",
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY report ORDER BY ord) AS rn FROM {run_results} WHERE NOT passed), c AS (SELECT report, count(*) AS n FROM {run_results} GROUP BY report),
+      t AS (SELECT report, CASE WHEN n % 3 = 0 THEN 0 ELSE n + 5 END AS total, CASE WHEN n % 2 = 0 THEN CASE WHEN n % 3 = 0 THEN 0 ELSE 3 END ELSE 2 + CASE WHEN n % 3 = 0 THEN -2 ELSE n END END AS failed FROM c)
+    SELECT t.report, t.total, CASE WHEN t.failed < 0 THEN 0 ELSE t.failed END AS failed, coalesce((SELECT string_agg(CASE WHEN profile_name = '' THEN 'unknown-profile' ELSE profile_name END, ', ' ORDER BY ord) FROM r WHERE r.report = t.report AND rn <= 3), '') AS failed_profiles FROM t""",
+)
+def _(t):
+    n = F.col("n")
+    # totals as reports carry them: some without a total, some without the number of failures
+    stored = t.run_results.groupBy("report").agg(F.count("*").alias("n")).select(
+        "report", F.when(n % 3 != 0, n + 5).alias("total"), F.lit(3).alias("passed"), F.when(n % 2 == 0, F.when(n % 3 == 0, 0).otherwise(3)).alias("failed")
+    )
+    return R.issue_summary(t.run_results, "report", ["ord"], 3, stored).withColumn("failed_profiles", F.array_join("failed_profiles", ", "))
 
 
 @query(

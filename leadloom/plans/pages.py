@@ -205,7 +205,7 @@ def _(t):
     )
 
 
-HASH = r"left(sha256(left(regexp_replace(regexp_replace(html, '>([^<]+)<', '><', 'g'), '\s[^>]*>', '>', 'g'), 20000)), 16)"
+HASH = r"left(sha256(regexp_replace(regexp_replace(html, '>([^<]+)<', '><', 'g'), '\s[^>]*>', '>', 'g')), 16)"
 HOST = r"lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1))"
 
 
@@ -220,7 +220,7 @@ def _(t):
 
 
 def _rules(rules: list[tuple[str, str]]) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(left(body, 50000), '(?i){p}') THEN '{n}'" for n, p in rules) + " END"
+    return "CASE " + " ".join(f"WHEN regexp_matches(body, '(?i){p}') THEN '{n}'" for n, p in rules) + " END"
 
 
 MARKS = ["wp-content/x", "cdn.shopify.com/a", "<div id=\"__next\">", "ng-app", "gatsby-chunk wix.com", "plain"]
@@ -230,8 +230,8 @@ MARK_SQL = "CASE page_id % 6 " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enu
 @query(
     "ht20_fingerprint",
     f"""WITH p AS (SELECT page_id, html || {MARK_SQL} AS body FROM pages) SELECT page_id, {_rules(P.CMS_RULES)} AS cms, {_rules(P.SHOP_RULES)} AS ecommerce, CASE WHEN page_id % 4 = 1 THEN 'Next.js' ELSE {_rules(P.JS_RULES)} END AS js_framework, CASE page_id % 4 WHEN 0 THEN 'Cloudflare' WHEN 2 THEN 'Akamai' END AS cdn,
-      CASE WHEN page_id % 4 = 3 THEN NULL ELSE 'nginx' END AS server, page_id % 4 = 3 OR regexp_matches(left(body, 50000), '(?i)/api/v\\d|/api/graphql|/graphql|__NEXT_DATA__|window\\.__INITIAL_STATE__|application/ld\\+json') AS has_api,
-      regexp_matches(left(body, 50000), '(?i)<div\\s+id="(?:app|root|__next|__nuxt|___gatsby)"|ng-app|ng-version|data-reactroot|_reactRootContainer|__NEXT_DATA__|__NUXT__') AS is_spa FROM p""",
+      CASE WHEN page_id % 4 = 3 THEN NULL ELSE 'nginx' END AS server, page_id % 4 = 3 OR regexp_matches(body, '(?i)/api/v\\d|/api/graphql|/graphql|__NEXT_DATA__|window\\.__INITIAL_STATE__|application/ld\\+json') AS has_api,
+      regexp_matches(body, '(?i)<div\\s+id="(?:app|root|__next|__nuxt|___gatsby)"|ng-app|ng-version|data-reactroot|_reactRootContainer|__NEXT_DATA__|__NUXT__') AS is_spa FROM p""",
 )
 def _(t):
     k = F.col("page_id") % 4
@@ -317,6 +317,22 @@ def _(t):
     return S.seller_from_page(t.detail_pages, "page_id")
 
 
+@query(
+    "cl14_seller_embedded",
+    """SELECT c_custkey AS seller_id, 'Shop } { "' || c_name AS business_name, 'c' || CAST(c_custkey AS VARCHAR) || '@shop.example' AS email, c_custkey AS review_count, CASE WHEN c_custkey % 2 = 0 THEN 'Ede' ELSE '' END AS city FROM customer""",
+)
+def _(t):
+    # braces and escaped quotes inside the texts of the embedded object
+    key = F.col("c_custkey").cast("string")
+    embedded = F.concat(
+        F.lit('<html><script>{"x":1,"__typename":"GraphqlMarketplaceSeller","id":"'), key, F.lit('","name":"Shop } { \\"'), F.col("c_name"), F.lit('","rating":4.5,"visibleReviewsCount":'), key,
+        F.lit(',"contactInfoForCustomers":{"email":"c'), key, F.lit('@shop.example","note":"}}"}},"y":{"optimizelyDataFile":1}}</script><h1>x</h1>'),
+        F.when(F.col("c_custkey") % 2 == 0, F.lit("<dl><dt>Plaats</dt><dd>Ede</dd></dl>")).otherwise(F.lit("")), F.lit("</html>"),
+    )
+    rows = t.customer.select(F.col("c_custkey").alias("seller_id"), embedded.alias("html"))
+    return S.seller_from_page(rows).select("seller_id", "business_name", "email", "review_count", "city")
+
+
 def _parse_seller(raw, seller_id, url):
     if seller_id % 10 == 9:
         raise ValueError("no page")

@@ -22,9 +22,10 @@ WIDE_VIEWS = {"detail_pages", "listing_pages", "api_items", "api_bodies", "pagin
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of an input with fewer files than cores on all cores; larger inputs are left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    """Rows dealt over `spark.leadloom.spread` tasks where that is set: for small tables of one file each,
+    which a scan cannot split. Unset, scans stay as their files are."""
+    tasks = int(df.sparkSession.conf.get("spark.leadloom.spread", "0"))
+    return df.repartition(tasks) if tasks else df
 
 
 class Tables:

@@ -14,19 +14,10 @@ CSV_COLUMNS = [
     "name", "country", "city", "address", "postal_code", "website", "store_url", "email", "phone", "description",
     "product_categories", "brands", "marketplace_name", "logo_url", "source_url",
 ]
-MAX_MAP_COLUMNS = 10_000
 
 
-def map_keys_of(df: DataFrame, column: str) -> list[str]:
-    """Distinct keys of a map column. They become columns, so their number is checked."""
-    keys = df.select(F.explode(F.map_keys(column)).alias("k")).distinct().limit(MAX_MAP_COLUMNS + 1).collect()
-    if len(keys) > MAX_MAP_COLUMNS:
-        raise ValueError(f"{column} has more than {MAX_MAP_COLUMNS} keys: write it as JSON text instead")
-    return sorted(r["k"] for r in keys)
-
-
-def flatten_for_csv(leads: DataFrame, social_keys: Sequence[str] | None = None, extra_keys: Sequence[str] | None = None) -> DataFrame:
-    """Flat text columns: lists joined, each social and extra key its own column, NULL as ''."""
+def flatten_for_csv(leads: DataFrame, social_keys: Sequence[str] = (), extra_keys: Sequence[str] = ()) -> DataFrame:
+    """Flat text columns: lists joined, each given social and extra key its own column, NULL as ''."""
     def flat(c: str) -> Column:
         if c not in leads.columns:
             return F.lit("").alias(c)
@@ -37,8 +28,7 @@ def flatten_for_csv(leads: DataFrame, social_keys: Sequence[str] | None = None,
     out = [flat(c) for c in CSV_COLUMNS]
     for column, prefix, given in (("social_media", "social_", social_keys), ("raw_extra", "extra_", extra_keys)):
         if column in leads.columns:
-            keys = map_keys_of(leads, column) if given is None else given
-            out += [F.coalesce(F.element_at(column, F.lit(k)), F.lit("")).alias(prefix + k) for k in keys]
+            out += [F.coalesce(F.element_at(column, F.lit(k)), F.lit("")).alias(prefix + k) for k in given]
     return leads.select(*out)
 
 

@@ -86,13 +86,13 @@ def test_backfill_links_greedy(spark):
     assert got == {(1, 0): "/b", (1, 1): "/a", (1, 2): None, (1, 3): "/own", (2, 0): None}
 
 
-@pytest.mark.parametrize("limit", [2, 2000])
-def test_rules_join_in_slices(spark, monkeypatch, limit):
-    monkeypatch.setattr(J, "RULES_PER_BROADCAST", limit)
+def test_rules_join_takes_rows_as_they_are(spark):
     rules = spark.createDataFrame([(i, f"r{i}", p) for i, p in enumerate(["zz", "b", "a", "ab", "c"])], "priority int, name string, pattern string")
-    df = spark.createDataFrame([(1, "abc"), (2, "c"), (3, "x")], "id long, t string")
-    got = {r.id: r.rule for r in J.rules_join(df, rules, "t", ["id"]).collect()}
-    assert got == {1: "r1", 2: "r4", 3: None}
+    df = spark.createDataFrame([(1, "abc"), (1, "c"), (None, "a"), (3, "x"), (4, None)], "id long, t string")
+    got = [(r.id, r.rule) for r in J.rules_join(df, rules, "t").collect()]
+    assert got == [(1, "r1"), (1, "r4"), (None, "r2"), (3, None), (4, None)]
+    many = spark.createDataFrame([(i, f"n{i}", f"q{i}q") for i in range(3_000)] + [(5_000, "last", "x")], "priority int, name string, pattern string")
+    assert [r.rule for r in J.rules_join(df, many, "t").collect()] == [None, None, None, "last", None]
 
 
 def test_import_event(spark):

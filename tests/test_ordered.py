@@ -88,3 +88,39 @@ def test_chunks_follow_any_order_type(spark, monkeypatch):
         out, chunks = O.with_chunks(ids, c, 10)
         rows = [r["_chunk"] for r in out.orderBy(c).select("_chunk").collect()]
         assert rows == sorted(rows) and 15 <= chunks <= 20 and len(set(rows)) >= 15
+
+
+@pytest.mark.parametrize("rows_per_chunk", [2, 3, 5, 1_000_000])
+def test_packing_of_fractions_and_nulls_is_the_same_in_chunks(spark, rows_per_chunk):
+    rows = [("k", i, s) for i, s in enumerate([0.6] * 9 + [None, 0.4, 0.4, 0.2, 1.5, 0.1, None, 0.9])] + [(None, i, 0.5) for i in range(7)]
+    df = spark.createDataFrame(rows, "k string, o int, size double")
+    got = {(r.k, r.o): r.batch for r in O.pack_batches(df, "size", 1, ["o"], ["k"], rows_per_chunk).collect()}
+    want = {}
+    for key in ("k", None):
+        used, batch = None, 0
+        for k, o, s in rows:
+            if k == key:
+                units = round((s or 0) * 1_000_000)
+                if used is None:
+                    used = units
+                elif used + units > 1_000_000:
+                    used, batch = units, batch + 1
+                else:
+                    used += units
+                want[k, o] = batch
+    assert got == want
+
+
+@pytest.mark.parametrize("rows_per_chunk", [1, 4, 1_000_000])
+def test_texts_can_be_the_order(spark, rows_per_chunk):
+    df = spark.createDataFrame([("k", f"n{i:04d}", int(i % 3 == 0)) for i in range(700)], "k string, o string, items int")
+    got = {r.o: (r.pages_processed, r.zero_streak) for r in O.zero_streak(df, ["k"], ["o"], "items", rows_per_chunk=rows_per_chunk).collect()}
+    assert got == {f"n{i:04d}": (i + 1, i % 3) for i in range(700)}
+
+
+@pytest.mark.parametrize("n", [1, 7, 1500])
+def test_limits_are_one_path(spark, n):
+    df = spark.createDataFrame([("hot" if i % 4 else None, i) for i in range(2_000)], "k string, o int")
+    got = sorted((str(r.k), r.o) for r in O.limit_items(df, n, ["o"], ["k"]).collect())
+    want = sorted((str(k), o) for k in ("hot", None) for o in [i for i in range(2_000) if ("hot" if i % 4 else None) == k][:n])
+    assert got == want

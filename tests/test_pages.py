@@ -139,9 +139,11 @@ def test_sitemap_frontier(spark):
         ("https://h/d.xml", loc("https://h/4")), ("https://h/e.xml", loc("https://h/5")), ("https://h/deep.xml", loc("https://h/6")),
         ("https://g/sitemap.xml", loc("https://g/1")),
     ], "url string, xml string")
-    got = [(r.host, r.url) for r in FR.sitemap_frontier(sites, rules, docs).orderBy("host", "doc_no", "pos").collect()]
+    got = [(r.host, r.url) for r in FR.sitemap_frontier(sites, rules, docs, max_sitemaps=5).orderBy("host", "doc_no", "pos").collect()]
     # five documents per site: index, a, b, c (malformed), d
     assert got == [("g", "https://g/1"), ("h", "https://h/1"), ("h", "https://h/2"), ("h", "https://h/3"), ("h", "https://h/4")]
+    every = [r.url for r in FR.sitemap_frontier(sites, rules, docs).filter("host = 'h'").orderBy("doc_no", "pos").collect()]
+    assert every == [f"https://h/{i}" for i in range(1, 7)]
     few = FR.sitemap_frontier(sites, rules, docs, max_urls=2).groupBy("host").count().collect()
     assert {r.host: r["count"] for r in few} == {"g": 1, "h": 2}
 

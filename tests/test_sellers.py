@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from leadloom.functions.user_code import run_adapter, run_extractor
 from leadloom.operators import sellers as S
 
@@ -18,6 +20,12 @@ def test_page_with_embedded_seller(spark):
     assert (b.business_name, b.email, b.phone, b.rating, b.rating_out_of) == ("Plain Ltd", "x@plain.de", "", None, None)
 
 
+def test_object_cut_knows_strings(spark):
+    cases = {'{"a":"}","b":2} rest }': '{"a":"}","b":2}', '{"a":"\\\\","b":{"c":"{"}},x': '{"a":"\\\\","b":{"c":"{"}}', '{"a":"\\"}"}z': '{"a":"\\"}"}', '{"open":1': None, "": None}
+    got = spark.createDataFrame(list(cases.items()), "t string, want string").withColumn("got", S._balanced_object(F.col("t"))).collect()
+    assert all(r.got == r.want for r in got), got
+
+
 def test_api_without_attributes(spark):
     df = spark.createDataFrame([(1, '{"errors":[]}', "u")], "seller_id long, body string, url string")
     r = S.seller_from_api(df).first()

@@ -58,13 +58,6 @@ def test_write_with_log_counts_in_one_pass(spark, tmp_path):
     assert (r.row_count, r.source_name) == (7, "Fair")
 
 
-def test_map_keys_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(W, "MAX_MAP_COLUMNS", 3)
-    df = spark.range(10).select(F.create_map(F.col("id").cast("string"), F.lit("v")).alias("social_media"))
-    with pytest.raises(ValueError):
-        W.map_keys_of(df, "social_media")
-
-
 def _batches(spark, path, frames):
     """Stream of the frames, one file per trigger in order."""
     import time
