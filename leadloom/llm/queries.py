@@ -82,7 +82,24 @@ def op5(spark, folder):
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
-@query("op6_secret_scan")
+@query(
+    "op6_secret_scan",
+    r"""
+    WITH r(kind, rank, re, part, least) AS (VALUES
+        ('assign', 0, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 8),
+        ('access', 1, 'AKIA[A-Z0-9]+', 0, 16), ('hex', 2, '[0-9a-f]+', 0, 32),
+        ('pem', 3, '-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----', 0, 0), ('jwt', 4, 'eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}', 0, 0)),
+    t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    m AS (SELECT doc_id, kind, rank, part, least, re, regexp_extract_all(text, re) AS v, string_split_regex(text, re) AS p FROM t, r),
+    u AS (SELECT doc_id, kind, rank, least, CASE WHEN part = 2 THEN length(regexp_extract(x, re, 2)) ELSE length(x) END AS n, length(x) AS size, start
+          FROM (SELECT *, unnest(v) AS x, unnest(list_transform(range(1, len(v) + 1), lambda i: list_sum(list_transform(p[1:i], lambda a: length(a))) + coalesce(list_sum(list_transform(v[1:i - 1], lambda b: length(b))), 0))) AS start FROM m)),
+    f AS (SELECT doc_id, kind, rank, start::BIGINT AS start, concat_ws(':', kind, start::BIGINT, (start + size)::BIGINT) AS span FROM u WHERE n >= least),
+    g AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS a, count(*) FILTER (WHERE kind = 'access') AS b, count(*) FILTER (WHERE kind = 'hex') AS c,
+          string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE rank < 3) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans FROM f GROUP BY doc_id)
+    SELECT t.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM t LEFT JOIN g USING (doc_id)
+    """,
+)
 def op6(spark, folder):
     return secrets.secret_report(table(spark, folder, "documents"))
 
