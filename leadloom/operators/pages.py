@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadloom.functions.nested import array_objects, find_items_list, flat_entries, let, map_from_entries_last, object_entries
+from leadloom.functions.nested import (
+    array_objects, find_items_list, flat_entries, flatten_json, json_path_items, let, map_from_entries_last, object_entries,
+)
 from leadloom.functions.text import _c, clean_text, contains_any, strip_tags_keep_lines, trim_ws
 from leadloom.functions.urls import id_from_href, resolve_url, url_host
 from leadloom.operators.classify import is_junk_field
@@ -399,6 +401,18 @@ def embedded_source(dom: DataFrame, key: str = "page_id") -> DataFrame:
     )
 
 
+def embedded_items(dom: DataFrame, selector: str, attribute: str | None, path: str | None, key: str = "page_id") -> DataFrame:
+    """(key, pos, item): items of a known embedded source as flat maps, in order.
+
+    The JSON is the attribute of the first node that the selector finds, or its text; `path` is a dot path in
+    it. A list gives its objects, an object itself; anything else, and a page without the node, nothing.
+    """
+    node = F.get(select(selector), F.lit(0))
+    raw = attr(node, attribute) if attribute else node_text(node, "")
+    rows = dom.select(key, F.posexplode(json_path_items(raw, path)).alias("pos", "_json"))
+    return rows.select(key, "pos", flatten_json("_json").alias("item"))
+
+
 def detail_api_score(url: Column, body: Column) -> Column:
     """How likely a JSON response is the detail API; negative means noise, as is anything but an object."""
     low = F.lower(url)
@@ -610,11 +624,10 @@ def _first_rule(low: Column, rules: Sequence[tuple[str, str]]) -> Column:
     return F.coalesce(*[F.when(_matches_any(low, p), F.lit(n)) for n, p in rules])
 
 
-def _any_rule(low: Column, rules: Sequence[str]) -> Column:
-    hit = F.lit(False)
-    for r in rules:
-        hit = hit | (F.rlike(low, F.lit("(?i)" + r)) if "(" in r else _matches_any(low, r))
-    return F.coalesce(hit, F.lit(False))
+def _first_marker(low: Column, rules: Sequence[str]) -> Column:
+    """First 40 characters of the first rule that matches, NULL if none does."""
+    hit = lambda r: F.rlike(low, F.lit("(?i)" + r)) if "(" in r else _matches_any(low, r)
+    return F.coalesce(*[F.when(hit(r), F.lit(r[:40])) for r in rules])
 
 
 def fingerprint(html: Column | str, headers: Column | None = None, max_chars: int | None = None) -> Column:
@@ -627,8 +640,8 @@ def fingerprint(html: Column | str, headers: Column | None = None, max_chars: in
     def from_html(low: Column) -> Column:
         return F.struct(
             _first_rule(low, CMS_RULES).alias("cms"), _first_rule(low, SHOP_RULES).alias("shop"),
-            _first_rule(low, JS_RULES).alias("js"), _any_rule(low, SPA_RULES).alias("spa"),
-            _any_rule(low, API_RULES).alias("api"),
+            _first_rule(low, JS_RULES).alias("js"), _first_marker(low, SPA_RULES).alias("spa"),
+            _first_marker(low, API_RULES).alias("api"),
             # the tag is searched only where the word occurs
             F.when(F.contains(low, F.lit("generator")), F.regexp_extract(text, GENERATOR_RE, 1)).otherwise("").alias("generator"),
         )
@@ -647,11 +660,13 @@ def fingerprint(html: Column | str, headers: Column | None = None, max_chars: in
     def report(f: Column) -> Column:
         by_generator = F.coalesce(*[F.when(F.contains(F.lower(f["generator"]), F.lit(g)), F.lit(n)) for g, n in GENERATORS])
         signals = F.array_compact(F.array(
-            labelled("Server: ", get("server")), labelled("CDN: ", cdn), labelled("X-Powered-By: ", powered),
+            labelled("Server: ", get("server")), labelled("CDN: ", F.when(cdn == "Cloudflare", F.lit("Cloudflare (cf-ray)")).otherwise(cdn)),
+            labelled("X-Powered-By: ", powered),
+            F.when(next_js.isNull() & F.contains(F.lower(powered), F.lit("express")), F.lit("Node/Express backend detected")),
             F.when(api_type, F.concat(F.lit("API evidence: Content-Type="), content_type)),
             labelled("CMS signal: ", f["cms"]), labelled("Ecommerce signal: ", f["shop"]),
-            labelled("JS framework signal: ", f["js"]), F.when(f["spa"], F.lit("SPA marker")),
-            F.when(f["api"], F.lit("API evidence in HTML")), labelled("Generator: ", f["generator"]),
+            labelled("JS framework signal: ", f["js"]), labelled("SPA marker: ", f["spa"]),
+            labelled("API evidence in HTML: ", f["api"]), labelled("Generator: ", f["generator"]),
         ))
         return F.struct(
             F.coalesce(f["cms"], by_generator).alias("cms"),
@@ -659,8 +674,8 @@ def fingerprint(html: Column | str, headers: Column | None = None, max_chars: in
             F.coalesce(next_js, f["js"]).alias("js_framework"),
             cdn.alias("cdn"),
             F.nullif(F.substring_index(get("server"), "/", 1), F.lit("")).alias("server"),
-            (api_type | f["api"]).alias("has_api"),
-            f["spa"].alias("is_spa"),
+            (api_type | f["api"].isNotNull()).alias("has_api"),
+            f["spa"].isNotNull().alias("is_spa"),
             signals.alias("signals"),
         )
 

@@ -134,6 +134,17 @@ def _(t):
     return best.select("page_id", "score", "path", "attribute", "total", F.get_json_object(F.get("items", F.lit(0)), "$.name").alias("first_name"))
 
 
+@query(
+    "ht10_embedded_items",
+    """SELECT s_suppkey AS page_id, 0 AS pos, '1' AS id, s_name AS name, 'w' AS website, 'c' AS city FROM supplier
+      UNION ALL SELECT s_suppkey, 1, '2', s_name || ' second company', 'w2', NULL FROM supplier""",
+)
+def _(t):
+    rows = P.embedded_items(page_dom(t.spark.sql(EMBED, supplier=t.supplier)), "div.app", "data-info", "results")
+    at = lambda k: F.col("item")[k]
+    return rows.select("page_id", "pos", at("id").alias("id"), at("name").alias("name"), at("values.website").alias("website"), at("values.city").alias("city"))
+
+
 @query(
     "ht11_score_api_responses",
     """SELECT id, 'detail' AS kind, CASE WHEN s5 = 0 OR id % 7 = 0 OR kind = 0 THEN -1000 ELSE 15 + CASE kind WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 22 END END AS score FROM (SELECT *, CASE WHEN id % 5 = 0 THEN 0 ELSE 1 END AS s5 FROM {api_bodies}) UNION ALL

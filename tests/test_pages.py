@@ -154,3 +154,32 @@ def test_robots(spark):
     assert [(r.kind, r.value) for r in rules.orderBy("line_no").collect()] == [("disallow", "/admin/"), ("disallow", "/tmp*"), ("crawl_delay", "2"), ("sitemap", "https://h/s.xml")]
     urls = spark.createDataFrame([("h", "https://h/admin/settings"), ("h", "https://h/tmp/f"), ("h", "https://h/ok"), ("z", "https://z/admin/")], "host string, url string")
     assert sorted(r.url for r in FR.filter_allowed(urls, rules).collect()) == ["https://h/ok", "https://z/admin/"]
+
+
+def test_fingerprint_signals(spark):
+    pages = [
+        (1, "<link href=/wp-content/x><meta name='generator' content='WordPress 6'>", {"server": "nginx/1.25", "cf-ray": "x"}),
+        (2, '<div id="__next">', {"x-powered-by": "Express"}),
+        (3, "<html ng-app><a href=/api/v2/x>", {"x-powered-by": "Next.js", "via": "1.1 akamai", "content-type": "application/json"}),
+        (4, "plain", {}),
+    ]
+    df = spark.createDataFrame(pages, "id int, html string, headers map<string,string>")
+    got = {r.id: r.f for r in df.select("id", P.fingerprint("html", F.col("headers")).alias("f")).collect()}
+    assert got[1].signals == ["Server: nginx/1.25", "CDN: Cloudflare (cf-ray)", "CMS signal: WordPress", "Generator: WordPress 6"]
+    assert got[2].signals == [
+        "X-Powered-By: Express", "Node/Express backend detected", "JS framework signal: Next.js", 'SPA marker: <div\\s+id="(?:app|root|__next|__nuxt|___',
+    ]
+    assert got[3].signals == [
+        "CDN: Akamai", "X-Powered-By: Next.js", "API evidence: Content-Type=application/json", "JS framework signal: Angular",
+        "SPA marker: ng-app|ng-version", "API evidence in HTML: /api/v\\d|/api/graphql|/graphql",
+    ]
+    assert got[4].signals == [] and not got[4].is_spa and not got[4].has_api and got[2].is_spa
+
+
+def test_embedded_items_of_a_known_source(spark):
+    html = """<x-list data-info='{"results":[{"id":"1","path":"/acme","values":{"name":"Acme","n":null}},7,{"id":"2"}]}'>t</x-list><script id="s">{"a":{"b":1}}</script>"""
+    dom = page_dom(spark.createDataFrame([(1, html), (2, "<p>none</p>"), (3, None)], "page_id int, html string"))
+    rows = P.embedded_items(dom, "x-list", "data-info", "results").orderBy("page_id", "pos").collect()
+    assert [(r.page_id, r.pos, r.item) for r in rows] == [(1, 0, {"id": "1", "path": "/acme", "values.name": "Acme", "values.n": None}), (1, 1, {"id": "2"})]
+    assert [r.item for r in P.embedded_items(dom, "#s", None, None).collect()] == [{"a.b": "1"}]
+    assert P.embedded_items(dom, "x-list", "data-info", "nothing.here").count() == 0
