@@ -178,7 +178,7 @@ def test_fingerprint_signals(spark):
 
 def test_embedded_items_of_a_known_source(spark):
     html = """<x-list data-info='{"results":[{"id":"1","path":"/acme","values":{"name":"Acme","n":null}},7,{"id":"2"}]}'>t</x-list><script id="s">{"a":{"b":1}}</script>"""
-    dom = page_dom(spark.createDataFrame([(1, html), (2, "<p>none</p>"), (3, None)], "page_id int, html string"))
+    dom = DM.page_dom(spark.createDataFrame([(1, html), (2, "<p>none</p>"), (3, None)], "page_id int, html string"))
     rows = P.embedded_items(dom, "x-list", "data-info", "results").orderBy("page_id", "pos").collect()
     assert [(r.page_id, r.pos, r.item) for r in rows] == [(1, 0, {"id": "1", "path": "/acme", "values.name": "Acme", "values.n": None}), (1, 1, {"id": "2"})]
     assert [r.item for r in P.embedded_items(dom, "#s", None, None).collect()] == [{"a.b": "1"}]
