@@ -36,7 +36,7 @@ from leadloom.llm.common import small_batches, stored
 #: Bytes of a string that counts as a repeat, of the k-gram that anchors it.
 LEAST, GRAM = 100, 32
 #: Contexts of one hash that are sorted together; more are grouped string by string. Bytes of a sorted block, of a symbol.
-TOGETHER, BLOCK, SYMBOL = 256, 1 << 16, 16
+TOGETHER, BLOCK, SYMBOL = 20_000, 1 << 16, 16
 #: An anchor's record packs its distance from the first string start above the number of starts.
 PACK = 1 << 12
 #: Bytes of a document that are hashed at once.
