@@ -1,8 +1,8 @@
 """Exact dedup: 128-bit content hash, one stable row per group, bytes compared inside groups.
 
 Hashes meet first, as 16-byte keys that are counted before they are shuffled. Bytes are compared only for
-rows whose hash may be in a group: the hashes of groups are folded into a bitmap of fixed size that every
-scan tests, so that texts of unique documents stay where they are. A fuller bitmap lets more rows through
+rows whose hash may be in a group: the hashes of groups are folded into bitmaps of fixed size that are
+broadcast, so that texts of unique documents stay where they are. A fuller bitmap lets more rows through
 and changes no result. Rows that share a hash but not the bytes form groups of their own.
 """
 
@@ -15,32 +15,27 @@ from pyspark.sql import functions as F
 
 from leadloom.llm.common import hex_sha256, id_and_text, stored
 
-#: Bits of the bitmap of group hashes; it is a literal of so many bits in the plan, whatever the input.
-BITMAP_BITS = 1 << 23
+#: Bits of all bitmaps of group hashes together, whatever the input; Spark's bitmaps have 2 ** 15 bits each.
+BITMAP_BITS, ONE_BITMAP = 1 << 23, 1 << 15
 
 
 def md5_128(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def _bit(key: Column, bits: int) -> Column:
+def _slot(key: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(bits))
 
 
-def _bitmap(groups: DataFrame, bits: int) -> bytes:
-    """One bit per slot that holds a key; at most bits / 8 bytes come to the driver."""
-    slot = _bit(F.col("content"), bits)
-    words = groups.groupBy((F.floor(slot / 32)).cast("long").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 32).cast("int"))).alias("set"))
-    out = bytearray(bits // 8)
-    for word, value in words.toLocalIterator():
-        out[4 * word : 4 * word + 4] = value.to_bytes(4, "little")
-    return bytes(out)
-
-
-def _maybe(key: Column, bitmap: bytes) -> Column:
-    slot = _bit(key, len(bitmap) * 8)
-    byte = F.conv(F.hex(F.substring(F.lit(bitmap), (F.floor(slot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte.cast("long"), (slot % 8).cast("int")) == 1
+def _maybe_in(rows: DataFrame, groups: DataFrame, bits: int) -> DataFrame:
+    """Rows whose `content` may be that of a group: all that are, and others that share their bit. The table
+    that is broadcast has bits / ONE_BITMAP rows of 4 KB at most."""
+    slot = _slot(F.col("content"), bits)
+    maps = groups.groupBy(F.floor(slot / ONE_BITMAP).alias("_map")).agg(F.bitmap_construct_agg(slot % ONE_BITMAP).alias("_bits"))
+    met = rows.withColumn("_slot", slot).join(F.broadcast(maps), F.floor(F.col("_slot") / ONE_BITMAP) == F.col("_map"))
+    at = F.col("_slot") % ONE_BITMAP
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return met.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(rows.columns)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = True, content: Callable[[Column], Column] = md5_128, bitmap_bits: int = BITMAP_BITS) -> DataFrame:
@@ -57,8 +52,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept = [F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), F.col("best.text_sha256").alias("keep_sha")]
     groups = light.groupBy("content").agg(F.count("*").alias("n"), best.alias("best")).filter("n > 1")
     shared = stored(groups.select("content", "n", *kept), "groups")
-    maybe = text.filter(_maybe(F.col("content"), _bitmap(shared, bitmap_bits)))
-    members = maybe.join(shared, "content").select("content", "text", (F.col("text_sha256") == F.col("keep_sha")).alias("named"))
+    members = _maybe_in(text, shared, bitmap_bits).join(shared, "content").select("content", "text", (F.col("text_sha256") == F.col("keep_sha")).alias("named"))
     # copies are folded where they are read: what meets is each text of a group once per task
     texts = members.groupBy("content", "text").agg(F.max("named").alias("named"))
     kept_text = texts.filter("named").groupBy("content").agg(F.min("text").alias("kept_text"))
