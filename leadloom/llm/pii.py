@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.llm import spans as S
-from leadloom.llm.common import hex_sha256, id_and_text
+from leadloom.llm.common import hex_sha256, id_and_text, stored
 
 #: Fixed values of the contract. Possessive runs and a look behind keep each scan linear: a run that fails at its
 #: first character fails at all others, and `\G` lets a match start right behind the one before.
@@ -70,28 +70,36 @@ def _with_value(kind: str, rank: int):
     return lambda x: F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), x["start"].alias("start"), x["stop"].alias("stop"), x["value"].alias("value"))
 
 
-def _scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = id_and_text(docs, id_col, text_col)
-    return rows.withColumn("text_key", F.xxhash64("text")).withColumn("base", base_spans(F.col("text")))
+def _near_terms(text: Column, base: Column, chars: int) -> Column:
+    """array<struct<entity, term, start, stop>> of the terms in the contexts of all entities of a text."""
+    length = F.length(text)
 
+    def shifted(hits: Column, by: Column, entity: Column) -> Column:
+        return F.transform(hits, lambda x: F.struct(entity.alias("entity"), F.lower(x["value"]).alias("term"), (x["start"] + by).alias("start"), (x["stop"] + by).alias("stop")))
+
+    def of(e: Column) -> Column:
+        begin = F.greatest(e["start"] - chars, F.lit(0))
+        left, right = F.substring(text, begin + 1, e["start"] - begin), F.substring(text, e["stop"] + 1, F.lit(chars))
+        # a word that the window's outer edge may have cut is left out
+        before = F.filter(S.matches(left, TERM), lambda x: (x["start"] > 0) | (begin == 0))
+        after = F.filter(S.matches(right, TERM), lambda x: (x["stop"] < chars) | (e["stop"] + chars >= length))
+        entity = F.lower(e["value"])
+        return F.concat(shifted(before, begin, entity), shifted(after, e["stop"], entity))
+
+    terms = F.flatten(F.transform(base, of))
+    return F.filter(terms, lambda t: ~F.exists(base, lambda b: (t["start"] < b["stop"]) & (b["start"] < t["stop"])))
 
-def _contexts(scanned: DataFrame, chars: int) -> DataFrame:
-    """One row per term in the context of an entity: doc_id, text_key, entity, term, start, stop."""
-    one = scanned.filter(F.size("base") > 0).select("doc_id", "text_key", "text", "base", F.explode("base").alias("e"))
-    begin = F.greatest(F.col("e.start") - chars, F.lit(0))
-    left, right = F.substring("text", begin + 1, F.col("e.start") - begin), F.substring("text", F.col("e.stop") + 1, F.lit(chars))
-    one = one.select("doc_id", "text_key", "base", "e", begin.alias("begin"), left.alias("left"), right.alias("right"), F.length("text").alias("n"))
 
-    def shifted(hits: Column, by: Column) -> Column:
-        return F.transform(hits, lambda x: F.struct((x["start"] + by).alias("start"), (x["stop"] + by).alias("stop"), F.lower(x["value"]).alias("term")))
+def _scanned(docs: DataFrame, id_col: str, text_col: str, chars: int) -> DataFrame:
+    """One scan of the texts: doc_id, text_key, base spans and near terms of every row, as a stored table."""
+    rows = id_and_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text")).withColumn("base", base_spans(F.col("text")))
+    near = F.when(F.size("base") > 0, _near_terms(F.col("text"), F.col("base"), chars))
+    return stored(rows.select("doc_id", "text_key", "base", near.alias("near")), "personal-data")
 
-    # a word that the window's outer edge may have cut is left out
-    before = F.filter(S.matches(F.col("left"), TERM), lambda x: (x["start"] > 0) | (F.col("begin") == 0))
-    after = F.filter(S.matches(F.col("right"), TERM), lambda x: (x["stop"] < chars) | (F.col("e.stop") + chars >= F.col("n")))
-    terms = F.concat(shifted(before, F.col("begin")), shifted(after, F.col("e.stop")))
-    free = F.filter(terms, lambda t: ~F.exists("base", lambda b: (t["start"] < b["stop"]) & (b["start"] < t["stop"])))
-    out = one.select("doc_id", "text_key", F.lower("e.value").alias("entity"), F.explode(free).alias("t"))
-    return out.select("doc_id", "text_key", "entity", F.col("t.term").alias("term"), F.col("t.start").alias("start"), F.col("t.stop").alias("stop"))
+
+def _contexts(scanned: DataFrame) -> DataFrame:
+    """One row per term in the context of an entity: doc_id, text_key, entity, term, start, stop."""
+    return scanned.filter("near is not null").select("doc_id", "text_key", F.inline("near"))
 
 
 def disclosing_terms(
@@ -101,34 +109,39 @@ def disclosing_terms(
 
     Counts cover all rows: c, df(t), df(e) and N count rows of the table. Terms are letters only, lower case.
     """
-    scanned = _scanned(docs, id_col, text_col)
-    total = scanned.agg(F.count("*").alias("n_docs"))
+    return _disclosing(docs, _scanned(docs, id_col, text_col, context_chars), text_col, least_docs, threshold)
+
+
+def _disclosing(docs: DataFrame, scanned: DataFrame, text_col: str, least_docs: int, threshold: float) -> DataFrame:
+    n_docs = F.lit(scanned.count())
     # a document counts once for a pair: its repeats are taken out inside the document, without a shuffle
-    terms_of = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    df_term = scanned.select(F.explode(terms_of).alias("term")).groupBy("term").agg(F.count("*").alias("df_term"))
+    terms_of = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.lit(TERM), F.lit(0)))
+    df_term = docs.select(F.explode(terms_of).alias("term")).groupBy("term").agg(F.count("*").alias("df_term"))
     entities = F.array_distinct(F.transform("base", lambda x: F.lower(x["value"])))
     df_entity = scanned.select(F.explode(entities).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
-    once = _contexts(scanned, context_chars).groupBy("doc_id", "text_key", "entity", "term").agg(F.count("*").alias("times"))
+    once = _contexts(scanned).groupBy("doc_id", "text_key", "entity", "term").agg(F.count("*").alias("times"))
     pairs = once.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= least_docs)
-    joined = pairs.join(df_entity, "entity").join(df_term, "term").crossJoin(F.broadcast(total))  # one row of one number
-    information = F.log2(F.col("n_docs") / F.col("df_entity"))
-    pmi = F.log2(F.col("both") * F.col("n_docs") / (F.col("df_term") * F.col("df_entity")))
+    joined = pairs.join(df_entity, "entity").join(df_term, "term")
+    information = F.log2(n_docs / F.col("df_entity"))
+    pmi = F.log2(F.col("both") * n_docs / (F.col("df_term") * F.col("df_entity")))
     share = F.when(information > 0, pmi / information).otherwise(0.0)
     return joined.select("entity", "term", share.alias("disclosure")).filter(F.col("disclosure") >= threshold)
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def find_personal_data(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", context_chars: int = CONTEXT_CHARS, least_docs: int = LEAST_DOCS, threshold: float = THRESHOLD
+) -> DataFrame:
     """doc_id, text_key, `base` spans and `terms` spans (array<struct<kind, rank, start, stop>>) per input row.
 
     Null text counts as empty; a null id stays null; rows that repeat id and text share their spans; an empty
     table gives an empty one; other columns are left out. No text is shuffled: only spans meet.
     """
-    scanned = _scanned(docs, id_col, text_col)
-    terms = disclosing_terms(docs, id_col, text_col, **options)
-    near = _contexts(scanned, options.get("context_chars", CONTEXT_CHARS)).join(terms.select("entity", "term"), ["entity", "term"])
+    scanned = _scanned(docs, id_col, text_col, context_chars)
+    terms = _disclosing(docs, scanned, text_col, least_docs, threshold)
+    near = _contexts(scanned).join(terms.select("entity", "term"), ["entity", "term"])
     span = F.struct(F.lit("term").alias("kind"), F.lit(len(KINDS)).alias("rank"), "start", "stop")
     grouped = near.groupBy("doc_id", "text_key").agg(F.collect_set(span).alias("terms"))
-    left, right = scanned.drop("text").alias("a"), grouped.alias("b")
+    left, right = scanned.drop("near").alias("a"), grouped.alias("b")
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_key") == F.col("b.text_key"))
     return left.join(right, same, "left").select("a.doc_id", "a.text_key", "a.base", F.coalesce("b.terms", S.no_spans()).alias("terms"))
 
