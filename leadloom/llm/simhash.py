@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from leadloom.llm.common import binary_array, small_batches, stored
 from leadloom.llm.components import components
+from leadloom.llm.exact_dedup import BITMAP_BITS, _maybe_in
 
 #: The contract's fingerprint: words per shingle, seed of XXH64, largest distance of a link.
 WORDS, SEED, MAX_DISTANCE = 3, 42, 3
@@ -365,36 +366,169 @@ def _named(keyed: DataFrame, route_bytes: int, reach: int, far: int) -> DataFram
     least = keyed.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("route").alias("route"), F.first("check").alias("check"))
     nodes = stored(least, "nodes")
     roots = components(near_links(nodes.select("node", "route", "check"), route_bytes, reach, far))
+    return _of_roots(keyed, nodes, roots)
+
+
+def _of_roots(keyed: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """`keyed` (node, ...) with the least id of all nodes (node, least) that have the same root."""
     tops = nodes.select("node", "least").join(roots, "node").groupBy("root").agg(F.min("least").alias("component_id"))
     of = nodes.select("node", "least").join(roots.join(tops, "root").select("node", "component_id"), "node", "left")
     named = of.select("node", F.coalesce("component_id", "least").alias("component_id"))
     return keyed.join(named, "node")
 
 
-#: Similarity stages: words of a shingle, least Jaccard similarity, lanes of 64 bits of the two fingerprints,
-#: and half a standard error of the estimate, by which a link may fall short of it.
-SIMILAR_WORDS, SIMILARITY, ROUTE_LANES, CHECK_LANES, SLACK = 5, 0.8, 4, 8, 0.02
+#: Similarity stages: words of a shingle, least Jaccard similarity, MinHash values of a candidate key (a band), and
+#: the share of pairs at the least similarity that may miss each other in all bands (fewer of the pairs above it).
+SIMILAR_WORDS, SIMILARITY, BAND_ROWS, MISSED = 5, 0.8, 6, 0.001
+
+
+def bands_for(similarity: float) -> int:
+    """Bands that all but `MISSED` of the pairs with this similarity share at least one of."""
+    return math.ceil(math.log(MISSED) / math.log(1 - min(similarity, 1 - 1e-9) ** BAND_ROWS))
+
+
+def band_keys(hashes: np.ndarray, count: int) -> np.ndarray:
+    """`count` 64-bit keys of a set of hashes, none of an empty one. Two sets share key k with their Jaccard
+    similarity to the power of BAND_ROWS, whatever the difference looks like."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    n = np.arange(count * BAND_ROWS, dtype=np.uint64)
+    flip, times = _mixed(n, 1)[:, None], (_mixed(n, 2) | np.uint64(1))[:, None]
+    step = max(1, CELLS // len(n) // 8)
+    least = np.min([((hashes[None, i : i + step] ^ flip) * times).min(axis=1) for i in range(0, len(hashes), step)], axis=0)
+    keys = _mixed(np.arange(count, dtype=np.uint64), 3)
+    for row in least.reshape(count, BAND_ROWS).T:
+        keys = _mixed(keys ^ row, 4)
+    return keys.view(np.int64)
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """Distinct shingle hashes of a text, sorted."""
+    parts = list(shingle_hashes(text, words))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
 
+def similar_roots(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The component of each set (its smallest member's place) over all pairs with a Jaccard similarity of
+    `similarity` or more, compared exactly.
 
-def far_for(similarity: float, bits: int) -> int:
-    """Differing bits of two SimHashes over sets with this Jaccard similarity, as expected."""
-    return round(bits * math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi)
+    A set that is similar to a hub joins its star, another becomes a hub. Distances 1 - Jaccard obey the triangle
+    inequality, so members of two stars are compared only where the distances to the hubs leave it open.
+    """
+    top, least = list(range(len(sets))), 1 - similarity + 1e-9
+
+    def root(i: int) -> int:
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    def union(i: int, j: int) -> None:
+        i, j = root(i), root(j)
+        top[max(i, j)] = min(i, j)
+
+    if not sets:
+        return np.zeros(0, np.int64)
+    size = np.array([len(x) for x in sets])
+    every, place = np.unique(np.concatenate(sets), return_inverse=True)
+    tokens = np.split(place, np.cumsum(size)[:-1])
+    mark = np.zeros(len(every), np.int64)
+
+    def distances(i: int, of: np.ndarray, joined: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        mark[tokens[i]] = 1
+        both = np.add.reduceat(mark[joined], starts)
+        mark[tokens[i]] = 0
+        return 1 - both / (size[i] + size[of] - both)
+
+    def packed(of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return of, np.concatenate([tokens[i] for i in of]), np.r_[0, np.cumsum(size[of])[:-1]]
+
+    hubs, stars, radius = [], {}, {}
+    buffer, starts, used = np.zeros(1 << 12, np.int64), [], 0
+    for i in range(len(sets)):
+        d = distances(i, np.array(hubs), buffer[:used], np.array(starts)) if hubs else np.ones(0)
+        near = np.flatnonzero(d <= least)
+        for k in near:
+            union(i, hubs[k])
+        if len(near):
+            k = near[np.argmin(d[near])]
+            stars[hubs[k]].append(i)
+            radius[hubs[k]] = max(radius[hubs[k]], d[k])
+            continue
+        while used + size[i] > len(buffer):
+            buffer = np.r_[buffer, np.zeros_like(buffer)]
+        buffer[used : used + size[i]] = tokens[i]
+        hubs.append(i), starts.append(used)
+        stars[i], radius[i], used = [i], 0.0, used + size[i]
+    at = packed(np.array(hubs))
+    wide = np.array([radius[h] for h in hubs])
+    for p, a in enumerate(hubs):
+        for q in np.flatnonzero(distances(a, *at) <= wide[p] + wide + least):
+            b = hubs[q]
+            if q <= p or root(a) == root(b) or len(stars[a]) + len(stars[b]) == 2:
+                continue
+            pair = packed(np.array([a, b]))
+            left = [x for x in stars[a] if distances(x, *pair)[1] <= least + radius[b]]
+            right = [y for y in stars[b] if distances(y, *pair)[0] <= least + radius[a]]
+            if left and right:
+                right = packed(np.array(right))
+                if any((distances(x, *right) <= least).any() for x in left):
+                    union(a, b)
+    return np.array([root(i) for i in range(len(sets))])
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per input row: doc_id and component_id, over links of about `similarity` or more.
+    """One row per input row: doc_id and component_id, over links of `similarity` or more.
 
-    At that similarity a 64-bit fingerprint differs in far more than three bits, so two fingerprints are used.
-    The trees split 256 bits over the distinct words, in which near copies share some 32-bit block within one
-    bit (expected for 97 % of pairs at 0.8, for more above); a link also asks that 512 bits over the distinct
-    word shingles differ in no more bits than sets of that similarity less `SLACK` do on average (standard error
-    about 0.04 of similarity). Nulls and repeats as in `near_groups`; rows of equal fingerprints are one node.
+    Candidates are documents that share a band of MinHash values of their distinct word shingles; their components
+    are named by stars of bands, without pairs. The texts of candidates (and others that share a bit of a bitmap)
+    then meet by component, where links are decided by the shingle sets themselves. What one task holds is the
+    largest component of candidates, 8 bytes a shingle. Nulls and repeats as in `near_groups`; rows of equal
+    shingle sets are one node.
     """
     small_batches(docs.sparkSession)
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(text, 1, SEED, ROUTE_LANES, True).alias("route"), fingerprint(text, words, SEED, CHECK_LANES, True).alias("check"))
-    rows = stored(rows.withColumn("node", F.xxhash64("route", "check")), "fingerprints")
-    return _named(rows, 8 * ROUTE_LANES, 1, far_for(similarity - SLACK, 64 * CHECK_LANES)).select("doc_id", "component_id")
+    count = bands_for(similarity)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("content"), text.cast("binary").alias("text"))
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), words) for t in batch.column(2)]
+            keys = [band_keys(x, count) for x in sets]
+            node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+            offsets = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
+            bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), bands], ["doc_id", "content", "node", "bands"])
+
+    rows = stored(texts.mapInArrow(sketched, "doc_id long, content long, node long, bands array<long>"), "sketches")
+    one = [F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "content", "bands")).alias("one")]
+    nodes = stored(rows.groupBy("node").agg(*one).select("node", "least", F.col("one.doc_id").alias("doc_id"), "one.content", "one.bands"), "nodes")
+    keys = nodes.select("node", F.explode("bands").alias("band"))
+    hubs = keys.groupBy("band").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1")
+    near = components(keys.join(hubs, "band").filter("node <> b").select(F.col("node").alias("a"), "b").distinct())
+    wanted = stored(nodes.join(near, "node").select("content", F.col("doc_id").alias("_id"), "node", F.col("root").alias("candidates")), "candidates")
+    met = _maybe_in(texts, wanted, BITMAP_BITS).join(wanted, "content").filter(F.col("doc_id").eqNullSafe(F.col("_id")))
+
+    def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, node, sets = None, [], []
+
+        def closed():
+            of = np.array(node, np.int64)[similar_roots(sets, similarity)] if node else np.zeros(0, np.int64)
+            return pa.RecordBatch.from_pydict({"node": pa.array(node, pa.int64()), "root": pa.array(of, pa.int64())})
+
+        for batch in batches:
+            for g, n, t in zip(*(batch.column(i) for i in range(3))):
+                g, n = g.as_py(), n.as_py()
+                if g != group:
+                    yield closed()
+                    group, node, sets = g, [], []
+                if not node or node[-1] != n:  # rows that repeat id and text
+                    node.append(n), sets.append(shingle_set(t.as_py(), words))
+        yield closed()
+
+    sorted_in = met.select("candidates", "node", "text").repartition("candidates").sortWithinPartitions("candidates", "node")
+    roots = stored(sorted_in.mapInArrow(rooted, "node long, root long"), "similar")
+    return _of_roots(rows.select("doc_id", "node"), nodes, roots).select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -88,3 +88,45 @@ def test_near_groups(spark):
         want.append((d, f"{fps[i]:016x}", min(ids) if ids else None))
     assert sorted(map(repr, got)) == sorted(map(repr, want))
     assert S.near_groups(docs.limit(0)).count() == 0
+
+
+def shingles(text, n=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or {tuple(w)}
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def edited(rnd, base, kind, share):
+    """A copy of a list of words whose five-word similarity to it is about `share` (appended, removed, replaced, scattered)."""
+    n, new = len(base), lambda k: [f"n{rnd.getrandbits(40)}" for _ in range(k)]
+    at = rnd.randrange(n // 4, n // 2)
+    if kind == "appended":
+        return base + new(round(n / share) - n)
+    if kind == "removed":
+        return base[:at] + base[at + round(n * (1 - share)) :]
+    if kind == "replaced":
+        k = round(n * (1 - share) / (1 + share)) - 4
+        return base[:at] + new(k) + base[at + k :]
+    out = list(base)
+    for i in rnd.sample(range(n), round(n * (1 - share) / (1 + share) / 5)):
+        out[i] = new(1)[0]
+    return out
+
+
+def test_similar_groups_link_edits_of_every_kind_and_only_those(spark):
+    rnd, texts = random.Random(9), []
+    for kind in ("appended", "removed", "replaced", "scattered"):
+        for share in (0.72, 0.76, 0.79, 0.83, 0.9):
+            for _ in range(12):
+                base = [f"w{rnd.getrandbits(40)}" for _ in range(rnd.randrange(150, 400))]
+                texts += [" ".join(base), " ".join(edited(rnd, base, kind, share))]
+    links = [(i, i + 1) for i in range(0, len(texts), 2) if jaccard(texts[i], texts[i + 1]) >= 0.8]
+    assert 60 < len(links) < 180
+    want = brute_components(links, range(len(texts)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in S.similar_groups(docs).collect()}
+    assert got == want
