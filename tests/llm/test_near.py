@@ -130,3 +130,18 @@ def test_similar_groups_link_edits_of_every_kind_and_only_those(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.component_id for r in S.similar_groups(docs).collect()}
     assert got == want
+
+
+def test_similar_roots_equal_brute_force():
+    rnd = random.Random(4)
+    for spread in (4, 12, 30):
+        pool = [[rnd.getrandbits(64) for _ in range(60)] for _ in range(3)]
+        sets = []
+        for _ in range(150):
+            own = list(rnd.choice(pool)) if rnd.random() < 0.6 or not sets else list(rnd.choice(sets))
+            for _ in range(rnd.randrange(spread)):
+                own[rnd.randrange(len(own))] = rnd.getrandbits(64)
+            sets.append(np.unique(np.array(own, np.uint64)))
+        links = [(i, j) for i in range(150) for j in range(i) if 5 * len(set(sets[i].tolist()) & set(sets[j].tolist())) >= 4 * len(set(sets[i].tolist()) | set(sets[j].tolist()))]
+        want = brute_components(links, range(150))
+        assert S.similar_roots(sets, 0.8).tolist() == [want[i] for i in range(150)]
