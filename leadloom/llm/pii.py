@@ -1,16 +1,18 @@
 """Personal data: contract patterns, and terms that reveal a protected entity (information-theoretic).
 
 A protected entity is the value of an e-mail, address, card or phone span. Over the whole corpus, every
-term in an entity's context is weighed by point-wise mutual information: PMI(t; e) = log2(c(t,e) N / (df(t)
-df(e))), with c the documents that hold t in a context of e and df document counts. IC(e) = log2(N / df(e))
-is what naming the entity would disclose, so PMI / IC is the share that the term alone discloses. Terms at
-or above `threshold` in at least `least_docs` documents become spans of kind `term`, in contexts of their
-entity only: a document without an entity is never touched. Everything is DataFrame functions.
+term of a document that names an entity is weighed by point-wise mutual information: PMI(t; e) =
+log2(c(t,e) N / (df(t) df(e))), with c the documents that hold both and df document counts. IC(e) =
+log2(N / df(e)) is what naming the entity would disclose, so PMI / IC is the share that the term alone
+discloses. Terms at or above `threshold` in at least `least_docs` documents become spans of kind `term`,
+wherever they stand in the documents of their entity: a document without an entity is never touched. In
+fewer documents the counts tell nothing: each word that occurs once would disclose all of an entity that
+occurs once. Everything is DataFrame functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.llm import spans as S
@@ -24,9 +26,9 @@ CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 KINDS = ("email", "ip", "card", "phone")
-TERM = r"\p{L}{4,}"
+#: A run of letters and digits, possessive and of any length.
+TERM = r"[\p{L}\p{N}]++"
 
-CONTEXT_CHARS = 80
 LEAST_DOCS = 3
 THRESHOLD = 0.6
 
@@ -70,56 +72,40 @@ def _with_value(kind: str, rank: int):
     return lambda x: F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), x["start"].alias("start"), x["stop"].alias("stop"), x["value"].alias("value"))
 
 
-def _near_terms(text: Column, base: Column, chars: int) -> Column:
-    """array<struct<entity, term, start, stop>> of the terms in the contexts of all entities of a text."""
-    length = F.length(text)
-
-    def shifted(hits: Column, by: Column, entity: Column) -> Column:
-        return F.transform(hits, lambda x: F.struct(entity.alias("entity"), F.lower(x["value"]).alias("term"), (x["start"] + by).alias("start"), (x["stop"] + by).alias("stop")))
-
-    def of(e: Column) -> Column:
-        begin = F.greatest(e["start"] - chars, F.lit(0))
-        left, right = F.substring(text, begin + 1, e["start"] - begin), F.substring(text, e["stop"] + 1, F.lit(chars))
-        # a word that the window's outer edge may have cut is left out
-        before = F.filter(S.matches(left, TERM), lambda x: (x["start"] > 0) | (begin == 0))
-        after = F.filter(S.matches(right, TERM), lambda x: (x["stop"] < chars) | (e["stop"] + chars >= length))
-        entity = F.lower(e["value"])
-        return F.concat(shifted(before, begin, entity), shifted(after, e["stop"], entity))
-
-    terms = F.flatten(F.transform(base, of))
-    return F.filter(terms, lambda t: ~F.exists(base, lambda b: (t["start"] < b["stop"]) & (b["start"] < t["stop"])))
+def _scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One scan of the texts: doc_id, text_key and base spans of every row, and of rows with an entity the text
+    outside them (`rest`, same places) with its terms, as a stored table."""
+    rows = id_and_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text")).withColumn("base", base_spans(F.col("text")))
+    named = rows.withColumn("rest", F.when(F.size("base") > 0, S.blanked(F.col("text"), F.col("base"))))
+    return stored(named.select("doc_id", "text_key", "base", "rest", _terms(F.col("rest")).alias("near")), "personal-data")
 
 
-def _scanned(docs: DataFrame, id_col: str, text_col: str, chars: int) -> DataFrame:
-    """One scan of the texts: doc_id, text_key, base spans and near terms of every row, as a stored table."""
-    rows = id_and_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text")).withColumn("base", base_spans(F.col("text")))
-    near = F.when(F.size("base") > 0, _near_terms(F.col("text"), F.col("base"), chars))
-    return stored(rows.select("doc_id", "text_key", "base", near.alias("near")), "personal-data")
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def _contexts(scanned: DataFrame) -> DataFrame:
-    """One row per term in the context of an entity: doc_id, text_key, entity, term, start, stop."""
-    return scanned.filter("near is not null").select("doc_id", "text_key", F.inline("near"))
+def _entities() -> Column:
+    return F.array_distinct(F.transform("base", lambda x: F.lower(x["value"])))
 
 
 def disclosing_terms(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", context_chars: int = CONTEXT_CHARS, least_docs: int = LEAST_DOCS, threshold: float = THRESHOLD
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_docs: int = LEAST_DOCS, threshold: float = THRESHOLD
 ) -> DataFrame:
     """(entity, term, disclosure) of all terms that disclose at least `threshold` of an entity's information.
 
-    Counts cover all rows: c, df(t), df(e) and N count rows of the table. Terms are letters only, lower case.
+    Counts cover all rows: c, df(t), df(e) and N count rows of the table. Terms are letters and digits, lower case.
     """
-    return _disclosing(docs, _scanned(docs, id_col, text_col, context_chars), text_col, least_docs, threshold)
+    return _disclosing(docs, _scanned(docs, id_col, text_col), text_col, least_docs, threshold)
 
 
 def _disclosing(docs: DataFrame, scanned: DataFrame, text_col: str, least_docs: int, threshold: float) -> DataFrame:
     n_docs = F.lit(scanned.count())
     # a document counts once for a pair: its repeats are taken out inside the document, without a shuffle
-    terms_of = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.lit(TERM), F.lit(0)))
-    df_term = docs.select(F.explode(terms_of).alias("term")).groupBy("term").agg(F.count("*").alias("df_term"))
-    entities = F.array_distinct(F.transform("base", lambda x: F.lower(x["value"])))
-    df_entity = scanned.select(F.explode(entities).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
-    once = _contexts(scanned).groupBy("doc_id", "text_key", "entity", "term").agg(F.count("*").alias("times"))
+    df_term = docs.select(F.explode(_terms(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df_term"))
+    named = scanned.filter(F.size("base") > 0).select("doc_id", "text_key", "near", F.explode(_entities()).alias("entity"))
+    df_entity = named.groupBy("entity").agg(F.count("*").alias("df_entity")).filter(F.col("df_entity") >= least_docs)
+    # an entity in fewer rows reaches no pair in enough of them
+    once = named.join(df_entity, "entity").select("doc_id", "text_key", "entity", F.explode("near").alias("term")).distinct()
     pairs = once.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= least_docs)
     joined = pairs.join(df_entity, "entity").join(df_term, "term")
     information = F.log2(n_docs / F.col("df_entity"))
@@ -129,19 +115,28 @@ def _disclosing(docs: DataFrame, scanned: DataFrame, text_col: str, least_docs:
 
 
 def find_personal_data(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", context_chars: int = CONTEXT_CHARS, least_docs: int = LEAST_DOCS, threshold: float = THRESHOLD
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_docs: int = LEAST_DOCS, threshold: float = THRESHOLD
 ) -> DataFrame:
     """doc_id, text_key, `base` spans and `terms` spans (array<struct<kind, rank, start, stop>>) per input row.
 
     Null text counts as empty; a null id stays null; rows that repeat id and text share their spans; an empty
-    table gives an empty one; other columns are left out. No text is shuffled: only spans meet.
+    table gives an empty one; other columns are left out. Only texts of entities with disclosing terms are shuffled.
     """
-    scanned = _scanned(docs, id_col, text_col, context_chars)
+    scanned = _scanned(docs, id_col, text_col)
     terms = _disclosing(docs, scanned, text_col, least_docs, threshold)
-    near = _contexts(scanned).join(terms.select("entity", "term"), ["entity", "term"])
+    told = terms.groupBy("entity").agg(F.collect_set("term").alias("told"))
+    named = scanned.filter(F.size("base") > 0).select("doc_id", "text_key", "rest", F.explode(_entities()).alias("entity")).join(told, "entity")
+    merged = named.groupBy("doc_id", "text_key").agg(F.first("rest").alias("rest"), F.array_distinct(F.flatten(F.collect_set("told"))).alias("told"))
+    # places of the words are running sums of the lengths of words and of what is between them
+    pieces = F.arrays_zip(F.split("rest", TERM, -1).alias("piece"), F.regexp_extract_all("rest", F.lit(TERM), F.lit(0)).alias("value"))
+    words = merged.select("doc_id", "text_key", F.posexplode(pieces).alias("at", "x")).select("doc_id", "text_key", "at", "x.*")
+    stop = F.sum(F.length("piece") + F.coalesce(F.length("value"), F.lit(0))).over(Window.partitionBy("doc_id", "text_key").orderBy("at")).cast("int")
+    placed = words.withColumn("stop", stop).filter("value is not null").withColumn("start", F.col("stop") - F.length("value")).withColumn("term", F.lower("value"))
+    sought = merged.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_tk"), F.explode("told").alias("_term"))
+    at = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_tk")) & (F.col("term") == F.col("_term"))
     span = F.struct(F.lit("term").alias("kind"), F.lit(len(KINDS)).alias("rank"), "start", "stop")
-    grouped = near.groupBy("doc_id", "text_key").agg(F.collect_set(span).alias("terms"))
-    left, right = scanned.drop("near").alias("a"), grouped.alias("b")
+    grouped = placed.join(sought, at).groupBy("doc_id", "text_key").agg(F.collect_set(span).alias("terms"))
+    left, right = scanned.drop("near", "rest").alias("a"), grouped.alias("b")
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_key") == F.col("b.text_key"))
     return left.join(right, same, "left").select("a.doc_id", "a.text_key", "a.base", F.coalesce("b.terms", S.no_spans()).alias("terms"))
 

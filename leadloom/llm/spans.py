@@ -67,3 +67,17 @@ def replaced(text: Column, spans: Column) -> Column:
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     done = F.aggregate(keyed, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """`text` with spaces in place of the spans, so that all else keeps its place."""
+    keyed = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"], x["stop"])))
+
+    def step(acc: Column, x: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
+        begin = F.greatest(x["start"], acc["at"])
+        blank = F.repeat(F.lit(" "), F.greatest(x["stop"] - begin, F.lit(0)))
+        return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.concat(acc["out"], gap, blank).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(keyed, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))

@@ -93,6 +93,18 @@ def test_terms_that_reveal_an_entity(spark):
     assert out[0].startswith("meet <TERM> today, write <EMAIL> again") and out[10] == rows[5][1] and len(out) == 45
 
 
+def test_terms_far_from_their_entity_and_short_ones(spark):
+    far = " ".join(["common words today again number"] * 12)
+    rows = [(i, f"Oak 7q {far} bob@x.org and +49 30 1234567 {far} Zanzibar. zanzibar") for i in range(4)]
+    rows += [(10 + i, f"{far} and bob or else") for i in range(40)] + [(99, "Zanzibar alone"), (None, rows[0][1]), (0, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    terms = {r.term for r in pii.disclosing_terms(docs).filter("entity = 'bob@x.org'").collect()}
+    assert terms == {"oak", "7q", "zanzibar"}
+    out = [(r.doc_id, r.text) for r in pii.sanitise(docs).collect()]
+    want = f"<TERM> <TERM> {far} <EMAIL> and <PHONE> {far} <TERM>. <TERM>"
+    assert sorted(map(repr, out)) == sorted(repr((i, want if i is None or i < 5 else t)) for i, t in rows)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.secret_report(none).count() == 0 and pii.personal_data_report(none).count() == 0 and pii.sanitise(none).count() == 0
