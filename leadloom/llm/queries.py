@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import bpe, exact_dedup, packing, pii, secrets, simhash, suffix, topk, toxicity, urlfilter
+from leadloom.llm import ball_codes, bpe, collocations, exact_dedup, packing, pii, secrets, simhash, suffix, topk, toxicity, urlfilter, winnow
 from leadloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,3 +139,92 @@ def op9(spark, folder):
 @query("op10_personal_data")
 def op10(spark, folder):
     return pii.personal_data_report(table(spark, folder, "documents"))
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4, width: int = 16) -> str:
+    """The rounds of op11 unrolled; vectors have parts x width components."""
+    steps = [f"""
+    v AS MATERIALIZED (
+        SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    x AS MATERIALIZED (SELECT vec_id, p, v[p * {width} + 1:p * {width} + {width}] AS x FROM v, range({parts}) t(p)),
+    c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM x QUALIFY e < {entries})"""]
+    for t in range(rounds + 1):
+        steps.append(f"""
+    a{t} AS MATERIALIZED (
+        SELECT vec_id, p, any_value(x) AS x, min({{'d': (list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c))::BIGINT, 'e': e}}) AS b
+        FROM x JOIN c{t} USING (p) GROUP BY vec_id, p
+    )""")
+        if t < rounds:
+            steps.append(f"""
+    m{t} AS (SELECT p, b.e AS e, i, floor(sum(x[i]) / count(*)) AS s FROM a{t}, range(1, {width} + 1) r(i) GROUP BY ALL),
+    n{t} AS (SELECT p, e, list(s ORDER BY i) AS c FROM m{t} GROUP BY p, e),
+    c{t + 1} AS MATERIALIZED (SELECT p, e, coalesce(n{t}.c, c{t}.c) AS c FROM c{t} LEFT JOIN n{t} USING (p, e))""")
+    return "WITH" + ",".join(steps) + f""",
+    f AS (SELECT vec_id, string_agg(lower(lpad(to_hex(b.e), 2, '0')), '' ORDER BY p) AS code, sum(b.d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id),
+    h AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda z: z::BIGINT), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds})
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM f JOIN v USING (vec_id), h
+    """
+
+
+@query("op11_vector_codes", _codes_sql())
+def op11(spark, folder):
+    found = ball_codes.vector_codes(table(spark, folder, "embeddings"))
+    return found.withColumn("code", ball_codes.hex_code(F.col("code")))
+
+
+_ITEM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op12_contamination",
+    f"""
+    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_ITEM_WORDS} AS w FROM documents),
+    b AS (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark),
+    i AS MATERIALIZED (
+        SELECT DISTINCT item_id, least(10, len(w)) AS m, array_to_string(w[j:j + least(10, len(w)) - 1], ' ') AS g
+        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS j FROM b WHERE len(w) > 0)
+    ),
+    s AS (SELECT r, m, unnest(range(1, len(w) - m + 2)) AS j, w FROM d, (SELECT DISTINCT m FROM i) WHERE len(w) >= m),
+    g AS (SELECT r, m, j, array_to_string(w[j:j + m - 1], ' ') AS g FROM s),
+    h AS MATERIALIZED (SELECT DISTINCT r, m, j, item_id FROM g JOIN i USING (m, g)),
+    hit AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(j, j + m)) AS pos FROM h) GROUP BY r),
+    own AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM h) GROUP BY r)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN hit USING (r) LEFT JOIN own USING (r)
+    """,
+)
+def op12(spark, folder):
+    return winnow.contamination_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query(
+    "op13_collocations",
+    r"""
+    WITH p AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece FROM documents
+    ),
+    w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
+    g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM w, range(1, 5) t(m) WHERE len(w) >= m),
+    f AS MATERIALIZED (SELECT lang, m, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
+    n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+    c AS MATERIALIZED (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 30),
+    k AS (SELECT lang, phrase, a, w, unnest(range(1, m)) AS k, m FROM c),
+    s AS (
+        SELECT k.lang, k.phrase, a, min({'score': 2000000 * a // (x.f + y.f), 'k': k, 'l': x.f, 'r': y.f}) AS b
+        FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(w[1:k], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(w[k + 1:], ' ')
+        GROUP BY ALL
+    ),
+    i AS (
+        SELECT lang, sub AS phrase, max(a) AS longer
+        FROM (SELECT lang, a, unnest(list_transform(range(1, m - j + 2), lambda i: array_to_string(w[i:i + j - 1], ' '))) AS sub FROM c, range(2, 4) t(j) WHERE j < m) GROUP BY ALL
+    ),
+    o AS (SELECT s.lang, s.phrase, s.a, s.b FROM s LEFT JOIN i USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * s.a)
+    SELECT lang, row_number() OVER r AS rank, phrase, a::BIGINT AS a, b.l::BIGINT AS l, b.r::BIGINT AS r, n, b.score::BIGINT AS score
+    FROM o JOIN n USING (lang) WINDOW r AS (PARTITION BY lang ORDER BY b.score DESC, a DESC, phrase) QUALIFY row_number() OVER r <= 2000
+    """,
+)
+def op13(spark, folder):
+    return collocations.collocations(table(spark, folder, "documents"))
