@@ -46,8 +46,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one is kept. An empty table gives an empty one; other columns are left out.
     """
     text = id_and_text(docs, id_col, text_col).withColumn("content", content(F.col("text"))).withColumn("text_sha256", hex_sha256(F.col("text")))
-    # hashes of all rows, stored once; the number of a row there settles rows that repeat id and text
-    light = stored(text.drop("text"), "hashes").withColumn("row", F.monotonically_increasing_id())
+    # hashes of all rows, stored once with a number that settles rows that repeat id and text: a number given
+    # while the table is read again would depend on how its files are dealt then
+    light = stored(text.drop("text").withColumn("row", F.monotonically_increasing_id()), "hashes")
     best = F.max(F.struct("doc_id", "row", "text_sha256")) if largest else F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "text_sha256"))
     kept = [F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), F.col("best.text_sha256").alias("keep_sha")]
     groups = light.groupBy("content").agg(F.count("*").alias("n"), best.alias("best")).filter("n > 1")

@@ -161,3 +161,17 @@ def test_stages_take_an_empty_table(spark, corpus):
     none = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, folder).count() == 0
+
+
+def test_kept_rows_survive_another_parallelism(spark, tmp_path):
+    """Files are dealt over tasks by the cores of the moment: rows must not be numbered while they are read again."""
+    path = str(tmp_path / "docs")
+    spark.range(8_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 300).alias("text")).repartition(40).write.parquet(path)
+    before = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    found = E.exact_groups(spark.read.parquet(path))
+    try:
+        for cores in ("2", "40"):
+            spark.conf.set("spark.sql.files.minPartitionNum", cores)
+            assert found.filter("kept").count() == 300
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum") if before is None else spark.conf.set("spark.sql.files.minPartitionNum", before)
