@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,12 +27,15 @@ from leadloom.llm.common import bitmap_of, bounded_batches, join_spread, stored
 LONGEST, LEAST, MOST, COVER = 4, 30, 2_000, 80
 BITMAP_BITS = 1 << 26
 #: Words that a task counts together; bytes of a long text split at once; a word is heavy with 1 / HEAVY of all words.
-BLOCK, SEGMENT, HEAVY = 1_000_000, 1 << 21, 64
+BLOCK, SEGMENT, HEAVY = 600_000, 1 << 21, 64
+#: Rows of an Arrow batch that leaves a task.
+ROWS_OUT = 50_000
 #: Characters of text whose windows meet in one task, and the most tasks.
 CHARS_PER_TASK, MOST_TASKS = 6_000_000, 20_000
 #: A-Z lower-cased; marks and line ends become a line end, tabs a blank.
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 _END = b"\n"
+_ODD = np.random.default_rng(6).integers(1 << 62, 1 << 63, LONGEST, dtype=np.uint64) | np.uint64(1)
 
 
 class Vocabulary(dict):
@@ -121,7 +125,8 @@ def _hash(lang: str, word: bytes) -> int:
 
 
 def _counted_windows(bits: Callable, heavy: set[tuple[str, bytes]]) -> Callable:
-    """Distinct windows of a block with counts. `depth`: how many words beyond the first two deal the window."""
+    """Distinct windows of a block with counts. `meet` deals them: 20 bits of a hash of the first two words and of
+    `depth` more. A window is its words joined: one string is half the shuffle of four columns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.frombuffer(bits(), np.uint8)
         for block in _blocks(batches, LONGEST - 1):
@@ -129,7 +134,8 @@ def _counted_windows(bits: Callable, heavy: set[tuple[str, bytes]]) -> Callable:
                 words = Vocabulary()
                 ids = _numbers(words, cells)
                 told = list(words)
-                slot = np.fromiter((_hash(lang, w) for w in told), np.uint64, len(told)) & np.uint64(len(held) * 8 - 1)
+                hashes = np.fromiter((_hash(lang, w) for w in told), np.uint64, len(told))
+                slot = hashes & np.uint64(len(held) * 8 - 1)
                 common = (held[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 common[:2] = False
                 ids[~common[ids]] = 0  # a rarer word ends a window as the end of the piece does
@@ -145,13 +151,20 @@ def _counted_windows(bits: Callable, heavy: set[tuple[str, bytes]]) -> Callable:
                 high, low = high[order], low[order]
                 new = np.flatnonzero(np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
                 n = np.diff(np.r_[new, len(high)])
-                columns = [high[new] >> 32, high[new] & 0xFFFFFFFF, low[new] >> 32, low[new] & 0xFFFFFFFF]
+                leads = [high[new] >> 32, high[new] & 0xFFFFFFFF, low[new] >> 32, low[new] & 0xFFFFFFFF]
                 hot = np.array([(lang, w) in heavy for w in told])
-                pair = hot[columns[0]] & hot[columns[1]]
-                depth = pair.astype(np.int32) + (pair & hot[columns[2]])
+                pair = hot[leads[0]] & hot[leads[1]]
+                depth = pair.astype(np.int32) + (pair & hot[leads[2]])
+                meet = hashes[leads[0]] * _ODD[0] + hashes[leads[1]] * _ODD[1]
+                meet += np.where(depth > 0, hashes[leads[2]] * _ODD[2], np.uint64(0)) + np.where(depth > 1, hashes[leads[3]] * _ODD[3], np.uint64(0))
+                meet = (meet * _ODD[0] >> np.uint64(44)).astype(np.int32)
                 strings = _strings(told)
-                named = {f"w{k + 1}": strings.take(pa.array(x)) for k, x in enumerate(columns)}
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(new), pa.string()), **named, "n": pa.array(n, pa.int64()), "depth": pa.array(depth, pa.int32())})
+                for i in range(0, len(new), ROWS_OUT):
+                    at = slice(i, i + ROWS_OUT)
+                    joined = pc.binary_join_element_wise(*[strings.take(pa.array(x[at])) for x in leads], " ")
+                    yield pa.RecordBatch.from_pydict({
+                        "meet": pa.array(meet[at]), "lang": pa.array([lang] * len(joined), pa.string()), "words": pc.ascii_rtrim(joined, characters=" "),
+                        "n": pa.array(n[at].astype(np.int32)), "depth": pa.array(depth[at])})
 
     return run
 
@@ -170,16 +183,16 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
         heavy = {(r.lang, r.word.encode()) for r in common.filter(F.col("f") > every / HEAVY).collect()}  # fewer than HEAVY
         chars = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
         tasks = min(MOST_TASKS, chars // CHARS_PER_TASK + 1)
-        windows = rows.mapInArrow(_counted_windows(lambda: told.value, heavy), "lang string, w1 string, w2 string, w3 string, w4 string, n long, depth int")
-        deep = {"k3": F.when(F.col("depth") > 0, F.col("w3")), "k4": F.when(F.col("depth") > 1, F.col("w4"))}
-        met = ["lang", "w1", "w2", "k3", "k4"]
-        dealt = windows.withColumns(deep).repartition(tasks, *met)
+        windows = rows.mapInArrow(_counted_windows(lambda: told.value, heavy), "meet int, lang string, words string, n int, depth int").repartition(tasks, "meet")
         # sums over the windows of a triple and of a pair, where all of them are in this task
-        sums = dealt.withColumn("n3", F.sum("n").over(Window.partitionBy(*met, "w3"))).withColumn("n2", F.sum("n").over(Window.partitionBy(*met)))
+        met = ["meet", "lang", "head"]
+        cut = windows.withColumns({"head": F.substring_index("words", " ", 2), "w3": F.split_part("words", F.lit(" "), F.lit(3))})
+        sums = cut.withColumn("n3", F.sum("n").over(Window.partitionBy(*met, "w3"))).withColumn("n2", F.sum("n").over(Window.partitionBy(*met)))
         kept = sums.filter((F.col("depth") > 0) | (F.col("n2") >= least))
         rare = (F.col("depth") < 2) & (F.col("n3") < least)
-        kept = kept.withColumns({w: F.when(rare, F.lit("")).otherwise(F.col(w)) for w in ("w3", "w4")})
-        top = kept.groupBy(*met, "w3", "w4").agg(F.sum("n").alias("n"))
+        top = kept.withColumn("words", F.when(rare, F.col("head")).otherwise(F.col("words"))).groupBy("meet", "lang", "words").agg(F.sum("n").alias("n"))
+        lead = F.split("words", " ")
+        top = top.select("lang", *[F.coalesce(F.get(lead, F.lit(k)), F.lit("")).alias(f"w{k + 1}") for k in range(LONGEST)], "n")
         rolled = spark.sql("""
             SELECT lang, w1, w2, w3, w4, CASE grouping_id() WHEN 3 THEN 2 WHEN 1 THEN 3 ELSE 4 END AS size, sum(n) AS f
             FROM {top} GROUP BY lang, w1, w2, ROLLUP (w3, w4)
