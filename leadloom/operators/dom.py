@@ -17,14 +17,21 @@ from pyspark.sql import types as T
 
 NODE_TYPE = (
     "struct<idx:int,last:int,parent:int,anc:array<int>,tag:string,id:string,classes:array<string>,"
-    "attrs:map<string,string>,t0:int,t1:int,raw:string,src:string>"
+    "attrs:map<string,string>,t0:int,t1:int,raw:string,s0:int,s1:int>"
 )
+# with the places of an element in the pieces of its page
+SOURCE_NODE_TYPE = NODE_TYPE[:-1] + ",p0:int,p1:int>"
+# a piece of the source: the element whose start tag it is, OTHER or COMMENT
+PIECE_TYPE = "struct<node:int,text:string>"
+OTHER, COMMENT = -1, -2
 _ARROW_NODE = pa.struct([
     ("idx", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("anc", pa.list_(pa.int32())),
     ("tag", pa.string()), ("id", pa.string()), ("classes", pa.list_(pa.string())),
     ("attrs", pa.map_(pa.string(), pa.string())), ("t0", pa.int32()), ("t1", pa.int32()),
-    ("raw", pa.string()), ("src", pa.string()),
+    ("raw", pa.string()), ("s0", pa.int32()), ("s1", pa.int32()),
 ])
+_ARROW_SOURCE_NODE = pa.struct([*_ARROW_NODE, ("p0", pa.int32()), ("p1", pa.int32())])
+_ARROW_PIECE = pa.struct([("node", pa.int32()), ("text", pa.string())])
 
 # Fixed values of the HTML standard: elements without content, and elements ended by a sibling.
 VOID_TAGS = {
@@ -40,27 +47,45 @@ RAW_TEXT = {"script", "style"}
 
 
 class _Tokens(HTMLParser):
-    """Collects elements and text pieces of one page."""
+    """Collects elements, text pieces and the places of both in the source of one page.
+
+    `cuts` are the offsets where tags, texts and comments of the source begin. An element spans the cuts from its
+    start tag to behind its end tag; one that is not closed ends where the element around it does.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.nodes: list[dict] = []
         self.texts: list[str] = []
         self.open: list[int] = []
+        self.cuts: list[int] = []
+        self.kinds: list[int] = []
+        self.lines = [0]
+
+    def read(self, html: str) -> None:
+        self.source = html
+        self.lines += [m.end() for m in re.finditer("\n", html)]
+        self.feed(html)
+
+    def _cut(self, kind: int) -> int:
+        line, column = self.getpos()
+        self.cuts.append(self.lines[line - 1] + column)
+        self.kinds.append(kind)
+        return len(self.cuts) - 1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        at = self._cut(len(self.nodes))
         if self.open and tag in ENDS_P and self.nodes[self.open[-1]]["tag"] == "p":
-            self._close(1)
+            self._close(1, at)
         elif self.open and self.nodes[self.open[-1]]["tag"] in CLOSED_BY.get(tag, ()):
-            self._close(1)
+            self._close(1, at)
         given: dict[str, str] = {}
         for k, v in attrs:
             given.setdefault(k, v or "")
         self.nodes.append({
             "idx": len(self.nodes), "last": len(self.nodes), "parent": self.open[-1] if self.open else None,
             "anc": list(self.open), "tag": tag, "id": given.get("id"), "classes": given.get("class", "").split(),
-            "attrs": list(given.items()), "t0": len(self.texts), "t1": len(self.texts), "raw": None,
-            "src": self.get_starttag_text() if tag in RAW_TEXT or "-" in tag else None,
+            "attrs": list(given.items()), "t0": len(self.texts), "t1": len(self.texts), "raw": None, "p0": at, "p1": at + 1,
         })
         if tag not in VOID_TAGS:
             self.open.append(len(self.nodes) - 1)
@@ -68,44 +93,69 @@ class _Tokens(HTMLParser):
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID_TAGS:
-            self._close(1)
+            self._close(1, len(self.cuts))
 
     def handle_endtag(self, tag: str) -> None:
+        at = self._cut(OTHER)
         for up, idx in enumerate(reversed(self.open), 1):
             if self.nodes[idx]["tag"] == tag:
-                self._close(up)
+                self._close(up - 1, at)
+                self._close(1, at + 1)
                 return
 
     def handle_data(self, data: str) -> None:
+        self._cut(OTHER)
         top = self.nodes[self.open[-1]] if self.open else None
         if top is not None and top["tag"] in RAW_TEXT:
             top["raw"] = (top["raw"] or "") + data
         elif data.strip():
             self.texts.append(data.strip())
 
-    def _close(self, count: int) -> None:
+    def handle_comment(self, data: str) -> None:
+        self._cut(COMMENT)
+
+    def handle_decl(self, decl: str) -> None:
+        self._cut(OTHER)
+
+    handle_pi = unknown_decl = handle_decl
+
+    def _close(self, count: int, at: int) -> None:
         for _ in range(count):
             node = self.nodes[self.open.pop()]
-            node["last"], node["t1"] = len(self.nodes) - 1, len(self.texts)
+            node["last"], node["t1"], node["p1"] = len(self.nodes) - 1, len(self.texts), at
 
     def finish(self) -> tuple[list[dict], list[str]]:
         self.close()
-        self._close(len(self.open))
+        self._close(len(self.open), len(self.cuts))
+        edges = [*self.cuts, len(self.source)]
+        for node in self.nodes:
+            node["s0"], node["s1"] = edges[node["p0"]], edges[node["p1"]]
         return self.nodes, self.texts
 
+    def pieces(self) -> list[dict]:
+        edges = [*self.cuts, len(self.source)]
+        return [{"node": k, "text": self.source[a:b]} for k, a, b in zip(self.kinds, edges, edges[1:])]
+
 
-def _tokenise(html: str | None) -> tuple[list[dict], list[str]]:
+def _tokenise(html: str | None) -> _Tokens:
     reader = _Tokens()
-    reader.feed(html or "")
-    return reader.finish()
+    reader.read(html or "")
+    reader.finish()
+    return reader
 
 
-def page_dom(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """(keep..., nodes, texts): the element table and the text pieces of each page."""
+def page_dom(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id",), source: bool = False) -> DataFrame:
+    """(keep..., nodes, texts): the element table and the text pieces of each page.
+
+    With `source` also `pieces`, the whole source cut at its tags, and each element's range of them.
+    """
+    node, arrow = (SOURCE_NODE_TYPE, _ARROW_SOURCE_NODE) if source else (NODE_TYPE, _ARROW_NODE)
+    more = [T.StructField("pieces", T.ArrayType(T._parse_datatype_string(PIECE_TYPE)))] if source else []
     schema = T.StructType([
         *[pages.schema[k] for k in keep],
-        T.StructField("nodes", T.ArrayType(T._parse_datatype_string(NODE_TYPE))),
+        T.StructField("nodes", T.ArrayType(T._parse_datatype_string(node))),
         T.StructField("texts", T.ArrayType(T.StringType())),
+        *more,
     ])
     names = list(keep)
 
@@ -116,9 +166,11 @@ def page_dom(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("pag
                 piece = batch.slice(start, 64)
                 parsed = [_tokenise(h) for h in piece.column(html).to_pylist()]
                 cols = [piece.column(n) for n in names]
-                cols.append(pa.array([p[0] for p in parsed], pa.list_(_ARROW_NODE)))
-                cols.append(pa.array([p[1] for p in parsed], pa.list_(pa.string())))
-                yield pa.RecordBatch.from_arrays(cols, names=[*names, "nodes", "texts"])
+                cols.append(pa.array([p.nodes for p in parsed], pa.list_(arrow)))
+                cols.append(pa.array([p.texts for p in parsed], pa.list_(pa.string())))
+                if source:
+                    cols.append(pa.array([p.pieces() for p in parsed], pa.list_(_ARROW_PIECE)))
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return pages.select(*dict.fromkeys([*keep, html])).mapInArrow(run, schema)
 
@@ -259,6 +311,29 @@ def first_inside(found: Column, outer: Column) -> Column:
     return F.when(F.size(found) > 0, F.get(F.filter(found, lambda n: within(n, outer)), F.lit(0)))
 
 
+def first_inside_each(found: Column, boxes: Column) -> Column:
+    """For every box (in document order) the first of the found nodes inside it, NULL without one.
+
+    Boxes and nodes are merged in document order: the number of nodes up to the start of a box is the place of
+    the first node behind it, which is inside if the box reaches so far. One sort, no test of every pair.
+    """
+    def ends(s: Column) -> Column:
+        mark = lambda kind, last: lambda n: F.struct(n["idx"].alias("idx"), F.lit(kind).alias("kind"), last(n).alias("last"))
+        both = F.concat(F.transform(s["found"], mark(0, lambda n: F.lit(0))), F.transform(s["boxes"], mark(1, lambda n: n["last"])))
+        placed = F.transform(F.sort_array(both), lambda x, i: F.struct(x["kind"].alias("kind"), x["last"].alias("last"), i.alias("at")))
+        return F.filter(placed, lambda x: x["kind"] == 1)
+
+    def pick(s: Column) -> Column:
+        def first(box: Column, i: Column) -> Column:
+            node = F.get(s["found"], box["at"] - i)
+            return F.when(node["idx"] <= box["last"], node)
+
+        return F.transform(ends(s), first)
+
+    # both arrays are bound once: a selector must not be evaluated again for every box
+    return F.get(F.transform(F.array(F.struct(found.alias("found"), boxes.alias("boxes"))), pick), F.lit(0))
+
+
 def field_value(node: Column, attribute: str | None) -> Column:
     """Attribute value, or the text of the node."""
     return F.when(node.isNotNull(), attr(node, attribute) if attribute else node_text(node))

@@ -5,12 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from leadloom.functions.nested import (
     array_objects, find_items_list, flat_entries, flatten_json, json_path_items, let, map_from_entries_last, object_entries,
@@ -19,7 +16,7 @@ from leadloom.functions.text import _c, clean_text, contains_any, strip_tags_kee
 from leadloom.functions.urls import id_from_href, resolve_url, url_host
 from leadloom.operators.classify import is_junk_field
 from leadloom.operators.dom import (
-    VOID_TAGS, attr, field_value, first_inside, node_text, page_dom, select, within, with_matches,
+    COMMENT, attr, field_value, first_inside_each, matches, node_text, page_dom, select, with_matches,
 )
 from leadloom.operators.ordered import first_value_by, keep_first, order_key
 
@@ -109,19 +106,26 @@ SPA_STRONG = [
 ]
 SPA_WEAK = ['id="app"', 'id="root"']
 
-# Elements and selectors removed when a page is simplified.
-SIMPLIFY_TAGS = ["script", "style", "noscript", "svg", "iframe"]
-BOILERPLATE_TAGS = ["header", "footer", "nav"]
-MEDIA_TAGS = ["picture", "source", "video", "audio", "embed", "object"]
-BOILERPLATE_RE = (
-    r"(?:^|\s)cookie-banner(?:\s|$)|^ad-|-ad-|-ad$|tracking|analytics|(?:^|\s)(?:social-share|social-media|share-buttons|"
-    r"shareholder|socialMediaContainer)(?:\s|$)|cookie-banner|cookie-consent|cookie-notice|cookie-popup|modal-overlay|"
-    r"modal-backdrop|leaderboard"
-)
-BOILERPLATE_ID_RE = (
-    r"^cookie-consent$|^ad-|-ad-|-ad$|tracking|cookie-banner|cookie-consent|cookie-notice|cookie-popup|modal-overlay|"
-    r"modal-backdrop|leaderboard"
-)
+# Selectors of what is removed when a page is simplified, in both forms and in the aggressive one.
+NOISE_SELECTORS = [
+    "script", "style", "noscript", "svg", "iframe",
+    "header", "footer", "nav", ".cookie-banner", "#cookie-consent",
+]
+AGGRESSIVE_SELECTORS = [
+    "head",
+    "picture", "source", "video", "audio", "embed", "object",
+    "[class^='ad-']", "[class*='-ad-']", "[class$='-ad']",
+    "[class*='tracking']", "[class*='analytics']",
+    "[id^='ad-']", "[id*='-ad-']", "[id$='-ad']", "[id*='tracking']",
+    ".social-share", ".social-media", ".share-buttons",
+    ".shareholder", ".socialMediaContainer",
+    "[class*='cookie-banner']", "[class*='cookie-consent']", "[class*='cookie-notice']",
+    "[id*='cookie-banner']", "[id*='cookie-consent']", "[id*='cookie-notice']",
+    "[id*='cookie-popup']", "[class*='cookie-popup']",
+    "[class*='modal-overlay']", "[class*='modal-backdrop']",
+    "[id*='modal-overlay']", "[id*='modal-backdrop']",
+    "[class*='leaderboard']", "[id*='leaderboard']",
+]
 
 
 @dataclass(frozen=True)
@@ -168,19 +172,24 @@ def extract_items(dom: DataFrame, target: Target, key: str = "page_id") -> DataF
         "_box": select(target.container), "_link": select(target.detail_link), "_id": select(target.id_selector),
     })
 
-    def record(box: Column) -> Column:
+    link = bool(target.detail_link and target.detail_link.strip()) and "detail_link" not in target.fields
+    own_id = bool(target.id_selector and target.id_selector.strip()) and "_detail_api_id" not in target.fields
+    nodes = [F.col(f"_f{i}") for i in range(len(target.fields))] + [F.col("_link")] * link + [F.col("_id")] * own_id
+    firsts = F.arrays_zip("_box", *[first_inside_each(n, F.col("_box")).alias(f"n{i}") for i, n in enumerate(nodes)])
+
+    def record(row: Column) -> Column:
         cells = []
         for i, name in enumerate(target.fields):
-            node = first_inside(F.col(f"_f{i}"), box)
-            cells += [F.lit(name), field_value(node, target.attributes.get(name))]
-        if target.detail_link and target.detail_link.strip() and "detail_link" not in target.fields:
-            cells += [F.lit("detail_link"), field_value(first_inside(F.col("_link"), box), "href")]
-        if target.id_selector and target.id_selector.strip() and "_detail_api_id" not in target.fields:
-            node = first_inside(F.col("_id"), box)
+            cells += [F.lit(name), field_value(row[f"n{i}"], target.attributes.get(name))]
+        at = len(target.fields)
+        if link:
+            cells += [F.lit("detail_link"), field_value(row[f"n{at}"], "href")]
+        if own_id:
+            node = row[f"n{at + link}"]
             cells += [F.lit("_detail_api_id"), F.when(node.isNotNull(), detail_id(node, target.id_attribute, target.id_regex))]
         return F.create_map(*cells)
 
-    rows = found.select(key, F.posexplode(F.transform("_box", record)).alias("item_idx", "item"))
+    rows = found.select(key, F.posexplode(let(firsts, lambda z: F.transform(z, record))).alias("item_idx", "item"))
     user = F.map_filter("item", lambda k, v: ~F.startswith(k, F.lit("_")) & (k != "detail_link") & v.isNotNull())
     return rows.filter(F.cardinality(user) > 0)
 
@@ -343,18 +352,26 @@ def _key_hits(item: Column, hints: Sequence[str]) -> Column:
     return F.size(F.filter(keys, lambda k: contains_any(k, hints)))
 
 
+def _head(items: Column, n: int | None) -> Column:
+    return items if n is None else F.slice(items, 1, n)
+
+
 def _sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0), lambda a, x: a + x)
 
 
-def embedded_source(dom: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, score, path, attribute, tag, total, sample_json): best embedded JSON list per page."""
+def embedded_source(dom: DataFrame, key: str = "page_id", scored_items: int | None = None, min_chars: int = 100, depth: int = 5) -> DataFrame:
+    """(key, score, path, attribute, tag, total, items): best embedded JSON list per page.
+
+    A list scores by the hint keys of its items, of all or of the first `scored_items`. Texts below `min_chars`
+    are no lists of items; lists are searched `depth` levels deep.
+    """
     looks_json = lambda v: F.rlike(v, F.lit(r"^\s*[\[{]"))
 
     def attr_candidates(n: Column) -> Column:
         usable = F.filter(
             F.map_entries(n["attrs"]),
-            lambda e: (e["key"] != "class") & (F.length(e["value"]) >= 100)
+            lambda e: (e["key"] != "class") & (F.length(e["value"]) >= min_chars)
             & (F.startswith(e["key"], F.lit("data-")) | F.contains(e["key"], F.lit("json")) | looks_json(e["value"])),
         )
         return F.transform(usable, lambda e: F.struct(
@@ -363,7 +380,7 @@ def embedded_source(dom: DataFrame, key: str = "page_id") -> DataFrame:
 
     scripts = F.filter(
         F.col("nodes"),
-        lambda n: (n["tag"] == "script") & (F.length(n["raw"]) >= 100)
+        lambda n: (n["tag"] == "script") & (F.length(n["raw"]) >= min_chars)
         & (
             (F.lower(F.coalesce(attr(n, "type"), F.lit(""))) == "")
             | F.contains(F.lower(attr(n, "type")), F.lit("json"))
@@ -381,7 +398,7 @@ def embedded_source(dom: DataFrame, key: str = "page_id") -> DataFrame:
     lists = F.when(
         F.startswith("json", F.lit("[")), F.array(F.struct(F.lit(None).cast("string").alias("path"), array_objects(F.col("json")).alias("items")))
     ).otherwise(F.transform(
-        F.filter(flat_entries(F.col("json"), 5), lambda e: F.startswith(e["value"], F.lit("["))),
+        F.filter(flat_entries(F.col("json"), depth), lambda e: F.startswith(e["value"], F.lit("["))),
         lambda e: F.struct(e["key"].alias("path"), array_objects(e["value"]).alias("items")),
     ))
     found = valid.select(key, "_cand", "tag", "attribute", "hint", F.posexplode(lists).alias("_list", "_l")).select(
@@ -389,7 +406,7 @@ def embedded_source(dom: DataFrame, key: str = "page_id") -> DataFrame:
     ).filter(F.size("items") >= 2)
     text = F.lower(F.concat("hint", F.lit(" "), F.coalesce("path", F.lit(""))))
     bonus = lambda words, points: F.when(contains_any(text, words), points).otherwise(0)
-    hits = _sum(F.transform(F.slice("items", 1, 5), lambda i: _key_hits(i, KEY_HINTS)))
+    hits = _sum(F.transform(_head(F.col("items"), scored_items), lambda i: _key_hits(i, KEY_HINTS)))
     score = (
         hits * 10 + F.least(F.size("items"), F.lit(100)) + bonus(["result"], 20) + bonus(["item"], 10)
         + bonus(["exhibitor", "seller", "vendor"], 20)
@@ -426,8 +443,8 @@ def _site_root(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
-def listing_api_score(url: Column, body: Column, page_host: Column) -> Column:
-    """How likely a JSON response is the listing API of the page."""
+def listing_api_score(url: Column, body: Column, page_host: Column, scored_items: int | None = None) -> Column:
+    """How likely a JSON response is the listing API of the page, by all its items or the first `scored_items`."""
     low, host = F.lower(url), url_host(url)
     third_party = F.lit(False)
     for d in NOISE_DOMAINS:
@@ -435,7 +452,7 @@ def listing_api_score(url: Column, body: Column, page_host: Column) -> Column:
     found = find_items_list(body)
     items = found["items"]
     n = F.size(items)
-    hits = _sum(F.transform(F.slice(items, 1, 5), lambda i: _key_hits(i, DETAIL_KEYS)))
+    hits = _sum(F.transform(_head(items, scored_items), lambda i: _key_hits(i, DETAIL_KEYS)))
     words = sum([F.when(F.contains(low, F.lit(w)), 15).otherwise(0) for w in LISTING_URL_WORDS], F.lit(0))
     length = F.when(n > 20, 100).when(n > 5, 50).otherwise(0)
     return (
@@ -459,13 +476,55 @@ def score_api_responses(responses: DataFrame, job: str, order_by: Sequence[str],
 # --- text of pages -----------------------------------------------------------------------
 
 
-def simplify_html(c: Column | str, max_chars: int | None = 80_000) -> Column:
-    """Page without scripts, styles, comments and boilerplate sections, whitespace collapsed."""
-    t = F.regexp_replace(_c(c), "(?s)<!--.*?-->", "")
-    for tag in SIMPLIFY_TAGS + BOILERPLATE_TAGS:
-        t = F.regexp_replace(t, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"\n\s*\n", "\n"), " {2,}", " ")
-    return _cut(t, max_chars)
+def simplify_pages(pages: DataFrame, aggressive: bool = False, max_chars: int | None = None, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, html): pages without noise elements and comments, whitespace collapsed.
+
+    Noise elements are node ranges that are taken out of the page's source: the outermost ones, each with all it
+    holds; one that is never closed ends where the element around it does. What is left stays as it was written.
+    The aggressive form also takes out the head, media and ad, share and consent containers, gives images a
+    placeholder and drops data, style and event attributes and script links. A null page is empty. With
+    `max_chars` longer results are cut and marked.
+    """
+    tests = [matches(s) for s in NOISE_SELECTORS + (AGGRESSIVE_SELECTORS if aggressive else [])]
+
+    def noise(n: Column) -> Column:
+        hit = F.lit(False)
+        for test in tests:
+            hit = hit | test(n)
+        return hit
+
+    def outermost(flags: Column) -> Column:
+        return F.filter(F.col("nodes"), lambda n: F.get(flags, n["idx"]) & ~F.exists(n["anc"], lambda j: F.get(flags, j)))
+
+    def remaining(cut: Column) -> Column:
+        def between(i: Column) -> Column:
+            start = F.coalesce(F.get(cut, i - 1)["p1"], F.lit(0))
+            end = F.coalesce(F.get(cut, i)["p0"], F.size("pieces"))
+            return F.slice("pieces", start + 1, F.greatest(end - start, F.lit(0)))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(cut)), between))
+
+    ranges = let(F.transform(F.col("nodes"), noise), outermost)
+    kept = F.filter(let(F.transform(ranges, lambda n: F.struct(n["p0"].alias("p0"), n["p1"].alias("p1"))), remaining), lambda p: p["node"] != COMMENT)
+    text = F.array_join(F.transform(kept, _plain_tag if aggressive else lambda p: p["text"]), "")
+    short = F.regexp_replace(F.regexp_replace(text, r"\n\s*\n", "\n"), " {2,}", " ")
+    return page_dom(pages, html, (key,), source=True).select(key, _cut(short, max_chars).alias("html"))
+
+
+def _plain_tag(piece: Column) -> Column:
+    """Source of a piece; a start tag with unwanted attributes is written anew without them."""
+    node = F.get(F.col("nodes"), piece["node"])
+    attrs = F.map_entries(node["attrs"])
+    unwanted = lambda k: F.startswith(k, F.lit("data-")) | F.startswith(k, F.lit("on")) | (k == "style")
+    script = lambda e: (e["key"] == "href") & F.startswith(e["value"], F.lit("javascript:"))
+    entry = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    alt = F.transform(F.filter(attrs, lambda e: (e["key"] == "alt") & (e["value"] != "")), lambda e: entry(e["key"], e["value"]))
+    image = F.concat(F.array(entry(F.lit("src"), F.lit("[removed]"))), alt)
+    other = F.transform(F.filter(attrs, lambda e: ~unwanted(e["key"])), lambda e: entry(e["key"], F.when(script(e), F.lit("#")).otherwise(e["value"])))
+    escaped = lambda v: F.replace(F.replace(v, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
+    written = F.transform(F.when(node["tag"] == "img", image).otherwise(other), lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), escaped(e["value"]), F.lit('"')))
+    changed = (node["tag"] == "img") | F.exists(attrs, lambda e: unwanted(e["key"]) | script(e))
+    return F.when((piece["node"] >= 0) & changed, F.concat(F.lit("<"), node["tag"], F.array_join(written, ""), F.lit(">"))).otherwise(piece["text"])
 
 
 def _cut(t: Column, max_chars: int | None) -> Column:
@@ -474,76 +533,6 @@ def _cut(t: Column, max_chars: int | None) -> Column:
     return F.when(F.length(t) > max_chars, F.concat(F.left(t, F.lit(max_chars)), F.lit("\n<!-- TRUNCATED -->"))).otherwise(t)
 
 
-class _Strip(HTMLParser):
-    """Re-emits a page without noise elements and attributes."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=False)
-        self.out: list[str] = []
-        self.skip: list[str] = []
-
-    def handle_starttag(self, tag: str, attrs: list, closed: bool = False) -> None:
-        given = dict(attrs)
-        noise = (
-            tag in SIMPLIFY_TAGS or tag in BOILERPLATE_TAGS or tag in MEDIA_TAGS or tag == "head"
-            or re.search(BOILERPLATE_RE, given.get("class") or "") or re.search(BOILERPLATE_ID_RE, given.get("id") or "")
-        )
-        if self.skip or noise:
-            if tag not in VOID_TAGS and not closed:
-                self.skip.append(tag)
-            return
-        if tag == "img":
-            kept = {"src": "[removed]", **({"alt": given["alt"]} if given.get("alt") else {})}
-        else:
-            kept = {k: v for k, v in given.items() if not k.startswith(("data-", "on")) and k != "style"}
-            if (kept.get("href") or "").startswith("javascript:"):
-                kept["href"] = "#"
-        self.out.append("<" + tag + "".join(f' {k}="{v or ""}"' for k, v in kept.items()) + ">")
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs, closed=True)
-
-    def handle_endtag(self, tag: str) -> None:
-        if not self.skip:
-            self.out.append(f"</{tag}>")
-        elif tag in self.skip:
-            while self.skip.pop() != tag:
-                pass
-
-    def handle_data(self, data: str) -> None:
-        if not self.skip:
-            self.out.append(data)
-
-    def handle_entityref(self, name: str) -> None:
-        self.handle_data(f"&{name};")
-
-    def handle_charref(self, name: str) -> None:
-        self.handle_data(f"&#{name};")
-
-
-def _strip_page(html: str | None) -> str | None:
-    if html is None:
-        return None
-    reader = _Strip()
-    reader.feed(html)
-    reader.close()
-    return "".join(reader.out)
-
-
-@F.pandas_udf(T.StringType())
-def _strip_pages(html: pd.Series) -> pd.Series:
-    return html.map(_strip_page)
-
-
-def simplify_html_aggressive(c: Column | str, max_chars: int | None = 80_000) -> Column:
-    """Simplified page without head, media, script attributes and ad or share containers.
-
-    Nested containers need a tag stack, so this one runs as a vectorised Python function.
-    """
-    t = F.regexp_replace(F.regexp_replace(_strip_pages(_c(c)), r"\n\s*\n", "\n"), " {2,}", " ")
-    return _cut(t, max_chars)
-
-
 def page_links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, pos, href, text) of anchors."""
     pair = F.arrays_zip(
@@ -689,13 +678,13 @@ def needs_rendering(pages: DataFrame, key: str = "page_id", url: str = "url", ht
     body = F.get(F.filter(F.col("nodes"), lambda n: n["tag"] == "body"), F.lit(0))
     text_len = F.length(node_text(body, ""))
     has_body = body.isNotNull()
-    # web components one or two levels below <body>; their source length from the raw page
+    # web components one or two levels below <body>, by the length of their source
     component = F.exists(
         F.col("nodes"),
         lambda n: F.contains(n["tag"], F.lit("-"))
         & has_body
         & (n["anc"][F.size(n["anc"]) - 1].eqNullSafe(body["idx"]) | F.get(n["anc"], F.size(n["anc"]) - 2).eqNullSafe(body["idx"]))
-        & (_source_length(F.col(html), n) > 500),
+        & (n["s1"] - n["s0"] > 500),
     )
     failing = (
         (F.length(html) < 2000)
@@ -709,13 +698,6 @@ def needs_rendering(pages: DataFrame, key: str = "page_id", url: str = "url", ht
     return dom.select(key, F.coalesce(routed | failing, F.lit(True)).alias("needs_js"))
 
 
-def _source_length(html: Column, node: Column) -> Column:
-    """Length of an element's source from its start tag to the last closing tag of its name."""
-    rest = F.substr(html, F.position(node["src"], html))
-    end = F.position(F.concat(F.lit("</"), node["tag"], F.lit(">")), rest)
-    return F.when(end > 0, end + F.length(node["tag"]) + 2).otherwise(F.length(rest))
-
-
 # --- selector quality --------------------------------------------------------------------
 
 
@@ -725,10 +707,7 @@ def selector_metrics(dom: DataFrame, target: Target, key: str = "page_id", sampl
     found = with_matches(dom, usable, "_f").withColumn("_box", select(target.container))
     boxes = F.col("_box") if sample is None else F.slice("_box", 1, max(1, sample))
 
-    def hit_boxes(found_nodes: Column) -> Column:
-        return F.size(F.filter(boxes, lambda b: F.exists(found_nodes, lambda n: within(n, b))))
-
-    hits = [hit_boxes(F.col(f"_f{i}")) for i in range(len(usable))]
+    hits = [F.size(F.filter(first_inside_each(F.col(f"_f{i}"), boxes), lambda n: n.isNotNull())) for i in range(len(usable))]
     sampled = F.size(boxes)
     checks = sampled * len(usable)
     total = sum(hits, F.lit(0))
@@ -746,14 +725,13 @@ def content_score(dom: DataFrame, target: Target, key: str = "page_id", sample:
     boxes = F.col("_box") if sample is None else F.slice("_box", 1, sample)
 
     def filled_boxes(found_nodes: Column, attribute: str | None) -> Column:
-        def ok(box: Column) -> Column:
-            node = first_inside(found_nodes, box)
+        def ok(node: Column) -> Column:
             good = F.length(node_text(node, "")) >= 2
             if attribute:
                 good = good | (trim_ws(attr(node, attribute)) != "")
             return F.coalesce(node.isNotNull() & good, F.lit(False))
 
-        return F.size(F.filter(boxes, ok))
+        return F.size(F.filter(first_inside_each(found_nodes, boxes), ok))
 
     filled = [filled_boxes(F.col(f"_f{i}"), target.attributes.get(n)) for i, n in enumerate(usable)]
     checks = F.size(boxes) * len(usable)

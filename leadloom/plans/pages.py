@@ -127,11 +127,26 @@ EMBED = """SELECT s_suppkey AS page_id, '<body><div class="app" data-info=''{{"m
   || '<script type="application/json">{{"items":[{{"a":"' || s_name || '"}},{{"a":"padding padding padding padding padding padding padding padding padding"}}]}}</script></body>' AS html FROM {supplier}"""
 
 
-@query("ht10_embedded_source", "SELECT s_suppkey AS page_id, 72 AS score, 'results' AS path, 'data-info' AS attribute, 2 AS total, s_name AS first_name FROM supplier")
+# lists that begin with entries without a hint
+ADVERTS = """SELECT s_suppkey AS page_id, '<body><div class="app" data-info=''{{"meta":{{"n":1}},"results":[' || repeat('{{"x":1}},', CAST(s_suppkey % 15 AS INT)) || '{{"id":1,"name":"' || s_name || '","values":{{"website":"w","city":"c"}}}},{{"id":2,"name":"' || s_name || ' second company padding padding","values":{{"website":"w2"}}}}]}}''></div></body>' AS html FROM {supplier}"""
+
+
+@query("ht10_embedded_source", "SELECT s_suppkey AS page_id, 72 + s_suppkey % 15 AS score, 'results' AS path, 'data-info' AS attribute, 2 + s_suppkey % 15 AS total, s_name || ' second company padding padding' AS last_name FROM supplier")
 def _(t):
-    pages = t.spark.sql(EMBED, supplier=t.supplier)
+    pages = t.spark.sql(ADVERTS, supplier=t.supplier)
     best = P.embedded_source(page_dom(pages))
-    return best.select("page_id", "score", "path", "attribute", "total", F.get_json_object(F.get("items", F.lit(0)), "$.name").alias("first_name"))
+    wide = lambda c: F.col(c).cast("bigint").alias(c)
+    return best.select("page_id", wide("score"), "path", "attribute", wide("total"), F.get_json_object(F.element_at("items", -1), "$.name").alias("last_name"))
+
+
+@query(
+    "ht11_score_long_lists",
+    "WITH b AS (SELECT s_suppkey AS id, 2 + s_suppkey % 30 AS n FROM supplier) SELECT id, 30 + 30 + n + CASE WHEN n > 20 THEN 100 WHEN n > 5 THEN 50 ELSE 0 END AS score FROM b",
+)
+def _(t):
+    bodies = t.supplier.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("["), F.expr("repeat('{\"x\":1},', CAST(s_suppkey % 30 AS INT))"), F.lit('{"name":"'), "s_name", F.lit('","phone":"1"},{"name":"c"}]')).alias("body"))
+    score = P.listing_api_score(F.lit("https://api.fair.example.com/exhibitor/list"), F.col("body"), F.lit("www.fair.example.com"))
+    return bodies.select("id", score.cast("bigint").alias("score"))
 
 
 @query(
@@ -163,20 +178,43 @@ def _(t):
     return best.select("name", F.col("kind").alias("k"))
 
 
+# pages without nested noise: what is removed can be written as patterns
 SIMPLE = r"regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
-for _tag in P.SIMPLIFY_TAGS + P.BOILERPLATE_TAGS:
+for _tag in ("script", "style", "noscript", "svg", "iframe", "header", "footer", "nav"):
     SIMPLE = rf"regexp_replace({SIMPLE}, '(?is)<{_tag}\b[^>]*>.*?</{_tag}>', '', 'g')"
-SIMPLE = rf"regexp_replace(regexp_replace({SIMPLE}, '\n\s*\n', chr(10), 'g'), ' {{2,}}', ' ', 'g')"
+SHORT = r"regexp_replace(regexp_replace({}, '\n\s*\n', chr(10), 'g'), ' {{{{2,}}}}', ' ', 'g')"
+
+
+@query("ht12_simplify_html", f"SELECT page_id, {SHORT.format(SIMPLE)} AS html FROM pages")
+def _(t):
+    return P.simplify_pages(t.pages)
+
+
+BARE = rf"regexp_replace({SIMPLE}, '(?is)<head\b[^>]*>.*?</head>', '', 'g')"
+BARE = rf"""regexp_replace({BARE}, '(?is)<img\b[^>]*?( alt="[^"]+")[^>]*>', '<img src="[removed]"\1>', 'g')"""
 
 
-@query("ht12_simplify_html", f"SELECT page_id, {SIMPLE} AS html FROM pages")
+@query("ht12_simplify_html_aggressive", f"SELECT page_id, {SHORT.format(BARE)} AS html FROM pages")
 def _(t):
-    return t.pages.select("page_id", P.simplify_html("html", None).alias("html"))
+    return P.simplify_pages(t.pages, aggressive=True)
 
 
-@query("ht12_simplify_html_aggressive")
+NOISY = """SELECT s_suppkey AS page_id, '<html><head><title>' || s_name || '</title></head><body><nav>x<nav>y</nav>menu</nav><header>h</header><p>' || s_name || '</p><!-- c -->'
+  || '<div class="a cookie-banner"><div>deep ' || s_name || '</div>We use</div><div id="cookie-consent">no</div><div class="ad-top"><div>in</div>ad</div><section><nav>open ' || n_name || '</section>'
+  || '<img src="/x.png" alt="' || n_name || '" class="logo"><a href="javascript:go()" data-k="1" onclick="t()">l</a>   <em style="c">e</em><footer>f</footer></body></html>' AS html FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey"""
+
+
+@query(
+    "ht12_simplify_nested",
+    """SELECT s_suppkey AS page_id,
+      '<html><head><title>' || s_name || '</title></head><body><p>' || s_name || '</p><div class="ad-top"><div>in</div>ad</div><section></section><img src="/x.png" alt="' || n_name || '" class="logo"><a href="javascript:go()" data-k="1" onclick="t()">l</a> <em style="c">e</em></body></html>' AS plain,
+      '<html><body><p>' || s_name || '</p><section></section><img src="[removed]" alt="' || n_name || '"><a href="#">l</a> <em>e</em></body></html>' AS aggressive
+    FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+)
 def _(t):
-    return t.pages.select("page_id", P.simplify_html_aggressive("html", None).alias("html"))
+    pages = t.spark.sql(NOISY, supplier=t.supplier, nation=t.nation)
+    plain = P.simplify_pages(pages).withColumnRenamed("html", "plain")
+    return plain.join(P.simplify_pages(pages, aggressive=True).withColumnRenamed("html", "aggressive"), "page_id")
 
 
 @query("ht13_visible_text", "SELECT page_id, cname || ' ' || CASE WHEN page_id % 10 = 9 THEN 'Unfortunately, the seller could not be found' ELSE cname || ' & Co' END || ' Office address: Street ' || CAST(page_id AS VARCHAR) || ' Back City ' || nname || ' VAT number NL' || CAST(100000000 + page_id AS VARCHAR) || 'B01 City ' || seg || ' Empty ' || cname || chr(160) || 'Ltd ' || nname || ' Phone: +31 (0)20 ' || CAST(page_id AS VARCHAR) || ' Fax: 020-' || CAST(page_id AS VARCHAR) || ' mail info@c' || CAST(page_id AS VARCHAR) || '.shop.nl or noreply@shop.nl 1 2 next' AS text FROM {detail_pages}")

@@ -98,13 +98,57 @@ def test_fingerprint(value):
     assert (r.cms, r.ecommerce, r.js_framework, r.cdn, r.is_spa, r.signals) == (None, None, None, None, False, [])
 
 
-def test_simplify(value):
+def test_simplify(spark):
+    def run(html, **kw):
+        return P.simplify_pages(spark.createDataFrame([(1, html)], "page_id int, html string"), **kw).first().html
+
     html = "<head><title>t</title></head><body><!-- x --><header>h</header><div class='ad-box'>ad<div>in</div></div><p data-x='1' onclick='y' style='z'>a  b</p><img src='data:1' alt='L'><address>keep</address><a href='javascript:x'>l</a></body>"
-    basic = value(P.simplify_html("c"), c=html)
-    assert "<!--" not in basic and "header" not in basic and "ad<div>" in basic
-    hard = value(P.simplify_html_aggressive("c"), c=html)
-    assert hard == '<body><p>a b</p><img src="[removed]" alt="L"><address>keep</address><a href="#">l</a></body>'
-    assert value(P.simplify_html("c", 10), c="x" * 20) == "x" * 10 + "\n<!-- TRUNCATED -->"
+    basic = run(html)
+    assert "<!--" not in basic and "header" not in basic and "ad<div>" in basic and "<p data-x='1' onclick='y' style='z'>a b</p>" in basic
+    assert run(html, aggressive=True) == '<body><p>a b</p><img src="[removed]" alt="L"><address>keep</address><a href="#">l</a></body>'
+    assert run("x" * 20, max_chars=10) == "x" * 10 + "\n<!-- TRUNCATED -->" and len(run("<p>" + "x" * 90_000)) == 90_003
+    # nested noise goes whole; what is never closed ends with the element around it; stray end tags stay
+    assert run("<nav>x<nav>y</nav>menu</nav><div class='b cookie-banner'><div>deep</div>c</div><p>k") == "<p>k"
+    assert run("<div><nav>menu<p>one</p></div><p>two</p>") == "<div></div><p>two</p>"
+    assert run("<body><div><nav>menu<p>one</p></div><p>two</p></body>", aggressive=True) == "<body><div></div><p>two</p></body>"
+    assert run("a</i>b<br/><source src=x>c", aggressive=True) == "a</i>b<br/>c"
+    assert run("<p>a &amp; &lt;b&gt; é\n\n \n日本</p><script>if (a<b) '</p>'</script>\n<i title='\"&quot;' data-a=1>x</i>", aggressive=True) == "<p>a &amp; &lt;b&gt; é\n日本</p>\n<i title=\"&quot;&quot;\">x</i>"
+    assert run("") == run(None) == "" and run("<iframe><b>") == ""
+
+
+def test_source_ranges(spark):
+    html = "<!DOCTYPE html>\n<ul>\n<li>a<li class=x>b</ul><x-y>é<x-y>in</x-y></x-y><br>tail"
+    row = DM.page_dom(spark.createDataFrame([(1, html)], "page_id int, html string"), source=True).first()
+    assert "".join(p.text for p in row.pieces) == html
+    got = [(n.tag, html[n.s0 : n.s1]) for n in row.nodes]
+    assert got == [("ul", "<ul>\n<li>a<li class=x>b</ul>"), ("li", "<li>a"), ("li", "<li class=x>b"), ("x-y", "<x-y>é<x-y>in</x-y></x-y>"), ("x-y", "<x-y>in</x-y>"), ("br", "<br>")]
+    assert all("".join(p.text for p in row.pieces[n.p0 : n.p1]) == html[n.s0 : n.s1] for n in row.nodes)
+
+
+def test_nested_boxes_take_their_own_first_match(spark):
+    import random
+
+    rnd = random.Random(4)
+
+    def tree(depth):
+        return "".join(rnd.choice(["<b>{}</b>", "<div class='box'>{}</div>", "<i>{}</i>", "<b class='box'>{}</b>"]).format(tree(depth + 1) if depth < 5 else "t") for _ in range(rnd.choice([0, 1, 2, 3])))
+
+    dom = DM.page_dom(spark.createDataFrame([(i, tree(0)) for i in range(40)] + [(99, None)], "page_id int, html string"))
+    both = dom.withColumns({"f": DM.select("b"), "x": DM.select(".box")})
+    slow = F.transform("x", lambda box: DM.first_inside(F.col("f"), box)["idx"])
+    fast = F.transform(DM.first_inside_each(F.col("f"), F.col("x")), lambda n: n["idx"])
+    rows = both.select(slow.alias("slow"), fast.alias("fast")).collect()
+    assert all(r.slow == r.fast for r in rows) and sum(len(r.fast) for r in rows) > 100 and any(None in r.fast for r in rows)
+
+
+def test_lists_score_by_all_their_items(spark):
+    adverts, real = '{"x":1},' * 15, '{"name":"a","company":"b","city":"c"},{"name":"d","email":"e","phone":"f"}'
+    html = f"<div data-info='[{adverts}{real}]'></div>" + " " * 100
+    dom = DM.page_dom(spark.createDataFrame([(1, html)], "page_id int, html string"))
+    assert [(r.score, r.total) for r in P.embedded_source(dom).collect()] == [(60 + 17, 17)]
+    assert P.embedded_source(dom, scored_items=5).count() == 0
+    score = lambda **kw: spark.range(1).select(P.listing_api_score(F.lit("https://h/x"), F.lit(f"[{adverts}{real}]"), F.lit("h"), **kw).alias("s")).first().s
+    assert score() - score(scored_items=5) == 60
 
 
 def test_needs_rendering(spark):
@@ -113,9 +157,11 @@ def test_needs_rendering(spark):
         (0, "https://a/#/x", f"<body>{body}</body>"), (1, "https://a", f"<body>{body}</body>"), (2, "https://a", "<body>short</body>"),
         (3, "https://a", f'<body><div id="app"></div><!--{"x" * 3000}--></body>'), (4, "https://a", f"<body>{body}<my-app>{'y' * 600}</my-app></body>"),
         (5, "https://a", f"<body>{body}<my-app>tiny</my-app></body>"), (6, "https://a", f"<body><p ng-app></p>{body}</body>"), (7, "https://a", f"<body><div>{body}<x-y>{'y' * 600}</x-y></div></body>"),
+        # the element's own end counts, wherever an equal tag begins or ends
+        (8, "https://a", f"<body>{body}<x-y><x-y>a</x-y>{'y' * 600}</x-y></body>"), (9, "https://a", f"<body><p><x-y>a</x-y></p>{body}<x-y>b</x-y></body>"),
     ], "page_id long, url string, html string")
     got = {r.page_id: r.needs_js for r in P.needs_rendering(pages).collect()}
-    assert got == {0: True, 1: False, 2: True, 3: True, 4: True, 5: False, 6: True, 7: True}
+    assert got == {0: True, 1: False, 2: True, 3: True, 4: True, 5: False, 6: True, 7: True, 8: True, 9: False}
 
 
 def test_selector_quality(spark):
