@@ -4,11 +4,11 @@ From every word on, the window of `LONGEST` words (padded where its piece ends)
 n-gram is ever exploded. ROLLUP sums the counts of the windows to those of their prefixes, which are all shorter
 phrases: each occurrence of a phrase is the prefix of exactly one window.
 
-Words are counted first. Only phrases whose words all reach the least frequency can be wanted, so that a window
-ends where a word is rarer (by a bitmap of fixed size of the frequent words: a fuller one lets more through and
-changes no result). Tasks count equal windows of a block before they are shuffled. Windows meet by their first
-two words; those of very common words are dealt by their further words too. Where a pair or a triple turns
-out rare, its windows are cut before ROLLUP.
+Only phrases whose words and neighbouring pairs all reach the least frequency can be wanted. A first scan counts
+words, and pairs by a 40-bit hash (so that a count is never too low); a window ends where a word or a pair is
+rarer. Tasks look this up in bitmaps of fixed size: fuller ones let more through and change no result. Equal
+windows of a block are counted before they are shuffled, and they meet whole, so that a common word or pair is no
+hot key.
 """
 
 from __future__ import annotations
@@ -26,12 +26,10 @@ from leadloom.llm.common import bitmap_of, bounded_batches, join_spread, stored
 
 LONGEST, LEAST, MOST, COVER = 4, 30, 2_000, 80
 BITMAP_BITS = 1 << 26
-#: Words that a task counts together; bytes of a long text split at once; a word is heavy with 1 / HEAVY of all words.
-BLOCK, SEGMENT, HEAVY = 600_000, 1 << 21, 64
-#: Rows of an Arrow batch that leaves a task.
-ROWS_OUT = 50_000
-#: Characters of text whose windows meet in one task, and the most tasks.
-CHARS_PER_TASK, MOST_TASKS = 6_000_000, 20_000
+#: Words of the texts that a task counts together; distinct words that it holds; bytes of a long text split at once.
+BLOCK, WORDS, SEGMENT = 2_000_000, 500_000, 1 << 21
+#: Rows of an Arrow batch that leaves a task; bits of a pair's hash.
+ROWS_OUT, PAIR_BITS = 50_000, 40
 #: A-Z lower-cased; marks and line ends become a line end, tabs a blank.
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 _END = b"\n"
@@ -48,6 +46,10 @@ class Vocabulary(dict):
         self[word] = n = len(self)
         return n
 
+    def numbers(self, cells: list[bytes]) -> np.ndarray:
+        ids = np.fromiter(map(self.__getitem__, cells), np.int32, len(cells))
+        return ids[ids != 1]
+
 
 def tokens(text: bytes) -> Iterator[list[bytes]]:
     """Words and piece ends of the text, in parts of bounded size."""
@@ -59,112 +61,114 @@ def tokens(text: bytes) -> Iterator[list[bytes]]:
         begin = end
 
 
-def _last(cells: list[bytes], n: int) -> list[bytes]:
-    """The last `n` cells that are not blank."""
-    out: list[bytes] = []
-    for w in reversed(cells):
-        if len(out) == n:
-            break
-        if w:
-            out.append(w)
-    return out[::-1]
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], ahead: int) -> Iterator[list[tuple[str, list[bytes], int]]]:
-    """Blocks of (language, words and piece ends, how many of the last begin no window here): where a text goes on
-    in the next block, its last `ahead` words stand in both and begin their windows in the second."""
-    held: dict[str, list[bytes]] = {}
+def _blocks(batches: Iterator[pa.RecordBatch], ahead: int) -> Iterator[list[tuple[str, list[bytes], np.ndarray, int]]]:
+    """Blocks of (language, its words, their numbers in order of the texts, how many of the last begin no window
+    here): where a text goes on in the next block, its last `ahead` words stand in both and begin their windows in
+    the second. Words are held as numbers, so that a block may be large."""
+    held: dict[str, tuple[Vocabulary, list[np.ndarray]]] = {}
     size = 0
 
-    def cut(open_lang: str | None) -> list[tuple[str, list[bytes], int]]:
-        carry = [] if open_lang is None else _last(held[open_lang], ahead)
-        out = [(lang, cells, len(carry) if lang == open_lang else 0) for lang, cells in held.items()]
+    def cut(open_lang: str | None) -> list[tuple[str, list[bytes], np.ndarray, int]]:
+        out, carry = [], []
+        for lang, (words, parts) in held.items():
+            told, ids = list(words), np.concatenate(parts)
+            own = [told[i] for i in ids[-ahead:]] if ahead and lang == open_lang else []
+            out.append((lang, told, ids, len(own)))
+            carry = carry or own
         held.clear()
         if carry:
-            held[open_lang] = carry
+            words = Vocabulary()
+            held[open_lang] = words, [words.numbers(carry)]
         return out
 
     for batch in batches:
         for lang, cell in zip(batch.column("lang").to_pylist(), batch.column("data")):
             for part in tokens(cell.as_py()):
-                if size >= BLOCK:
-                    yield cut(lang if lang in held else None)
+                if size >= BLOCK or sum(len(words) for words, _ in held.values()) > WORDS:
+                    yield cut(lang)
                     size = 0
-                held.setdefault(lang, []).extend(part)
-                size += len(part)
-            held[lang].append(_END)
+                if lang not in held:
+                    held[lang] = Vocabulary(), []
+                words, parts = held[lang]
+                parts.append(words.numbers(part))
+                size += len(parts[-1])
+            parts.append(np.zeros(1, np.int32))
     if held:
         yield cut(None)
 
 
-def _numbers(words: Vocabulary, cells: list[bytes]) -> np.ndarray:
-    ids = np.fromiter(map(words.__getitem__, cells), np.int64, len(cells))
-    return ids[ids != 1]
-
-
 def _strings(words: list[bytes]) -> pa.Array:
     return pa.array([b"", *words[1:]], pa.binary()).cast(pa.string())
 
 
+def _hashes(lang: str, words: list[bytes]) -> np.ndarray:
+    own = lang.encode() + _END
+    return np.fromiter((xxhash.xxh64_intdigest(own + w, 42) for w in words), np.uint64, len(words))  # as Spark's xxhash64
+
+
+def _pairs(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    h = hashes[a] * _ODD[0] + hashes[b] * _ODD[1]
+    return ((h ^ h >> np.uint64(31)) * _ODD[2] >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
+
 def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in _blocks(batches, 0):
-        for lang, cells, _ in block:
-            words = Vocabulary()
-            counts = np.bincount(_numbers(words, cells), minlength=len(words))
+    """Rows of words (lang, word) and of hashed pairs (pair), with their counts in a block."""
+    for block in _blocks(batches, 1):
+        for lang, words, ids, skip in block:
+            counts = np.bincount(ids[: len(ids) - skip], minlength=len(words))
             at = np.flatnonzero(counts[2:]) + 2
-            told = _strings(list(words)).take(pa.array(at))
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "word": told, "n": pa.array(counts[at], pa.int64())})
+            none = lambda n, kind: pa.nulls(n, kind)
+            yield pa.RecordBatch.from_pydict({
+                "lang": pa.array([lang] * len(at), pa.string()), "word": _strings(words).take(pa.array(at)), "pair": none(len(at), pa.int64()), "n": pa.array(counts[at], pa.int64())})
+            a, b = ids[:-1], ids[1:]
+            both = (a > 0) & (b > 0)
+            pair, n = np.unique(_pairs(_hashes(lang, words), a[both], b[both]), return_counts=True)
+            for i in range(0, len(pair), 4 * ROWS_OUT):
+                part = slice(i, i + 4 * ROWS_OUT)
+                size = len(pair[part])
+                yield pa.RecordBatch.from_pydict({"lang": none(size, pa.string()), "word": none(size, pa.string()), "pair": pa.array(pair[part]), "n": pa.array(n[part].astype(np.int64))})
 
 
 def word_hash(lang: Column, word: Column) -> Column:
     return F.xxhash64(F.concat(lang, F.lit("\n"), word))
 
 
-def _hash(lang: str, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(lang.encode() + _END + word, 42)  # as Spark's xxhash64 of one string
+def _held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes.astype(np.uint64) & np.uint64(len(bits) * 8 - 1)
+    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _counted_windows(bits: Callable, heavy: set[tuple[str, bytes]]) -> Callable:
-    """Distinct windows of a block with counts. `meet` deals them: 20 bits of a hash of the first two words and of
-    `depth` more. A window is its words joined: one string is half the shuffle of four columns."""
+def _counted_windows(bits: Callable) -> Callable:
+    """Distinct windows of a block of frequent words and pairs, with their counts; a window is its words joined."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.frombuffer(bits(), np.uint8)
+        words_held, pairs_held = (np.frombuffer(b, np.uint8) for b in bits())
         for block in _blocks(batches, LONGEST - 1):
-            for lang, cells, skip in block:
-                words = Vocabulary()
-                ids = _numbers(words, cells)
-                told = list(words)
-                hashes = np.fromiter((_hash(lang, w) for w in told), np.uint64, len(told))
-                slot = hashes & np.uint64(len(held) * 8 - 1)
-                common = (held[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            for lang, told, ids, skip in block:
+                hashes = _hashes(lang, told)
+                common = _held(words_held, hashes)
                 common[:2] = False
                 ids[~common[ids]] = 0  # a rarer word ends a window as the end of the piece does
-                lead = [np.r_[ids[k:], np.zeros(k, np.int64)] for k in range(LONGEST)]
-                for k in range(1, LONGEST):
-                    lead[k][lead[k - 1] == 0] = 0
+                lead = [np.r_[ids[k:], np.zeros(k, np.int32)] for k in range(LONGEST)]
+                linked = (lead[0] > 0) & (lead[1] > 0)
+                linked[linked] = _held(pairs_held, _pairs(hashes, lead[0][linked], lead[1][linked]))
+                linked = np.r_[linked, np.zeros(LONGEST, bool)]
+                for k in range(1, LONGEST):  # the word k is in the window if the words before it are and its pair is frequent
+                    lead[k][~linked[k - 1 : k - 1 + len(ids)] | (lead[k - 1] == 0)] = 0
                 begin = np.flatnonzero(lead[1][: len(ids) - skip])
                 if not len(begin):
                     continue
-                a, b, c, d = (x[begin] for x in lead)
+                a, b, c, d = (x[begin].astype(np.int64) for x in lead)
                 high, low = a << 32 | b, c << 32 | d
                 order = np.lexsort((low, high))
                 high, low = high[order], low[order]
                 new = np.flatnonzero(np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
                 n = np.diff(np.r_[new, len(high)])
-                leads = [high[new] >> 32, high[new] & 0xFFFFFFFF, low[new] >> 32, low[new] & 0xFFFFFFFF]
-                hot = np.array([(lang, w) in heavy for w in told])
-                pair = hot[leads[0]] & hot[leads[1]]
-                depth = pair.astype(np.int32) + (pair & hot[leads[2]])
-                meet = hashes[leads[0]] * _ODD[0] + hashes[leads[1]] * _ODD[1]
-                meet += np.where(depth > 0, hashes[leads[2]] * _ODD[2], np.uint64(0)) + np.where(depth > 1, hashes[leads[3]] * _ODD[3], np.uint64(0))
-                meet = (meet * _ODD[0] >> np.uint64(44)).astype(np.int32)
                 strings = _strings(told)
                 for i in range(0, len(new), ROWS_OUT):
-                    at = slice(i, i + ROWS_OUT)
-                    joined = pc.binary_join_element_wise(*[strings.take(pa.array(x[at])) for x in leads], " ")
-                    yield pa.RecordBatch.from_pydict({
-                        "meet": pa.array(meet[at]), "lang": pa.array([lang] * len(joined), pa.string()), "words": pc.ascii_rtrim(joined, characters=" "),
-                        "n": pa.array(n[at].astype(np.int32)), "depth": pa.array(depth[at])})
+                    x, y = high[new[i : i + ROWS_OUT]], low[new[i : i + ROWS_OUT]]
+                    cells = [strings.take(pa.array(z)) for z in (x >> 32, x & 0xFFFFFFFF, y >> 32, y & 0xFFFFFFFF)]
+                    joined = pc.ascii_rtrim(pc.binary_join_element_wise(*cells, " "), characters=" ")
+                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(x), pa.string()), "words": joined, "n": pa.array(n[i : i + ROWS_OUT].astype(np.int64))})
 
     return run
 
@@ -174,24 +178,17 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("data"))
     with bounded_batches(spark):
-        each = rows.mapInArrow(_counted_words, "lang string, word string, n long")
-        words = stored(each.groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
+        each = rows.mapInArrow(_counted_words, "lang string, word string, pair long, n long")
+        counts = each.groupBy("lang", "word", "pair").agg(F.sum("n").alias("f"))
+        counts = stored(counts.filter(F.col("pair").isNull() | (F.col("f") >= least)), "counts")
+        words = counts.filter("pair is null")
         totals = stored(words.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
         common = words.filter(F.col("f") >= least)
-        told = spark.sparkContext.broadcast(bitmap_of(common.select(word_hash(F.col("lang"), F.col("word")).alias("h")), "h", bitmap_bits))
-        every = totals.agg(F.sum("n")).first()[0] or 0
-        heavy = {(r.lang, r.word.encode()) for r in common.filter(F.col("f") > every / HEAVY).collect()}  # fewer than HEAVY
-        chars = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-        tasks = min(MOST_TASKS, chars // CHARS_PER_TASK + 1)
-        windows = rows.mapInArrow(_counted_windows(lambda: told.value, heavy), "meet int, lang string, words string, n int, depth int").repartition(tasks, "meet")
-        # sums over the windows of a triple and of a pair, where all of them are in this task
-        met = ["meet", "lang", "head"]
-        cut = windows.withColumns({"head": F.substring_index("words", " ", 2), "w3": F.split_part("words", F.lit(" "), F.lit(3))})
-        sums = cut.withColumn("n3", F.sum("n").over(Window.partitionBy(*met, "w3"))).withColumn("n2", F.sum("n").over(Window.partitionBy(*met)))
-        kept = sums.filter((F.col("depth") > 0) | (F.col("n2") >= least))
-        rare = (F.col("depth") < 2) & (F.col("n3") < least)
-        top = kept.withColumn("words", F.when(rare, F.col("head")).otherwise(F.col("words"))).groupBy("meet", "lang", "words").agg(F.sum("n").alias("n"))
+        hashed = common.select(word_hash(F.col("lang"), F.col("word")).alias("h"))
+        told = spark.sparkContext.broadcast((bitmap_of(hashed, "h", bitmap_bits), bitmap_of(counts.filter("pair is not null"), "pair", bitmap_bits)))
+        windows = rows.mapInArrow(_counted_windows(lambda: told.value), "lang string, words string, n long")
         lead = F.split("words", " ")
+        top = windows.groupBy("lang", "words").agg(F.sum("n").alias("n"))
         top = top.select("lang", *[F.coalesce(F.get(lead, F.lit(k)), F.lit("")).alias(f"w{k + 1}") for k in range(LONGEST)], "n")
         rolled = spark.sql("""
             SELECT lang, w1, w2, w3, w4, CASE grouping_id() WHEN 3 THEN 2 WHEN 1 THEN 3 ELSE 4 END AS size, sum(n) AS f

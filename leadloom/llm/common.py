@@ -96,5 +96,7 @@ def bitmap_of(df: DataFrame, hashes: str, bits: int) -> bytes:
     maps = df.groupBy(F.floor(slot / one).alias("at")).agg(F.bitmap_construct_agg(slot % one).alias("bits"))
     out = bytearray(bits // 8)
     for row in maps.toLocalIterator():
-        out[row["at"] * one // 8 : (row["at"] + 1) * one // 8] = row["bits"]
+        at = row["at"] * one // 8
+        part = row["bits"][: len(out) - at]
+        out[at : at + len(part)] = part
     return bytes(out)

@@ -156,12 +156,13 @@ def texts_with_phrases(seed, n=120):
         yield lang, rnd.choice([" ", "  ", "\t"]).join(p + rnd.choice(["", "", "", ".", ",", "\r\n"]) for p in parts)
 
 
-@pytest.mark.parametrize("block, segment, heavy", [(1_000_000, 1 << 21, 64), (50, 40, 64), (7, 10, 5)])
-def test_collocations_equal_brute_force(spark, monkeypatch, block, segment, heavy):
-    monkeypatch.setattr(C, "BLOCK", block), monkeypatch.setattr(C, "SEGMENT", segment), monkeypatch.setattr(C, "HEAVY", heavy)
+@pytest.mark.parametrize("block, segment, bits, pair_bits", [(1_000_000, 1 << 21, 1 << 15, 40), (50, 40, 1 << 15, 40), (7, 10, 64, 3)])
+def test_collocations_equal_brute_force(spark, monkeypatch, block, segment, bits, pair_bits):
+    """Whatever the blocks, and with bitmaps and hashes that let nearly everything through."""
+    monkeypatch.setattr(C, "BLOCK", block), monkeypatch.setattr(C, "SEGMENT", segment), monkeypatch.setattr(C, "PAIR_BITS", pair_bits)
     rows = [*texts_with_phrases(block), (None, None), ("en", ""), ("en", " .,\n")]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "lang string, text string, n int, w1 string").repartition(3)
-    got = C.collocations(df, least=5, most=40, bitmap_bits=1 << 15).collect()
+    got = C.collocations(df, least=5, most=40, bitmap_bits=bits).collect()
     assert sorted(tuple(r) for r in got) == plain_collocations(rows, 5, 40)
     assert len({r.lang for r in got}) == 3
 
@@ -175,7 +176,7 @@ def test_blocks_begin_each_window_once(monkeypatch):
 
     monkeypatch.setattr(C, "BLOCK", 5), monkeypatch.setattr(C, "SEGMENT", 3)
     batch = pa.RecordBatch.from_pydict({"lang": ["x", "y"], "data": [b"a b c d e f g h i", b"p q. r"]})
-    begun = [w for block in C._blocks(iter([batch]), 3) for _, cells, skip in block for w in [c for c in cells if c][: len([c for c in cells if c]) - skip] if w != b"\n"]
+    begun = [words[i] for block in C._blocks(iter([batch]), 3) for _, words, ids, skip in block for i in ids[: len(ids) - skip] if i]
     assert sorted(begun) == [c.encode() for c in "abcdefghipqr"]
 
 
