@@ -7,8 +7,8 @@ phrases: each occurrence of a phrase is the prefix of exactly one window.
 Only phrases whose words and neighbouring pairs all reach the least frequency can be wanted. A first scan counts
 words, and pairs by a 40-bit hash (so that a count is never too low); a window ends where a word or a pair is
 rarer. Tasks look this up in bitmaps of fixed size: fuller ones let more through and change no result. Equal
-windows of a block are counted before they are shuffled, and they meet whole, so that a common word or pair is no
-hot key.
+windows of a block are counted before they are shuffled; they meet by their first pair, a common one in several
+parts. Where a triple turns out rare, its windows are cut to the pair before ROLLUP.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ BITMAP_BITS = 1 << 26
 BLOCK, WORDS, SEGMENT = 2_000_000, 500_000, 1 << 21
 #: Rows of an Arrow batch that leaves a task; bits of a pair's hash.
 ROWS_OUT, PAIR_BITS = 50_000, 40
+#: Tasks among which the windows of one first pair are dealt, by their third word.
+PAIR_PARTS = 8
 #: A-Z lower-cased; marks and line ends become a line end, tabs a blank.
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 _END = b"\n"
@@ -139,7 +141,8 @@ def _held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _counted_windows(bits: Callable) -> Callable:
-    """Distinct windows of a block of frequent words and pairs, with their counts; a window is its words joined."""
+    """Distinct windows of a block of frequent words and pairs, with their counts; a window is its words joined.
+    `meet` deals them: bits of the hash of the first pair, and one of PAIR_PARTS by the third word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_held, pairs_held = (np.frombuffer(b, np.uint8) for b in bits())
         for block in _blocks(batches, LONGEST - 1):
@@ -164,11 +167,13 @@ def _counted_windows(bits: Callable) -> Callable:
                 new = np.flatnonzero(np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
                 n = np.diff(np.r_[new, len(high)])
                 strings = _strings(told)
+                parts = hashes % np.uint64(PAIR_PARTS)
                 for i in range(0, len(new), ROWS_OUT):
                     x, y = high[new[i : i + ROWS_OUT]], low[new[i : i + ROWS_OUT]]
                     cells = [strings.take(pa.array(z)) for z in (x >> 32, x & 0xFFFFFFFF, y >> 32, y & 0xFFFFFFFF)]
                     joined = pc.ascii_rtrim(pc.binary_join_element_wise(*cells, " "), characters=" ")
-                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(x), pa.string()), "words": joined, "n": pa.array(n[i : i + ROWS_OUT].astype(np.int64))})
+                    meet = (_pairs(hashes, x >> 32, x & 0xFFFFFFFF) >> 20) * PAIR_PARTS + parts[y >> 32].astype(np.int64)
+                    yield pa.RecordBatch.from_pydict({"meet": pa.array(meet.astype(np.int32)), "lang": pa.array([lang] * len(x), pa.string()), "words": joined, "n": pa.array(n[i : i + ROWS_OUT].astype(np.int64))})
 
     return run
 
@@ -186,9 +191,13 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
         common = words.filter(F.col("f") >= least)
         hashed = common.select(word_hash(F.col("lang"), F.col("word")).alias("h"))
         told = spark.sparkContext.broadcast((bitmap_of(hashed, "h", bitmap_bits), bitmap_of(counts.filter("pair is not null"), "pair", bitmap_bits)))
-        windows = rows.mapInArrow(_counted_windows(lambda: told.value), "lang string, words string, n long")
+        windows = rows.mapInArrow(_counted_windows(lambda: told.value), "meet int, lang string, words string, n long").repartition("meet")
+        # all windows of a triple are in this task: those of a rare one count for its first pair only
+        head = lambda k: F.substring_index("words", " ", k)
+        whole = windows.groupBy("meet", "lang", "words").agg(F.sum("n").alias("n")).withColumn("head", head(3))
+        whole = whole.withColumn("n3", F.sum("n").over(Window.partitionBy("meet", "lang", "head")))
+        top = whole.withColumn("words", F.when(F.col("n3") < least, head(2)).otherwise(F.col("words")))
         lead = F.split("words", " ")
-        top = windows.groupBy("lang", "words").agg(F.sum("n").alias("n"))
         top = top.select("lang", *[F.coalesce(F.get(lead, F.lit(k)), F.lit("")).alias(f"w{k + 1}") for k in range(LONGEST)], "n")
         rolled = spark.sql("""
             SELECT lang, w1, w2, w3, w4, CASE grouping_id() WHEN 3 THEN 2 WHEN 1 THEN 3 ELSE 4 END AS size, sum(n) AS f
