@@ -91,6 +91,11 @@ def merge_events(mentions: DataFrame, order_by: Sequence[str]) -> DataFrame:
         F.min(order).alias("_first"),
         *[first_value_by(F.col(c), order).alias(c) for c in ("name", "city", "country", "website")],
     )
+    return absorb_yearless(first)
+
+
+def absorb_yearless(first: DataFrame) -> DataFrame:
+    """Events from the first mention (its order in `_first`) of every name and year."""
     # one row per name and year is left, so the window groups are short
     w = Window.partitionBy("name_normalized")
     absorbed_from = F.min(F.when(F.col("year").isNull(), F.col("_first"))).over(w)

@@ -130,10 +130,12 @@ def with_streaks(
     position: str = "position",
     streak: str | None = "streak",
     rows_per_chunk: int = ROWS_PER_CHUNK,
+    carry: DataFrame | None = None,
 ) -> DataFrame:
     """Add the 1-based position per key and the length of the current run of `counts` rows.
 
-    `counts` marks rows that lengthen the run; any other row resets it to zero.
+    `counts` marks rows that lengthen the run; any other row resets it to zero. `carry` (keys, n, run) says how
+    many rows of a key came before and how long the run was then: one row per key, for rows that go on later.
     """
     flag = F.lit(True) if counts is None else F.coalesce(counts, F.lit(False))
     base, chunks = with_chunks(df.withColumn("_flag", flag), order_by[0], rows_per_chunk)
@@ -144,15 +146,17 @@ def with_streaks(
     rows = base.withColumn("_rn", F.row_number().over(w).cast("bigint")).withColumn(
         "_reset", F.max(F.when(~F.col("_flag"), F.col("_rn"))).over(running)
     )
-    if chunks > 1:
+    if chunks > 1 or carry is not None:
         before = Window.partitionBy("_k").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-        summary = (
-            rows.groupBy("_k", "_chunk")
-            .agg(F.count("*").alias("_n"), F.max("_reset").alias("_last_reset"))
-            .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-            .withColumn("_carried", F.max(F.col("_offset") + F.col("_last_reset")).over(before))
-            .select("_k", "_chunk", "_offset", "_carried")
-        )
+        summary = rows.groupBy("_k", "_chunk").agg(F.count("*").alias("_n"), F.max("_reset").alias("_last_reset"))
+        first, reset = F.lit(0).cast("bigint"), F.lit(None).cast("bigint")
+        if carry is not None:  # joined to one row per key and chunk, never to the rows of a hot key
+            told = carry.select(F.struct(*keys, F.lit(0)).alias("_k"), F.col("n").alias("_first"), (F.col("n") - F.col("run")).alias("_before"))
+            summary = summary.join(told, "_k", "left")
+            first, reset = F.coalesce("_first", F.lit(0)).cast("bigint"), F.col("_before").cast("bigint")
+        summary = summary.withColumn("_offset", first + F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn(
+            "_carried", F.coalesce(F.max(F.col("_offset") + F.col("_last_reset")).over(before), reset)
+        ).select("_k", "_chunk", "_offset", "_carried")
         rows = rows.join(summary, ["_k", "_chunk"])
     else:
         rows = rows.withColumns({"_offset": F.lit(0), "_carried": F.lit(None).cast("bigint")})

@@ -165,24 +165,30 @@ def _(t):
     return M.merge_companies(_clean_mentions(t), ["ord"], "seen_at")
 
 
-@query(
-    "mg5_upsert_socials",
-    f"""WITH s AS (SELECT ord, {D.key('name')} AS company_id, 'linkedin' AS platform, {D.trim('social_linkedin')} AS url FROM {{leads}} UNION ALL SELECT ord, {D.key('name')}, 'facebook', {D.trim('social_facebook')} FROM {{leads}})
-    SELECT company_id, platform, arg_max(url, ord) AS url FROM s WHERE lower(url) NOT IN ('nan', 'none', '') GROUP BY company_id, platform""",
-)
-def _(t):
-    links = t.leads.select(
+SOCIALS_SQL = f"""WITH s AS (SELECT ord, {D.key('name')} AS company_id, 'linkedin' AS platform, {D.trim('social_linkedin')} AS url FROM {{leads}} UNION ALL SELECT ord, {D.key('name')}, 'facebook', {D.trim('social_facebook')} FROM {{leads}})
+    SELECT company_id, platform, arg_max(url, ord) AS url FROM s WHERE lower(url) NOT IN ('nan', 'none', '') GROUP BY company_id, platform"""
+
+
+def social_links(t):
+    return t.leads.select(
         "ord", X.company_key("name").alias("company_id"),
         F.explode(F.create_map(F.lit(" LinkedIn"), "social_linkedin", F.lit("facebook"), "social_facebook")).alias("platform", "url"),
     )
-    return M.upsert_socials(links, ["ord"])
+
+
+@query("mg5_upsert_socials", SOCIALS_SQL)
+def _(t):
+    return M.upsert_socials(social_links(t), ["ord"])
 
 
 EVENTS_SQL = f"""WITH m AS (SELECT *, {D.norm('name')} AS nn FROM {{event_mentions}}), f AS (SELECT nn, year, min(ord) AS o, arg_min(name, ord) AS name, {D.head('city', 'ord')} AS city, {D.head('country', 'ord')} AS country, {D.head('website', 'ord')} AS website FROM m GROUP BY nn, year),
   n AS (SELECT nn, o AS null_first FROM f WHERE year IS NULL) SELECT md5(f.nn || '|' || coalesce(CAST(year AS VARCHAR), '')) AS event_id, name, f.nn AS name_normalized, year, city, country, website FROM f LEFT JOIN n ON f.nn = n.nn WHERE year IS NULL OR null_first IS NULL OR o < null_first"""
 
 
-@query("mg6_merge_events", EVENTS_SQL.replace("year, city", "CAST(year AS INTEGER) AS year, city").replace("WHERE CAST(year AS INTEGER) AS year", "WHERE year"))
+EVENT_ROWS_SQL = EVENTS_SQL.replace("year, city", "CAST(year AS INTEGER) AS year, city").replace("WHERE CAST(year AS INTEGER) AS year", "WHERE year")
+
+
+@query("mg6_merge_events", EVENT_ROWS_SQL)
 def _(t):
     return M.merge_events(t.event_mentions, ["ord"])
 
@@ -198,7 +204,10 @@ FACT_KEYS = f"f AS (SELECT *, {D.key('company')} AS company_id, md5({D.norm('eve
 EXHIBITOR_COLS = ["hall", "stand", "product_categories", "brands", "detail_url"]
 
 
-@query("mg7_merge_exhibitors", f"WITH {FACT_KEYS} SELECT company_id, event_id, " + ", ".join(f"{D.last(c, 'ord')} AS {c}" for c in EXHIBITOR_COLS) + " FROM f GROUP BY company_id, event_id")
+EXHIBITORS_SQL = f"WITH {FACT_KEYS} SELECT company_id, event_id, " + ", ".join(f"{D.last(c, 'ord')} AS {c}" for c in EXHIBITOR_COLS) + " FROM f GROUP BY company_id, event_id"
+
+
+@query("mg7_merge_exhibitors", EXHIBITORS_SQL)
 def _(t):
     return M.merge_exhibitors(_facts(t).select("company_id", "event_id", "ord", *EXHIBITOR_COLS), ["ord"])
 
@@ -206,10 +215,10 @@ def _(t):
 SELLER_LAST, SELLER_FIRST = ["seller_id", "rating", "review_count", "vat_number"], ["rating_out_of", "kvk_number", "shipped_from"]
 
 
-@query(
-    "mg8_merge_sellers",
-    f"WITH {FACT_KEYS} SELECT company_id, marketplace_id, " + ", ".join(f"{D.last(c, 'ord')} AS {c}" for c in SELLER_LAST) + ", " + ", ".join(f"{D.head(c, 'ord')} AS {c}" for c in SELLER_FIRST) + " FROM f GROUP BY company_id, marketplace_id",
-)
+SELLERS_SQL = f"WITH {FACT_KEYS} SELECT company_id, marketplace_id, " + ", ".join(f"{D.last(c, 'ord')} AS {c}" for c in SELLER_LAST) + ", " + ", ".join(f"{D.head(c, 'ord')} AS {c}" for c in SELLER_FIRST) + " FROM f GROUP BY company_id, marketplace_id"
+
+
+@query("mg8_merge_sellers", SELLERS_SQL)
 def _(t):
     return M.merge_sellers(_facts(t).select("company_id", "marketplace_id", "ord", *SELLER_LAST, *SELLER_FIRST), ["ord"])
 

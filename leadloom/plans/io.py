@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from leadloom.functions import text as X
 from leadloom.operators import dedup as DD
 from leadloom.operators.quality import table_stats
-from leadloom.plans.companies import COMPANIES_SQL, LEAD_KEY, LEAD_TEXT, lead_records, merged_tables
+from leadloom.plans.companies import (
+    COMPANIES_SQL, EVENT_ROWS_SQL, EXHIBITORS_SQL, LEAD_KEY, LEAD_TEXT, SELLERS_SQL, SOCIALS_SQL, company_tables, lead_records, merged_tables,
+    social_links,
+)
 from leadloom.plans.jobs import ERRORS, ZERO
 from leadloom.plans.registry import Tables, query
 from leadloom.schemas import REQUEST_COLUMNS
@@ -188,17 +191,57 @@ def _(t):
 def _(t):
     path = scratch(t)
     k1, k2 = DD.lead_key()
-    unique = S.stream_dedup_leads(Streams(t, "orders").leads).select(k1.alias("k1"), k2.alias("k2"))
+    # keys are forgotten after the horizon, here longer than the table's seven years
+    leads = Streams(t, "orders").leads.withColumn("at", F.col("seen_at").cast("timestamp"))
+    unique = S.stream_dedup_leads(leads, "at", "4000 days").select(k1.alias("k1"), k2.alias("k2"))
     _finish(S.run_checkpointed(unique, f"{path}/out", f"{path}/check"))
     return t.spark.read.parquet(f"{path}/out")
 
 
+def _files(df, path: str, part, parts: int):
+    """`df` as a stream of files, written one after the other, two per trigger: the rows of file i have part = i."""
+    cut = df.withColumn("_part", part)
+    for i in range(parts):
+        cut.filter(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
 @query("st3_stream_company_master", COMPANIES_SQL)
 def _(t):
     path = scratch(t)
-    mentions = Streams(t, "orders").leads.select("ord", "seen_at", "name", *[X.clean_str(c).alias(c) for c in LEAD_TEXT])
-    _finish(S.stream_company_master(mentions, f"{path}/master", f"{path}/check", "ord", "seen_at"))
-    return S.read_company_master(t.spark, f"{path}/master").drop("first_seen")
+    mentions = t.leads.select("ord", "seen_at", "name", *[X.clean_str(c).alias(c) for c in LEAD_TEXT])
+    # any file may hold the first or the last mention of a company
+    stream = _files(mentions, f"{path}/in", F.pmod(F.xxhash64("ord"), F.lit(5)), 5)
+    _finish(S.stream_company_master(stream, f"{path}/master", f"{path}/check", "ord", "seen_at"))
+    return S.read_company_master(t.spark, f"{path}/master")
+
+
+def _stream_table(t: Tables, name: str, rows):
+    path = scratch(t)
+    stream = _files(rows, f"{path}/in", F.pmod(F.xxhash64("ord"), F.lit(3)), 3)
+    _finish(S.stream_master(stream, f"{path}/master", f"{path}/check", ["ord"], {name: lambda b: b}))
+    S.compact_master(t.spark, f"{path}/master")
+    return S.read_master(t.spark, f"{path}/master", name)
+
+
+@query("st3_stream_sellers", SELLERS_SQL)
+def _(t):
+    return _stream_table(t, "marketplace_sellers", company_tables(t)["marketplace_sellers"])
+
+
+@query("st3_stream_exhibitors", EXHIBITORS_SQL)
+def _(t):
+    return _stream_table(t, "event_exhibitors", company_tables(t)["event_exhibitors"])
+
+
+@query("st3_stream_events", EVENT_ROWS_SQL)
+def _(t):
+    return _stream_table(t, "events", t.event_mentions)
+
+
+@query("st3_stream_socials", SOCIALS_SQL)
+def _(t):
+    return _stream_table(t, "company_socials", social_links(t))
 
 
 @query(
@@ -208,26 +251,35 @@ def _(t):
 )
 def _(t):
     path = scratch(t)
-    counters = S.stream_job_counters(Streams(t, "events").progress, "job")
-    _finish(S.run_snapshots(counters, f"{path}/out", f"{path}/check"))
-    return t.spark.read.parquet(f"{path}/out")
+    stream = _files(t.progress, f"{path}/in", F.pmod(F.xxhash64("ord"), F.lit(4)), 4)
+    _finish(S.run_snapshots(S.stream_job_counters(stream, "job"), f"{path}/out", f"{path}/check"))
+    return S.read_snapshot(t.spark, f"{path}/out")
+
+
+def _days(ts, shift):
+    """Files of ten days that overlap: a row comes up to a day after its time."""
+    return F.floor((F.unix_timestamp(ts.cast("timestamp")) - F.lit(1704067200) + shift) / F.lit(10 * 86400)).cast("int")
 
 
 @query("st5_stream_switch_alerts", f"WITH {ZERO}, h AS (SELECT *, rn - coalesce(last_reset, 0) AS z FROM r), p AS (SELECT job, min(rn) AS rn FROM h WHERE rn >= 3 AND z >= 2 GROUP BY job) SELECT h.job, h.pages_processed, h.z AS zero_streak FROM h JOIN p ON h.job = p.job AND h.rn = p.rn")
 def _(t):
     path = scratch(t)
-    alerts = S.stream_switch_alerts(Streams(t, "events").progress.select("job", "ts", "ord", "page_items"), ["job"], ["ts", "ord"], "page_items")
-    _finish(S.run_checkpointed(alerts, f"{path}/out", f"{path}/check"))
-    return t.spark.read.parquet(f"{path}/out")
+    rows = t.progress.select("job", "ts", "ord", "page_items")
+    stream = _files(rows, f"{path}/in", _days(F.col("ts"), F.pmod(F.xxhash64("ord"), F.lit(86400))), 4)
+    _finish(S.stream_switch_alerts(stream, f"{path}/out", f"{path}/check", ["job"], ["ts", "ord"], "page_items", "1 DAY", rows_per_chunk=1_000))
+    S.finish_switch_alerts(t.spark, f"{path}/out", ["job"], ["ts", "ord"], "page_items")
+    return S.read_switch_alerts(t.spark, f"{path}/out", ["job"])
 
 
 @query("st6_stream_breaker", f"WITH {ERRORS} SELECT provider, ts, rn - coalesce(last_reset, 0) AS consecutive_errors, ts + INTERVAL 600 SECONDS AS disabled_until FROM r WHERE failed AND rn - coalesce(last_reset, 0) >= 3")
 def _(t):
     path = scratch(t)
-    calls = Streams(t, "events").calls.select("provider", F.col("ts").cast("timestamp").alias("ts"), "ord", "failed")
-    _finish(S.run_checkpointed(S.stream_breaker(calls, "provider", "ts", ["ts", "ord"], "failed"), f"{path}/out", f"{path}/check"))
-    back = t.spark.read.parquet(f"{path}/out")
-    return back.select("provider", F.col("ts").cast("timestamp_ntz").alias("ts"), "consecutive_errors", F.col("disabled_until").cast("timestamp_ntz").alias("disabled_until"))
+    calls = t.calls.select("provider", "ts", "ord", "failed")
+    # the two providers hold all rows: chunks of their time are counted apart
+    stream = _files(calls, f"{path}/in", _days(F.col("ts"), F.pmod(F.xxhash64("ord"), F.lit(86400))), 4)
+    _finish(S.stream_breaker(stream, f"{path}/out", f"{path}/check", "provider", ["ts", "ord"], "failed", "1 DAY", rows_per_chunk=1_000))
+    S.finish_breaker(t.spark, f"{path}/out", "provider", ["ts", "ord"], "failed")
+    return S.read_breaker(t.spark, f"{path}/out")
 
 
 @query("st7_run_checkpointed", "SELECT ord, job, page_items FROM {progress}")

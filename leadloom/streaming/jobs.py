@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from leadloom.functions.text import normalize_name
+from leadloom.functions.text import normalize_name, trim_ws
 from leadloom.operators.dedup import lead_key
 from leadloom.operators.filters import actionable_requests
-from leadloom.operators.merge import merge_companies
+from leadloom.operators.merge import EXHIBITOR_LAST, SELLER_FIRST, SELLER_LAST, absorb_yearless
+from leadloom.operators.ordered import keep_first, order_key, with_streaks
 from leadloom.operators.quality import job_counters
-from leadloom.schemas import COMPANY_ATTRIBUTES, REQUEST_COLUMNS
+from leadloom.schemas import COMPANY_ATTRIBUTES, REQUEST_COLUMNS, TABLES
+from leadloom.streaming.store import DeltaStore, Fold, compact
+
+#: A table with more parts than this is folded to one after a batch.
+MOST_PARTS = 24
 
 
 def stream_requests(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,53 +38,89 @@ def stream_dedup_leads(leads: DataFrame, event_time: str | None = None, horizon:
     return keyed.withWatermark(event_time, horizon).dropDuplicatesWithinWatermark(["_k1", "_k2"]).drop("_k1", "_k2")
 
 
-# --- company master ----------------------------------------------------------------------
-
-
-def stream_company_master(mentions: DataFrame, path: str, checkpoint: str, order_by: str, seen_at: str) -> StreamingQuery:
-    """Fold each micro-batch to one row per company and store it under its batch number.
-
-    Re-running a batch overwrites its own folder, so a replay after a failure adds nothing
-    twice. `read_company_master` folds the stored batches; `compact_company_master` replaces
-    them by one.
+# --- master tables -----------------------------------------------------------------------
+
+
+def master_fold(table: str, columns: Sequence[str] = ()) -> Fold:
+    """The rule of a master table for rows with `columns` (all of the rule where none are given)."""
+    has = lambda names: [c for c in names if not columns or c in columns]
+    return {
+        "companies": Fold(["name_normalized"], first=["name", "created_at"], first_filled=has(COMPANY_ATTRIBUTES), last=["updated_at"], sources={"created_at": "_seen", "updated_at": "_seen"}),
+        "company_socials": Fold(["company_id", "platform"], last=["url"]),
+        "events": Fold(["name_normalized", "year"], first=["name", "city", "country", "website"]),
+        "event_exhibitors": Fold(["company_id", "event_id"], last_filled=has(EXHIBITOR_LAST)),
+        "marketplace_sellers": Fold(["company_id", "marketplace_id"], first=has(SELLER_FIRST), last_filled=has(SELLER_LAST)),
+    }[table]
+
+
+def _folded_rows(table: str, rows: DataFrame, order_by: Sequence[str], seen_at: str | None) -> DataFrame:
+    order = order_key(order_by)
+    fold = master_fold(table, rows.columns)
+    if table == "companies":
+        named = rows.withColumns({"name_normalized": normalize_name("name"), "_seen": F.col(seen_at)}).filter(F.col("name_normalized") != "")
+        # a mention without any attribute does not touch the company
+        touched = F.coalesce(*[F.col(a).cast("string") for a in fold.first_filled]).isNotNull() if fold.first_filled else F.lit(False)
+        return fold.rows(named, order, {"updated_at": touched})
+    if table == "events":
+        return fold.rows(rows.withColumn("name_normalized", normalize_name("name")), order)
+    if table == "company_socials":
+        usable = rows.withColumns({"platform": F.lower(trim_ws("platform")), "url": trim_ws("url")}).filter(~F.lower("url").isin("nan", "none", ""))
+        return fold.rows(usable, order)
+    return fold.rows(rows, order)
+
+
+def stream_master(
+    rows: DataFrame, path: str, checkpoint: str, order_by: Sequence[str], tables: Mapping[str, Callable[[DataFrame], DataFrame]], seen_at: str | None = None,
+) -> StreamingQuery:
+    """Keep master tables up to date from a stream of rows; `tables` gives the mentions of each table in a batch.
+
+    Every batch is folded to one row per key and added to all tables in one version; a winner keeps its order, so
+    that batches may come in any order. A replayed batch adds nothing.
     """
     def store(batch: DataFrame, batch_id: int) -> None:
-        folded = merge_companies(batch, [order_by], seen_at).join(
-            _first_order(batch, order_by), "name_normalized"
-        )
-        folded.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        target = DeltaStore(batch.sparkSession, path)
+        if batch_id <= target.version()[1]:
+            return
+        batch.persist()
+        try:
+            target.commit(batch_id, {name: _folded_rows(name, build(batch), order_by, seen_at) for name, build in tables.items()})
+        finally:
+            batch.unpersist()
+        compact(target, {name: _stored_fold(target, name) for name in tables}, MOST_PARTS)
 
-    return mentions.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _first_order(mentions: DataFrame, order_by: str) -> DataFrame:
-    return mentions.groupBy(normalize_name("name").alias("name_normalized")).agg(F.min(order_by).alias("first_seen"))
+def _stored_fold(store: DeltaStore, table: str) -> Fold:
+    return master_fold(table, store.read(table).columns)
 
 
-def _fold(stored: DataFrame) -> DataFrame:
-    """Batches arrive in order: the earliest batch with a value wins, the latest update counts."""
-    attributes = [a for a in COMPANY_ATTRIBUTES if a in stored.columns]
-    # a batch whose mentions brought no attribute does not touch the company
-    any_value = F.lit(False)
-    for a in attributes:
-        any_value = any_value | F.col(a).isNotNull()
-    by = lambda c, cond: F.min_by(c, F.when(cond, F.col("batch")))
-    return stored.groupBy("company_id", "name_normalized").agg(
-        by("name", F.lit(True)).alias("name"),
-        *[by(a, F.col(a).isNotNull()).alias(a) for a in attributes],
-        by("created_at", F.lit(True)).alias("created_at"),
-        F.max_by("updated_at", F.when(any_value, F.col("batch"))).alias("updated_at"),
-        F.min("first_seen").alias("first_seen"),
-    ).withColumn("updated_at", F.coalesce("updated_at", "created_at"))
+def read_master(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A master table as the version in force has it."""
+    store = DeltaStore(spark, path)
+    fold, parts = _stored_fold(store, table), store.read(table)
+    if table == "events":
+        first = fold.folded(parts).withColumn("_first", F.col("name")["o"])
+        return absorb_yearless(first.select(*fold.keys, "_first", *[F.col(c)["v"].alias(c) for c in fold.columns]))
+    rows = fold.values(parts)
+    if table == "companies":
+        return rows.withColumns({"updated_at": F.coalesce("updated_at", "created_at"), "company_id": F.md5("name_normalized")})
+    return rows
 
 
-def read_company_master(spark: SparkSession, path: str) -> DataFrame:
-    return _fold(spark.read.parquet(path))
+def compact_master(spark: SparkSession, path: str) -> None:
+    """Fold the parts of every table of a master to one; readers see the old parts or the new one."""
+    store = DeltaStore(spark, path)
+    compact(store, {name: _stored_fold(store, name) for name in store.version()[2]})
+
+
+def stream_company_master(mentions: DataFrame, path: str, checkpoint: str, order_by: str, seen_at: str) -> StreamingQuery:
+    """The companies of a stream of mentions, as `merge_companies` has them, whatever the order of the batches."""
+    return stream_master(mentions, path, checkpoint, [order_by], {"companies": lambda b: b}, seen_at)
 
 
-def compact_company_master(spark: SparkSession, path: str, target: str) -> None:
-    """Write the folded master as batch 0 of a new folder; later batches can be added to it."""
-    read_company_master(spark, path).write.mode("overwrite").parquet(f"{target}/batch=0")
+def read_company_master(spark: SparkSession, path: str) -> DataFrame:
+    return read_master(spark, path, "companies")
 
 
 def stream_job_counters(progress: DataFrame, job: str) -> DataFrame:
@@ -89,69 +128,127 @@ def stream_job_counters(progress: DataFrame, job: str) -> DataFrame:
     return job_counters(progress, job)
 
 
-# --- stateful alerts ---------------------------------------------------------------------
+# --- runs --------------------------------------------------------------------------------
+
+_STATE = Fold(["_key"], last=["n", "run"])
 
 
-def _ordered(frames: Iterator[pd.DataFrame], order: Sequence[str]) -> pd.DataFrame:
-    return pd.concat(list(frames)).sort_values(list(order), kind="stable")
+def stream_runs(
+    rows: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order_by: Sequence[str], counts: Column, found: Callable[[DataFrame], DataFrame],
+    horizon: str, rows_per_chunk: int = 200_000,
+) -> StreamingQuery:
+    """Running positions and streaks over a stream, in the order of the rows and not of their files.
+
+    Rows wait until the latest time seen is `horizon` (an SQL interval) ahead of them; `order_by` begins with the
+    time. Then they are counted in chunks of the order column, so that the rows of one key are spread over tasks,
+    and go on from the position and run that their key had: one state row per key. What `found` takes from the rows
+    with `position` and `streak` is added to the table `found`. Rows that come more than `horizon` late are kept
+    in the table `late` and counted nowhere; rows without a time go first, later ones are late. `finish_runs`
+    counts what still waits.
+    """
+    def store(batch: DataFrame, batch_id: int) -> None:
+        _run_step(DeltaStore(batch.sparkSession, path), batch_id, batch, keys, order_by, counts, found, horizon, rows_per_chunk)
+
+    return rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _run_step(
+    store: DeltaStore, batch_id: int | None, batch: DataFrame | None, keys: Sequence[str], order_by: Sequence[str], counts: Column,
+    found: Callable[[DataFrame], DataFrame], horizon: str | None, rows_per_chunk: int,
+) -> None:
+    if batch_id is not None and batch_id <= store.version()[1]:
+        return
+    waiting = store.read("waiting") if store.has("waiting") else None
+    if batch is None and waiting is None:
+        return
+    ts = order_by[0]
+    kind = (batch if batch is not None else waiting).schema[ts].dataType
+    now = F.lit(None).cast(kind)
+    if store.has("clock"):
+        now = F.lit(store.read("clock").agg(F.max("until").cast("string")).first()[0]).cast(kind)
+    fresh = late = None
+    if batch is not None:
+        batch = batch.persist()
+        on_time = (F.col(ts) > now) | now.isNull()
+        fresh, late = batch.filter(F.coalesce(on_time, F.lit(False))), batch.filter(~F.coalesce(on_time, F.lit(False)))
+    rows = fresh if waiting is None else waiting if fresh is None else waiting.unionByName(fresh)
+    if horizon is None:
+        ready, rest, until = rows, rows.filter(F.lit(False)), now
+    else:
+        latest = rows.agg((F.max(ts) - F.expr(f"INTERVAL {horizon}")).cast(kind).cast("string")).first()[0]
+        until = F.greatest(now, F.lit(latest).cast(kind))
+        done = F.coalesce(F.col(ts) <= until, F.col(ts).isNull())
+        ready, rest = rows.filter(done), rows.filter(~done)
+    key = F.struct(*keys, F.lit(0)).alias("_key")
+    carry = None
+    if store.has("state"):
+        carry = _STATE.values(store.read("state")).select("_key.*", "n", "run").select(*keys, "n", "run")
+    runs = with_streaks(ready, keys, order_by, counts, rows_per_chunk=rows_per_chunk, carry=carry).persist()
+    last = _STATE.rows(runs.select(key, F.col("position").alias("n"), F.col("streak").alias("run")), F.col("n"))
+    clock = store.spark.range(1).select(until.alias("until"))
+    try:
+        store.commit(batch_id, {"state": last, "found": found(runs), "clock": clock, **({} if late is None else {"late": late})}, {"waiting": rest})
+    finally:
+        runs.unpersist()
+        if batch is not None:
+            batch.unpersist()
+    compact(store, {"state": _STATE}, MOST_PARTS)
 
 
 def stream_switch_alerts(
-    progress: DataFrame, keys: Sequence[str], order: Sequence[str], items: str, min_pages: int = 3, min_streak: int = 2
-) -> DataFrame:
-    """One alert per attempt when its empty-page run gets too long. State: pages, streak, alerted.
+    progress: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order_by: Sequence[str], items: str, horizon: str,
+    min_pages: int = 3, min_streak: int = 2, **kw,
+) -> StreamingQuery:
+    """An alert when the empty-page run of an attempt gets too long; `read_switch_alerts` has one per attempt."""
+    return stream_runs(progress, path, checkpoint, keys, order_by, _empty(items), _switches(keys, min_pages, min_streak), horizon, **kw)
 
-    A trigger hands over the rows of a key in its micro-batch; they are sorted by `order`.
-    """
-    out = T.StructType([
-        *[progress.schema[k] for k in keys], T.StructField("pages_processed", T.LongType()), T.StructField("zero_streak", T.LongType()),
-    ])
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pages, streak, alerted = state.get if state.exists else (0, 0, False)
-        alert = None
-        for n in _ordered(frames, order)[items].fillna(0):
-            pages += 1
-            streak = streak + 1 if n == 0 else 0
-            if not alerted and pages >= min_pages and streak >= min_streak:
-                alerted, alert = True, (pages, streak)
-        state.update((pages, streak, alerted))
-        if alert:
-            yield pd.DataFrame([[*key, *alert]], columns=out.names)
-
-    return progress.groupBy(*keys).applyInPandasWithState(
-        step, out, "pages bigint, streak bigint, alerted boolean", "append", GroupStateTimeout.NoTimeout
-    )
+
+def _empty(items: str) -> Column:
+    return F.coalesce(F.col(items), F.lit(0)) == 0
+
+
+def _switches(keys: Sequence[str], min_pages: int, min_streak: int) -> Callable[[DataFrame], DataFrame]:
+    def found(runs: DataFrame) -> DataFrame:
+        hit = runs.filter((F.col("position") >= min_pages) & (F.col("streak") >= min_streak))
+        return keep_first(hit, keys, ["position"]).select(*keys, F.col("position").alias("pages_processed"), F.col("streak").alias("zero_streak"))
+
+    return found
+
+
+def finish_switch_alerts(spark: SparkSession, path: str, keys: Sequence[str], order_by: Sequence[str], items: str, min_pages: int = 3, min_streak: int = 2, rows_per_chunk: int = 200_000) -> None:
+    """Count the rows that still wait for later ones: the stream has ended."""
+    _run_step(DeltaStore(spark, path), None, None, keys, order_by, _empty(items), _switches(keys, min_pages, min_streak), None, rows_per_chunk)
+
+
+def read_switch_alerts(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The first alert of every attempt."""
+    return keep_first(DeltaStore(spark, path).read("found"), keys, ["pages_processed"])
 
 
 def stream_breaker(
-    calls: DataFrame, key: str, ts: str, order: Sequence[str], failed: str, max_errors: int = 3, cooldown_s: int = 600
-) -> DataFrame:
-    """A row each time a provider is paused; only a success resets the error count.
+    calls: DataFrame, path: str, checkpoint: str, key: str, order_by: Sequence[str], failed: str, horizon: str, max_errors: int = 3, cooldown_s: int = 600, **kw,
+) -> StreamingQuery:
+    """A row of the table `found` each time a provider is paused; only a success resets the error count.
 
-    The pause is data (`disabled_until`), so the state is one number per provider and needs
-    no timer.
+    The pause is data (`disabled_until`), so the state is two numbers per provider and needs no timer.
     """
-    out = T.StructType([
-        calls.schema[key], T.StructField(ts, T.TimestampType()), T.StructField("consecutive_errors", T.LongType()),
-        T.StructField("disabled_until", T.TimestampType()),
-    ])
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        errors = state.get[0] if state.exists else 0
-        rows = []
-        data = _ordered(frames, order)
-        for when, bad in zip(data[ts], data[failed]):
-            errors = errors + 1 if bad else 0
-            if errors >= max_errors:
-                rows.append([*k, when, errors, when + pd.Timedelta(seconds=cooldown_s)])
-        state.update((errors,))
-        if rows:
-            yield pd.DataFrame(rows, columns=out.names)
-
-    return calls.groupBy(key).applyInPandasWithState(
-        step, out, "errors bigint", "append", GroupStateTimeout.NoTimeout
-    )
+    return stream_runs(calls, path, checkpoint, [key], order_by, F.col(failed), _pauses(key, order_by[0], max_errors, cooldown_s), horizon, **kw)
+
+
+def _pauses(key: str, ts: str, max_errors: int, cooldown_s: int) -> Callable[[DataFrame], DataFrame]:
+    def found(runs: DataFrame) -> DataFrame:
+        until = (F.col(ts) + F.expr(f"INTERVAL {cooldown_s} SECONDS")).alias("disabled_until")
+        return runs.filter(F.col("streak") >= max_errors).select(key, ts, F.col("streak").alias("consecutive_errors"), until)
+
+    return found
+
+
+def finish_breaker(spark: SparkSession, path: str, key: str, order_by: Sequence[str], failed: str, max_errors: int = 3, cooldown_s: int = 600, rows_per_chunk: int = 200_000) -> None:
+    _run_step(DeltaStore(spark, path), None, None, [key], order_by, F.col(failed), _pauses(key, order_by[0], max_errors, cooldown_s), None, rows_per_chunk)
+
+
+def read_breaker(spark: SparkSession, path: str) -> DataFrame:
+    return DeltaStore(spark, path).read("found")
 
 
 def run_checkpointed(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -163,11 +260,15 @@ def run_checkpointed(stream: DataFrame, path: str, checkpoint: str) -> Streaming
 
 
 def run_snapshots(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the latest full result of an aggregating stream as a table."""
+    """Keep the full results of an aggregating stream as versions of a table; `read_snapshot` has the latest."""
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        DeltaStore(batch.sparkSession, path).commit(batch_id, replace={"result": batch})
 
     return (
         stream.writeStream.foreachBatch(store).outputMode("complete").option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    return DeltaStore(spark, path).read("result")

@@ -7,6 +7,7 @@ from leadloom.operators import reports as R
 from leadloom.sources import readers as RD
 from leadloom.sources import writers as W
 from leadloom.streaming import jobs as S
+from leadloom.streaming.store import DeltaStore
 
 
 def test_csv_with_bom_and_quotes(spark, tmp_path):
@@ -83,20 +84,86 @@ def test_company_master_over_batches_equals_batch(spark, tmp_path):
     key = lambda df: sorted((r["name"], r.country, r.city, r.created_at, r.updated_at) for r in df.collect())
     batch = M.merge_companies(a.union(b).union(c), ["o"], "at")
     assert key(S.read_company_master(spark, str(tmp_path / "m"))) == key(batch)
-    S.compact_company_master(spark, str(tmp_path / "m"), str(tmp_path / "m2"))
-    assert key(S.read_company_master(spark, str(tmp_path / "m2"))) == key(batch)
+    S.compact_master(spark, str(tmp_path / "m"))
+    assert key(S.read_company_master(spark, str(tmp_path / "m"))) == key(batch)
+
+
+def test_master_of_several_tables_in_any_order(spark, tmp_path, monkeypatch):
+    import random
 
+    monkeypatch.setattr(S, "MOST_PARTS", 2)  # compacts on the way
+    (tmp_path / "in").mkdir()
+    rnd = random.Random(2)
+    some = lambda *v: rnd.choice([None, *v])
+    rows = [(i, f"t{i:03}", rnd.choice(["Acme", "acme ", "Beta", ""]), some("DE", "FR"), some("B", "C"), rnd.choice("mn"), some(1.0, 2.0), some("k1", "k2"), rnd.choice(["Fair", "fair"]), some(2024, 2025)) for i in range(60)]
+    cols = "o long, at string, name string, country string, city string, marketplace_id string, rating double, kvk_number string, event string, year int"
+    whole = spark.createDataFrame(rows, cols)
+    rnd.shuffle(rows)
+    stream = _batches(spark, tmp_path, [spark.createDataFrame(rows[i : i + 12], cols) for i in range(0, 60, 12)])
+    named = lambda b: b.filter("trim(name) <> ''")
+    tables = {
+        "companies": lambda b: b.drop("year"),
+        "marketplace_sellers": lambda b: named(b).select(F.lower(F.trim("name")).alias("company_id"), "marketplace_id", "rating", "kvk_number", "o"),
+        "events": lambda b: b.select(F.col("event").alias("name"), "year", "city", "country", F.col("at").alias("website"), "o"),
+    }
+    run = lambda: S.stream_master(stream, str(tmp_path / "m"), str(tmp_path / "ck"), ["o"], tables, "at").awaitTermination()
+    run()
+    want = {"companies": M.merge_companies(whole, ["o"], "at"), "marketplace_sellers": M.merge_sellers(tables["marketplace_sellers"](whole), ["o"]), "events": M.merge_events(tables["events"](whole), ["o"])}
+    for name, df in want.items():
+        got = S.read_master(spark, str(tmp_path / "m"), name)
+        assert set(got.columns) == set(df.columns)
+        assert sorted(map(str, got.select(df.columns).collect())) == sorted(map(str, df.collect()))
+
+
+def test_store_versions(spark, tmp_path):
+    store = DeltaStore(spark, str(tmp_path / "s"))
+    one = lambda v: spark.createDataFrame([(v,)], "v int")
+    assert store.version() == (0, -1, {}) and not store.has("a")
+    assert store.commit(0, {"a": one(1), "b": one(10)})
+    seen = store.read("a")
+    assert not store.commit(0, {"a": one(9)})  # a replay
+    store.commit(1, {"a": one(2)}, replace={"b": one(20)})
+    values = lambda df: sorted(r.v for r in df.collect())
+    assert values(seen) == [1] and values(store.read("a")) == [1, 2] and values(store.read("b")) == [20]
+    # parts without a version, as a failed batch leaves them, are not seen
+    one(7).write.parquet(str(tmp_path / "s" / "a" / "3-lost"))
+    assert values(store.read("a")) == [1, 2]
+
+
+def test_stream_alerts_equal_the_batch_result(spark, tmp_path):
+    import random
 
-def test_stream_alerts_keep_state_between_batches(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    rows = [("j", i, n) for i, n in enumerate([0, 5, 0, 0, 0, 0])]
-    cols = "j string, o long, n int"
-    frames = [spark.createDataFrame(rows[i:i + 2], cols) for i in (0, 2, 4)]
-    alerts = S.stream_switch_alerts(_batches(spark, tmp_path, frames), ["j"], ["o"], "n")
-    S.run_checkpointed(alerts, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
-    want = [(r.j, r.pages_processed, r.zero_streak) for r in O.switch_points(spark.createDataFrame(rows, cols), ["j"], ["o"], "n").collect()]
-    assert got == want
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["hot", "hot", "hot", "b", None]), t, i, rnd.choice([0, 0, 0, 4, None])) for i, t in enumerate(sorted(rnd.randrange(300) for _ in range(200)))]
+    cols = "j string, t int, o int, n int"
+    whole = spark.createDataFrame(rows, cols).withColumn("t", F.timestamp_seconds("t"))
+    files = sorted(rows, key=lambda r: r[1] + rnd.randrange(20))  # up to 20 seconds out of order
+    frames = [spark.createDataFrame(files[i : i + 40], cols).withColumn("t", F.timestamp_seconds("t")) for i in range(0, 200, 40)]
+    stream = _batches(spark, tmp_path, frames)
+    path = str(tmp_path / "out")
+    S.stream_switch_alerts(stream, path, str(tmp_path / "ck"), ["j"], ["t", "o"], "n", "20 SECONDS", rows_per_chunk=7).awaitTermination()
+    assert DeltaStore(spark, path).read("waiting").count() > 0 and DeltaStore(spark, path).read("late").count() == 0
+    S.finish_switch_alerts(spark, path, ["j"], ["t", "o"], "n")
+    got = sorted(map(str, S.read_switch_alerts(spark, path, ["j"]).collect()))
+    assert got == sorted(map(str, O.switch_points(whole, ["j"], ["t", "o"], "n").select("j", "pages_processed", "zero_streak").collect()))
+    S.stream_breaker(stream.withColumn("bad", F.coalesce(F.col("n") == 0, F.lit(False))), str(tmp_path / "br"), str(tmp_path / "ck2"), "j", ["t", "o"], "bad", "20 SECONDS", max_errors=2, rows_per_chunk=7).awaitTermination()
+    S.finish_breaker(spark, str(tmp_path / "br"), "j", ["t", "o"], "bad", max_errors=2)
+    want = O.breaker_windows(whole, ["j"], "t", ["t", "o"], F.coalesce(F.col("n") == 0, F.lit(False)), max_errors=2)
+    assert sorted(map(str, S.read_breaker(spark, str(tmp_path / "br")).collect())) == sorted(map(str, want.select("j", "t", "consecutive_errors", "disabled_until").collect()))
+
+
+def test_rows_beyond_the_horizon_are_kept_apart(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    cols = "j string, t int, o int, n int"
+    make = lambda *r: spark.createDataFrame(list(r), cols).withColumn("t", F.timestamp_seconds("t"))
+    frames = [make(("a", 100, 1, 0), ("a", 200, 2, 0)), make(("a", 50, 3, 5), ("a", 195, 4, 0), ("a", None, 5, 0))]
+    path = str(tmp_path / "out")
+    S.stream_switch_alerts(_batches(spark, tmp_path, frames), path, str(tmp_path / "ck"), ["j"], ["t", "o"], "n", "10 SECONDS").awaitTermination()
+    S.finish_switch_alerts(spark, path, ["j"], ["t", "o"], "n")
+    S.finish_switch_alerts(spark, path, ["j"], ["t", "o"], "n")  # nothing waits any more
+    assert sorted(r.o for r in DeltaStore(spark, path).read("late").collect()) == [3, 5]
+    assert [tuple(r) for r in S.read_switch_alerts(spark, path, ["j"]).collect()] == [("a", 3, 3)]
 
 
 def test_stream_dedup_with_horizon(spark, tmp_path):
