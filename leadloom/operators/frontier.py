@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions.text import trim_ws
 from leadloom.functions.urls import expand_pages, extrapolate_pages, url_path
 from leadloom.operators.ordered import carry_forward_group, keep_first, limit_items
+from leadloom.session import cut_lineage
 
 
 def id_range_frontier(done: DataFrame, first: int, last: int, key: str = "id") -> DataFrame:
@@ -84,16 +87,17 @@ def sitemap_locs(xml: Column) -> Column:
 
 
 def sitemap_frontier(
-    sites: DataFrame, rules: DataFrame, sitemaps: DataFrame, index_levels: int = 2,
+    sites: DataFrame, rules: DataFrame, sitemaps: DataFrame, index_levels: int | None = None,
     max_sitemaps: int | None = None, max_urls: int | None = None,
 ) -> DataFrame:
     """(host, doc_no, pos, url): page URLs of each site from its sitemaps, breadth first.
 
-    Declared documents (or /sitemap.xml) are joined with the stored documents (url, xml), the documents they
-    list with them again, `index_levels` times. A document counts once per host, where it comes first. With
-    `max_sitemaps` and `max_urls` only the first documents and URLs of a host are kept.
+    Declared documents (or /sitemap.xml) are joined with the stored documents (url, xml), the documents that new
+    ones list with them again, until no new document appears, or `index_levels` times. A document counts once per
+    host, where it comes first, so that indexes may list each other. Each level is a table in the checkpoint
+    folder. With `max_sitemaps` and `max_urls` only the first documents and URLs of a host are kept.
     """
-    docs = sitemaps.select(F.col("url").alias("_doc"), sitemap_locs(F.col("xml")).alias("locs"))
+    docs = cut_lineage(sitemaps.select(F.col("url").alias("_doc"), sitemap_locs(F.col("xml")).alias("locs")))
     declared = rules.filter(F.col("kind") == "sitemap").select(
         F.col("host").alias("_host"), F.col("line_no").cast("bigint").alias("_pos"), F.col("value").alias("_declared")
     )
@@ -104,16 +108,22 @@ def sitemap_frontier(
     )
     is_map = lambda c: F.endswith(c, F.lit(".xml")) | F.endswith(c, F.lit(".xml.gz"))
     read = None
-    for level in range(index_levels + 1):
-        fetched = listed.join(docs, F.col("doc") == F.col("_doc")).select("host", "doc", "path", "locs")
-        read = fetched if read is None else read.unionByName(fetched)
+    for level in count():
+        once = keep_first(listed, ["host", "doc"], ["path"])
+        if read is not None:
+            once = once.join(read.select("host", "doc"), ["host", "doc"], "left_anti")
+        new = cut_lineage(once.join(docs, F.col("doc") == F.col("_doc")).select("host", "doc", "path", "locs"))
+        if read is not None and new.isEmpty():
+            break
+        read = new if read is None else read.unionByName(new)
+        if index_levels is not None and level >= index_levels:
+            break
         # children sort after every document of their parent's level
-        listed = fetched.select("host", "path", F.posexplode("locs").alias("_i", "doc")).filter(is_map("doc")).select(
+        listed = new.select("host", "path", F.posexplode("locs").alias("_i", "doc")).filter(is_map("doc")).select(
             "host", "doc",
             F.concat(F.array(F.lit(level + 1).cast("bigint")), F.slice("path", F.lit(2), F.size("path")), F.array(F.col("_i").cast("bigint"))).alias("path"),
         )
-    once = keep_first(read, ["host", "doc"], ["path"])
-    numbered = once.withColumn("doc_no", F.row_number().over(Window.partitionBy("host").orderBy("path")))
+    numbered = read.withColumn("doc_no", F.row_number().over(Window.partitionBy("host").orderBy("path")))
     if max_sitemaps is not None:
         numbered = numbered.filter(F.col("doc_no") <= max_sitemaps)
     urls = numbered.select("host", "doc_no", F.posexplode("locs").alias("pos", "url")).filter(~is_map("url"))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from leadloom.functions.nested import map_from_entries_last
 from leadloom.functions.text import clamp01, is_blank, trim_ws
-from leadloom.operators.ordered import fixed_batches
+from leadloom.operators.ordered import with_positions
 
 # Field tiers and weights of the quality score.
 CORE_FIELDS = ["name", "website", "country"]
@@ -281,26 +281,16 @@ def script_complexity() -> Column:
     ))
 
 
-def items_per_page(
-    items: DataFrame, url: str, order_by: Sequence[str], item: str, detail_url: str, detail_html: str, part_rows: int = 1000
-) -> DataFrame:
-    """Scraped rows by listing URL: parts of at most `part_rows` items with their detail pages.
+def items_per_page(items: DataFrame, url: str, order_by: Sequence[str], item: str, detail_url: str, detail_html: str) -> DataFrame:
+    """(url, kind, pos, detail_url, value): all that was scraped from a listing URL, as rows.
 
-    A busy listing URL yields several parts, so no group outgrows a task.
+    Rows of kind `item` are its items, numbered from 1 in order; rows of kind `detail` its detail pages, one per
+    detail URL with its last page. Nothing is gathered per URL, so that a busy one is as good as any other.
     """
-
-    rows = fixed_batches(items, part_rows, order_by, [url]).withColumnRenamed("batch", "part")
-    order = F.struct(*order_by)
-    entry = F.when(
-        (F.coalesce(F.col(detail_url), F.lit("")) != "") & (F.coalesce(F.col(detail_html), F.lit("")) != ""),
-        F.struct(order.alias("o"), F.col(detail_url).alias("key"), F.col(detail_html).alias("value")),
-    )
-    grouped = rows.groupBy(url, "part").agg(
-        F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col(item).alias("v")))).alias("_items"),
-        F.array_sort(F.collect_list(entry)).alias("_details"),
-    )
-    pairs = F.transform("_details", lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
-    return grouped.select(
-        url, "part", F.transform("_items", lambda e: e["v"]).alias("items"),
-        map_from_entries_last(pairs).alias("detail_pages"),
+    none = lambda kind: F.lit(None).cast(kind)
+    listed = with_positions(items, [url], order_by, "pos").select(
+        url, F.lit("item").alias("kind"), "pos", none("string").alias("detail_url"), F.col(item).alias("value")
     )
+    filled = items.filter((F.coalesce(F.col(detail_url), F.lit("")) != "") & (F.coalesce(F.col(detail_html), F.lit("")) != ""))
+    details = filled.groupBy(url, F.col(detail_url).alias("detail_url")).agg(F.max_by(F.col(detail_html), F.struct(*order_by)).alias("value"))
+    return listed.unionByName(details.select(url, F.lit("detail").alias("kind"), none("bigint").alias("pos"), "detail_url", "value"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions.text import fixed_text, trim_ws
-from leadloom.operators.ordered import limit_items, order_key, with_positions
+from leadloom.operators.ordered import limit_items, order_key
 
 
 @dataclass(frozen=True)
@@ -89,10 +89,10 @@ def new_failures(previous: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def with_previous(summaries: DataFrame, report: str, metrics: Sequence[str]) -> DataFrame:
-    """Previous report's metrics next to the current ones; one summary row per report."""
-    numbered = with_positions(summaries, [], [report], "_n")
-    before = numbered.select((F.col("_n") + 1).alias("_n"), *[F.col(m).alias(f"prev_{m}") for m in [report, *metrics]])
-    return numbered.join(before, "_n", "left").drop("_n")
+    """Previous report's metrics next to the current ones. There is one summary row per report, so that the rows
+    of all reports fit one task."""
+    w = Window.orderBy(report)
+    return summaries.withColumns({f"prev_{m}": F.lag(m).over(w) for m in [report, *metrics]})
 
 
 METRICS = [

@@ -560,23 +560,30 @@ def _(t):
 
 @query(
     "url16_sitemap_frontier",
-    """WITH d AS (SELECT host, url, id % 2 AS part, row_number() OVER (PARTITION BY host, id % 2 ORDER BY '<url><loc>' || url || '</loc></url>') - 1 AS pos FROM {site_urls}), r AS (SELECT *, dense_rank() OVER (PARTITION BY host ORDER BY part) + 1 AS doc_no FROM d),
-      n AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY doc_no, pos) AS rn FROM r) SELECT host, CAST(doc_no AS INTEGER) AS doc_no, CAST(pos AS INTEGER) AS pos, url FROM n""",
+    """WITH d AS (SELECT host, url, id // 1000 AS part, row_number() OVER (PARTITION BY host, id // 1000 ORDER BY '<url><loc>' || url || '</loc></url>') - 1 AS pos FROM {site_urls})
+    SELECT host, CAST(dense_rank() OVER (PARTITION BY host ORDER BY part) + 3 AS INTEGER) AS doc_no, CAST(pos AS INTEGER) AS pos, url FROM d""",
 )
 def _(t):
     from leadloom.operators.frontier import robots_rules, sitemap_frontier
 
     sites = t.robots.select("host", F.concat(F.lit("https://"), "host").alias("origin"))
-    # the declared document is an index of two maps; each lists pages of customers of the nation
-    index = t.robots.select(
-        F.concat(F.lit("https://"), "host", F.lit("/map.xml")).alias("url"),
-        F.concat(F.lit("<sitemapindex><sitemap><loc>https://"), "host", F.lit("/a.xml</loc></sitemap><sitemap><loc>https://"), "host", F.lit("/b.xml</loc></sitemap></sitemapindex>")).alias("xml"),
+    # indexes three deep that also list the declared one; the last lists maps of a thousand customers at most
+    at = lambda name: F.concat(F.lit("https://"), "host", name)
+    entry = lambda loc: F.concat(F.lit("<sitemap><loc>"), loc, F.lit("</loc></sitemap>"))
+    index = lambda *locs: F.concat(F.lit("<sitemapindex>"), *locs, F.lit("</sitemapindex>"))
+    first, second, third = (at(F.lit(n)) for n in ("/map.xml", "/i1.xml", "/i2.xml"))
+    indexes = t.robots.select(F.inline(F.array(
+        F.struct(first.alias("url"), index(entry(first), entry(second)).alias("xml")), F.struct(second.alias("url"), index(entry(first), entry(third)).alias("xml")),
+    )))
+    rows = t.site_urls.select("host", "url", at(F.concat(F.lit("/m"), F.lpad(F.floor(F.col("id") / 1000).cast("string"), 9, "0"), F.lit(".xml"))).alias("map"))
+    last = rows.groupBy("host").agg(F.array_sort(F.collect_set("map")).alias("maps")).select(
+        third.alias("url"), index(F.array_join(F.transform("maps", entry), "")).alias("xml")
     )
-    part = F.when(F.col("id") % 2 == 0, F.lit("/a.xml")).otherwise(F.lit("/b.xml"))
-    maps = t.site_urls.groupBy(F.concat(F.lit("https://"), "host", part).alias("url")).agg(
+    maps = rows.groupBy(F.col("map")).agg(
         F.concat(F.lit("<urlset>"), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<url><loc>"), "url", F.lit("</loc></url>")))), ""), F.lit("</urlset>")).alias("xml")
     )
-    return sitemap_frontier(sites, robots_rules(t.robots), index.unionByName(maps))
+    index = indexes.unionByName(last).unionByName(maps.withColumnRenamed("map", "url"))
+    return sitemap_frontier(sites, robots_rules(t.robots), index)
 
 
 @query("url18_sub_link_targets", "SELECT url, 'more' AS label, 'https://fair.example.com/e/' || CAST(page_id AS VARCHAR) AS sub_url FROM {listing_pages} UNION ALL SELECT url, 'map', 'https://fair.example.com/hallplan?actionItem=' || CAST(100 + page_id AS VARCHAR) || '&_event=fair24' FROM {listing_pages} UNION ALL SELECT url, 'again', 'https://fair.example.com/e/' || CAST(page_id AS VARCHAR) FROM {listing_pages} UNION ALL SELECT url, 'late', 'https://fair.example.com/l.png' FROM {listing_pages}")

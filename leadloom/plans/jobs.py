@@ -324,11 +324,11 @@ def _(t):
 
 @query(
     "ag14_items_per_page",
-    """WITH r AS (SELECT *, (row_number() OVER (PARTITION BY source_url ORDER BY ord) - 1) // 100 AS part FROM {leads}) SELECT source_url, part, md5(string_agg(name, '|' ORDER BY ord)) AS items, count(DISTINCT store_url) FILTER (WHERE store_url <> '') AS n_details FROM r GROUP BY source_url, part""",
+    """SELECT source_url, 'item' AS kind, row_number() OVER (PARTITION BY source_url ORDER BY ord) AS pos, NULL AS detail_url, name AS value FROM {leads}
+      UNION ALL SELECT source_url, 'detail', NULL, store_url, arg_max(name, ord) FROM {leads} WHERE store_url <> '' AND name <> '' GROUP BY source_url, store_url""",
 )
 def _(t):
-    out = Q.items_per_page(t.leads, "source_url", ["ord"], "name", "store_url", "name", 100)
-    return out.select("source_url", "part", F.md5(F.array_join("items", "|")).alias("items"), F.size("detail_pages").cast("bigint").alias("n_details"))
+    return Q.items_per_page(t.leads, "source_url", ["ord"], "name", "store_url", "name")
 
 
 @query(

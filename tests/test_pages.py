@@ -194,6 +194,20 @@ def test_sitemap_frontier(spark):
     assert {r.host: r["count"] for r in few} == {"g": 1, "h": 2}
 
 
+def test_sitemaps_are_followed_to_any_depth(spark):
+    sites = spark.createDataFrame([("h", "https://h"), ("z", "https://z")], "host string, origin string")
+    rules = FR.robots_rules(spark.createDataFrame([("h", "")], "host string, text string"))
+    u = lambda n: f"https://h/{n}"
+    index = lambda *locs: "<sitemapindex>" + "".join(f"<sitemap><loc>{x}</loc></sitemap>" for x in locs) + "</sitemapindex>"
+    chain = [(u("sitemap.xml"), index(u("1.xml")))] + [(u(f"{i}.xml"), index(u("sitemap.xml"), u(f"{i + 1}.xml"), u(f"p{i}"), u("4.xml"))) for i in range(1, 7)]
+    docs = spark.createDataFrame([*chain, (u("7.xml"), index(u("7.xml"), u("end")))], "url string, xml string")
+    rows = FR.sitemap_frontier(sites, rules, docs).orderBy("doc_no", "pos").collect()
+    # the fourth index is listed by the first already
+    assert [(r.doc_no, r.url) for r in rows] == [(2, u("p1")), (3, u("p2")), (4, u("p4")), (5, u("p3")), (6, u("p5")), (7, u("p6")), (8, u("end"))]
+    assert [r.url for r in FR.sitemap_frontier(sites, rules, docs, index_levels=2).orderBy("doc_no").collect()] == [u("p1"), u("p2"), u("p4")]
+    assert FR.sitemap_frontier(sites, rules, docs.limit(0)).count() == 0
+
+
 def test_robots(spark):
     text = "User-agent: Other\nDisallow: /x\r\nUser-agent: *\nDisallow: /admin/ # c\nDisallow: /tmp*\nCrawl-delay: 2\nSitemap: //h/s.xml"
     rules = FR.robots_rules(spark.createDataFrame([("h", text)], "host string, text string"))
