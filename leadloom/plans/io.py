@@ -50,12 +50,13 @@ def _(t):
     return back.select(F.col("page_id").cast("bigint").alias("page_id"), "note", F.concat(F.lit("="), F.coalesce("seg", F.lit(""))).alias("seg"))
 
 
-@query("src2_read_csv_glob", "SELECT count(*) AS n, sum(s_suppkey)::BIGINT AS keys FROM supplier")
+@query("src2_read_csv_glob", "SELECT s_suppkey AS id, s_name AS name, s_nationkey || chr(10) || '\"' || s_name || '\", x' AS note FROM supplier")
 def _(t):
     path = scratch(t)
-    W.write_csv(t.supplier.repartition(4, "s_suppkey"), path)
-    back = R.read_csv_glob(t.spark, path, "part-*.csv")
-    return back.filter(F.col("source_file") != "").agg(F.count("*").alias("n"), F.sum(F.col("s_suppkey").cast("bigint")).alias("keys"))
+    note = F.concat(F.col("s_nationkey").cast("string"), F.lit('\n"'), "s_name", F.lit('", x'))
+    W.write_csv(t.supplier.select("s_suppkey", "s_name", note.alias("note")).repartition(4, "s_suppkey"), path)
+    back = R.read_csv_glob(t.spark, path, "part-*.csv").filter(F.startswith("source_file", F.lit("part-")))
+    return back.select(F.col("s_suppkey").cast("bigint").alias("id"), F.col("s_name").alias("name"), "note")
 
 
 @query("src3_read_results_json", "SELECT ord, name, website, CASE WHEN brands_text IS NULL THEN 0 ELSE 2 END AS n_brands, social_linkedin AS linkedin FROM {leads}")

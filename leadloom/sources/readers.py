@@ -9,16 +9,17 @@ from pyspark.sql import types as T
 from leadloom.functions.text import clean_int, trim_ws
 from leadloom.operators.frontier import sitemap_locs
 from leadloom.schemas import JOB_SCHEMA, LEAD_SCHEMA, REQUEST_COLUMNS
+from leadloom.sources.split_csv import read_csv_split
 
 
 def read_leads_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV, UTF-8 with or without byte-order mark, quoted line breaks allowed."""
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("quote", '"').csv(path)
+    """Header CSV, UTF-8 with or without byte-order mark, quoted line breaks allowed; large files are split."""
+    return read_csv_split(spark, path).drop("source_file")
 
 
 def read_csv_glob(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """Many files as one table, with `source_file` as the order key of the files."""
-    return read_leads_csv(spark, f"{folder}/{pattern}").select("*", F.col("_metadata.file_name").alias("source_file"))
+    return read_csv_split(spark, f"{folder}/{pattern}")
 
 
 def read_results_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:

@@ -6,6 +6,7 @@ from leadloom.operators import ordered as O
 from leadloom.operators import reports as R
 from leadloom.sources import readers as RD
 from leadloom.sources import writers as W
+from leadloom.sources.split_csv import csv_records
 from leadloom.streaming import jobs as S
 from leadloom.streaming.store import DeltaStore
 
@@ -16,6 +17,39 @@ def test_csv_with_bom_and_quotes(spark, tmp_path):
     assert [tuple(r) for r in rows] == [('A "x", b', "line 1\nline 2"), ("B", None)]
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_one_csv_file_is_read_by_many_tasks(spark, tmp_path, end):
+    import csv
+    import random
+
+    rnd = random.Random(1)
+    field = lambda: rnd.choice(["", "a", 'say ""x""'.replace('""', '"'), "one\ntwo", '\n"', "é, ü", '",\n', '5" disk', "日本", '"', "\n\n"])
+    rows = [[str(i), field(), field(), f"end{i}"] for i in range(400)]
+    path = tmp_path / "big.csv"
+    with open(path, "w", newline="", encoding="utf-8-sig") as f:
+        csv.writer(f, lineterminator=end).writerows([["id", "a b", "c`d", "z"], *rows])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "500"), spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        records = csv_records(spark, str(path))
+        df = RD.read_leads_csv(spark, str(path))
+        assert spark.read.text(str(path)).rdd.getNumPartitions() >= 15
+        got = sorted((tuple(r) for r in df.collect()), key=lambda r: int(r[0]))
+        assert [r.record for r in records.orderBy("record").collect()] == list(range(1, 402))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert df.columns == ["id", "a b", "c`d", "z"]
+    assert got == [tuple(v or None for v in r) for r in rows]
+
+
+def test_csv_quotes_inside_plain_fields(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('n,t\n1,5" disk\n2,"x\n\n""y"""\n\n3,"open\n4,z\n')
+    (tmp_path / "b.csv").write_text("n,t\n9,q")
+    rows = {(r.source_file, r.n): r.t for r in RD.read_csv_glob(spark, str(tmp_path), "*.csv").collect()}
+    assert rows[("a.csv", "1")] == '5" disk' and rows[("a.csv", "2")] == 'x\n\n"y"' and rows[("b.csv", "9")] == "q" and len(rows) == 4
+
+
 def test_run_reports(spark, tmp_path):
     (tmp_path / "smoke-20240101-000000.json").write_text('{"summary":{"total":4,"passed":3},"results":[{"profile_name":"a","passed":true},"junk",{"passed":false,"diagnostics":{"counters":{"empty_pages":2},"parser_metrics":{"scalar_ratio":0.5}}}]}')
     (tmp_path / "smoke-20240102-000000.json").write_text('{"results":[{"profile_name":"b","passed":false,"reason":"x"}]}')
