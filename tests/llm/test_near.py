@@ -71,7 +71,8 @@ def test_links_connect_what_brute_force_links(spark, leaf_rows, leaf_most):
     close = np.bitwise_count(v[:, None] ^ v[None, :]) <= 3
     want = brute_components([(ids[i], ids[j]) for i, j in zip(*np.nonzero(close)) if i < j], ids)
     assert brute_components(links, ids) == want
-    assert all(bin((a ^ b) & (2**64 - 1)).count("1") <= 3 for a, b in links) or len(links) > 0
+    # a link joins two nodes of one component, not always two within three bits: leaves report spanning forests
+    assert links
 
 
 def test_near_groups(spark):
