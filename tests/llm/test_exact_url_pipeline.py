@@ -83,7 +83,7 @@ def test_urls_are_judged_by_the_longest_rule(spark):
 @pytest.mark.parametrize("name", sorted(Q.SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings", "labels"):
+    for t in ("documents", "pages", "embeddings", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     df = Q.QUERIES[name](spark, FOLDER)
     cur = con.execute(Q.SQL[name])
