@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import hex_sha256, id_and_text, stored
+from leadloom.llm.common import fresh, hex_sha256, id_and_text, own_columns, stored
 
 #: Bits of all bitmaps of group hashes together, whatever the input; Spark's bitmaps have 2 ** 15 bits each.
 BITMAP_BITS, ONE_BITMAP = 1 << 23, 1 << 15
@@ -69,8 +69,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The kept rows of `docs`, all columns: the decision of `exact_groups` meets its row by id and digest of
-    the text. Of rows that repeat both, one stays."""
-    late = F.lit(-(1 << 63))
-    found = exact_groups(docs, id_col, text_col, **options).filter("kept").select(F.coalesce("doc_id", late).alias("_key"), F.col("text_sha256").alias("_sha"))
-    keyed = docs.withColumns({"_key": F.coalesce(F.col(id_col).cast("long"), late), "_sha": hex_sha256(F.coalesce(F.col(text_col), F.lit("")))})
-    return keyed.join(found, ["_key", "_sha"], "left_semi").dropDuplicates(["_key", "_sha"]).select(docs.columns)
+    the text. Of rows that repeat both, one stays. Other columns may have any name and pass as they are."""
+    late, (key, sha) = F.lit(-(1 << 63)), fresh(docs, "_key", "_sha")
+    found = exact_groups(docs, id_col, text_col, **options).filter("kept").select(F.coalesce("doc_id", late).alias(key), F.col("text_sha256").alias(sha))
+    keyed = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), late), sha: hex_sha256(F.coalesce(F.col(text_col), F.lit("")))})
+    return keyed.join(found, [key, sha], "left_semi").dropDuplicates([key, sha]).select(own_columns(docs))

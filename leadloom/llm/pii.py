@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.llm import spans as S
-from leadloom.llm.common import hex_sha256, id_and_text, stored
+from leadloom.llm.common import fresh, hex_sha256, id_and_text, own_columns, stored
 
 #: Fixed values of the contract. Possessive runs and a look behind keep each scan linear: a run that fails at its
 #: first character fails at all others, and `\G` lets a match start right behind the one before.
@@ -102,10 +102,13 @@ def _disclosing(docs: DataFrame, scanned: DataFrame, text_col: str, least_docs:
     n_docs = F.lit(scanned.count())
     # a document counts once for a pair: its repeats are taken out inside the document, without a shuffle
     df_term = docs.select(F.explode(_terms(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df_term"))
-    named = scanned.filter(F.size("base") > 0).select("doc_id", "text_key", "near", F.explode(_entities()).alias("entity"))
+    holding = scanned.filter(F.size("base") > 0)
+    named = holding.select("doc_id", "text_key", F.explode(_entities()).alias("entity"))
     df_entity = named.groupBy("entity").agg(F.count("*").alias("df_entity")).filter(F.col("df_entity") >= least_docs)
-    # an entity in fewer rows reaches no pair in enough of them
-    once = named.join(df_entity, "entity").select("doc_id", "text_key", "entity", F.explode("near").alias("term")).distinct()
+    # an entity in fewer rows reaches no pair in enough of them; what meets by entity is keys, what meets by row is terms
+    known = named.join(df_entity.select("entity"), "entity").groupBy("doc_id", "text_key").agg(F.collect_set("entity").alias("entities"))
+    near = _of_rows(holding.select("doc_id", "text_key", "near"), known)
+    once = near.select(F.explode("entities").alias("entity"), "near").select("entity", F.explode("near").alias("term"))
     pairs = once.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= least_docs)
     joined = pairs.join(df_entity, "entity").join(df_term, "term")
     information = F.log2(n_docs / F.col("df_entity"))
@@ -125,8 +128,10 @@ def find_personal_data(
     scanned = _scanned(docs, id_col, text_col)
     terms = _disclosing(docs, scanned, text_col, least_docs, threshold)
     told = terms.groupBy("entity").agg(F.collect_set("term").alias("told"))
-    named = scanned.filter(F.size("base") > 0).select("doc_id", "text_key", "rest", F.explode(_entities()).alias("entity")).join(told, "entity")
-    merged = named.groupBy("doc_id", "text_key").agg(F.first("rest").alias("rest"), F.array_distinct(F.flatten(F.collect_set("told"))).alias("told"))
+    holding = scanned.filter(F.size("base") > 0)
+    named = holding.select("doc_id", "text_key", F.explode(_entities()).alias("entity")).join(told, "entity")
+    known = named.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_set("told"))).alias("told"))
+    merged = _of_rows(holding.select("doc_id", "text_key", "rest"), known)
     # places of the words are running sums of the lengths of words and of what is between them
     pieces = F.arrays_zip(F.split("rest", TERM, -1).alias("piece"), F.regexp_extract_all("rest", F.lit(TERM), F.lit(0)).alias("value"))
     words = merged.select("doc_id", "text_key", F.posexplode(pieces).alias("at", "x")).select("doc_id", "text_key", "at", "x.*")
@@ -141,6 +146,13 @@ def find_personal_data(
     return left.join(right, same, "left").select("a.doc_id", "a.text_key", "a.base", F.coalesce("b.terms", S.no_spans()).alias("terms"))
 
 
+def _of_rows(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """`rows` (doc_id, text_key, ..) with what is known of their keys, one row for repeats of id and text."""
+    one = rows.dropDuplicates(["doc_id", "text_key"])
+    right = known.withColumnsRenamed({"doc_id": "_id", "text_key": "_tk"})
+    return one.join(right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_tk"))).drop("_id", "_tk")
+
+
 def _plain(spans: Column) -> Column:
     return F.transform(spans, lambda x: F.struct(x["kind"].alias("kind"), x["rank"].alias("rank"), x["start"].alias("start"), x["stop"].alias("stop")))
 
@@ -156,13 +168,16 @@ def personal_data_report(docs: DataFrame, **options) -> DataFrame:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs` with the spans in its text column generalised to their kind in angle brackets; same columns.
 
-    Only rows with an entity can change, so only they are shuffled to meet their term spans.
+    Only rows with an entity can change, so only they are shuffled to meet their term spans. Columns other than
+    id and text may have any name and pass as they are.
     """
-    keyed = docs.withColumns({"_key_text": F.coalesce(F.col(text_col), F.lit("")), "_base": base_spans(F.coalesce(F.col(text_col), F.lit("")))})
-    clean, touched = keyed.filter(F.size("_base") == 0), keyed.filter(F.size("_base") > 0)
-    found = find_personal_data(docs, id_col, text_col, **options).filter(F.size("terms") > 0).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_tk"), "terms").dropDuplicates(["_id", "_tk"])
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("_key_text") == F.col("_tk"))
+    key_text, base, own_id, own_key, terms = fresh(docs, "_key_text", "_base", "_id", "_tk", "_terms")
+    keyed = docs.withColumns({key_text: F.coalesce(F.col(text_col), F.lit("")), base: base_spans(F.coalesce(F.col(text_col), F.lit("")))})
+    clean, touched = keyed.filter(F.size(base) == 0), keyed.filter(F.size(base) > 0)
+    found = find_personal_data(docs, id_col, text_col, **options).filter(F.size("terms") > 0).dropDuplicates(["doc_id", "text_key"])
+    found = found.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key), F.col("terms").alias(terms))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(key_text) == F.col(own_key))
     met = touched.join(found, same, "left")
-    every = F.concat(_plain(F.col("_base")), F.coalesce("terms", S.no_spans()))
-    changed = met.withColumn(text_col, S.replaced(F.col("_key_text"), every))
-    return clean.select(docs.columns).unionByName(changed.select(docs.columns))
+    every = F.concat(_plain(F.col(base)), F.coalesce(terms, S.no_spans()))
+    changed = met.withColumn(text_col, S.replaced(F.col(key_text), every))
+    return clean.select(own_columns(docs)).unionByName(changed.select(own_columns(docs)))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import binary_array, small_batches, stored
+from leadloom.llm.common import binary_array, fresh, small_batches, stored
 from leadloom.llm.components import components
 from leadloom.llm.exact_dedup import BITMAP_BITS, _maybe_in
 
@@ -532,6 +532,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`docs` without the rows whose id is not the smallest of its group, all columns. Rows without an id stay."""
-    gone = similar_groups(docs, id_col, text_col, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    """`docs` without the rows whose id is not the smallest of its group, all columns. Rows without an id stay.
+    Other columns may have any name and pass as they are."""
+    own = fresh(docs, "_gone")[0]
+    gone = similar_groups(docs, id_col, text_col, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone[own], "left_anti")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import small_batches
+from leadloom.llm.common import fresh, own_columns, small_batches
 from leadloom.llm.simhash import word_blocks
 
 #: Hashed feature space; rows of each class that the fit may take; passes over them.
@@ -178,7 +178,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows of `docs` that score below 0.5, all columns."""
+    """Rows of `docs` that score below 0.5, all columns; those but id and text may have any name."""
     small_batches(docs.sparkSession)
     model = fit(docs, labels, id_col, text_col, **options)
-    return docs.withColumn("_score", score(docs, model, text_col)).filter("_score < 0.5").select(docs.columns)
+    own = fresh(docs, "_score")[0]
+    return docs.withColumn(own, score(docs, model, text_col)).filter(F.col(own) < 0.5).select(own_columns(docs))

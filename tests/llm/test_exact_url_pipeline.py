@@ -156,6 +156,25 @@ def test_every_stage_of_the_pipeline(spark, corpus, tmp_path):
     assert corpus_pipeline.run(spark, folder).count() == len(kept["packing"])
 
 
+CLASHING = ["_score", "_key", "_sha", "_gone", "terms", "_terms", "_id", "_tk", "_base", "_key_text", "node", "content", "row", "component_id", "label", "toxic", "kept", "base", "text_key", "a.b"]
+
+
+def test_stages_pass_columns_of_any_name(spark, corpus):
+    """A caller's columns named like those that the stages add for themselves come out as they went in."""
+    folder, _, _ = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    wide = docs.select("*", *[F.concat(F.lit(f"{c} of "), F.col("doc_id")).alias(c) for c in CLASHING])
+    for name, stage in corpus_pipeline.STAGES:
+        want, got = stage(spark, docs, folder), stage(spark, wide, folder)
+        if name == "packing":
+            assert got.columns == want.columns and got.count() == want.count()
+            continue
+        assert got.columns == wide.columns
+        rows = got.collect()
+        assert sorted(map(repr, (r[:5] for r in rows))) == sorted(map(repr, map(tuple, want.collect())))
+        assert all(r[c] == f"{c} of {r.doc_id}" for r in rows for c in CLASHING)
+
+
 def test_stages_take_an_empty_table(spark, corpus):
     folder, _, _ = corpus
     none = spark.read.parquet(f"{folder}/documents.parquet").limit(0)

@@ -1,10 +1,13 @@
 """Secret and personal-data scans against plain Python over the same patterns, and odd inputs."""
 import hashlib
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from leadloom.llm import pii, secrets
+from leadloom.llm import spans as S
 
 TEXTS = [
     None, "", " ", "plain words only",
@@ -108,3 +111,44 @@ def test_terms_far_from_their_entity_and_short_ones(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.secret_report(none).count() == 0 and pii.personal_data_report(none).count() == 0 and pii.sanitise(none).count() == 0
+
+
+def plain_replaced(text, found):
+    out, at = "", 0
+    for start, rank, stop, kind in sorted((s["start"], s["rank"], s["stop"], s["kind"]) for s in found):
+        if start >= at:
+            out += text[at:start] + f"<{kind.upper()}>"
+        at = max(at, stop)
+    return out + text[at:]
+
+
+def plain_blanked(text, found):
+    signs = list(text)
+    for s in found:
+        signs[s["start"] : s["stop"]] = " " * (s["stop"] - s["start"])
+    return "".join(signs)
+
+
+def test_texts_are_rebuilt_around_spans_that_overlap(spark):
+    rnd, rows = random.Random(5), []
+    for i in range(60):
+        n = rnd.choice([0, 1, 5, 40, 1_023, 1_024, 1_025, 5_000])
+        text = "".join(rnd.choice("ab é😀\n.") for _ in range(n))
+        starts = [rnd.randrange(n) for _ in range(rnd.choice([0, 1, 2, 9, 70]))] if n else []
+        rows.append((i, text, [(rnd.choice("xyz"), rnd.randrange(4), s, min(n, s + rnd.randrange(1, 30))) for s in starts]))
+    df = spark.createDataFrame(rows, "id int, text string, found array<struct<kind:string,rank:int,start:int,stop:int>>")
+    text, found = F.col("text"), F.col("found")
+    for r in df.select("text", "found", S.replaced(text, found).alias("r"), S.blanked(text, found).alias("b"), S.matches(text, "a+b|é").alias("m")).collect():
+        assert r.r == plain_replaced(r.text, r.found)
+        assert r.b == plain_blanked(r.text, r.found)
+        assert [tuple(m) for m in r.m] == [(m.start(), m.end(), m[0]) for m in re.finditer("a+b|é", r.text)]
+
+
+def test_a_text_with_very_many_addresses(spark):
+    n = 20_000
+    text = " ".join(f"u{i}@x{i}.org" for i in range(n))
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    row = pii.personal_data_report(docs).filter("doc_id = 1").first()
+    want = ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(r"\S+", text))
+    assert row.n_email == n and row.spans == want and row.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+    assert pii.sanitise(docs).filter("doc_id = 1").first().text == " ".join(["<EMAIL>"] * n)
