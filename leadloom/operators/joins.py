@@ -4,6 +4,8 @@ sort-merge from sizes and splits skewed partitions at run time."""
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from leadloom.functions.nested import compact_api, distinct_join
 from leadloom.functions.text import _c, age_hours, drop_social_website, normalize_name, trim_ws
 from leadloom.functions.urls import domain_key, url_key
-from leadloom.operators.ordered import first_value_by, order_key
+from leadloom.operators.ordered import first_value_by, last_non_null, order_key
 
 
 def attach_detail_page(items: DataFrame, details: DataFrame, link: str = "detail_link") -> DataFrame:
@@ -198,26 +200,77 @@ def fan_back(calls: DataFrame, responses: DataFrame, url: str) -> DataFrame:
     return calls.join(r, F.col(url) == F.col("_url"), "left").drop("_url")
 
 
-def company_360(tables: Mapping[str, DataFrame]) -> DataFrame:
+#: Figures of the company view by fact table: the largest value of a column, or (None) the number of rows.
+FIGURES = {
+    "company_socials": {"n_socials": None},
+    "event_exhibitors": {"n_events": None},
+    "marketplace_sellers": {"n_marketplaces": None, "best_rating": "rating"},
+    "company_financials": {"n_financials": None, "latest_year": "year", "max_gmv_eur": "total_gmv_eur"},
+    "contacts": {"n_contacts": None},
+}
+
+
+@dataclass(frozen=True)
+class FactKind:
+    """Facts of one table that a mention carries: mentions with equal `key` columns tell of one fact, whose `values`
+    (name in the fact table, column of the mention) are those of the last mention that has them."""
+
+    table: str
+    key: tuple[str, ...]
+    values: Mapping[str, str] = field(default_factory=dict)
+
+
+def facts_of_mentions(mentions: DataFrame, kinds: Sequence[FactKind], order_by: Sequence[str], company: str = "company_id") -> DataFrame:
+    """All kinds of facts from one pass over the mentions: company_id, table, key (texts) and the values of all kinds.
+
+    Each mention becomes one row per kind; a fact is folded before the shuffle, so a company with a third of all
+    mentions sends its distinct facts only. NULL is a key like any other.
+    """
+    names = list(dict.fromkeys(n for k in kinds for n in k.values))
+    of = {n: mentions.schema[k.values[n]].dataType for k in kinds for n in k.values}
+
+    def row(k: FactKind) -> Column:
+        value = lambda n: F.col(k.values[n]) if n in k.values else F.lit(None)
+        return F.struct(
+            F.lit(k.table).alias("table"), F.array(*[F.col(c).cast("string") for c in k.key]).alias("key"),
+            F.struct(*order_by).alias("_order"), *[value(n).cast(of[n]).alias(n) for n in names],
+        )
+
+    told = mentions.select(F.col(company).alias("company_id"), F.inline(F.array(*[row(k) for k in kinds])))
+    order = F.col("_order")
+    return told.groupBy("company_id", "table", "key").agg(F.count("*").alias("n_mentions"), *[last_non_null(n, order) for n in names])
+
+
+def company_360(tables: Mapping[str, DataFrame], facts: DataFrame | None = None) -> DataFrame:
     """One row per company with figures of its events, marketplaces, links and financials.
 
-    Every fact table is aggregated to the company key before it is joined.
+    Fact tables are read as one tagged union, aggregated to the company key once and joined once. `facts` are rows
+    of `facts_of_mentions`, tagged already, for tables that are not given by themselves.
     """
-    out = tables["companies"]
-    facets = {
-        "company_socials": [F.count("*").alias("n_socials")],
-        "event_exhibitors": [F.count("*").alias("n_events")],
-        "marketplace_sellers": [F.count("*").alias("n_marketplaces"), F.max("rating").alias("best_rating")],
-        "company_financials": [
-            F.count("*").alias("n_financials"), F.max("year").alias("latest_year"),
-            F.max("total_gmv_eur").alias("max_gmv_eur"),
-        ],
-        "contacts": [F.count("*").alias("n_contacts")],
-    }
-    for name, aggs in facets.items():
-        if name in tables:
-            out = out.join(tables[name].groupBy("company_id").agg(*aggs), "company_id", "left")
-    counts = [c for c in out.columns if c.startswith("n_")]
+    given = {n: tables[n] for n in FIGURES if n in tables}
+    inputs = list(dict.fromkeys(c for spec in FIGURES.values() for c in spec.values() if c))
+
+    def tagged(df: DataFrame, table: Column) -> DataFrame:
+        return df.select("company_id", table.alias("_table"), *[c for c in inputs if c in df.columns])
+
+    parts = [tagged(df, F.lit(name)) for name, df in given.items()]
+    kinds = list(given)
+    if facts is not None:
+        parts.append(tagged(facts, F.col("table")))
+        kinds = [n for n in FIGURES if n in given or n not in tables]
+    if not parts:
+        return tables["companies"]
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    of = lambda name, value: F.when(F.col("_table") == name, value)
+    aggs, counts = [], []
+    for name in kinds:
+        for figure, column in FIGURES[name].items():
+            if column is None:
+                aggs.append(F.count(of(name, 1)).alias(figure))
+                counts.append(figure)
+            elif column in union.columns:
+                aggs.append(F.max(of(name, F.col(column))).alias(figure))
+    out = tables["companies"].join(union.groupBy("company_id").agg(*aggs), "company_id", "left")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in counts})
 
 

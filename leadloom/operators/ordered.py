@@ -197,51 +197,62 @@ def fixed_batches(df: DataFrame, n: int, order_by: Sequence[str], keys: Sequence
     ).drop("_pos")
 
 
-def _starts_from(first: int, edges: np.ndarray, budget: int) -> list[int]:
-    """Batch starts of a greedy packing that opens a batch at row `first`.
-
-    `edges[i]` is the total size of the rows before row i.
-    """
-    starts, n = [], len(edges) - 1
-    at = first
-    while at < n:
-        starts.append(at)
-        at = max(int(np.searchsorted(edges, edges[at] + budget, side="right")) - 1, at + 1)
-    return starts
-
-
 def _edges(sizes: pd.Series) -> np.ndarray:
+    """Total size of the rows before each row, and of all."""
     return np.concatenate([[0], np.cumsum(sizes.to_numpy(dtype=np.int64))])
 
 
-def _first_break(edges: np.ndarray, room: int) -> int:
-    """First row that does not fit into the room left in the open batch."""
-    return max(int(np.searchsorted(edges, room, side="right")) - 1, 0)
+def _next_starts(edges: np.ndarray, ends: np.ndarray | int, budget: int) -> np.ndarray:
+    """Where the batch after one that opens at row i would open, for every row i; `ends` bounds the rows of i's key."""
+    rows = np.arange(len(edges) - 1)
+    beyond = np.searchsorted(edges, edges[:-1] + budget, side="right") - 1
+    return np.minimum(np.maximum(beyond, rows + 1), ends)
 
 
-def _pack_sorted(frames: Iterator[pd.DataFrame], keys: list[str], size_col: str, budget: int) -> Iterator[pd.DataFrame]:
-    """Greedy batch numbers over rows sorted by key and order; the open batch carries over frames."""
-    last, used, batch = None, 0, 0
+def _reached(starts: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Marks of all rows that jumps `after` reach from `starts`: jumps of 1, 2, 4, .. steps are composed, so that
+    the passes grow with the logarithm of the rows."""
+    n = len(after)
+    marks, jump = np.zeros(n + 1, dtype=bool), np.append(after, n)
+    marks[starts] = True
+    while True:
+        marks[jump[np.flatnonzero(marks)]] = True
+        if (jump[:-1] == n).all():
+            return marks[:n]
+        jump = jump[jump]
+
+
+def _numbered(frames: Iterator[pd.DataFrame], part: list[str], size_col: str, budget: int, names: list[str]) -> Iterator[pd.DataFrame]:
+    """Batch numbers over rows sorted by part and order, each part starting from its entry (_used, _opened, _first);
+    a part that goes on in the next frame hands its open batch over."""
+    last, left, batch = None, 0, 0
     for pdf in frames:
         if pdf.empty:
             continue
-        k = pdf[keys]
+        k, n = pdf[part], len(pdf)
         before = k.shift()
         changed = ((k != before) & ~(k.isna() & before.isna())).any(axis=1).to_numpy(copy=True)
-        first = tuple(None if pd.isna(v) else v for v in k.iloc[0])
-        changed[0] = last != first
-        numbers = np.empty(len(pdf), dtype=np.int64)
-        for i, (new, size) in enumerate(zip(changed, pdf[size_col])):
-            if new:
-                used, batch = size, 0
-            elif used + size > budget:
-                used, batch = size, batch + 1
-            else:
-                used += size
-            numbers[i] = batch
-        last = tuple(None if pd.isna(v) else v for v in k.iloc[-1])
-        pdf["batch"] = numbers
-        yield pdf
+        changed[0] = True
+        starts = np.flatnonzero(changed)
+        used, opened, first = (pdf[c].to_numpy()[starts].copy() for c in ("_used", "_opened", "_first"))
+        if last == tuple(None if pd.isna(v) else v for v in k.iloc[0]):
+            used[0], opened[0], first[0] = left, True, batch
+        edges, ends = _edges(pdf[size_col]), np.append(starts[1:], n)
+        of = np.cumsum(changed) - 1
+        # the first row that does not fit into what is open on entry
+        break_at = np.clip(np.searchsorted(edges, edges[starts] + budget - used, side="right") - 1, starts, ends)
+        opens = np.where(opened.astype(bool), break_at, starts)
+        # a part without a break of its own opens no batch; no jump crosses into the next part
+        inside = opens[opens < ends]
+        after = _next_starts(edges, ends[of], budget)
+        crosses = after == ends[of]
+        marks = _reached(inside, np.where(crosses, n, after))
+        count = np.concatenate([[0], np.cumsum(marks)])
+        numbers = count[1:] - count[starts][of] + np.where(opened.astype(bool), first, first - 1)[of]
+        at = np.flatnonzero(marks[starts[-1] :])
+        left = int(edges[n] - edges[starts[-1] + at[-1]]) if len(at) else int(used[-1] + edges[n] - edges[starts[-1]])
+        last, batch = tuple(None if pd.isna(v) else v for v in k.iloc[-1]), int(numbers[-1])
+        yield pdf[names].assign(batch=numbers.astype(np.int64))
 
 
 def pack_batches(
@@ -251,48 +262,36 @@ def pack_batches(
     """Greedy batches per key: a row opens a new 0-based `batch` when it does not fit the budget.
 
     Sizes are summed as whole millionths, so that fractions add up the same in any grouping; NULL
-    counts as zero.
+    and sizes below zero count as zero.
 
-    Keys that fit into one chunk are packed while reading sorted partitions. A key with more
-    rows than a chunk is packed chunk by chunk: each chunk reports how it would end for every
-    distinct fill level of the batch it may receive, a fold over the chunk reports yields the
-    true fill levels, and the chunks are then numbered independently.
+    A key with more rows than a chunk is cut into chunks: each reports how it would end for every distinct fill
+    level of the batch it may receive, and a fold over its reports yields the true levels. All rows, of long and
+    short keys, are then numbered the same way from the level on entry (nothing for a key's first chunk): where the
+    next batch opens is one function of the row, whose compositions reach every opening row.
     """
-    names, df = df.columns, df.withColumn("_size", F.round(F.coalesce(F.col(size_col), F.lit(0)) * SIZE_UNITS).cast("bigint"))
-    size_col, budget = "_size", round(budget * SIZE_UNITS)
-    out_schema = T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])
-
-    def in_one_go(rows: DataFrame) -> DataFrame:
-        ordered = rows.repartition(*keys).sortWithinPartitions(*keys, *order_by)
-        return ordered.mapInPandas(lambda it: _pack_sorted(it, list(keys), size_col, budget), out_schema)
-
+    names = df.columns
+    size = F.greatest(F.coalesce(F.col(size_col), F.lit(0)), F.lit(0))
+    df = df.withColumn("_size", F.round(size * SIZE_UNITS).cast("bigint"))
+    budget, part = round(budget * SIZE_UNITS), [*keys, "_chunk"]
     base, chunks = with_chunks(df, order_by[0], rows_per_chunk)
-    if chunks == 1:
-        return in_one_go(df).select(*names, "batch")
-    # at most (rows / rows_per_chunk) keys can be this large
-    large = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows_per_chunk)
-    split = _match(base, large.withColumn("_large", F.lit(True)).drop("_n"), keys)
-    short = split.filter(F.col("_large").isNull()).select(*df.columns)
-    long = split.filter(F.col("_large")).select(*df.columns, "_chunk")
-    return in_one_go(short).unionByName(_pack_chunks(long, df.schema, size_col, budget, order_by, keys)).select(*names, "batch")
-
-
-def _pack_chunks(
-    base: DataFrame, schema: T.StructType, size_col: str, budget: int, order_by: Sequence[str], keys: Sequence[str]
-) -> DataFrame:
-    """Packing of keys that span several chunks; `base` has the column `_chunk`."""
-    part = [*keys, "_chunk"]
-    out_schema = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    names = schema.names
-
-    def number(pdf: pd.DataFrame, room_used: int, opened: bool, first_batch: int) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order_by), kind="stable")
-        edges = _edges(pdf[size_col])
-        at = _first_break(edges, budget - room_used) if opened else 0
-        marks = np.zeros(len(pdf), dtype=np.int64)
-        marks[_starts_from(at, edges, budget)] = 1
-        pdf["batch"] = np.cumsum(marks) + (first_batch if opened else first_batch - 1)
-        return pdf[[*names, "batch"]]
+    entry = {"_used": F.lit(0).cast("bigint"), "_opened": F.lit(False), "_first": F.lit(0).cast("bigint")}
+    if chunks > 1:
+        # at most (rows / rows_per_chunk) keys can be this large
+        large = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows_per_chunk)
+        base = _match(base, large.withColumn("_large", F.lit(True)).drop("_n"), keys)
+        base = base.withColumn("_chunk", F.when(F.col("_large"), F.col("_chunk")).otherwise(0).cast("int"))
+        entries = _entries(base.filter("_large"), base.schema, budget, order_by, keys)
+        base = _match(base, entries, part)
+        entry = {c: F.coalesce(F.col(c), v) for c, v in entry.items()}
+    schema = T.StructType([*[f for f in base.schema.fields if f.name in names], T.StructField("batch", T.LongType())])
+    ordered = base.withColumns(entry).repartition(*part).sortWithinPartitions(*part, *order_by)
+    order = schema.names[:-1]
+    return ordered.mapInPandas(lambda it: _numbered(it, part, "_size", budget, order), schema).select(*names, "batch")
+
+
+def _entries(base: DataFrame, schema: T.StructType, budget: int, order_by: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """How full the open batch is (_used, _opened) and its number (_first) where each chunk of a long key begins."""
+    part, size_col = [*keys, "_chunk"], "_size"
 
     key_fields = [schema[k] for k in keys]
     report_schema = T.StructType([
@@ -304,14 +303,15 @@ def _pack_chunks(
         pdf = pdf.sort_values(list(order_by), kind="stable")
         edges = _edges(pdf[size_col])
         n = len(pdf)
-        reach = min(_first_break(edges, budget), n - 1)
-        firsts = range(0, reach + 1)
-        fits, opens, left = [], [], []
-        for first in firsts:
-            starts = _starts_from(first, edges, budget)
-            fits.append(int(edges[first + 1]))
-            opens.append(len(starts))
-            left.append(int(edges[n] - edges[starts[-1]]))
+        # first rows that could open a batch in this chunk, all followed at once from batch to batch
+        reach = min(max(int(np.searchsorted(edges, budget, side="right")) - 1, 0), n - 1)
+        after = _next_starts(edges, n, budget)
+        at = np.arange(reach + 1)
+        fits, opens = edges[at + 1], np.ones(reach + 1, dtype=np.int64)
+        while (more := after[at] < n).any():
+            at = np.where(more, after[at], at)
+            opens += more
+        left = edges[n] - edges[at]
         head = {k: [pdf[k].iloc[0]] for k in part}
         return pd.DataFrame({**head, "total": [int(edges[n])], "fits": [fits], "opens": [opens], "left": [left]})
 
@@ -340,12 +340,7 @@ def _pack_chunks(
 
     narrow = base.select(*dict.fromkeys([*part, *order_by, size_col]))
     reports = narrow.groupBy(*part).applyInPandas(report, report_schema)
-    entries = reports.groupBy(*keys).applyInPandas(fold, entry_schema)
-    rows = _match(base, entries, part)
-    return rows.groupBy(*part).applyInPandas(
-        lambda pdf: number(pdf, int(pdf["_used"].iloc[0]), bool(pdf["_opened"].iloc[0]), int(pdf["_first"].iloc[0])),
-        out_schema,
-    )
+    return reports.groupBy(*keys).applyInPandas(fold, entry_schema)
 
 
 # --- running analytics -------------------------------------------------------------------

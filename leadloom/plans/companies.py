@@ -438,13 +438,25 @@ def merged_tables(t: Tables) -> dict:
     }
 
 
-@query(
-    "jn15_company_360",
-    f"""WITH {FACT_KEYS}, ex AS (SELECT company_id, count(DISTINCT event_id) AS n FROM f GROUP BY 1), s AS (SELECT company_id, marketplace_id, {D.last('rating', 'ord')} AS rating FROM f GROUP BY 1, 2), se AS (SELECT company_id, count(*) AS n, max(rating) AS best FROM s GROUP BY 1),
+COMPANY_360 = f"""WITH {FACT_KEYS}, ex AS (SELECT company_id, count(DISTINCT event_id) AS n FROM f GROUP BY 1), s AS (SELECT company_id, marketplace_id, {D.last('rating', 'ord')} AS rating FROM f GROUP BY 1, 2), se AS (SELECT company_id, count(*) AS n, max(rating) AS best FROM s GROUP BY 1),
       fi AS (SELECT company_id, year, marketplace, {D.last('review_count', 'ord')} AS g FROM f GROUP BY 1, 2, 3), fa AS (SELECT company_id, count(*) AS n, max(year) AS y, max(g) AS g FROM fi GROUP BY 1), so AS (SELECT company, CAST(1 AS BIGINT) AS n FROM {{search_hits}} WHERE contains(url, 'linkedin.com') GROUP BY 1)
     SELECT md5(lower(s_name)) AS company_id, s_name AS name, coalesce(so.n, 0) AS n_socials, coalesce(ex.n, 0) AS n_events, coalesce(se.n, 0) AS n_marketplaces, se.best AS best_rating, coalesce(fa.n, 0) AS n_financials, CAST(fa.y AS INTEGER) AS latest_year, CAST(fa.g AS DOUBLE) AS max_gmv_eur
-    FROM supplier LEFT JOIN ex ON ex.company_id = md5(lower(s_name)) LEFT JOIN se ON se.company_id = md5(lower(s_name)) LEFT JOIN fa ON fa.company_id = md5(lower(s_name)) LEFT JOIN so ON so.company = s_suppkey""",
-)
+    FROM supplier LEFT JOIN ex ON ex.company_id = md5(lower(s_name)) LEFT JOIN se ON se.company_id = md5(lower(s_name)) LEFT JOIN fa ON fa.company_id = md5(lower(s_name)) LEFT JOIN so ON so.company = s_suppkey"""
+
+
+@query("jn15_company_360", COMPANY_360)
+def _(t):
+    # events, sellers and financials are three kinds of facts of the same mentions: these are read once
+    kinds = [
+        J.FactKind("event_exhibitors", ("event_id",)), J.FactKind("marketplace_sellers", ("marketplace_id",), {"rating": "rating"}),
+        J.FactKind("company_financials", ("year", "marketplace"), {"year": "year", "total_gmv_eur": "gmv"}),
+    ]
+    facts = J.facts_of_mentions(_facts(t).withColumn("gmv", F.col("review_count").cast("double")), kinds, ["ord"])
+    socials = M.upsert_socials(company_tables(t)["company_socials"], ["ord"])
+    return J.company_360({"companies": company_tables(t)["companies"], "company_socials": socials}, facts).drop("n_contacts")
+
+
+@query("jn15_company_360_tables", COMPANY_360)
 def _(t):
     return J.company_360(merged_tables(t))
 

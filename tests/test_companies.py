@@ -104,3 +104,20 @@ def test_import_event(spark):
     e = M.merge_exhibitors(parts["exhibitors"], ["o"]).first()
     assert (e.stand, e.brands, e.extra_data) == ("S9", '["x","y"]', '{"note":"late"}')
     assert [r.url for r in M.upsert_socials(parts["socials"], ["o"]).collect()] == ["u"]
+
+
+def test_company_view_reads_mentions_once(spark, tmp_path):
+    rows = [("a", 1, "e1", 3.0, 2020), ("a", 2, "e1", None, 2021), ("a", 3, None, 1.0, 2021), ("b", 4, "e1", None, None), ("b", 5, "e2", None, None), (None, 6, "e1", 9.0, 2024)]
+    spark.createDataFrame(rows, "company_id string, o long, event string, stars double, y int").write.parquet(str(tmp_path / "m"))
+    mentions = spark.read.parquet(str(tmp_path / "m"))
+    kinds = [J.FactKind("event_exhibitors", ("event",)), J.FactKind("marketplace_sellers", ("event",), {"rating": "stars"}), J.FactKind("company_financials", ("y",), {"year": "y"})]
+    facts = J.facts_of_mentions(mentions, kinds, ["o"])
+    companies = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C")], "company_id string, name string")
+    socials = spark.createDataFrame([("b",), ("b",)], "company_id string")
+    view = J.company_360({"companies": companies, "company_socials": socials}, facts)
+    got = {r.company_id: (r.n_socials, r.n_events, r.n_marketplaces, r.best_rating, r.n_financials, r.latest_year, r.n_contacts) for r in view.collect()}
+    # the rating of (a, e1) is that of its last mention with one; NULL is an event of its own
+    assert got == {"a": (0, 2, 2, 3.0, 2, 2021, 0), "b": (2, 2, 2, None, 1, None, 0), "c": (0, 0, 0, None, 0, None, 0)}
+    plan = view._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1 and plan.count("Join") == 1
+    assert J.company_360({"companies": companies}).columns == ["company_id", "name"]

@@ -90,6 +90,27 @@ def test_chunks_follow_any_order_type(spark, monkeypatch):
         assert rows == sorted(rows) and 15 <= chunks <= 20 and len(set(rows)) >= 15
 
 
+def test_packing_goes_on_over_frames(spark):
+    """A key that spans several Arrow batches keeps its open batch; short keys share frames with it."""
+    rnd = random.Random(8)
+    rows = [(rnd.choice(["hot", "hot", f"k{rnd.randrange(90)}", None]), i, rnd.choice([0, 1, 5, 30, 90, 101, 250])) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "k string, o long, size long").repartition(3)
+    want, state = {}, {}
+    for k, o, size in rows:
+        used, batch = state.get(k, (None, 0))
+        if used is not None and used + size > 100:
+            used, batch = 0, batch + 1
+        state[k] = ((used or 0) + size, batch)
+        want[k, o] = batch
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch, chunk in ((7, 1_000_000), (64, 40), (10_000, 300)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+            assert {(r.k, r.o): r.batch for r in O.pack_batches(df, "size", 100, ["o"], ["k"], chunk).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 @pytest.mark.parametrize("rows_per_chunk", [2, 3, 5, 1_000_000])
 def test_packing_of_fractions_and_nulls_is_the_same_in_chunks(spark, rows_per_chunk):
     rows = [("k", i, s) for i, s in enumerate([0.6] * 9 + [None, 0.4, 0.4, 0.2, 1.5, 0.1, None, 0.9])] + [(None, i, 0.5) for i in range(7)]
