@@ -7,14 +7,14 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions.nested import compact_api, distinct_join
-from leadloom.functions.text import _c, age_hours, drop_social_website, normalize_name, trim_ws
+from leadloom.functions.text import _c, age_hours, collapse_ws, drop_social_website, normalize_name, trim_ws
 from leadloom.functions.urls import domain_key, url_key
 from leadloom.operators.ordered import first_value_by, last_non_null, order_key
+from leadloom.session import cut_lineage
 
 
 def attach_detail_page(items: DataFrame, details: DataFrame, link: str = "detail_link") -> DataFrame:
@@ -314,35 +314,104 @@ def normalize_country(df: DataFrame, lookup: DataFrame, country: str = "country"
     ).drop("_local", "_english")
 
 
-def _greedy_links(items: pd.DataFrame, containers: pd.DataFrame) -> pd.DataFrame:
-    """Greedy one-to-one assignment within one page, items in order."""
-    boxes = containers[containers["link"].notna()].sort_values("idx")
-    texts = [" ".join(str(t).lower().split()) for t in boxes["text"]]
-    links, free = boxes["link"].tolist(), [True] * len(boxes)
-    items = items.sort_values("idx").copy()
-    out = []
-    for name, link in zip(items["name"], items["detail_link"]):
-        wanted = "" if link else str(name or "").strip().lower()
-        hits = [i for i, t in enumerate(texts) if wanted and free[i] and wanted in t]
-        if hits:
-            best = min(hits, key=lambda i: (len(texts[i]), i))
-            free[best] = False
-            link = links[best]
-        out.append(link)
-    items["detail_link"] = out
-    return items
+#: Characters of the runs by which container texts are indexed; shorter names are looked up whole.
+GRAM = 4
+
+
+def _grams(text: Column, n: Column) -> Column:
+    """Distinct runs of n characters of a text; NULL where it is shorter."""
+    runs = lambda chars: F.transform(
+        F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.array_join(F.slice(chars, i, n), "")
+    )
+    # the one-element array binds the characters once for all runs
+    return F.when(F.char_length(text) >= n, F.array_distinct(F.get(F.transform(F.array(F.split(text, "")), runs), F.lit(0))))
+
+
+def naming_boxes(names: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(page_id, name, box, link): every container (page_id, box, text, link) whose text contains the name.
+
+    Texts are indexed by their runs of four characters. A name meets only containers with its rarest run on
+    the page and is then compared with their texts.
+    """
+    sized = names.withColumn("n", F.least(F.char_length("name"), F.lit(GRAM)))
+    index = boxes.join(sized.select("page_id", "n").distinct(), "page_id").select(
+        "page_id", "box", F.explode(_grams(F.col("text"), F.col("n"))).alias("gram")
+    )
+    spread = index.groupBy("page_id", "gram").agg(F.count("*").alias("boxes"))
+    rarest = (
+        sized.select("page_id", "name", F.explode(_grams(F.col("name"), F.col("n"))).alias("gram"))
+        .join(spread, ["page_id", "gram"], "left")
+        .groupBy("page_id", "name")
+        .agg(F.min(F.struct(F.coalesce("boxes", F.lit(0)).alias("boxes"), "gram")).alias("rare"))
+        .filter(F.col("rare.boxes") > 0)
+        .select("page_id", "name", F.col("rare.gram").alias("gram"))
+    )
+    return (
+        rarest.join(index, ["page_id", "gram"]).select("page_id", "name", "box")
+        .join(boxes, ["page_id", "box"])
+        .filter(F.contains("text", F.col("name")))
+        .select("page_id", "name", "box", "link")
+    )
+
+
+def first_come_boxes(wants: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(page_id, name, pos, link): greedy one-to-one choice, items (page_id, name, pos, idx) in order of idx and name.
+
+    All items prefer containers in the order of `box`, so the k-th waiting item of a name gets the k-th free
+    container of that name unless an earlier item of another name may take it. Each round settles all items
+    of which this is certain, the first waiting one of a page among them. Rounds go on until no free container
+    names a waiting item: one on most pages, more where names contain each other.
+    """
+    per_name = Window.partitionBy("page_id", "name")
+    per_box = Window.partitionBy("page_id", "box")
+    by_head = per_box.orderBy("head")
+    turn = F.struct("idx", "name")
+    settled = None
+    while True:
+        queue = wants.withColumn("k", F.row_number().over(per_name.orderBy("pos")))
+        heads = queue.filter("k = 1").select("page_id", "name", turn.alias("head"))
+        rival = F.when(F.row_number().over(by_head) == 1, F.lead("head").over(by_head)).otherwise(F.first("head").over(by_head))
+        offers = (
+            pairs.join(heads, ["page_id", "name"])
+            .withColumn("k", F.row_number().over(per_name.orderBy("box")))
+            .withColumn("rival", rival)
+            .join(queue, ["page_id", "name", "k"], "left")
+        )
+        sure = F.col("pos").isNotNull() & F.coalesce(turn < F.col("rival"), F.lit(True))
+        up_to = per_name.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        step = cut_lineage(
+            offers.withColumn("won", F.min(sure).over(up_to)).withColumn("taken", F.max("won").over(per_box))
+            .select("page_id", "name", "box", "link", "pos", "won", "taken")
+        )
+        won = step.filter("won").select("page_id", "name", "pos", "link")
+        settled = won if settled is None else settled.unionByName(won)
+        pairs = step.filter("NOT taken").select("page_id", "name", "box", "link")
+        if won.isEmpty() or pairs.isEmpty():
+            return settled
+        wants = cut_lineage(wants.join(won, ["page_id", "name", "pos"], "left_anti"))
 
 
 def backfill_links(items: DataFrame, containers: DataFrame) -> DataFrame:
     """Missing detail links from the container whose text names the item most tightly.
 
-    Items (page_id, idx, name, detail_link), containers (page_id, idx, text, link). A group
-    is one page, whose rows all come from one document.
+    Items (page_id, idx, name, detail_link), containers (page_id, idx, text, link). Items without a link choose
+    in order of idx (then name); each takes the free container with a link and the shortest text, the earlier of
+    equal ones. Items of a NULL page and items without a name stay as they are, repeated rows count each.
     """
-    schema = items.select("page_id", "idx", "name", "detail_link").schema
-    rows = items.select(*schema.names)
-    # fresh column ids: both sides may come from the same pages
-    boxes = containers.select(F.col("page_id").alias("_page"), F.col("idx").alias("idx"), F.col("text").alias("text"), F.col("link").alias("link"))
-    return rows.groupBy("page_id").cogroup(boxes.groupBy("_page")).applyInPandas(
-        lambda a, b: _greedy_links(a, b) if len(a) else a, schema
+    rows = items.select("page_id", "idx", "name", "detail_link")
+    wanted = F.when(F.coalesce("detail_link", F.lit("")) == "", F.nullif(F.lower(trim_ws("name")), F.lit("")))
+    rows = rows.withColumn("_name", wanted)
+    # positions among equal names are stored, as both the choice and the result refer to them
+    rows = cut_lineage(rows.withColumn("_pos", F.row_number().over(Window.partitionBy("page_id", "_name").orderBy("idx", "detail_link", "name"))))
+    text = F.btrim(collapse_ws(F.lower("text")))
+    shortest = Window.partitionBy("page_id").orderBy(F.char_length("text"), "idx", "text", "link")
+    boxes = cut_lineage(
+        containers.filter("link IS NOT NULL AND page_id IS NOT NULL").select("page_id", "idx", text.alias("text"), "link")
+        .withColumn("box", F.row_number().over(shortest)).select("page_id", "box", "text", "link")
+    )
+    wants = rows.filter("page_id IS NOT NULL AND _name IS NOT NULL").select("page_id", F.col("_name").alias("name"), F.col("_pos").alias("pos"), "idx")
+    pairs = cut_lineage(naming_boxes(wants.select("page_id", "name").distinct(), boxes))
+    chosen = first_come_boxes(wants, pairs).select("page_id", F.col("name").alias("_name"), F.col("pos").alias("_pos"), F.col("link").alias("_link"))
+    return rows.join(chosen, ["page_id", "_name", "_pos"], "left").select(
+        "page_id", "idx", "name", F.coalesce("_link", "detail_link").alias("detail_link")
     )

@@ -86,6 +86,51 @@ def test_backfill_links_greedy(spark):
     assert got == {(1, 0): "/b", (1, 1): "/a", (1, 2): None, (1, 3): "/own", (2, 0): None}
 
 
+def _links_in_turn(items, boxes):
+    """Plain form: items in order, each scans all containers of its page."""
+    out, used = [], set()
+    boxes = [(p, i, " ".join(t.lower().split()), l) for p, i, t, l in boxes if l is not None]
+    for p, i, name, link in sorted(items, key=lambda r: (r[0], r[1])):
+        low = (name or "").strip().lower()
+        hits = [(len(b[2]), b[1]) for b in boxes if b[0] == p and (p, b[1]) not in used and low in b[2]] if low and not link else []
+        if hits:
+            used.add((p, min(hits)[1]))
+            link = next(b[3] for b in boxes if (b[0], b[1]) == (p, min(hits)[1]))
+        out.append((p, i, name, link))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_backfill_links_equals_the_plain_form(spark, seed):
+    rnd = random.Random(seed)
+    words = ["a", "ab", "Acme", "acme tools", "Äpfel", "tools gmbh", "item 1", "item 12", "12"]
+    items, boxes = [], []
+    for page in range(6):
+        items += [(page, i, rnd.choice([*words, None, " ", "no such name"]), rnd.choice([None, None, "", "/own"])) for i in range(25)]
+        boxes += [(page, i, "  ".join(rnd.choices([*words, "\n"], k=rnd.randint(0, 4))), rnd.choice(["", f"/{i}", f"/{i}", None])) for i in range(25)]
+    rows = spark.createDataFrame(items, "page_id long, idx int, name string, detail_link string")
+    got = J.backfill_links(rows, spark.createDataFrame(boxes, "page_id long, idx int, text string, link string"))
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[:2]) == _links_in_turn(items, boxes)
+
+
+def test_backfill_links_chains_repeats_and_nulls(spark):
+    # each item is displaced by the one before it, so every round settles one
+    chain = [(1, i, f"n{i};", None) for i in range(5)]
+    boxes = [(1, i, f"n{i}; n{i + 1};", f"/{i}") for i in range(5)]
+    # equal names share their containers, repeated rows count each
+    same = [(2, 0, "x", None), (2, 0, "x", None), (2, 5, "X ", None), (None, 0, "x", None), (3, 0, "x", None)]
+    boxes += [(2, i, "x" * (i + 1), f"/x{i}") for i in range(2)] + [(None, 0, "x", "/null"), (3, 0, None, "/none")]
+    schema = "page_id long, idx int, name string, detail_link string"
+    tables = [spark.createDataFrame(r, s) for r, s in ((chain + same, schema), (boxes, "page_id long, idx int, text string, link string"))]
+    got = [(r.page_id, r.idx, r.detail_link) for r in J.backfill_links(*tables).collect()]
+    assert sorted(g for g in got if g[0] == 1) == [(1, i, f"/{i}") for i in range(5)]
+    assert sorted(g[2] or "" for g in got if g[0] == 2) == ["", "/x0", "/x1"]
+    assert sorted((g for g in got if g[0] not in (1, 2)), key=str) == [(3, 0, None), (None, 0, None)]
+    empty = [t.limit(0) for t in tables]
+    assert J.backfill_links(*empty).count() == 0
+    assert J.backfill_links(tables[0], empty[1]).filter("detail_link IS NOT NULL").count() == 0
+
+
 def test_rules_join_takes_rows_as_they_are(spark):
     rules = spark.createDataFrame([(i, f"r{i}", p) for i, p in enumerate(["zz", "b", "a", "ab", "c"])], "priority int, name string, pattern string")
     df = spark.createDataFrame([(1, "abc"), (1, "c"), (None, "a"), (3, "x"), (4, None)], "id long, t string")
