@@ -60,20 +60,24 @@ def robots_rules(robots: DataFrame, user_agent: str = "*") -> DataFrame:
     )
 
 
-def blocked(path: Column, rules: Column) -> Column:
-    """True when the path starts with one of the rules (a trailing * is ignored)."""
-    return F.exists(rules, lambda r: F.startswith(path, F.regexp_replace(r, r"\*$", "")))
-
-
 def filter_allowed(urls: DataFrame, rules: DataFrame, host: str = "host", url: str = "url") -> DataFrame:
-    """URLs not blocked by the disallow rules of their host."""
-    per_host = (
-        rules.filter(F.col("kind") == "disallow")
-        .groupBy(F.col("host").alias("_host"))
-        .agg(F.collect_set("value").alias("_rules"))
+    """URLs whose path starts with none of the disallow rules of their host (a trailing * is ignored).
+
+    Rules are joined as keys: a distinct path is cut to the lengths that rules of its host have, and a cut that is a
+    rule blocks it. The plan is the same for any number of rules. A URL without host or path is kept.
+    """
+    listed = rules.filter(F.col("kind") == "disallow").select(
+        F.col("host").alias("_host"), F.regexp_replace("value", r"\*$", "").alias("_rule")
+    ).distinct()
+    sizes = listed.groupBy("_host").agg(F.collect_set(F.char_length("_rule")).alias("_sizes"))
+    paths = urls.select(F.col(host).alias("_host"), url_path(url).alias("_path")).distinct()
+    blocked = (
+        paths.join(sizes, "_host")
+        .select("_host", "_path", F.explode(F.transform("_sizes", lambda n: F.left(F.col("_path"), n))).alias("_rule"))
+        .join(listed, ["_host", "_rule"], "left_semi")
+        .select("_host", "_path").distinct()
     )
-    joined = urls.join(per_host, F.col(host) == F.col("_host"), "left")
-    return joined.filter(~F.coalesce(blocked(url_path(url), F.col("_rules")), F.lit(False))).drop("_host", "_rules")
+    return urls.join(blocked, (F.col(host) == F.col("_host")) & (url_path(url) == F.col("_path")), "left_anti")
 
 
 def sitemap_locs(xml: Column) -> Column:

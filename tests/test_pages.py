@@ -216,6 +216,21 @@ def test_robots(spark):
     assert sorted(r.url for r in FR.filter_allowed(urls, rules).collect()) == ["https://h/ok", "https://z/admin/"]
 
 
+def test_allowed_urls_with_many_rules(spark):
+    values = [f"/shop/{i}/" for i in range(0, 50_000, 2)] + ["/tmp*", "/a**", "/ä/*", "/long/" + "x" * 50]
+    rules = spark.createDataFrame([("h", "disallow", v) for v in values] + [("all", "disallow", ""), ("z", "sitemap", "/ok")], "host string, kind string, value string")
+    paths = [f"/shop/{i}/p" for i in range(300)] + ["/tmp", "/tmpfile", "/tm", "/a", "/a*b", "/ä/ö", "/long/" + "x" * 49, "", "/shop/2"]
+    urls = [(h, f"https://{h}{p}", n) for h in ("h", "z", "all") for n, p in enumerate(paths)] + [(None, "https://h/tmp", 0), ("h", None, 0), ("h", "https://h/ok", 1), ("h", "https://h/ok", 1)]
+    table = spark.createDataFrame(urls, "host string, url string, _rule int")
+    heads = tuple(v[:-1] if v.endswith("*") else v for v in values)
+    stays = lambda h, u: h == "z" or None in (h, u) or (h == "h" and not u[len("https://h"):].startswith(heads))
+    got = FR.filter_allowed(table, rules)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, got.collect()), key=key) == sorted((r for r in urls if stays(*r[:2])), key=key)
+    assert FR.filter_allowed(table, rules.limit(0)).count() == len(urls)
+    assert FR.filter_allowed(table.limit(0), rules).count() == 0
+
+
 def test_fingerprint_signals(spark):
     pages = [
         (1, "<link href=/wp-content/x><meta name='generator' content='WordPress 6'>", {"server": "nginx/1.25", "cf-ray": "x"}),
