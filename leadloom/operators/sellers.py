@@ -43,23 +43,25 @@ def seller_from_api(raw: DataFrame, seller_id: str = "seller_id", body: str = "b
 
 
 def _balanced_object(text: Column) -> Column:
-    """Leading JSON object of a text that may have more behind it, in one pass over its characters: braces
-    inside JSON strings do not count."""
+    """Leading JSON object of a text that may have more behind it, in one pass over its braces, quotes and
+    backslashes: braces inside JSON strings do not count."""
     zero = F.struct(
         F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(None).cast("int").alias("end")
     )
 
-    def step(s: Column, ch: Column) -> Column:
-        plain = ~s["quoted"]
+    def step(s: Column, piece: Column) -> Column:
+        # a piece ends with the one character that counts; a backslash escapes it only if nothing stands between
+        ch, i = F.right(piece, F.lit(1)), s["i"] + F.length(piece)
+        plain, escaped = ~s["quoted"], s["escaped"] & (F.length(piece) == 1)
         depth = s["depth"] + F.when(plain & (ch == "{"), 1).when(plain & (ch == "}"), -1).otherwise(0)
-        closed = F.when(plain & (ch == "}") & (depth == 0), s["i"] + 1)
+        closed = F.when(plain & (ch == "}") & (depth == 0), i)
         return F.struct(
-            (s["i"] + 1).alias("i"), depth.alias("depth"),
-            F.when((ch == '"') & ~s["escaped"], plain).otherwise(s["quoted"]).alias("quoted"),
-            (s["quoted"] & ~s["escaped"] & (ch == "\\")).alias("escaped"), F.coalesce(s["end"], closed).alias("end"),
+            i.alias("i"), depth.alias("depth"), F.when((ch == '"') & ~escaped, plain).otherwise(s["quoted"]).alias("quoted"),
+            (s["quoted"] & ~escaped & (ch == "\\")).alias("escaped"), F.coalesce(s["end"], closed).alias("end"),
         )
 
-    end = F.aggregate(F.split(text, ""), zero, step, lambda s: s["end"])
+    pieces = F.regexp_extract_all(text, F.lit(r'[^{}"\\]*+[{}"\\]'), F.lit(0))
+    end = F.aggregate(pieces, zero, step, lambda s: s["end"])
     return F.when(end.isNotNull(), F.left(text, end))
 
 
@@ -90,7 +92,8 @@ def seller_from_page(pages: DataFrame, seller_id: str = "seller_id", html: str =
     rating = parse_rating(h, j("rating").try_cast("double"), j("visibleReviewsCount").try_cast("bigint"))
     imprint = parse_imprint(j("legalInformation.imprint"))
     text = lambda c: F.coalesce(c, F.lit(""))
-    rows = base.select(
+    # made by a generator: the filter cannot move below it, so that a row is worked out once and where it was dealt to
+    rows = base.select(F.inline(F.array(F.struct(
         F.col(seller_id), name.alias("business_name"), text(email).alias("email"), text(phone).alias("phone"),
         rating["rating"].alias("rating"),
         F.when(rating["rating"].isNotNull() | F.col("_json").isNotNull(), rating["out_of"]).alias("rating_out_of"),
@@ -100,5 +103,5 @@ def seller_from_page(pages: DataFrame, seller_id: str = "seller_id", html: str =
         text(F.coalesce(label(KVK_LABELS), imprint["kvk"])).alias("kvk_number"),
         text(F.coalesce(label(VAT_LABELS), imprint["vat"])).alias("vat_number"),
         not_found_page(name, h).alias("_missing"),
-    )
+    ))))
     return rows.filter(~F.col("_missing") & (F.col("business_name") != "")).drop("_missing")
