@@ -203,7 +203,8 @@ def detail_fields(dom: DataFrame, fields: Mapping[str, str], attributes: Mapping
         node = F.get(F.col(f"_f{i}"), F.lit(0))
         value = F.coalesce(field_value(node, (attributes or {}).get(name)), F.lit("None"))
         lines.append(F.when(node.isNotNull() & ~is_junk_field(F.lit(name)), F.concat(F.lit(f"{name}: "), value)))
-    return found.select(key, F.concat_ws("\n", *lines).alias("text"))
+    # made by a generator: what filters the text does not work it out again
+    return found.select(key, F.explode(F.array(F.concat_ws("\n", *lines))).alias("text"))
 
 
 def sub_link_targets(

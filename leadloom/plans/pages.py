@@ -97,7 +97,7 @@ MICRO = """SELECT s_suppkey AS page_id, s_name AS sname, n_name AS nname, '<body
 
 
 def _micro_pages(t):
-    return t.spark.sql(MICRO, supplier=t.supplier, nation=t.nation)
+    return t.spark.sql(MICRO, supplier=t.wide("supplier"), nation=t.nation)
 
 
 @query(
@@ -133,7 +133,7 @@ ADVERTS = """SELECT s_suppkey AS page_id, '<body><div class="app" data-info=''{{
 
 @query("ht10_embedded_source", "SELECT s_suppkey AS page_id, 72 + s_suppkey % 15 AS score, 'results' AS path, 'data-info' AS attribute, 2 + s_suppkey % 15 AS total, s_name || ' second company padding padding' AS last_name FROM supplier")
 def _(t):
-    pages = t.spark.sql(ADVERTS, supplier=t.supplier)
+    pages = t.spark.sql(ADVERTS, supplier=t.wide("supplier"))
     best = P.embedded_source(page_dom(pages))
     wide = lambda c: F.col(c).cast("bigint").alias(c)
     return best.select("page_id", wide("score"), "path", "attribute", wide("total"), F.get_json_object(F.element_at("items", -1), "$.name").alias("last_name"))
@@ -144,7 +144,7 @@ def _(t):
     "WITH b AS (SELECT s_suppkey AS id, 2 + s_suppkey % 30 AS n FROM supplier) SELECT id, 30 + 30 + n + CASE WHEN n > 20 THEN 100 WHEN n > 5 THEN 50 ELSE 0 END AS score FROM b",
 )
 def _(t):
-    bodies = t.supplier.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("["), F.expr("repeat('{\"x\":1},', CAST(s_suppkey % 30 AS INT))"), F.lit('{"name":"'), "s_name", F.lit('","phone":"1"},{"name":"c"}]')).alias("body"))
+    bodies = t.wide("supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("["), F.expr("repeat('{\"x\":1},', CAST(s_suppkey % 30 AS INT))"), F.lit('{"name":"'), "s_name", F.lit('","phone":"1"},{"name":"c"}]')).alias("body"))
     score = P.listing_api_score(F.lit("https://api.fair.example.com/exhibitor/list"), F.col("body"), F.lit("www.fair.example.com"))
     return bodies.select("id", score.cast("bigint").alias("score"))
 
@@ -155,7 +155,7 @@ def _(t):
       UNION ALL SELECT s_suppkey, 1, '2', s_name || ' second company', 'w2', NULL FROM supplier""",
 )
 def _(t):
-    rows = P.embedded_items(page_dom(t.spark.sql(EMBED, supplier=t.supplier)), "div.app", "data-info", "results")
+    rows = P.embedded_items(page_dom(t.spark.sql(EMBED, supplier=t.wide("supplier"))), "div.app", "data-info", "results")
     at = lambda k: F.col("item")[k]
     return rows.select("page_id", "pos", at("id").alias("id"), at("name").alias("name"), at("values.website").alias("website"), at("values.city").alias("city"))
 
@@ -212,7 +212,7 @@ NOISY = """SELECT s_suppkey AS page_id, '<html><head><title>' || s_name || '</ti
     FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
 )
 def _(t):
-    pages = t.spark.sql(NOISY, supplier=t.supplier, nation=t.nation)
+    pages = t.spark.sql(NOISY, supplier=t.wide("supplier"), nation=t.nation)
     plain = P.simplify_pages(pages).withColumnRenamed("html", "plain")
     return plain.join(P.simplify_pages(pages, aggressive=True).withColumnRenamed("html", "aggressive"), "page_id")
 
@@ -354,7 +354,7 @@ BQ = """SELECT c_custkey AS seller_id, c_name AS cname, c_mktsegment AS seg, n_n
       'https://shop/' || CAST(c_custkey AS VARCHAR) AS source_url FROM customer JOIN nation ON c_nationkey = n_nationkey""",
 )
 def _(t):
-    return S.seller_from_api(t.spark.sql(BQ, customer=t.customer, nation=t.nation))
+    return S.seller_from_api(t.spark.sql(BQ, customer=t.wide("customer"), nation=t.nation))
 
 
 @query(
@@ -378,7 +378,7 @@ def _(t):
         F.lit(',"contactInfoForCustomers":{"email":"c'), key, F.lit('@shop.example","note":"}}"}},"y":{"optimizelyDataFile":1}}</script><h1>x</h1>'),
         F.when(F.col("c_custkey") % 2 == 0, F.lit("<dl><dt>Plaats</dt><dd>Ede</dd></dl>")).otherwise(F.lit("")), F.lit("</html>"),
     )
-    rows = t.customer.select(F.col("c_custkey").alias("seller_id"), embedded.alias("html"))
+    rows = t.wide("customer").select(F.col("c_custkey").alias("seller_id"), embedded.alias("html"))
     return S.seller_from_page(rows).select("seller_id", "business_name", "email", "review_count", "city")
 
 

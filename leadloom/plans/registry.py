@@ -19,6 +19,8 @@ TABLES = [
 FACTS = {"orders", "lineitem", "events", "documents", "pages", "conversations"}
 # views of such dimensions that are expensive per row
 WIDE_VIEWS = {"detail_pages", "listing_pages", "api_items", "api_bodies", "paging"}
+# tasks per core for them
+WIDE_TASKS = 4
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -28,6 +30,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(tasks) if tasks else df
 
 
+def spread_wide(df: DataFrame) -> DataFrame:
+    """The short rows of a dimension dealt over all cores, before pages or bodies are made of them: a scan gives
+    the whole file, however many rows it has, to one task or few."""
+    spark = df.sparkSession
+    tasks = int(spark.conf.get("spark.leadloom.spread", "0")) or WIDE_TASKS * spark.sparkContext.defaultParallelism
+    return df.repartition(tasks)
+
+
 class Tables:
     """Given tables and the views derived from them, by attribute."""
 
@@ -41,10 +51,15 @@ class Tables:
         if name in VIEWS:
             text = VIEWS[name]
             used = {x: getattr(self, x) for x in [*TABLES, *VIEWS] if "{" + x + "}" in text}
-            df = self.spark.sql(text, **used)
-            return spread(df) if name in WIDE_VIEWS else df
+            if name in WIDE_VIEWS:
+                used.update({x: self.wide(x) for x in used if x != "nation"})
+            return self.spark.sql(text, **used)
         raise AttributeError(name)
 
+    def wide(self, name: str) -> DataFrame:
+        """A given table whose rows become pages or bodies."""
+        return spread_wide(getattr(self, name))
+
 
 Build = Callable[[Tables], DataFrame]
 BUILDS: dict[str, Build] = {}

@@ -1,10 +1,12 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from leadloom.operators import dom as DM
 from leadloom.operators import frontier as FR
 from leadloom.operators import pages as P
+from leadloom.plans.registry import BUILDS, Tables
 
 CARD = """<html><body><div class="exhibitor-card" data-id="101"><h3 class="company-name">Acme <b>Corp</b></h3><span class="country">Germany</span>
 <span class="booth">Hall 5, Stand A20</span><a class="detail-link" href="/exhibitors/acme-corp">Details</a>
@@ -258,3 +260,20 @@ def test_embedded_items_of_a_known_source(spark):
     assert [(r.page_id, r.pos, r.item) for r in rows] == [(1, 0, {"id": "1", "path": "/acme", "values.name": "Acme", "values.n": None}), (1, 1, {"id": "2"})]
     assert [r.item for r in P.embedded_items(dom, "#s", None, None).collect()] == [{"a.b": "1"}]
     assert P.embedded_items(dom, "x-list", "data-info", "nothing.here").count() == 0
+
+
+@pytest.mark.parametrize("name", [
+    "ht5_detail_fields", "ht7_open_graph", "ht13_visible_text", "cl14_seller_embedded", "cl14_seller_from_page", "cl14_seller_from_api",
+])
+def test_pages_are_made_and_read_by_all_cores(spark, name):
+    # the dimension is one small file: its rows are dealt out before they become pages, and nothing that reads pages is done before
+    df = BUILDS[name](Tables(spark, "/root/testdata/sf0.001"))
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Repartition"):]
+    assert "aggregate" not in below and "regexp" not in below and "ArrowBatches" not in below
+
+
+def test_structured_data_is_read_by_all_cores(spark):
+    plan = BUILDS["ht9_merge_structured"](Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Repartition")
