@@ -81,10 +81,9 @@ def _(t):
         "profile_name", "status", "reason", "passed",
         F.struct(F.create_map(F.lit("empty_pages"), "empty_pages").alias("counters"), F.create_map(F.lit("scalar_ratio"), "scalar_ratio").alias("parser_metrics")).alias("diagnostics"),
     )
-    reports = t.run_results.groupBy("report").agg(F.to_json(F.struct(F.struct(F.count("*").alias("total")).alias("summary"), F.collect_list(row).alias("results"))).alias("value"))
-    reports.write.partitionBy("report").text(path)
+    W.write_run_reports(t.run_results, path, row, "ord")
     # one folder per report was written; the reader takes the files under their report name
-    back = R.read_run_reports(t.spark, path, files="report=*/*", name=F.regexp_extract("_metadata.file_path", r"report=([^/]+)/", 1))
+    back = R.read_run_reports(t.spark, path, files="report=*/piece=*/*", name=F.regexp_extract("_metadata.file_path", r"report=([^/]+)/", 1))
     return back.groupBy(F.concat("report", F.lit(".json")).alias("report")).agg(
         F.count("*").alias("rows"), F.sum("empty_pages").alias("empty_pages"), F.count_if(~F.col("passed")).alias("failed")
     )

@@ -34,16 +34,21 @@ def read_run_reports(
 
     Names sort by time. Result entries that are not objects are skipped; the total falls
     back to the number of entries.
+    A file is read by one task; a long report may come as several files under one `name`, `pos` counts in its file.
     """
     schema = "summary struct<total:bigint,passed:bigint,failed:bigint>, results array<string>"
     row = "profile_name string, status string, reason string, passed boolean, " \
           "diagnostics struct<counters:map<string,bigint>,parser_metrics:map<string,double>>"
-    raw = spark.read.schema(schema).option("multiLine", True).json(f"{folder}/{files}")
+    # the JSON reader would go back to the file for the text of every entry; a generator parses a document once
+    text = F.ltrim("value", F.lit("\ufeff"))
+    raw = spark.read.text(f"{folder}/{files}", wholetext=True).filter(trim_ws(text) != "").select(
+        (F.col("_metadata.file_name") if name is None else name).alias("report"), F.inline(F.array(F.from_json(text, schema)))
+    )
     n = F.coalesce(F.size("results"), F.lit(0)).cast("bigint")
     total = F.coalesce("summary.total", F.greatest(n, F.lit(0)))
     passed = F.coalesce("summary.passed", F.lit(0).cast("bigint"))
     flat = raw.select(
-        (F.col("_metadata.file_name") if name is None else name).alias("report"), total.alias("summary_total"), passed.alias("summary_passed"),
+        "report", total.alias("summary_total"), passed.alias("summary_passed"),
         F.coalesce("summary.failed", F.greatest(total - passed, F.lit(0))).alias("summary_failed"),
         F.posexplode_outer("results").alias("pos", "_raw"),
     ).filter(F.col("_raw").isNull() | F.startswith(trim_ws("_raw"), F.lit("{")))

@@ -207,3 +207,21 @@ def test_stream_dedup_with_horizon(spark, tmp_path):
     unique = S.stream_dedup_leads(_batches(spark, tmp_path, [df]), "at", "1 hour")
     S.run_checkpointed(unique, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_long_reports_come_in_pieces(spark, tmp_path):
+    rows = spark.range(5000).select(F.col("id").alias("ord"), F.concat(F.lit("r"), F.col("id") % 2).alias("report"), (F.col("id") % 3 == 0).alias("passed"), F.concat(F.lit("p"), "id").alias("profile_name"))
+    W.write_run_reports(rows, f"{tmp_path}/r", F.struct("profile_name", "passed"), "ord", rows_per_file=300)
+    back = RD.read_run_reports(spark, f"{tmp_path}/r", files="report=*/piece=*/*", name=F.regexp_extract("_metadata.file_path", r"report=([^/]+)/", 1))
+    got = back.select("report", "summary_total", "profile_name", "passed", "pos").collect()
+    assert sorted((r.report, r.profile_name, r.passed) for r in got) == sorted((f"r{i % 2}", f"p{i}", i % 3 == 0) for i in range(5000))
+    assert {r.summary_total for r in got} == {2500} and max(r.pos for r in got) < 600
+
+
+def test_odd_report_files(spark, tmp_path):
+    for name, text in {
+        "a": '\ufeff{"summary": {"total": 9},\n "results": [{"profile_name": "x", "passed": true}, 5, "t", null]}', "b": "{broken", "c": "", "d": '{"results": []}',
+    }.items():
+        (tmp_path / f"smoke-{name}.json").write_text(text)
+    got = sorted((r.report, r.summary_total, r.profile_name, r.passed) for r in RD.read_run_reports(spark, str(tmp_path)).collect() if r.profile_name or r.report != "smoke-a.json")
+    assert got == [("smoke-a.json", 9, "x", True), ("smoke-b.json", 0, None, False), ("smoke-d.json", 0, None, False)]
