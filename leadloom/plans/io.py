@@ -198,28 +198,28 @@ def _(t):
     return t.spark.read.parquet(f"{path}/out")
 
 
-def _files(df, path: str, part, parts: int):
-    """`df` as a stream of files, written one after the other, two per trigger: the rows of file i have part = i."""
+def _deliver(df, path: str, part, parts: int, job) -> None:
+    """`df` as a stream that comes in drops, two at a time: the rows of drop i have part = i. After each delivery
+    `job` takes the stream and is run on what is new, as a batch of its own; a drop has as many files as it was
+    written by tasks."""
     cut = df.withColumn("_part", part)
-    for i in range(parts):
-        cut.filter(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    for i in range(0, parts, 2):
+        cut.filter(F.col("_part").isin(i, i + 1)).drop("_part").write.mode("append").parquet(path)
+        _finish(job(df.sparkSession.readStream.schema(df.schema).parquet(path)))
 
 
 @query("st3_stream_company_master", COMPANIES_SQL)
 def _(t):
     path = scratch(t)
     mentions = t.leads.select("ord", "seen_at", "name", *[X.clean_str(c).alias(c) for c in LEAD_TEXT])
-    # any file may hold the first or the last mention of a company
-    stream = _files(mentions, f"{path}/in", F.pmod(F.xxhash64("ord"), F.lit(5)), 5)
-    _finish(S.stream_company_master(stream, f"{path}/master", f"{path}/check", "ord", "seen_at"))
+    # any drop may hold the first or the last mention of a company
+    _deliver(mentions, f"{path}/in", F.pmod(F.xxhash64("ord"), F.lit(5)), 5, lambda stream: S.stream_company_master(stream, f"{path}/master", f"{path}/check", "ord", "seen_at"))
     return S.read_company_master(t.spark, f"{path}/master")
 
 
 def _stream_table(t: Tables, name: str, rows):
     path = scratch(t)
-    stream = _files(rows, f"{path}/in", F.pmod(F.xxhash64("ord"), F.lit(3)), 3)
-    _finish(S.stream_master(stream, f"{path}/master", f"{path}/check", ["ord"], {name: lambda b: b}))
+    _deliver(rows, f"{path}/in", F.pmod(F.xxhash64("ord"), F.lit(3)), 3, lambda stream: S.stream_master(stream, f"{path}/master", f"{path}/check", ["ord"], {name: lambda b: b}))
     S.compact_master(t.spark, f"{path}/master")
     return S.read_master(t.spark, f"{path}/master", name)
 
@@ -251,13 +251,12 @@ def _(t):
 )
 def _(t):
     path = scratch(t)
-    stream = _files(t.progress, f"{path}/in", F.pmod(F.xxhash64("ord"), F.lit(4)), 4)
-    _finish(S.run_snapshots(S.stream_job_counters(stream, "job"), f"{path}/out", f"{path}/check"))
+    _deliver(t.progress, f"{path}/in", F.pmod(F.xxhash64("ord"), F.lit(4)), 4, lambda stream: S.run_snapshots(S.stream_job_counters(stream, "job"), f"{path}/out", f"{path}/check"))
     return S.read_snapshot(t.spark, f"{path}/out")
 
 
 def _days(ts, shift):
-    """Files of ten days that overlap: a row comes up to a day after its time."""
+    """Drops of ten days that overlap: a row comes up to a day after its time."""
     return F.floor((F.unix_timestamp(ts.cast("timestamp")) - F.lit(1704067200) + shift) / F.lit(10 * 86400)).cast("int")
 
 
@@ -265,8 +264,9 @@ def _days(ts, shift):
 def _(t):
     path = scratch(t)
     rows = t.progress.select("job", "ts", "ord", "page_items")
-    stream = _files(rows, f"{path}/in", _days(F.col("ts"), F.pmod(F.xxhash64("ord"), F.lit(86400))), 4)
-    _finish(S.stream_switch_alerts(stream, f"{path}/out", f"{path}/check", ["job"], ["ts", "ord"], "page_items", "1 DAY", rows_per_chunk=1_000))
+    _deliver(rows, f"{path}/in", _days(F.col("ts"), F.pmod(F.xxhash64("ord"), F.lit(86400))), 4, lambda stream: S.stream_switch_alerts(
+        stream, f"{path}/out", f"{path}/check", ["job"], ["ts", "ord"], "page_items", "1 DAY", rows_per_chunk=1_000
+    ))
     S.finish_switch_alerts(t.spark, f"{path}/out", ["job"], ["ts", "ord"], "page_items")
     return S.read_switch_alerts(t.spark, f"{path}/out", ["job"])
 
@@ -276,8 +276,9 @@ def _(t):
     path = scratch(t)
     calls = t.calls.select("provider", "ts", "ord", "failed")
     # the two providers hold all rows: chunks of their time are counted apart
-    stream = _files(calls, f"{path}/in", _days(F.col("ts"), F.pmod(F.xxhash64("ord"), F.lit(86400))), 4)
-    _finish(S.stream_breaker(stream, f"{path}/out", f"{path}/check", "provider", ["ts", "ord"], "failed", "1 DAY", rows_per_chunk=1_000))
+    _deliver(calls, f"{path}/in", _days(F.col("ts"), F.pmod(F.xxhash64("ord"), F.lit(86400))), 4, lambda stream: S.stream_breaker(
+        stream, f"{path}/out", f"{path}/check", "provider", ["ts", "ord"], "failed", "1 DAY", rows_per_chunk=1_000
+    ))
     S.finish_breaker(t.spark, f"{path}/out", "provider", ["ts", "ord"], "failed")
     return S.read_breaker(t.spark, f"{path}/out")
 

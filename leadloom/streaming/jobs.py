@@ -81,7 +81,8 @@ def stream_master(
         target = DeltaStore(batch.sparkSession, path)
         if batch_id <= target.version()[1]:
             return
-        batch.persist()
+        if len(tables) > 1:
+            batch.persist()
         try:
             target.commit(batch_id, {name: _folded_rows(name, build(batch), order_by, seen_at) for name, build in tables.items()})
         finally:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from leadloom.operators import merge as M
 from leadloom.operators import ordered as O
 from leadloom.operators import reports as R
+from leadloom.plans.io import _deliver
 from leadloom.sources import readers as RD
 from leadloom.sources import writers as W
 from leadloom.sources.split_csv import csv_records
@@ -225,3 +226,15 @@ def test_odd_report_files(spark, tmp_path):
         (tmp_path / f"smoke-{name}.json").write_text(text)
     got = sorted((r.report, r.summary_total, r.profile_name, r.passed) for r in RD.read_run_reports(spark, str(tmp_path)).collect() if r.profile_name or r.report != "smoke-a.json")
     assert got == [("smoke-a.json", 9, "x", True), ("smoke-b.json", 0, None, False), ("smoke-d.json", 0, None, False)]
+
+
+def test_a_stream_drop_is_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(0, 4000, 1, 6).select(F.col("id").alias("ord"))
+    seen = []
+
+    def job(stream):
+        seen.append(len(list((tmp_path / "in").glob("*.parquet"))))
+        return S.run_checkpointed(stream, f"{tmp_path}/out", f"{tmp_path}/check")
+
+    _deliver(rows, f"{tmp_path}/in", F.col("ord") % 3, 3, job)
+    assert seen == [6, 12] and spark.read.parquet(f"{tmp_path}/out").count() == 4000
