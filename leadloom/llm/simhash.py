@@ -480,8 +480,9 @@ def similar_roots(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: doc_id and component_id, over links of `similarity` or more.
 
-    Candidates are documents that share a band of MinHash values of their distinct word shingles; their components
-    are named by stars of bands, without pairs. The texts of candidates (and others that share a bit of a bitmap)
+    Candidates are documents whose SimHash fingerprints are linked as in `near_groups`, and documents that share a band
+    of MinHash values of their distinct word shingles (at the least similarity fingerprints differ in more bits than a
+    link may); their components are named by the links and by stars of bands, without pairs. The texts of candidates (and others that share a bit of a bitmap)
     then meet by component, where links are decided by the shingle sets themselves. What one task holds is the
     largest component of candidates, 8 bytes a shingle. Nulls and repeats as in `near_groups`; rows of equal
     shingle sets are one node.
@@ -498,14 +499,20 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
             offsets = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), bands], ["doc_id", "content", "node", "bands"])
-
-    rows = stored(texts.mapInArrow(sketched, "doc_id long, content long, node long, bands array<long>"), "sketches")
-    one = [F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "content", "bands")).alias("one")]
-    nodes = stored(rows.groupBy("node").agg(*one).select("node", "least", F.col("one.doc_id").alias("doc_id"), "one.content", "one.bands"), "nodes")
+            prints = pa.array([simhash(t.as_py(), WORDS, SEED, 1, False) for t in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), bands, prints], ["doc_id", "content", "node", "bands", "print"])
+
+    rows = stored(texts.mapInArrow(sketched, "doc_id long, content long, node long, bands array<long>, print binary"), "sketches")
+    one = [F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "content", "bands", "print")).alias("one")]
+    nodes = stored(rows.groupBy("node").agg(*one).select("node", "least", F.col("one.doc_id").alias("doc_id"), "one.content", "one.bands", "one.print"), "nodes")
+    # nodes of one fingerprint are a star, fingerprints are linked by their trees
+    prints = stored(nodes.groupBy("print").agg(F.min("node").alias("b")), "prints")
+    same = nodes.join(prints, "print").filter("node <> b").select(F.col("node").alias("a"), "b")
+    linked = near_links(prints.select(F.col("b").alias("node"), F.col("print").alias("route"), F.col("print").alias("check")), 8, MAX_DISTANCE // 2, MAX_DISTANCE)
     keys = nodes.select("node", F.explode("bands").alias("band"))
     hubs = keys.groupBy("band").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    near = components(keys.join(hubs, "band").filter("node <> b").select(F.col("node").alias("a"), "b").distinct())
+    starred = keys.join(hubs, "band").filter("node <> b").select(F.col("node").alias("a"), "b")
+    near = components(starred.unionByName(same).unionByName(linked).distinct())
     wanted = stored(nodes.join(near, "node").select("content", F.col("doc_id").alias("_id"), "node", F.col("root").alias("candidates")), "candidates")
     met = _maybe_in(texts, wanted, BITMAP_BITS).join(wanted, "content").filter(F.col("doc_id").eqNullSafe(F.col("_id")))
 

@@ -133,6 +133,16 @@ def test_similar_groups_link_edits_of_every_kind_and_only_those(spark):
     assert got == want
 
 
+def test_similar_groups_take_fingerprint_links(spark, monkeypatch):
+    # without any band, copies that differ in a few words of many meet by their fingerprints
+    monkeypatch.setattr(S, "band_keys", lambda hashes, count: np.zeros(0, np.int64))
+    rnd = random.Random(4)
+    base = [[f"w{rnd.getrandbits(40)}" for _ in range(3000)] for _ in range(3)]
+    texts = [" ".join(b) for b in base] + [" ".join([*b, "more"]) for b in base] + ["", " "]
+    got = {r.doc_id: r.component_id for r in S.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 0, 4: 1, 5: 2, 6: 6, 7: 6}
+
+
 def test_similar_roots_equal_brute_force():
     rnd = random.Random(4)
     for spread in (4, 12, 30):
