@@ -210,6 +210,10 @@ FIGURES = {
 }
 
 
+#: Buckets of companies by which mentions are dealt; far more than tasks, the number changes no result.
+MENTION_BUCKETS = 1 << 14
+
+
 @dataclass(frozen=True)
 class FactKind:
     """Facts of one table that a mention carries: mentions with equal `key` columns tell of one fact, whose `values`
@@ -223,20 +227,27 @@ class FactKind:
 def facts_of_mentions(mentions: DataFrame, kinds: Sequence[FactKind], order_by: Sequence[str], company: str = "company_id") -> DataFrame:
     """All kinds of facts from one pass over the mentions: company_id, table, key (texts) and the values of all kinds.
 
-    Each mention becomes one row per kind; a fact is folded before the shuffle, so a company with a third of all
-    mentions sends its distinct facts only. NULL is a key like any other.
+    Mentions are dealt by company before each becomes one row per kind, so that a fact folds to about one row
+    however its mentions lie in the files; a company with a third of all mentions is split over several tasks, which
+    send its distinct facts only. Numbers under one order column fold in a hash table, without a sort. NULL is a key
+    like any other.
     """
     names = list(dict.fromkeys(n for k in kinds for n in k.values))
     of = {n: mentions.schema[k.values[n]].dataType for k in kinds for n in k.values}
+    used = dict.fromkeys([*order_by, *[c for k in kinds for c in (*k.key, *k.values.values())]])
 
     def row(k: FactKind) -> Column:
         value = lambda n: F.col(k.values[n]) if n in k.values else F.lit(None)
         return F.struct(
             F.lit(k.table).alias("table"), F.array(*[F.col(c).cast("string") for c in k.key]).alias("key"),
-            F.struct(*order_by).alias("_order"), *[value(n).cast(of[n]).alias(n) for n in names],
+            order_key(order_by).alias("_order"), *[value(n).cast(of[n]).alias(n) for n in names],
         )
 
-    told = mentions.select(F.col(company).alias("company_id"), F.inline(F.array(*[row(k) for k in kinds])))
+    # one thin row per mention, dealt by a bucket of its company: adaptive execution may split the partition of a large
+    # company, as the facts meet by their own key afterwards
+    bucket = F.pmod(F.hash(company), F.lit(MENTION_BUCKETS))
+    near = mentions.select(F.col(company).alias("_company"), bucket.alias("_bucket"), *used).hint("rebalance", "_bucket")
+    told = near.select(F.col("_company").alias("company_id"), F.inline(F.array(*[row(k) for k in kinds])))
     order = F.col("_order")
     return told.groupBy("company_id", "table", "key").agg(F.count("*").alias("n_mentions"), *[last_non_null(n, order) for n in names])
 

@@ -446,12 +446,17 @@ COMPANY_360 = f"""WITH {FACT_KEYS}, ex AS (SELECT company_id, count(DISTINCT eve
 
 @query("jn15_company_360", COMPANY_360)
 def _(t):
-    # events, sellers and financials are three kinds of facts of the same mentions: these are read once
+    # events, sellers and financials are three kinds of facts of the same mentions: these are read once; the names that
+    # the ids are hashes of travel, which are shorter
     kinds = [
-        J.FactKind("event_exhibitors", ("event_id",)), J.FactKind("marketplace_sellers", ("marketplace_id",), {"rating": "rating"}),
+        J.FactKind("event_exhibitors", ("event_name", "year")), J.FactKind("marketplace_sellers", ("marketplace",), {"rating": "rating"}),
         J.FactKind("company_financials", ("year", "marketplace"), {"year": "year", "total_gmv_eur": "gmv"}),
     ]
-    facts = J.facts_of_mentions(_facts(t).withColumn("gmv", F.col("review_count").cast("double")), kinds, ["ord"])
+    mentions = t.facts.select(
+        "ord", X.normalize_name("company").alias("company_name"), X.normalize_name("event").alias("event_name"), "year", "marketplace",
+        "rating", F.col("review_count").cast("double").alias("gmv"),
+    )
+    facts = J.facts_of_mentions(mentions, kinds, ["ord"], "company_name").withColumn("company_id", F.md5("company_id"))
     socials = M.upsert_socials(company_tables(t)["company_socials"], ["ord"])
     return J.company_360({"companies": company_tables(t)["companies"], "company_socials": socials}, facts).drop("n_contacts")
 

@@ -166,3 +166,45 @@ def test_company_view_reads_mentions_once(spark, tmp_path):
     plan = view._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parquet") == 1 and plan.count("Join") == 1
     assert J.company_360({"companies": companies}).columns == ["company_id", "name"]
+
+
+def _facts_in_turn(rows):
+    """Plain form: mentions in order, the last value that is there stays."""
+    out = {}
+    for c, o, event, stars, y in sorted(rows, key=lambda r: r[1]):
+        for table, key, stars_of, year_of in (("event_exhibitors", (event, y), None, None), ("marketplace_sellers", (event,), stars, None), ("company_financials", (y, event), None, y)):
+            was = out.get((c, table, key), (0, None, None))
+            out[c, table, key] = (was[0] + 1, was[1] if stars_of is None else stars_of, was[2] if year_of is None else year_of)
+    return out
+
+
+@pytest.mark.parametrize("order", [["o"], ["o", "stars"]])
+def test_facts_of_mentions_fold_by_company(spark, tmp_path, order):
+    rnd = random.Random(3)
+    # a third of the mentions is one company's, the others lie all over the files
+    rows = [("hot" if i % 3 == 0 else rnd.choice([None, *[f"c{j}" for j in range(90)]]), i, rnd.choice([None, "e1", "e2", "e3"]), rnd.choice([None, 1.0, 2.5]), rnd.choice([None, 2020, 2021])) for i in range(30_000)]
+    rnd.shuffle(rows)
+    spark.createDataFrame(rows, "company string, o long, event string, stars double, y int").repartition(8).write.parquet(str(tmp_path / "m"))
+    kinds = [J.FactKind("event_exhibitors", ("event", "y")), J.FactKind("marketplace_sellers", ("event",), {"rating": "stars"}), J.FactKind("company_financials", ("y", "event"), {"year": "y"})]
+    small = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(small, "20000")
+    try:
+        facts = J.facts_of_mentions(spark.read.parquet(str(tmp_path / "m")), kinds, order, "company")
+        got = {(r.company_id, r.table, tuple(r.key)): (r.n_mentions, r.rating, r.year) for r in facts.collect()}
+        plan = facts._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(small)
+    text = lambda k: tuple(None if x is None else str(x) for x in k)
+    assert got == {(c, t, text(k)): v for (c, t, k), v in _facts_in_turn(rows).items()}
+    # dealt by company first, the large one over several tasks, facts meet by their own key
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan and "skewed" in plan and "hashpartitioning(company_id" in plan
+    if len(order) == 1:
+        assert "SortAggregate" not in plan
+
+
+def test_company_360_query_folds_without_a_sort(spark):
+    import __spark_entry__ as entry
+
+    view = entry.queries()["jn15_company_360"](spark, "/root/testdata/sf0.001")
+    plan = view._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "REBALANCE_PARTITIONS_BY_COL" in plan
