@@ -2,9 +2,10 @@
 
 Lines are read as text, so that a file is split like any other. Whether a line begins inside a quoted field depends
 on all lines before it, but only as one of two states: each line is a function of the state it begins with (it
-keeps it, turns it or sets it), and functions of lines compose to functions of blocks. A window inside every block
-and a small one over the blocks of a file give each line its state; records inside a block are put together there,
-only those that go over its end meet.
+keeps it, turns it or sets it), and functions of lines compose to functions of chunks. A window inside every chunk of
+some thousand lines and a small one over the chunks of a file give each line its state; a record of one line is
+complete as it stands, only the lines of longer ones meet. A window keeps its whole group in memory: chunks are lines
+of one block of a file, and much shorter than a block.
 """
 
 from __future__ import annotations
@@ -12,8 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leadloom.session import cut_lineage
+from leadloom.session import stored
 
+# Lines of a chunk; changes no result.
+LINES_PER_CHUNK = 4_096
+CHUNK = ["chunk", "at"]
 OPTIONS = {"header": "true", "escape": '"', "quote": '"'}
 # A quoted field, and what is inside one until its end; possessive, so that long fields need no backtracking.
 _INSIDE = r'(?:[^"]++|"")*+'
@@ -47,37 +51,50 @@ def _composed(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return counted.withColumn("_sets", sets).withColumn("last_set", F.last("_sets", ignorenulls=True).over(before))
 
 
-def csv_records(spark: SparkSession, path: str) -> DataFrame:
+def _entered_either_way(lines: DataFrame) -> DataFrame:
+    """Add to the lines of every chunk, for a chunk entered outside of quotes (0) and inside (1): does the line begin
+    inside, and how many records have begun in the chunk up to it?"""
+    rows = _composed(lines, CHUNK, ["line"])
+    rows = rows.withColumns({f"inside{i}": _state(F.lit(bool(i)), F.col("last_set"), F.col("turns")) for i in (0, 1)})
+    so_far = Window.partitionBy(*CHUNK).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumns({f"starts{i}": F.sum(F.when(F.col(f"inside{i}"), 0).otherwise(1)).over(so_far) for i in (0, 1)})
+
+
+def csv_records(spark: SparkSession, path: str, lines_per_chunk: int = LINES_PER_CHUNK) -> DataFrame:
     """(file, record, text): the records of every file in order, from 1; the header is one of them."""
+    value = F.col("value")
     lines = spark.read.option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value"
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"),
+        "value", _opens(value).alias("opens"), _stays(value).alias("stays"),
     )
     # stored once: blocks and numbers depend on how the files are split at that moment
-    lines = cut_lineage(lines).withColumns({"opens": _opens(F.col("value")), "stays": _stays(F.col("value"))})
-    rows = _composed(lines, ["file", "block"], ["line"])
-    outside, inside = (_state(F.lit(e), F.col("last_set"), F.col("turns")) for e in (False, True))
+    lines = stored(lines, "lines")
+    # a block by the number of its first line, so that windows carry no path
+    blocks = stored(lines.groupBy("file", "block").agg(F.min("line").alias("at")), "blocks")
+    lines = lines.join(blocks, ["file", "block"]).select("at", F.expr(f"line div {lines_per_chunk}").alias("chunk"), "line", "value", "opens", "stays")
     after = lambda state: F.when(state, F.col("stays")).otherwise(F.col("opens"))
-    blocks = rows.withColumns({"_b0": outside, "_b1": inside}).groupBy("file", "block").agg(
-        F.count_if(~F.col("_b0")).alias("starts0"), F.count_if(~F.col("_b1")).alias("starts1"),
-        F.max_by(after(F.col("_b0")), "line").alias("opens"), F.max_by(after(F.col("_b1")), "line").alias("stays"),
+    ends = {f"ends{i}": after(F.col(f"inside{i}")) for i in (0, 1)}
+    chunks = _entered_either_way(lines).withColumns(ends).groupBy(*CHUNK).agg(
+        F.max("starts0").alias("starts0"), F.max("starts1").alias("starts1"),
+        F.bool_or(F.col("inside0") | F.col("ends0")).alias("several0"), F.bool_or(F.col("inside1") | F.col("ends1")).alias("several1"),
+        F.max_by("ends0", "line").alias("opens"), F.max_by("ends1", "line").alias("stays"),
     )
-    entered = _composed(blocks, ["file"], ["block"]).withColumn("entry", _state(F.lit(False), F.col("last_set"), F.col("turns")))
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = F.when(F.col("entry"), F.col("starts1")).otherwise(F.col("starts0"))
-    entered = entered.select("file", "block", "entry", F.coalesce(F.sum(starts).over(earlier), F.lit(0)).alias("records"))
-    placed = rows.join(entered, ["file", "block"]).withColumn("within", _state(F.col("entry"), F.col("last_set"), F.col("turns")))
-    so_far = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = placed.withColumn("record", F.col("records") + F.sum(F.when(F.col("within"), 0).otherwise(1)).over(so_far))
-    # the lines of a record inside a block, on its first line
-    own = Window.partitionBy("file", "block", "record").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends_inside = F.last(after(F.col("within"))).over(own)
-    pieces = numbered.withColumns({"text": F.array_join(F.collect_list("value").over(own), "\n"), "open": ends_inside, "first": F.first("line").over(own)})
-    pieces = pieces.filter(F.col("line") == F.col("first"))
-    # only a record that goes over the end of a block has pieces to meet
-    cut = F.col("within") | F.col("open")
-    met = pieces.filter(cut).groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("block", "text"))).alias("parts"))
-    joined = met.select("file", "record", F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("text"))
-    return pieces.filter(~cut).select("file", "record", "text").unionByName(joined)
+    entered = _composed(chunks.join(blocks, "at"), ["file"], ["block", "chunk"]).withColumn("entry", _state(F.lit(False), F.col("last_set"), F.col("turns")))
+    by_entry = lambda name: F.when(F.col("entry"), F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
+    earlier = Window.partitionBy("file").orderBy("block", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    entered = stored(entered.select(*CHUNK, "entry", by_entry("several").alias("several"), F.coalesce(F.sum(by_entry("starts")).over(earlier), F.lit(0)).alias("records")), "chunks")
+
+    def placed(some: DataFrame) -> DataFrame:
+        rows = _entered_either_way(some).join(entered, CHUNK)
+        rows = rows.select("at", "line", "value", "opens", "stays", by_entry("inside").alias("inside"), (F.col("records") + by_entry("starts")).alias("record"))
+        return rows.join(blocks, "at")
+
+    # only lines of records that have several meet; chunks without such records are left out before
+    alone = ~F.col("inside") & ~after(F.col("inside"))
+    several = placed(lines.join(entered.filter("several").select(*CHUNK), CHUNK, "left_semi")).filter(~alone)
+    met = several.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("block", "line", "value"))).alias("lines"))
+    joined = met.select("file", "record", F.array_join(F.transform("lines", lambda x: x["value"]), "\n").alias("text"))
+    return joined.unionByName(placed(lines).filter(alone).select("file", "record", value.alias("text")))
 
 
 def read_csv_split(spark: SparkSession, path: str) -> DataFrame:

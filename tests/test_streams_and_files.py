@@ -44,6 +44,39 @@ def test_one_csv_file_is_read_by_many_tasks(spark, tmp_path, end):
     assert got == [tuple(v or None for v in r) for r in rows]
 
 
+@pytest.mark.parametrize("lines_per_chunk", [1, 2, 7, 4_096])
+def test_chunks_of_lines_change_no_csv_record(spark, tmp_path, lines_per_chunk):
+    import random
+
+    rnd = random.Random(2)
+    field = lambda: rnd.choice(["", "a", '"b"', '"one\ntwo"', '"\n\n\n\n"', '"say ""x"",\n"', '5" disk', '"' + "long\n" * 20 + '"'])
+    want = {}
+    for name, n in (("a.csv", 120), ("b.csv", 3), ("c.csv", 60)):
+        want[name] = ["id,x,y", *[f"{i},{field()},{field()}" for i in range(n)], *(['9,"open\n,z'] if name == "c.csv" else [])]
+        (tmp_path / name).write_text("\n".join(want[name]) + ("\n" if name == "a.csv" else ""))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700"), spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        rows = csv_records(spark, str(tmp_path), lines_per_chunk).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.file.rsplit("/", 1)[1], r.record, r.text) for r in rows) == [(f, i, t) for f in sorted(want) for i, t in enumerate(want[f], 1)]
+
+
+def test_lines_of_one_block_are_dealt_to_many_tasks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,x\n" + "".join(f'{i},"[""a"",""{i}""]"\n' for i in range(40_000)))
+    assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() == 1
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        held = RD.read_leads_csv(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    # a window holds all rows of its group: a block of a file would be one group
+    assert sum(r["count"] for r in held) == 40_000 and max(r["count"] for r in held) < 25_000
+
+
 def test_csv_quotes_inside_plain_fields(spark, tmp_path):
     (tmp_path / "a.csv").write_text('n,t\n1,5" disk\n2,"x\n\n""y"""\n\n3,"open\n4,z\n')
     (tmp_path / "b.csv").write_text("n,t\n9,q")
